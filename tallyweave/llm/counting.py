@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tallyweave.llm.common import id_and_text, slices
@@ -114,7 +115,7 @@ def token_counts(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
         for batch in slices(batches, most_bytes=2 << 20):
             texts = batch.column(1).to_pylist()
             n = pa.array(count_batch(texts, merges, split, known), pa.int64())
-            sizes = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), sizes, n, pa.compute.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            sizes = pc.binary_length(batch.column(1)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), sizes, n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, SCHEMA)
