@@ -10,6 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyweave.llm.common import documents
 
 
+def op2_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm.licenses import license_scan
+
+    return license_scan(documents(spark, sf_dir))
+
+
+def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import secrets
+
+    docs = documents(spark, sf_dir)
+    return secrets.digest(secrets.findings(docs, secrets.scan(docs)), secrets.BASE)
+
+
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm.quality import compression_bands
 
