@@ -35,6 +35,18 @@ def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm.debruijn import substring_dedup
+
+    return substring_dedup(documents(spark, sf_dir))
+
+
+def op8_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm.simhash import simhash_components
+
+    return simhash_components(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm.counting import token_counts
 
