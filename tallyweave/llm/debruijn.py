@@ -106,11 +106,12 @@ def covered_windows(edges: DataFrame) -> DataFrame:
 
 def paths(covered: DataFrame, window: int) -> DataFrame:
     """Compacts runs of edges that follow each other both in the row and in the source, up to a branching edge, into (key, start, n, src_key, src_start), in words."""
-    run = W.partitionBy("key", "src_key", F.col("pos") - F.col("src_pos")).orderBy("pos")
+    covered = covered.withColumn("shift", F.col("pos") - F.col("src_pos"))
+    run = W.partitionBy("key", "src_key", "shift").orderBy("pos")
     before = F.lag("pos").over(run)
     breaks = before.isNull() | (before != F.col("pos") - 1) | ~(F.col("joint") & F.lag("joint").over(run))
     numbered = covered.withColumn("fresh", breaks.cast("int")).withColumn("path", F.sum("fresh").over(run))
-    spans = numbered.groupBy("key", "src_key", (F.col("pos") - F.col("src_pos")).alias("shift"), "path").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
+    spans = numbered.groupBy("key", "src_key", "shift", "path").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
     return spans.select("key", "start", (F.col("stop") - F.col("start") + window).alias("n"), "src_key", (F.col("start") - F.col("shift")).alias("src_start"))
 
 
@@ -125,18 +126,19 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     input. Null and empty texts have no words; a null id is larger than every other; rows of equal id don't remove each
     other's words; an empty table gives no rows.
     """
-    last = F.lit(2**63 - 1)
+    order = F.coalesce("doc_id", F.lit(2**63 - 1))
     texts = id_and_text(df, id_col, text_col)
-    texts = texts.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce("doc_id", last).alias("ord"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.col("text").cast("binary").alias("text"))
-    firsts = texts.groupBy("sha").agg(F.min("ord").alias("first"))
+    texts = texts.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.col("text").cast("binary").alias("text"))
+    firsts = texts.groupBy("sha").agg(F.min(order).alias("first"))
     # Ids and digests alone: which rows are the first of their text, by row.
-    roles = texts.select("key", "sha", "ord").distinct().join(firsts, "sha").select(F.col("key").alias("role_key"), (F.col("ord") > F.col("first")).alias("copy")).hint("shuffle_hash")
+    roles = texts.select("key", "sha", order.alias("ord")).distinct().join(firsts, "sha").select(F.col("key").alias("role_key"), (F.col("ord") > F.col("first")).alias("copy")).hint("shuffle_hash")
+    # Every use below takes the same three columns, so that all share one shuffle of the texts.
     rows = texts.drop("sha").join(roles, F.col("key") == F.col("role_key")).drop("role_key")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keys, out = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = np.unique(window_anchors(word_hashes(text.split()), window, anchor))
                 keys.append(np.full(len(found), key, np.int64))
                 out.append(found.view(np.int64))
@@ -145,21 +147,21 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             columns = [[] for _ in range(5)]
-            for key, ord_, text, shared in zip(*(batch.column(k).to_pylist() for k in range(3)), (x.values.to_numpy() for x in batch.column(3)), strict=True):
+            for id_, key, text, shared in zip(*(batch.column(k).to_pylist() for k in range(3)), (x.values.to_numpy() for x in batch.column(3)), strict=True):
                 hashes = word_hashes(text.split())
                 at = np.flatnonzero(np.isin(window_anchors(hashes, window, anchor).view(np.int64), shared))
                 sums = gram_hashes(hashes, window)
                 sides = np.r_[np.uint64(0), hashes, np.uint64(0)] >> np.uint64(48)
                 around = (sides[at] << np.uint64(16) | sides[at + window + 1]).astype(np.uint32).view(np.int32)
                 n = len(at)
-                for c, x in zip(columns, (sums[at].view(np.int64), np.full(n, ord_), np.full(n, key), at.astype(np.int32), around), strict=True):
+                for c, x in zip(columns, (sums[at].view(np.int64), np.full(n, 2**63 - 1 if id_ is None else id_), np.full(n, key), at.astype(np.int32), around), strict=True):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["edge", "ord", "key", "pos", "around"])
 
     def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = [[], [], [], []]
-            for key, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for key, text, spans in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
                 words = text.split()
                 for s in spans:
                     for c, x in zip(out, (key, s["src_start"], s["n"], span_digest(words, s["src_start"], s["n"])), strict=True):
@@ -169,7 +171,7 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = [[], [], [], []]
-            for copy, text, spans in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
+            for copy, text, spans in zip(*(batch.column(k).to_pylist() for k in (3, 2, 4)), strict=True):
                 words = text.split()
                 total, kept = len(words), words
                 if copy and total >= window:
@@ -188,14 +190,14 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(out[3], pa.string())] if with_text else arrays, names=[*names, "kept_text"] if with_text else names)
 
     own = rows.where("not copy")
-    shared = repeated_anchors(own.select("key", "text").mapInArrow(anchors, "anchor long, key long"))
+    shared = repeated_anchors(own.select("doc_id", "key", "text").mapInArrow(anchors, "anchor long, key long"))
     shared = shared.groupBy("key").agg(F.collect_set("anchor").alias("anchors")).withColumnRenamed("key", "its").hint("shuffle_hash")
-    found = own.join(shared, F.col("key") == F.col("its")).select("key", "ord", "text", "anchors").mapInArrow(edges, "edge long, ord long, key long, pos int, around int")
+    found = own.join(shared, F.col("key") == F.col("its")).select("doc_id", "key", "text", "anchors").mapInArrow(edges, "edge long, ord long, key long, pos int, around int")
     spans = paths(covered_windows(found), window)
     wanted = spans.select("src_key", "src_start", "n").distinct().groupBy("src_key").agg(F.collect_list(F.struct("src_start", "n")).alias("spans")).hint("shuffle_hash")
-    digests = own.join(wanted, F.col("key") == F.col("src_key")).select("key", "text", "spans").mapInArrow(sources, "src_key long, src_start int, n int, digest binary").dropDuplicates(["src_key", "src_start", "n"])
+    digests = own.join(wanted, F.col("key") == F.col("src_key")).select("doc_id", "key", "text", "spans").mapInArrow(sources, "src_key long, src_start int, n int, digest binary").dropDuplicates(["src_key", "src_start", "n"])
     checked = spans.join(digests, ["src_key", "src_start", "n"]).groupBy("key").agg(F.collect_set(F.struct("start", "n", "digest")).alias("spans")).withColumnRenamed("key", "its").hint("shuffle_hash")
-    final = rows.join(checked, F.col("key") == F.col("its"), "left").select("doc_id", "copy", "text", "spans")
+    final = rows.join(checked, F.col("key") == F.col("its"), "left").select("doc_id", "key", "text", "copy", "spans")
     return final.mapInArrow(result, SCHEMA + (", kept_text string" if with_text else ""))
 
 

@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyweave.llm.common import documents
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm.decontam import contamination
+
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm.licenses import license_scan
 
@@ -41,6 +47,12 @@ def op6_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op7_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import pii
+
+    return pii.digest(pii.personal_data(documents(spark, sf_dir)))
+
+
 def op8_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm.simhash import simhash_components
 

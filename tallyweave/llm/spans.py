@@ -10,28 +10,48 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"
 
 
+#: Matches whose lengths are summed one by one for a place; the sums of whole blocks are made once.
+BLOCK = 256
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sum_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def sums_before(values: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """`body` given a function of i: the sum of the first i values."""
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / BLOCK).cast("int")), lambda b: sum_of(F.slice(v, b * BLOCK + 1, BLOCK)))
+    starts = lambda w: F.transform(w, lambda _, b: sum_of(F.slice(w, F.lit(1), b)))
+    before = lambda v, s: lambda i: F.get(s, F.floor(i / BLOCK).cast("int")) + sum_of(F.slice(v, i - i % BLOCK + 1, i % BLOCK))
+    return bound(values, lambda v: bound(bound(blocks(v), starts), lambda s: body(before(v, s))))
+
+
 def matches(text: Column, pattern: str, kind: str, rank: int, holds: Callable[[Column, Column], Column] | None = None, group: int = 0) -> Column:
     """Spans (start, rank, kind, stop) of all leftmost non-overlapping matches, in code points, for which `holds(match, group)`.
 
     Spark gives no places of matches, but the text between them and the matches themselves; their lengths add up to the
     places. Texts without a match, nearly all, take one pass.
     """
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    steps = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("whole"), inner.alias("inner"))
-    empty = F.lit(None).cast("array<struct<start:bigint,stop:bigint,ok:boolean>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:bigint,stop:bigint,ok:boolean>>")).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.length(x["whole"])
-        ok = F.lit(True) if holds is None else holds(x["whole"], x["inner"])
-        return F.struct(b.alias("at"), F.array_append(acc["out"], F.struct(a.alias("start"), b.alias("stop"), ok.alias("ok"))).alias("out"))
-
-    kept = F.filter(F.aggregate(steps, start, step)["out"], lambda s: s["ok"])
-    spans = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))
-    return F.when(text.rlike(pattern), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
+    steps = F.zip_with(F.split(text, pattern, -1), F.arrays_zip(found.alias("whole"), inner.alias("inner")), lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), m["whole"].alias("whole"), m["inner"].alias("inner")))
+
+    def placed(x: Column) -> Column:
+        units = F.transform(x, lambda s: s["gap"] + F.coalesce(F.length(s["whole"]), F.lit(0)))
+
+        def spans(before: Callable[[Column], Column]) -> Column:
+            at = F.transform(x, lambda s, i: F.struct((before(i) + s["gap"]).alias("start"), s["whole"].alias("whole"), s["inner"].alias("inner")))
+            kept = F.filter(at, lambda s: s["whole"].isNotNull() & (F.lit(True) if holds is None else holds(s["whole"], s["inner"])))
+            return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (s["start"] + F.length(s["whole"])).alias("stop")))
+
+        return sums_before(units, spans)
+
+    return F.when(text.rlike(pattern), bound(steps, placed).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def ordered(*parts: Column) -> Column:
