@@ -26,21 +26,22 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BREAK), "")
 
 
-def canonical(word: Column) -> Column:
+def canonical(word: Column, names: bool = True) -> Column:
     """A number, name or unit becomes its placeholder; another word is lower-cased. A name is a word with a capital first letter and small letters."""
     low = F.lower(word)
+    typed = F.when(word.rlike(r"^\p{N}"), "<number>")
+    if names:
+        typed = typed.when(word.rlike(r"^\p{Lu}\p{Ll}+$"), "<name>")
     return (
-        F.when(word.rlike(r"^\p{N}"), "<number>")
-        .when(word.rlike(r"^\p{Lu}\p{Ll}+$"), "<name>")
-        .when(low.isin(NUMBERS), "<number>")
+        typed.when(low.isin(NUMBERS), "<number>")
         .when(low.isin(UNITS), "<unit>")
         .otherwise(low)
     )
 
 
-def windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+def windows(texts: DataFrame, window: int = WINDOW, names: bool = True) -> DataFrame:
     """One row for each window of canonical words of which enough are plain: the other columns, `words`, `pos` and the window's hash `sum`."""
-    df = texts.withColumn("words", words_of(F.col("text"))).drop("text").withColumn("kinds", F.transform("words", canonical))
+    df = texts.withColumn("words", words_of(F.col("text"))).drop("text").withColumn("kinds", F.transform("words", lambda w: canonical(w, names)))
     df = df.select("*", F.posexplode("kinds").alias("pos", "k0"))
     df = df.withColumns({f"k{i}": F.get("kinds", F.col("pos") + i) for i in range(1, window)})
     kinds = [f"k{i}" for i in range(window)]
@@ -62,8 +63,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     each = windows(marked)
     own = id_and_text(items, item_id_col, item_text_col).withColumnRenamed("doc_id", "item_id")
     own = own.withColumn("item_key", F.xxhash64("text")).distinct()
-    bench = windows(own).select("item_id", "item_key", F.col("pos").alias("item_pos"), F.col("sum").alias("item_sum"), F.slice("words", F.col("pos") + 1, WINDOW).alias("theirs"))
-    bench = bench.join(bench.groupBy("item_id", "item_key").agg(F.count("*").alias("item_windows")), ["item_id", "item_key"])
+    # Texts all in capitals or all in small letters show no names; for them the items' windows are also hashed without.
+    bench = windows(own).withColumn("named", F.lit(1)).union(windows(own, names=False).withColumn("named", F.lit(0)))
+    bench = bench.select("item_id", "item_key", "named", F.col("pos").alias("item_pos"), F.col("sum").alias("item_sum"), F.slice("words", F.col("pos") + 1, WINDOW).alias("theirs"))
+    sizes = bench.groupBy("item_id", "item_key").agg(F.count_if(F.col("named") == 1).alias("n"), F.count_if(F.col("named") == 0).alias("n_plain"))
+    sizes = sizes.select("item_id", "item_key", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("n_plain")).alias("item_windows"))
+    bench = bench.drop("named").distinct().join(sizes, ["item_id", "item_key"])
     small = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     hits = each.join(F.broadcast(bench) if small else bench, F.col("sum") == F.col("item_sum"))
     hits = hits.select("doc_id", "row_key", "item_id", "item_key", "item_windows", "pos", "item_pos", F.slice("words", F.col("pos") + 1, WINDOW).alias("ours"), "theirs")
