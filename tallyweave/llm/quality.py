@@ -79,3 +79,18 @@ def compression_bands(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, SCHEMA)
+
+
+def passing(df: DataFrame, text_col: str = "text", level: int = 3) -> DataFrame:
+    """The rows of `df`, with all its columns, whose texts `compression_bands` keeps. No shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=level).compress
+        kept = [x.split()[0] for x in SCHEMA.split(", ")].index("kept") - 1
+        for batch in slices(batches, text_col):
+            yield batch.filter(pa.array([measure(text or "", compress)[kept] for text in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

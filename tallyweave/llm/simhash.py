@@ -17,23 +17,29 @@ BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
 BLOCK = 1024
 
 
-def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
-    """A bit is 1 if it is set in over half the hashes of the shingles, repeats included; 0 without words."""
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each run of `shingle` words, of the whole sequence if it is shorter."""
     import xxhash
 
-    if not words:
-        return 0
-    text = b" ".join(words)
+    text, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(text, SEED)
+        return np.array([digest(text, SEED)], ">u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     first, last = np.r_[0, ends[:-1]][: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(text[a:b], SEED) for a, b in zip(first, last, strict=True)], ">u8")
+    return np.array([digest(text[a:b], SEED) for a, b in zip(first, last, strict=True)], ">u8")
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """A bit is 1 if it is set in over half the hashes."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes)).view(">u8")[0])
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
+
+
+def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
+    """The majority of the hashes of the shingles, repeats included; 0 without words."""
+    return int.from_bytes(majority(shingle_hashes(words, shingle)), "big") if words else 0
 
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,3 +150,136 @@ def simhash_components(df: DataFrame, shingle: int = SHINGLE, distance: int = DI
     least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     known = tied.join(least, "root").select("fp", "component_id")
     return rows.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Near-duplicates by shingles of words: words of a shingle, the least Jaccard similarity, 64-bit words of a fingerprint,
+#: and the keys by which candidates meet: each is made of the least of `PER_KEY` permuted shingle hashes, so that texts
+#: of similarity s share a key with probability 1 - (1 - s ** PER_KEY) ** KEYS, over 0.99999 at 0.8.
+NEAR_SHINGLE, SIMILARITY, WIDE, KEYS, PER_KEY = 5, 0.8, 4, 12, 2
+#: Differing bits, of 256, from which a pair is no candidate: over three standard deviations above the mean at 0.8.
+WIDE_DISTANCE = 60
+
+
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Another 64-bit hash of each hash."""
+    x = (hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def wide_sketch(words: list[bytes], shingle: int = NEAR_SHINGLE) -> tuple[bytes, list[int], np.ndarray]:
+    """The fingerprint of WIDE * 64 bits, the candidate keys and the distinct shingles (32 bits each) of a text."""
+    hashes = np.unique(shingle_hashes(words, shingle).astype(np.uint64))
+    print_ = [majority(_mixed(hashes, k + 1)) for k in range(WIDE)]
+    least = [int(_mixed(hashes, 100 + k).min()) for k in range(KEYS * PER_KEY)]
+    keys = [hash(tuple(least[k * PER_KEY : (k + 1) * PER_KEY]) + (k,)) for k in range(KEYS)]  # of integers alone: equal on all machines
+    return b"".join(print_), keys, np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
+def wide_links(prints: np.ndarray, distance: int = WIDE_DISTANCE) -> list[tuple[int, int]]:
+    """The closest links, by differing bits, that hang a block's fingerprints together; prints is rows of 16 segments of 16 bits.
+
+    Round the ring of segments some chain keeps each of its sums of differences within its share of the distance, or the
+    pair is farther apart; only pairs with such a chain are candidates.
+    """
+    n, pairs = len(prints), []
+    for i in range(n - 1):
+        diff = np.bitwise_count(prints[i + 1 :] ^ prints[i]).astype(np.int64)
+        ring = np.concatenate([diff, diff], axis=1)
+        m = diff.shape[1]
+        alive, total = np.ones_like(diff, bool), np.zeros_like(diff)
+        for length in range(1, m + 1):
+            total += ring[:, length - 1 : length - 1 + m]
+            alive &= total * m <= distance * length
+            if length in (1, 2, 4) and not alive.any():
+                break
+        for j in np.flatnonzero(alive.any(axis=1)).tolist():
+            pairs.append((int(diff[j].sum()), i, i + 1 + j))
+    root, edges = list(range(n)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for _, i, j in sorted(pairs):
+        a, b = find(i), find(j)
+        if a != b:
+            root[a] = b
+            edges.append((i, j))
+    return edges
+
+
+def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for each row: the smallest id that is reached by links between texts whose sets of word shingles have Jaccard similarity `similarity` or more.
+
+    At that similarity fingerprints differ in too many bits for segments that agree, so candidates meet by keys of least
+    shingle hashes. Their fingerprints are compared round the ring of segments; the closest links that hang a block
+    together are checked on the shingles themselves. Exact copies are one node. A key's rows are cut into blocks, and every
+    pair of blocks is a group of its own. Texts without words are one group; a null id stays null and counts only where
+    no other is; repeated rows each get their row; an empty table gives no rows.
+    """
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [wide_sketch(x.lower().split(), shingle) for x in batch.column(1).to_pylist()]
+            arrays = [batch.column(0), pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.list_(pa.int64())), pa.array([x[2] for x in made], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "print", "keys", "shingles"])
+
+    texts = id_and_text(df, id_col, text_col).withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    node = F.xxhash64("sha")
+    rows = checkpointed(texts.select("doc_id", node.alias("node")))
+    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
+    # One row of each text makes its sketch; which row that is doesn't matter, as they are equal.
+    owners = firsts.select(F.col("node").alias("its"), "first").hint("shuffle_hash")
+    one = texts.select("doc_id", node.alias("node"), "text").join(owners, (F.col("node") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    sketched = checkpointed(one.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(sketches, "node long, print binary, keys array<long>, shingles array<int>"))
+
+    keyed = sketched.select("node", "print", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    met = keyed.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "print")
+    order = ["key", "a", "b"]
+    met = met.repartition(*order).sortWithinPartitions(*order, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out = None, []
+        for batch in batches:
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            held = group(batch, False, out)
+            yield edges(out)
+        if held is not None:
+            group(held, True, out)
+            yield edges(out)
+
+    def group(batch: pa.RecordBatch, last: bool, out: list) -> pa.RecordBatch | None:
+        if not batch.num_rows:
+            return None
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        change = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])
+        starts = np.r_[0, np.flatnonzero(change) + 1, batch.num_rows].tolist()
+        prints = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+        nodes = columns[3]
+        for a, b in zip(starts, starts[1:] if last else starts[1:-1], strict=False):
+            if b - a > 1:
+                x, first = np.unique(nodes[a:b], return_index=True)
+                out += [(int(x[i]), int(x[j])) for i, j in wide_links(prints[a:b][first])]
+        return None if last else batch.slice(starts[-2])
+
+    def edges(out: list) -> pa.RecordBatch:
+        found = sorted({(min(e), max(e)) for e in out})
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in range(2)], names=["u", "v"])
+
+    pairs = checkpointed(met.mapInArrow(run, "u long, v long").distinct())
+    sets = sketched.select("node", "shingles")
+    both = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "x"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "y"}), "v")
+    common = F.size(F.array_intersect("x", "y"))
+    links_ = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
+    roots = components(links_)
+    tied = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(tied.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
