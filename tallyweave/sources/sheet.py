@@ -133,9 +133,10 @@ def write_sheets(df: DataFrame, columns: list[str], order: list[str]) -> DataFra
     def run(group):
         import pandas as pd
 
-        rows = group.sort_values(order)[columns].astype(object)
+        # Headers may hold dots, which grouped functions don't take; columns go by number.
+        rows = group.sort_values([f"o{i}" for i in range(len(order))])[[f"c{i}" for i in range(len(columns))]].astype(object)
         rows = rows.where(rows.notna(), None)
         return pd.DataFrame({"batch_id": [group.batch_id.iloc[0]], "content": [sheet_bytes(columns, rows.itertuples(index=False, name=None))]})
 
-    chosen = df.select("batch_id", *[F.col(f"`{c}`") for c in dict.fromkeys([*order, *columns]) if c != "batch_id"])
+    chosen = df.select("batch_id", *[F.col(f"`{c}`").alias(f"{k}{i}") for k, cs in (("o", order), ("c", columns)) for i, c in enumerate(cs)])
     return chosen.groupBy("batch_id").applyInPandas(run, f"batch_id {df.schema['batch_id'].dataType.simpleString()}, content binary")
