@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweave.functions import rules
+from tallyweave.functions.lineage import checkpointed
 from tallyweave.functions.text import department, title_department
 
 #: (basis, key columns besides the batch, whether the last right row of a key counts instead of an only one)
@@ -111,8 +112,10 @@ def fuzzy_pairs(rows: DataFrame, cutoff: float = rules.MATCH_CUTOFF) -> DataFram
 def match_cascade(left: DataFrame, right: DataFrame, cutoff: float = rules.MATCH_CUTOFF) -> DataFrame:
     """`sides` with partner and basis after all tiers, the fuzzy one included, and ambiguous: whether a name's leftovers wait for a person's decision."""
     rows = tiers(sides(left, right))
+    # Several uses follow, here and in comparisons; the tiers run once.
     rows = rows.withColumn("ambiguous", F.col("partner").isNull() & F.max("pending").over(W.partitionBy("batch_id", "k_name")))
-    pairs = fuzzy_pairs(rows, cutoff)
+    rows = checkpointed(rows)
+    pairs = checkpointed(fuzzy_pairs(rows, cutoff))
     ends = pairs.select("batch_id", F.lit("L").alias("side"), F.col("left_ord").alias("row_ord"), F.col("right_ord").alias("more")).unionByName(pairs.select("batch_id", F.lit("R").alias("side"), F.col("right_ord").alias("row_ord"), F.col("left_ord").alias("more")))
     rows = rows.join(ends, ["batch_id", "side", "row_ord"], "left")
     return rows.withColumn("basis", F.coalesce("basis", F.when(F.col("more").isNotNull(), "姓名相近"))).withColumn("partner", F.coalesce("partner", "more")).drop("more")

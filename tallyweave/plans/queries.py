@@ -145,9 +145,9 @@ def dimension_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _registers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts with even keys against parts with odd keys, a batch per brand and half of the sizes."""
+    """Parts with even keys against parts with odd keys, a batch per 300 keys."""
     part = table(spark, sf_dir, "part")
-    common = [F.concat_ws("/", "p_brand", (F.col("p_partkey") / 400).cast("bigint").cast("string")).alias("batch_id"), F.col("p_partkey").alias("row_ord"), F.col("p_name").alias("name")]
+    common = [F.floor(F.col("p_partkey") / 300).alias("batch_id"), F.col("p_partkey").alias("row_ord"), F.col("p_name").alias("name")]
     amounts = [(F.col("p_size") % 5).cast("bigint").alias("pay"), F.lit(0).cast("bigint").alias("prof"), F.when(F.col("p_size") > 25, 1000).otherwise(0).cast("bigint").alias("mgr"), F.lit(0).cast("bigint").alias("tutor")]
     title = F.element_at(F.array(F.lit("教師"), F.lit("教學組長"), F.lit("教師兼學務主任"), F.lit("代理工友"), F.lit("長代教師")), (F.col("p_partkey") / 2 % 5 + 1).cast("int"))
     dept = F.element_at(F.array(F.lit("教務處"), F.lit("學務處"), F.lit(""), F.lit("總務處")), ((F.col("p_partkey") - 1) / 2 % 4 + 1).cast("int"))
@@ -162,7 +162,7 @@ _TIER_KEYS = ("id", "name", "name, dept", "name, flag", "name, pay, flag", "name
 
 def _tiers_sql() -> str:
     """The tiers as chained CTEs: the last right row of an id, or the only free one of another key, for the first free left row."""
-    part = "p_brand || '/' || (p_partkey // 400) AS batch_id, p_partkey AS ord, p_name AS name, p_size % 5 AS pay, p_size > 25 AS flag"
+    part = "p_partkey // 300 AS batch_id, p_partkey AS ord, p_name AS name, p_size % 5 AS pay, p_size > 25 AS flag"
     ctes = [
         f"""l0 AS (SELECT {part}, CASE WHEN p_partkey % 20 = 0 THEN 'I' || p_size END AS id, CASE p_partkey // 2 % 5 WHEN 1 THEN '教務' WHEN 2 THEN '學生事務' WHEN 3 THEN '總務' END AS dept FROM part WHERE p_partkey % 2 = 0)""",
         f"""r0 AS (SELECT {part}, CASE WHEN p_partkey % 10 = 1 THEN 'I' || p_size END AS id, CASE (p_partkey - 1) // 2 % 4 WHEN 0 THEN '教務' WHEN 1 THEN '學生事務' WHEN 3 THEN '總務' END AS dept FROM part WHERE p_partkey % 2 = 1)""",
@@ -224,9 +224,9 @@ _RESULTS = f"""{_TIERS}, pairs AS ({_ALL}),
     UNION ALL SELECT batch_id, 'af_only', NULL, ord, NULL, 0, 0 FROM r6)"""
 
 
-@query(f"WITH {_RESULTS} SELECT batch_id, status, l_ord, r_ord, needs_confirm FROM results")
+@query(f"WITH {_RESULTS} SELECT batch_id, status, coalesce(l_ord, -1)::BIGINT AS l_ord, coalesce(r_ord, -1)::BIGINT AS r_ord, coalesce(needs_confirm, false) AS needs_confirm FROM results")
 def compare_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cmp.compare(*_registers(spark, sf_dir)).select("batch_id", "status", F.col("left_ord").alias("l_ord"), F.col("right_ord").alias("r_ord"), "needs_confirm")
+    return cmp.compare(*_registers(spark, sf_dir)).select("batch_id", "status", F.coalesce("left_ord", F.lit(-1)).alias("l_ord"), F.coalesce("right_ord", F.lit(-1)).alias("r_ord"), F.coalesce("needs_confirm", F.lit(False)).alias("needs_confirm"))
 
 
 @query(f"WITH {_RESULTS} SELECT batch_id, l_ord, 'pay' AS field, d_pay::BIGINT AS delta FROM results WHERE d_pay <> 0 UNION ALL SELECT batch_id, l_ord, 'mgr', d_mgr::BIGINT FROM results WHERE d_mgr <> 0")
@@ -265,11 +265,11 @@ def fuzzy_difflib(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scalar functions --------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT p_partkey, CASE WHEN p_name LIKE '%small%' AND false THEN '' WHEN t LIKE '%學務主任%' THEN '學生事務處' WHEN t LIKE '%教學組長%' THEN '教務處' WHEN t LIKE '%工友%' THEN '總務處' END AS dept
+@query("""SELECT p_partkey, CASE WHEN t LIKE '%學務主任%' THEN '學生事務處' WHEN t LIKE '%教學組長%' THEN '教務處' WHEN t LIKE '%工友%' THEN '總務處' ELSE '' END AS dept
   FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN '教師兼學務主任' WHEN 1 THEN '教學組長' WHEN 2 THEN '代理工友' ELSE p_name END AS t FROM part)""")
 def title_dept(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when(F.col("p_partkey") % 4 == 0, "教師兼學務主任").when(F.col("p_partkey") % 4 == 1, "教學組長").when(F.col("p_partkey") % 4 == 2, "代理工友").otherwise(F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.title_department(t).alias("dept"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(text.title_department(t), F.lit("")).alias("dept"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || p_brand END AS head FROM part")
@@ -296,24 +296,24 @@ def filename_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TITLE = "CASE p_partkey % 6 WHEN 0 THEN '教師兼代理主任' WHEN 1 THEN '代理教師' WHEN 2 THEN '助理員' WHEN 3 THEN '約聘' || p_type WHEN 4 THEN p_type ELSE '校長' END"
 
 
-@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 6 IN (0, 5) AND p_name NOT LIKE 's%' THEN NULL WHEN p_partkey % 6 IN (0, 5) AND p_name LIKE 's%' THEN '個別指定'
-  WHEN p_partkey % 6 = 1 THEN '職稱含「代理」' WHEN p_partkey % 6 = 3 THEN '職稱含「約聘」' WHEN {_TITLE} LIKE '%助理員%' THEN '職稱含「助理員」' WHEN p_name LIKE 's%' THEN '個別指定' END AS reason FROM part""")
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 6 IN (0, 5) AND p_name NOT LIKE 's%' THEN '' WHEN p_partkey % 6 IN (0, 5) AND p_name LIKE 's%' THEN '個別指定'
+  WHEN p_partkey % 6 = 1 THEN '職稱含「代理」' WHEN p_partkey % 6 = 3 THEN '職稱含「約聘」' WHEN {_TITLE} LIKE '%助理員%' THEN '職稱含「助理員」' WHEN p_name LIKE 's%' THEN '個別指定' ELSE '' END AS reason FROM part""")
 def mark_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumn("title", F.expr(_TITLE)).withColumn("batch_id", F.col("p_brand")).withColumn("name", F.col("p_name"))
     names = part.where("p_name like 's%'").groupBy("batch_id").agg(F.collect_set("name").alias("names"))
     settings = exc.load_settings(names.select(F.col("batch_id").alias("tenant"), F.array(F.lit("助理員")).alias("titles"), "names", F.lit(True).alias("use_default")), part.select(F.col("batch_id").alias("tenant")).distinct())
     settings = settings.withColumn("titles", F.when(F.size("titles") == 0, F.array(F.lit("助理員"))).otherwise(F.col("titles")))
-    return exc.mark(part, settings.withColumnRenamed("tenant", "batch_id")).select("p_partkey", F.col("secondary_reason").alias("reason"))
+    return exc.mark(part, settings.withColumnRenamed("tenant", "batch_id")).select("p_partkey", F.coalesce("secondary_reason", F.lit("")).alias("reason"))
 
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("string").alias("batch_id"), F.concat("event_type", (F.col("event_id") % 7).cast("string")).alias("title"), F.col("user_id").cast("string").alias("name"), "event_id")
     known = e.where("event_id % 7 > 2").select("batch_id", "name")
-    return exc.observe(e, known.where("name % 3 = 0"))
+    return exc.observe(e, known.where("name % 3 = 0 and batch_id >= 3"))
 
 
 _SEEN = """seen AS (SELECT (user_id % 20)::VARCHAR AS batch_id, event_type || (event_id % 7) AS title, count(*) AS total,
-  count(*) FILTER (user_id % 3 = 0 AND user_id IN (SELECT user_id FROM events WHERE event_id % 7 > 2)) AS in_af FROM events GROUP BY ALL)"""
+  count(*) FILTER (user_id % 3 = 0 AND user_id % 20 >= 3 AND user_id IN (SELECT user_id FROM events WHERE event_id % 7 > 2)) AS in_af FROM events GROUP BY ALL)"""
 
 
 @query(f"WITH {_SEEN} SELECT * FROM seen")
@@ -348,9 +348,9 @@ def settings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT l_orderkey, sum(l_suppkey)::BIGINT AS pay, sum(l_partkey)::BIGINT AS prof FROM lineitem GROUP BY 1),
   g AS (SELECT *, CASE l_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN pay + prof ELSE pay + prof + 7 END AS gross FROM s)
-  SELECT l_orderkey, CASE WHEN gross <> 0 THEN gross = pay + prof END AS ok, CASE WHEN gross <> 0 THEN gross - pay - prof ELSE 0 END::BIGINT AS diff FROM g""")
+  SELECT l_orderkey, CASE WHEN gross = 0 THEN 'unknown' WHEN gross = pay + prof THEN 'true' ELSE 'false' END AS ok, CASE WHEN gross <> 0 THEN gross - pay - prof ELSE 0 END::BIGINT AS diff FROM g""")
 def arith_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return val.annotate_sums(_sums(spark, sf_dir)).select("l_orderkey", F.col("arith_ok").alias("ok"), F.col("arith_diff").alias("diff"))
+    return val.annotate_sums(_sums(spark, sf_dir)).select("l_orderkey", F.coalesce(F.col("arith_ok").cast("string"), F.lit("unknown")).alias("ok"), F.col("arith_diff").alias("diff"))
 
 
 def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,9 +373,9 @@ _SCANNED = """scanned AS (SELECT o_custkey % 32 AS batch_id, l_orderkey AS row_o
   FROM (SELECT DISTINCT l_orderkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey)"""
 
 
-@query(f"WITH {_SCANNED} SELECT batch_id, row_ord, CASE WHEN name_ok THEN name ELSE '' END AS name, name_ok AND sum_ok AS good, CASE WHEN name_ok AND sum_ok THEN NULL ELSE 2 * (NOT name_ok)::INT + (NOT sum_ok)::INT END AS n_reasons FROM scanned")
+@query(f"WITH {_SCANNED} SELECT batch_id, row_ord, CASE WHEN name_ok THEN name ELSE '' END AS name, name_ok AND sum_ok AS good, CASE WHEN name_ok AND sum_ok THEN 0 ELSE 2 * (NOT name_ok)::INT + (NOT sum_ok)::INT END AS n_reasons FROM scanned")
 def quarantine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return val.validate(*_scanned(spark, sf_dir)).select("batch_id", "row_ord", "name", "good", F.when(F.col("reasons").isNotNull(), F.size("reasons")).alias("n_reasons"))
+    return val.validate(*_scanned(spark, sf_dir)).select("batch_id", "row_ord", "name", "good", F.when(F.col("reasons").isNotNull(), F.size("reasons")).otherwise(0).alias("n_reasons"))
 
 
 @query(f"WITH {_SCANNED} SELECT batch_id, row_ord, CASE WHEN name_ok AND sum_ok THEN name ELSE 'fixed' END AS name FROM scanned WHERE (name_ok AND sum_ok) OR row_ord % 5 <> 0")
@@ -453,13 +453,13 @@ def text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reg.has_text_layer(pages)
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN NULL ELSE l_partkey + 1000 END AS pay FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN -1 ELSE l_partkey + 1000 END AS pay FROM lineitem")
 def scanned_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of scanned rows: grade points, where there are any, before pay."""
     pay = (F.col("l_partkey") + 1000).cast("bigint")
     few = F.array(F.lit(90).cast("bigint"), F.lit(80).cast("bigint"))
     numbers = F.when(F.col("l_quantity") < 10, few).otherwise(F.array(F.lit(245).cast("bigint"), F.col("l_linenumber").cast("bigint"), pay, F.lit(80).cast("bigint")))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.get(text.from_first_thousand(numbers), F.lit(0)).alias("pay"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.get(text.from_first_thousand(numbers), F.lit(0)), F.lit(-1)).alias("pay"))
 
 
 def queries() -> dict[str, Query]:
