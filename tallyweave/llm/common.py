@@ -9,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.functions.lineage import checkpointed
+
+__all__ = ["ascii_lower", "checkpointed", "documents", "id_and_text", "slices"]
+
 #: The ASCII letters that the contracts lower-case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,16 +44,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
             size += n
         if start < batch.num_rows:
             yield batch.slice(start)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster shares; a folder is set here only where none is."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
