@@ -32,8 +32,8 @@ RULES = (
     Rule("access", 1, "AKIA[A-Z0-9]+", 20),
     Rule("hex", 1, "[0-9a-f]{24,}"),  # the same matches as a run of any length that is dropped under 24
     Rule("pem", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("forge", 1, "(?<![A-Za-z0-9_])gh[oprsu]_[A-Za-z0-9]{36,}"),
-    Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("forge", 1, "gh[oprsu]_[A-Za-z0-9]{36,}"),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 BASE = ("assign", "access", "hex")
 
