@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyweave.llm import licenses, secrets
+from tallyweave.llm import decontam, licenses, secrets
 from tallyweave.llm.common import LOWER, UPPER
 
 SUBSTRINGS = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
@@ -56,3 +56,33 @@ def diagonal_licenses() -> str:
 SELECT doc_id, len(words)::BIGINT AS n_words, count(*) FILTER (base_hit) AS n_base, min(start) FILTER (base_hit) AS first_word, max(start) FILTER (base_hit) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base_hit), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found), '') AS labels, coalesce(max(share) FILTER (found), 0.0)::DOUBLE AS score
 FROM docs LEFT JOIN ok USING (doc_id) GROUP BY doc_id, words"""
+
+
+def template_decontamination() -> str:
+    words = "list_filter(string_split_regex(coalesce(text, ''), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    lists = {k: ", ".join(f"'{x}'" for x in v) for k, v in (("number", decontam.NUMBERS), ("unit", decontam.UNITS))}
+
+    def kind(word: str, names: bool = True) -> str:
+        name = f"WHEN regexp_matches({word}, '^\\p{{Lu}}\\p{{Ll}}+$') THEN '<name>' " if names else ""
+        return f"CASE WHEN regexp_matches({word}, '^\\p{{N}}') THEN '<number>' {name}WHEN lower({word}) IN ({lists['number']}) THEN '<number>' WHEN lower({word}) IN ({lists['unit']}) THEN '<unit>' ELSE lower({word}) END"
+
+    def windows(source: str, id_: str, names: bool) -> str:
+        return f"""SELECT {id_}, pos, string_agg(kind, ' ') OVER h AS g, list(word) OVER h AS w, count(*) OVER h AS n, count(*) FILTER (NOT starts_with(kind, '<')) OVER h AS plain
+    FROM (SELECT {id_}, pos, word, {kind("word", names)} AS kind FROM {source}) WINDOW h AS (PARTITION BY {id_} ORDER BY pos ROWS BETWEEN CURRENT ROW AND {decontam.WINDOW - 1} FOLLOWING)"""
+
+    full = f"n = {decontam.WINDOW} AND plain >= {decontam.PLAIN}"
+    return f"""WITH d AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM (SELECT doc_id, {words} AS words FROM documents)),
+  b AS (SELECT item_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM (SELECT item_id, {words} AS words FROM benchmark)),
+  ours AS (SELECT * FROM ({windows("d", "doc_id", True)}) WHERE {full}),
+  named AS (SELECT * FROM ({windows("b", "item_id", True)}) WHERE {full}),
+  unnamed AS (SELECT * FROM ({windows("b", "item_id", False)}) WHERE {full}),
+  theirs AS (SELECT item_id, pos AS item_pos, g, w AS item_w FROM named UNION SELECT item_id, pos, g, w FROM unnamed),
+  sizes AS (SELECT item_id, coalesce(n, m) AS item_windows FROM (SELECT item_id, count(*) AS m FROM unnamed GROUP BY item_id) FULL JOIN (SELECT item_id, count(*) AS n FROM named GROUP BY item_id) USING (item_id)),
+  hits AS (SELECT DISTINCT doc_id, item_id, pos, item_pos, pos - item_pos AS off, w, item_w FROM ours JOIN theirs USING (g)),
+  runs AS (SELECT doc_id, item_id, off, max(n) AS longest_run FROM (SELECT doc_id, item_id, off, k, count(*) AS n FROM (SELECT doc_id, item_id, off, item_pos - row_number() OVER (PARTITION BY doc_id, item_id, off ORDER BY item_pos) AS k FROM hits) GROUP BY ALL) GROUP BY ALL),
+  slots AS (SELECT doc_id, item_id, off, count(*) AS slots, count(DISTINCT a) AS va, count(DISTINCT b) AS vb FROM (SELECT DISTINCT doc_id, item_id, off, a, b FROM (SELECT doc_id, item_id, off, unnest(item_w) AS a, unnest(w) AS b FROM hits) WHERE starts_with({kind("a")}, '<')) GROUP BY ALL),
+  aligned AS (SELECT doc_id, item_id, off, count(*) AS n_windows, min(pos) AS start_word FROM hits GROUP BY ALL),
+  leaks AS (SELECT *, coalesce(slots, 0) AS n_slots, CASE WHEN slots IS NULL THEN 1.0::DOUBLE ELSE least(va, vb) / slots END AS consistent FROM aligned JOIN runs USING (doc_id, item_id, off) LEFT JOIN slots USING (doc_id, item_id, off) JOIN sizes USING (item_id))
+SELECT doc_id, item_id, n_windows, item_windows, longest_run, n_slots AS slots, consistent::DOUBLE AS consistent, start_word::BIGINT AS start_word
+FROM leaks WHERE consistent >= {decontam.CONSISTENT} AND (n_windows >= {decontam.LEAST} * item_windows OR longest_run >= {decontam.RUN})
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, longest_run DESC, start_word, consistent DESC, item_windows DESC, n_slots DESC) = 1"""

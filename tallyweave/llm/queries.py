@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from tallyweave.llm import oracles
 
-    return {"op2_diagonal_licenses": oracles.diagonal_licenses(), "op3_blob_ledger": oracles.blob_ledger(), "op6_debruijn_dedup": oracles.SUBSTRINGS}
+    return {"op1_template_decontamination": oracles.template_decontamination(), "op2_diagonal_licenses": oracles.diagonal_licenses(), "op3_blob_ledger": oracles.blob_ledger(), "op6_debruijn_dedup": oracles.SUBSTRINGS}
