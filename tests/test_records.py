@@ -316,3 +316,13 @@ def test_driver_sql(spark, duck, name):
     plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v == int(v) else v
     lines = lambda f: sorted(str([plain(v) for v in r]) for r in f[columns].astype(object).itertuples(index=False))
     assert lines(got) == lines(want)
+
+
+def test_scan_messages(spark):
+    from tallyweave.sources import scans
+
+    raw = spark.createDataFrame([('{"job_id":"j","people":[{"姓名":"甲","薪俸":10,"應發金額":"10","身分證有效":true,"欄位信心":{"a":0.9,"b":0.4}},{"姓名":"乙"}]}',), ('{"job_id":"k","error":"' + "x" * 400 + '"}',)], "value string")
+    assert [(r.name, r.pay, r.id_valid, r.confidence) for r in scans.people(raw).orderBy("row_ord").collect()] == [("甲", "10", True, 0.4), ("乙", None, False, None)]
+    assert [(r.job_id, r.status, len(r.error or "")) for r in scans.messages(raw).orderBy("job_id").collect()] == [("j", "done", 0), ("k", "failed", 300)]
+    assert [tuple(r) for r in scans.scan_summary(scans.people(raw)).collect()] == [("j", 2, 1)]
+    assert len(spark.range(1).select(scans.job_id()).first()[0]) == 12
