@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,22 +18,46 @@ from tallyweave.llm.common import id_and_text, slices
 WINDOW, ANCHOR = 13, 5
 #: Word hashes that a worker remembers; beyond it starts anew.
 REMEMBERED = 500_000
-HASHES: dict[bytes, int] = {}
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+class Hashes(dict):
+    """XXH64 of each word, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
+HASHES = Hashes()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word, equal on all machines."""
-    import xxhash
-
     if len(HASHES) > REMEMBERED:
         HASHES.clear()
-    for w in set(words).difference(HASHES):
-        HASHES[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
+class Run:
+    """The words of several texts, end to end: their hashes, and the places where a window lies within one text."""
+
+    def __init__(self, texts: list[bytes], window: int, anchor: int):
+        split = [t.split() for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        self.hashes = word_hashes([w for words in split for w in words])
+        self.begins = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        n = max(0, len(self.hashes) - window + 1)
+        self.at = np.flatnonzero(owner[:n] == owner[window - 1 :]) if n else np.zeros(0, np.int64)
+        self.owner = owner[self.at]
+        self.anchors = window_anchors(self.hashes, window, anchor)[self.at]
+        self.ends = (self.begins + sizes)[self.owner] if n else self.at
+
+
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each run of n words."""
     out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
@@ -128,40 +153,57 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     """
     order = F.coalesce("doc_id", F.lit(2**63 - 1))
     texts = id_and_text(df, id_col, text_col)
-    texts = texts.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.col("text").cast("binary").alias("text"))
+    texts = texts.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), F.lit(b"")).alias("sha"), F.col("text").cast("binary").alias("text"))
     firsts = texts.groupBy("sha").agg(F.min(order).alias("first"))
     # Ids and digests alone: which rows are the first of their text, by row.
     roles = texts.select("key", "sha", order.alias("ord")).distinct().join(firsts, "sha").select(F.col("key").alias("role_key"), (F.col("ord") > F.col("first")).alias("copy")).hint("shuffle_hash")
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([compress(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "key", "text"])
+
     # Every use below takes the same three columns, so that all share one shuffle of the texts.
-    rows = texts.drop("sha").join(roles, F.col("key") == F.col("role_key")).drop("role_key")
+    rows = texts.select("doc_id", "key", "text").mapInArrow(shrink, "doc_id long, key long, text binary").join(roles, F.col("key") == F.col("role_key")).drop("role_key")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, out = [], []
-            for key, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = np.unique(window_anchors(word_hashes(text.split()), window, anchor))
-                keys.append(np.full(len(found), key, np.int64))
-                out.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(keys))], names=["anchor", "key"])
+            run = Run(texts_of(batch), window, anchor)
+            keys = batch.column(1).to_numpy()[run.owner]
+            # Neighbouring windows mostly share an anchor; a row for each change is enough.
+            fresh = np.r_[True, (run.anchors[1:] != run.anchors[:-1]) | (run.owner[1:] != run.owner[:-1])][: len(keys)]
+            yield pa.RecordBatch.from_arrays([pa.array(run.anchors[fresh].view(np.int64)), pa.array(keys[fresh])], names=["anchor", "key"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            columns = [[] for _ in range(5)]
-            for id_, key, text, shared in zip(*(batch.column(k).to_pylist() for k in range(3)), (x.values.to_numpy() for x in batch.column(3)), strict=True):
-                hashes = word_hashes(text.split())
-                at = np.flatnonzero(np.isin(window_anchors(hashes, window, anchor).view(np.int64), shared))
-                sums = gram_hashes(hashes, window)
-                sides = np.r_[np.uint64(0), hashes, np.uint64(0)] >> np.uint64(48)
-                around = (sides[at] << np.uint64(16) | sides[at + window + 1]).astype(np.uint32).view(np.int32)
-                n = len(at)
-                for c, x in zip(columns, (sums[at].view(np.int64), np.full(n, 2**63 - 1 if id_ is None else id_), np.full(n, key), at.astype(np.int32), around), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["edge", "ord", "key", "pos", "around"])
+            run = Run(texts_of(batch), window, anchor)
+            shared = batch.column(3)
+            sizes = np.asarray(pc.list_value_length(shared).to_numpy(zero_copy_only=False), np.int64)
+            mine = np.repeat(np.arange(batch.num_rows), sizes)
+            salt = lambda owner, x: (x ^ (owner.astype(np.uint64) * MIX)) * MIX
+            known = np.sort(salt(mine, shared.flatten().to_numpy().view(np.uint64)))
+            asked = salt(run.owner, run.anchors)
+            place = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
+            hit = known[place] == asked if len(known) else np.zeros(len(asked), bool)
+            at, owner, ends = run.at[hit], run.owner[hit], run.ends[hit]
+            sums = gram_hashes(run.hashes, window)[at] if len(at) else np.zeros(0, np.uint64)
+            # A text's first place of an edge stands for all; the others are found again in the end.
+            _, first = np.unique(salt(owner, sums), return_index=True)
+            first.sort()
+            at, owner, ends, sums = at[first], owner[first], ends[first], sums[first]
+            top = run.hashes >> np.uint64(48)
+            before = np.where(at > run.begins[owner], top[np.maximum(at - 1, 0)], 0) if len(at) else at
+            behind = np.where(at + window < ends, top[np.minimum(at + window, len(top) - 1)], 0) if len(at) else at
+            around = (before.astype(np.int64) << 16 | behind.astype(np.int64)).astype(np.uint32).view(np.int32)
+            ids = pc.fill_null(batch.column(0), 2**63 - 1).to_numpy()
+            arrays = [sums.view(np.int64), ids[owner], batch.column(1).to_numpy()[owner], (at - run.begins[owner]).astype(np.int32), around]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["edge", "ord", "key", "pos", "around"])
 
     def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = [[], [], [], []]
-            for key, text, spans in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
+            for key, text, spans in zip(batch.column(1).to_pylist(), texts_of(batch), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
                 for s in spans:
                     for c, x in zip(out, (key, s["src_start"], s["n"], span_digest(words, s["src_start"], s["n"])), strict=True):
@@ -171,16 +213,20 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = [[], [], [], []]
-            for copy, text, spans in zip(*(batch.column(k).to_pylist() for k in (3, 2, 4)), strict=True):
+            for copy, text, spans in zip(batch.column(3).to_pylist(), texts_of(batch), batch.column(4).to_pylist(), strict=True):
                 words = text.split()
                 total, kept = len(words), words
                 if copy and total >= window:
                     kept = []
                 elif spans:
-                    stays = np.ones(total, bool)
+                    covered = np.zeros(total - window + 1, bool)
                     for s in spans:
                         if s["digest"] == span_digest(words, s["start"], s["n"]):
-                            stays[s["start"] : s["start"] + s["n"]] = False
+                            covered[s["start"] : s["start"] + s["n"] - window + 1] = True
+                    sums = gram_hashes(word_hashes(words), window)
+                    at = np.flatnonzero(np.isin(sums, sums[covered]))
+                    steps = np.bincount(at, minlength=total + 1) - np.bincount(at + window, minlength=total + 1)
+                    stays = np.cumsum(steps)[:total] == 0
                     kept = [w for w, stay in zip(words, stays.tolist(), strict=True) if stay]
                 joined = b" ".join(kept)
                 for c, x in zip(out, (total, total - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if with_text else None), strict=True):
@@ -201,5 +247,13 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     return final.mapInArrow(result, SCHEMA + (", kept_text string" if with_text else ""))
 
 
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    """The texts, which go through the shuffle compressed."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(x) for x in batch.column(2).to_pylist()]
+
+
 def span_digest(words: list[bytes], start: int, n: int) -> bytes:
     return hashlib.blake2b(b" ".join(words[start : start + n]), digest_size=16).digest()
