@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import id_and_text
+from tallyweave.llm.common import id_and_text, slices
 
 #: Bytes of text in a batch, counts that are discounted, and the most parts into which one word's successors are dealt.
 BATCH, DISCOUNTED = 6 << 20, 5
@@ -29,15 +29,26 @@ STATS = "bucket int, firsts binary, mass binary, lower binary"
 
 
 def packed(x: np.ndarray) -> bytes:
+    """An array as compressed planes of bytes: the high bytes of small numbers take next to nothing."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
 
 
 def unpacked(x: bytes, kind: str) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.decompress(x), kind)
+    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -51,17 +62,16 @@ class Batch:
 
     def __init__(self, rows: pa.Table):
         import xxhash
+        import zstandard
 
         ids, held, texts = (rows.column(c).to_pylist() for c in ("doc_id", "held", "text"))
+        expand = zstandard.ZstdDecompressor().decompress
+        texts = [expand(x) for x in texts]
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         self.ids, self.held = [ids[i] for i in order], np.array([held[i] for i in order], bool)
-        numbers: dict[bytes, int] = {}
-        local, sizes = [], []
+        numbers, local, sizes = Numbers(), [], []
         for i in order:
             words = texts[i].lower().split()  # of bytes: A-Z, and \x20 and \x09-\x0D, alone
-            for w in words:
-                if w not in numbers:
-                    numbers[w] = len(numbers)
             local.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
             sizes.append(len(words) + 1)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
@@ -170,19 +180,26 @@ def _word_stats(rows: pa.Table) -> pa.Table:
     return stat_row(totals[words != START])
 
 
-def _word_replies(rows: pa.Table) -> pa.Table:
+def _word_replies(rows: pa.Table, n_buckets: int) -> pa.Table:
+    """To each batch the counts of its words and their numbers among all words: small ones for frequent words, so that pairs of them take few bytes."""
     parts, _, totals, place = _merged(rows)
+    rank = np.empty(len(totals), np.uint64)
+    rank[np.argsort(-totals, kind="stable")] = np.arange(len(totals), dtype=np.uint64)
+    buckets = rows.column("bucket").to_pylist()
+    number = rank * np.uint64(n_buckets) + np.uint64(buckets[0])
     cuts = np.cumsum([len(p) for p in parts])[:-1]
-    return table(REPLY, [(b, 0, k, packed(x.astype(np.uint64)), b"") for b, k, x in zip(rows.column("batch").to_pylist(), rows.column("bucket").to_pylist(), np.split(totals[place], cuts), strict=True)])
+    each = zip(rows.column("batch").to_pylist(), buckets, np.split(totals[place], cuts), np.split(number[place], cuts), strict=True)
+    return table(REPLY, [(b, 0, k, packed(x.astype(np.uint64)), packed(y)) for b, k, x, y in each])
 
 
-def _known_counts(batch: Batch, replies: pa.Table, n_buckets: int, kind: int = 0, what: str = "u8") -> np.ndarray:
+def _answers(batch: Batch, replies: pa.Table, n_buckets: int, kind: int, column: str, what: str) -> np.ndarray:
+    """What the word tables' replies of a kind say about each of the batch's words."""
     out = np.zeros(len(batch.words), what)
     at = dict(by_bucket(word_buckets(batch.words, n_buckets)))
-    for k, bucket, data in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "one")), strict=True):
+    for k, bucket, data in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", column)), strict=True):
         if k == kind:
             out[at[bucket]] = unpacked(data, what)
-    return out.astype(np.int64) if what == "u8" else out
+    return out
 
 
 def _model(rows: pa.Table, prefix: str = "") -> tuple[int, int, int, np.ndarray]:
@@ -192,12 +209,13 @@ def _model(rows: pa.Table, prefix: str = "") -> tuple[int, int, int, np.ndarray]
 
 def _pairs(rows: pa.Table, replies: pa.Table, n_buckets: int) -> pa.Table:
     batch, number = Batch(rows), rows.column("batch")[0].as_py()
-    counts, total = _known_counts(batch, replies, n_buckets), _model(replies)[0]
+    counts, total = _answers(batch, replies, n_buckets, 0, "one", "u8").astype(np.int64), _model(replies)[0]
+    numbers = _answers(batch, replies, n_buckets, 0, "two", "u8")
     first, second, trained, _ = batch.pairs()
     out = []
     for b, i in by_bucket(pair_buckets(batch.words[first], batch.words[second], counts[first], total, n_buckets)):
         firsts, n = np.unique(first[i], return_counts=True)
-        out.append((b, number, batch.words[firsts].tobytes(), packed(n.astype(np.uint32)), batch.words[second[i]].tobytes(), packed(trained[i].astype(np.uint32)), packed(counts[second[i]].astype(np.uint64))))
+        out.append((b, number, batch.words[firsts].tobytes(), packed(n.astype(np.uint32)), packed(numbers[second[i]]), packed(trained[i].astype(np.uint32)), packed(counts[second[i]].astype(np.uint64))))
     return table(PAIRS, out)
 
 
@@ -205,7 +223,7 @@ def _merged_pairs(rows: pa.Table):
     """(first words, totals of the distinct pairs, their second words' counts, each entry's place among them, entries by batch)."""
     sizes = [unpacked(x, np.uint32) for x in rows.column("n_seconds").to_pylist()]
     firsts = np.concatenate([np.repeat(np.frombuffer(x, np.uint64), n) for x, n in zip(rows.column("firsts").to_pylist(), sizes, strict=True)])
-    seconds = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("seconds").to_pylist()])
+    seconds = np.concatenate([unpacked(x, np.uint64) for x in rows.column("seconds").to_pylist()])
     counts = np.concatenate([unpacked(x, np.uint32) for x in rows.column("counts").to_pylist()]).astype(np.int64)
     lower = np.concatenate([unpacked(x, np.uint64) for x in rows.column("second_counts").to_pylist()]).astype(np.int64)
     _, one, place = np.unique(mixed(mixed(firsts, np.uint64(5)), seconds), return_index=True, return_inverse=True)
@@ -229,7 +247,7 @@ def _history_stats(rows: pa.Table, n_buckets: int) -> pa.Table:
     words, place = np.unique(firsts[seen], return_inverse=True)
     mass = np.bincount(place, discounted(totals[seen], d), len(words))
     share = np.bincount(place, uni.p(lower[seen]), len(words))
-    return table(STATS, [(b, words[i].tobytes(), mass[i].tobytes(), share[i].tobytes()) for b, i in by_bucket(word_buckets(words, n_buckets))])
+    return table(STATS, [(b, words[i].tobytes(), packed(mass[i]), packed(share[i])) for b, i in by_bucket(word_buckets(words, n_buckets))])
 
 
 def _history_replies(rows: pa.Table, stats: pa.Table) -> pa.Table:
@@ -238,7 +256,7 @@ def _history_replies(rows: pa.Table, stats: pa.Table) -> pa.Table:
         return table(REPLY, [])
     firsts = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in stats.column("firsts").to_pylist()]])
     known, place = np.unique(firsts, return_inverse=True)
-    sums = [np.bincount(place, np.concatenate([np.zeros(0), *[np.frombuffer(x, np.float64) for x in stats.column(c).to_pylist()]]), len(known)) for c in ("mass", "lower")]
+    sums = [np.bincount(place, np.concatenate([np.zeros(0), *[unpacked(x, np.float64) for x in stats.column(c).to_pylist()]]), len(known)) for c in ("mass", "lower")]
     out = []
     for b, k, data in zip(*(rows.column(c).to_pylist() for c in ("batch", "bucket", "words")), strict=True):
         words = np.frombuffer(data, np.uint64)
@@ -252,10 +270,8 @@ def _scores(rows: pa.Table, replies: pa.Table, n_buckets: int) -> pa.Table:
     batch = Batch(rows)
     total, types, rest, n = _model(replies)
     uni, d = Unigrams(total, n, rest), discounts(_model(replies, "pair_")[3])
-    counts = _known_counts(batch, replies, n_buckets)
-    mass = _known_counts(batch, replies, n_buckets, 2, "f8")
-    two = replies.drop_columns(["one"]).rename_columns(["one" if c == "two" else c for c in replies.drop_columns(["one"]).column_names])
-    share = _known_counts(batch, two, n_buckets, 2, "f8")
+    counts = _answers(batch, replies, n_buckets, 0, "one", "u8").astype(np.int64)
+    mass, share = (_answers(batch, replies, n_buckets, 2, c, "f8") for c in ("one", "two"))
     first, second, _, place = batch.pairs()
     found = np.zeros(len(first), np.int64)
     at = dict(by_bucket(pair_buckets(batch.words[first], batch.words[second], counts[first], total, n_buckets)))
@@ -296,12 +312,20 @@ def katz_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     n = 1 + size // batch_bytes
     texts = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("batch"), "doc_id", "held", F.col("text").cast("binary").alias("text"))
 
+    def shrink(batches):
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([compress(x) for x in batch.column(3).to_pylist()], pa.binary())], names=["batch", "doc_id", "held", "text"])
+
+    texts = texts.mapInArrow(shrink, "batch int, doc_id long, held boolean, text binary")
     batches = lambda: texts.groupBy("batch")
     words = batches().applyInArrow(lambda t: _words(t, n), WORDS).repartition("bucket")
     sums = lambda prefix: [F.sum(c).alias(prefix + c) for c in ("tokens", "types", "rest", *STAT_COLUMNS)]
     word_stats = words.groupBy("bucket").applyInArrow(_word_stats, STAT_SCHEMA).agg(*sums(""))
     # One row of totals joins all rows.
-    counted = words.groupBy("bucket").applyInArrow(_word_replies, REPLY).join(F.broadcast(word_stats))
+    counted = words.groupBy("bucket").applyInArrow(lambda t: _word_replies(t, n), REPLY).join(F.broadcast(word_stats))
     pairs = batches().cogroup(counted.groupBy("batch")).applyInArrow(lambda t, r: _pairs(t, r, n), PAIRS).repartition("bucket")
     pair_stats = pairs.groupBy("bucket").applyInArrow(_pair_stats, STAT_SCHEMA).agg(*sums("pair_"))
     found = pairs.groupBy("bucket").applyInArrow(_pair_replies, REPLY)
