@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from tallyweave.llm.common import id_and_text, slices
 
 #: Pieces whose encodings, and token pairs whose verdicts, a task remembers; beyond it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 #: Encodings by vocabulary and pattern; they last from task to task of one worker.
 KNOWN: dict[tuple[str, str], dict[str, bytes]] = {}
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
