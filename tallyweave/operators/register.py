@@ -56,9 +56,9 @@ def vertical(rows: DataFrame) -> DataFrame:
     heads = rows.where("r = 0 and c > 0").select("batch_id", "tbl", "c", parts.alias("p")).where((F.size("p") > 0) & is_number_cell(F.get("p", F.lit(0))))
     heads = heads.select("batch_id", "tbl", "c", F.get("p", F.lit(0)).try_cast("bigint").alias("seq"), F.coalesce(F.get("p", F.lit(1)), F.lit("")).alias("name"), F.coalesce(F.get("p", F.lit(2)), F.lit("")).alias("title"))
     labels = rows.where("r > 0 and c = 0").select("batch_id", "tbl", "r", _alias(strip(F.coalesce("text", F.lit("")))).alias("field")).where("field is not null")
-    amounts = rows.where("r > 0 and c > 0").join(labels, ["batch_id", "tbl", "r"]).join(heads.select("batch_id", "tbl", "c", "seq"), ["batch_id", "tbl", "c"])
+    amounts = rows.where("r > 0 and c > 0").select("batch_id", "tbl", "r", "c", money(F.col("text")).alias("amount")).join(labels, ["batch_id", "tbl", "r"]).join(heads.select("batch_id", "tbl", "c", "seq"), ["batch_id", "tbl", "c"])
     place = F.struct("tbl", "c", "r")
-    values = amounts.groupBy("batch_id", "seq").agg(*[F.max_by(F.when(F.col("field") == f, money(F.col("text"))), F.when(F.col("field") == f, place)).alias(f) for f in FIELDS])
+    values = amounts.groupBy("batch_id", "seq").agg(*[F.max_by("amount", F.when(F.col("field") == f, place)).alias(f) for f in FIELDS])
     at = F.struct("tbl", "c")
     people = heads.groupBy("batch_id", "seq").agg(F.min_by("name", at).alias("name"), F.min_by("title", at).alias("title"))
     return _finished(people.join(values, ["batch_id", "seq"], "left").withColumn("row_ord", F.col("seq")))
@@ -74,8 +74,8 @@ def horizontal(rows: DataFrame) -> DataFrame:
     rows = rows.join(head, ["batch_id", "tbl"])
     role = F.when(text.contains("姓名"), "name").when(text.contains("職稱"), "title").otherwise(_alias(text))
     roles = rows.where("r = head").select("batch_id", "tbl", "c", role.alias("role")).where("role is not null").groupBy("batch_id", "tbl", "role").agg(F.max("c").alias("c"))
-    body = rows.where("r > head").select("batch_id", "tbl", "r", "c", text.alias("cell")).join(roles, ["batch_id", "tbl", "c"])
-    value = lambda f: F.max(F.when(F.col("role") == f, money(F.col("cell")))).alias(f)
+    body = rows.where("r > head").select("batch_id", "tbl", "r", "c", text.alias("cell"), money(F.col("text")).alias("amount")).join(roles, ["batch_id", "tbl", "c"])
+    value = lambda f: F.max(F.when(F.col("role") == f, F.col("amount"))).alias(f)
     people = body.groupBy("batch_id", "tbl", "r").agg(F.max(F.when(F.col("role") == "name", F.col("cell"))).alias("name"), F.coalesce(F.max(F.when(F.col("role") == "title", F.col("cell"))), F.lit("")).alias("title"), *[value(f) for f in FIELDS])
     people = people.where((F.length("name") >= 2) & ~has_any(F.col("name"), rules.SKIP_NAMES))
     first = F.row_number().over(W.partitionBy("batch_id", "name").orderBy("tbl", "r"))
