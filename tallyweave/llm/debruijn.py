@@ -16,6 +16,8 @@ from tallyweave.llm.common import id_and_text, slices
 
 #: Words of a window (an edge of the graph), and of an anchor, the gram of least hash in a window.
 WINDOW, ANCHOR = 13, 5
+#: Bytes of texts, compressed but for the first use, that a task handles at once.
+SLICE = 1 << 20
 #: Word hashes that a worker remembers; beyond it starts anew.
 REMEMBERED = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -161,14 +163,14 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([compress(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "key", "text"])
 
     # Every use below takes the same three columns, so that all share one shuffle of the texts.
     rows = texts.select("doc_id", "key", "text").mapInArrow(shrink, "doc_id long, key long, text binary").join(roles, F.col("key") == F.col("role_key")).drop("role_key")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE):
             run = Run(texts_of(batch), window, anchor)
             keys = batch.column(1).to_numpy()[run.owner]
             # Neighbouring windows mostly share an anchor; a row for each change is enough.
@@ -176,7 +178,7 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
             yield pa.RecordBatch.from_arrays([pa.array(run.anchors[fresh].view(np.int64)), pa.array(keys[fresh])], names=["anchor", "key"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE):
             run = Run(texts_of(batch), window, anchor)
             shared = batch.column(3)
             sizes = np.asarray(pc.list_value_length(shared).to_numpy(zero_copy_only=False), np.int64)
@@ -201,7 +203,7 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["edge", "ord", "key", "pos", "around"])
 
     def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE):
             out = [[], [], [], []]
             for key, text, spans in zip(batch.column(1).to_pylist(), texts_of(batch), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
@@ -211,7 +213,7 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["src_key", "src_start", "n", "digest"])
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE):
             out = [[], [], [], []]
             for copy, text, spans in zip(batch.column(3).to_pylist(), texts_of(batch), batch.column(4).to_pylist(), strict=True):
                 words = text.split()
