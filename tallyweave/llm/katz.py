@@ -251,19 +251,19 @@ def _history_stats(rows: pa.Table, n_buckets: int) -> pa.Table:
 
 
 def _history_replies(rows: pa.Table, stats: pa.Table) -> pa.Table:
-    """To each batch the summed mass and lower share of its words as histories."""
+    """To each batch its words' backoff weights as histories; negative where no successor is discounted, so that one count is set apart."""
     if not rows.num_rows:
         return table(REPLY, [])
+    parts, words, totals, place = _merged(rows)
     firsts = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in stats.column("firsts").to_pylist()]])
-    known, place = np.unique(firsts, return_inverse=True)
-    sums = [np.bincount(place, np.concatenate([np.zeros(0), *[unpacked(x, np.float64) for x in stats.column(c).to_pylist()]]), len(known)) for c in ("mass", "lower")]
-    out = []
-    for b, k, data in zip(*(rows.column(c).to_pylist() for c in ("batch", "bucket", "words")), strict=True):
-        words = np.frombuffer(data, np.uint64)
-        at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-        hit = known[at] == words if len(known) else np.zeros(len(words), bool)
-        out.append((b, 2, k, *[packed(np.where(hit, s[at] if len(known) else 0.0, 0.0)) for s in sums]))
-    return table(REPLY, out)
+    at = np.searchsorted(words, firsts)
+    mass, share = (np.bincount(at, np.concatenate([np.zeros(0), *[unpacked(x, np.float64) for x in stats.column(k).to_pylist()]]), len(words)) for k in ("mass", "lower"))
+    c = np.maximum(totals, 1).astype(float)
+    bare = (totals > 0) & (mass >= c - 1e-9 * c)
+    weight = np.where((totals > 0) & (mass > 0), (1 - mass / np.where(bare, c + 1, c)) / (1 - share), 1.0)
+    signed = np.where(bare, -weight, weight)[place]
+    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    return table(REPLY, [(b, 2, k, packed(x), b"") for b, k, x in zip(rows.column("batch").to_pylist(), rows.column("bucket").to_pylist(), np.split(signed, cuts), strict=True)])
 
 
 def _scores(rows: pa.Table, replies: pa.Table, n_buckets: int) -> pa.Table:
@@ -271,7 +271,7 @@ def _scores(rows: pa.Table, replies: pa.Table, n_buckets: int) -> pa.Table:
     total, types, rest, n = _model(replies)
     uni, d = Unigrams(total, n, rest), discounts(_model(replies, "pair_")[3])
     counts = _answers(batch, replies, n_buckets, 0, "one", "u8").astype(np.int64)
-    mass, share = (_answers(batch, replies, n_buckets, 2, c, "f8") for c in ("one", "two"))
+    signed = _answers(batch, replies, n_buckets, 2, "one", "f8")
     first, second, _, place = batch.pairs()
     found = np.zeros(len(first), np.int64)
     at = dict(by_bucket(pair_buckets(batch.words[first], batch.words[second], counts[first], total, n_buckets)))
@@ -279,13 +279,9 @@ def _scores(rows: pa.Table, replies: pa.Table, n_buckets: int) -> pa.Table:
         if k == 1:
             found[at[bucket]] = unpacked(data, np.uint64)
     c = counts.astype(float)
+    weight, whole = np.abs(signed), np.where(signed < 0, c + 1, c)
+    lower = uni.p(counts)
     with np.errstate(divide="ignore", invalid="ignore"):
-        # A history none of whose successors is discounted sets one count apart.
-        bare = (c > 0) & (mass >= c - 1e-9 * np.maximum(1, c))
-        whole = np.where(bare, c + 1, c)
-        left = np.where(c > 0, 1 - mass / whole, 1.0)
-        weight = np.where((c > 0) & (mass > 0), left / (1 - share), 1.0)
-        lower = uni.p(counts)
         p = np.where(found > 0, discounted(found, d) / whole[first], weight[first] * lower[second])
         logs = np.log10(p)[place]
         base = np.log10((c + 0.5) / (total + 0.5 * (types + 1)))[batch.tokens]
@@ -331,5 +327,5 @@ def katz_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     found = pairs.groupBy("bucket").applyInArrow(_pair_replies, REPLY)
     history = pairs.join(F.broadcast(word_stats)).join(F.broadcast(pair_stats)).groupBy("bucket").applyInArrow(lambda t: _history_stats(t, n), STATS)
     weights = words.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(_history_replies, REPLY)
-    replies = counted.select("batch", "kind", "bucket", "one", "two").union(found).union(weights).join(F.broadcast(word_stats)).join(F.broadcast(pair_stats))
+    replies = counted.select("batch", "kind", "bucket", "one", F.lit(b"").alias("two")).union(found).union(weights).join(F.broadcast(word_stats)).join(F.broadcast(pair_stats))
     return batches().cogroup(replies.groupBy("batch")).applyInArrow(lambda t, r: _scores(t, r, n), SCHEMA)
