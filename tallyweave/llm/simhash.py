@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,12 +212,40 @@ def wide_links(prints: np.ndarray, distance: int = WIDE_DISTANCE) -> list[tuple[
     return edges
 
 
+def true_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that hang together all sets (of distinct numbers) that hang together by Jaccard similarities of `similarity` or more; every pair is compared."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    values, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = often > 1
+    place = np.cumsum(shared) - 1
+    row, column = row[shared[column]], place[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column, common = row[order], column[order], np.zeros((n, n), np.int64)
+    for start in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        holds = np.zeros((n, 4096), np.float32)
+        holds[row[a:b], column[a:b] - start] = 1
+        common += (holds @ holds.T).astype(np.int64)
+    linked_, fresh, out = common >= similarity * (sizes[:, None] + sizes - common), np.ones(n, bool), []
+    for i in range(n):
+        if fresh[i]:
+            fresh[i], reached = False, [i]
+            for x in reached:
+                new = np.flatnonzero(linked_[x] & fresh)
+                fresh[new] = False
+                reached += new.tolist()
+                out += [(x, y) for y in new.tolist()]
+    return out
+
+
 def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for each row: the smallest id that is reached by links between texts whose sets of word shingles have Jaccard similarity `similarity` or more.
 
     At that similarity fingerprints differ in too many bits for segments that agree, so candidates meet by keys of least
     shingle hashes. Their fingerprints are compared round the ring of segments; the closest links that hang a block
-    together are checked on the shingles themselves. Exact copies are one node. A key's rows are cut into blocks, and every
+    together are checked on the shingles themselves. Where one of them fails, it may have displaced others, so all pairs of
+    the texts that it hung together are checked. Exact copies are one node. A key's rows are cut into blocks, and every
     pair of blocks is a group of its own. Texts without words are one group; a null id stays null and counts only where
     no other is; repeated rows each get their row; an empty table gives no rows.
     """
@@ -266,20 +295,61 @@ def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: floa
         for a, b in zip(starts, starts[1:] if last else starts[1:-1], strict=False):
             if b - a > 1:
                 x, first = np.unique(nodes[a:b], return_index=True)
-                out += [(int(x[i]), int(x[j])) for i, j in wide_links(prints[a:b][first])]
+                out += named([(int(x[i]), int(x[j])) for i, j in wide_links(prints[a:b][first])])
         return None if last else batch.slice(starts[-2])
 
+    def named(links_: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Each link behind a number for the texts that hang together with it, the same wherever just these do."""
+        near = defaultdict(list)
+        for u, v in links_:
+            near[u].append(v)
+            near[v].append(u)
+        group_of = {}
+        for node in near:
+            if node not in group_of:
+                reached = {node: None}
+                stack = [node]
+                while stack:
+                    new = [y for y in near[stack.pop()] if y not in reached]
+                    reached.update(dict.fromkeys(new))
+                    stack += new
+                group_of.update(dict.fromkeys(reached, hash(tuple(sorted(reached)))))  # of integers alone
+        return [(group_of[u], u, v) for u, v in links_]
+
     def edges(out: list) -> pa.RecordBatch:
-        found = sorted({(min(e), max(e)) for e in out})
+        found = sorted({(g, min(u, v), max(u, v)) for g, u, v in out})
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in range(2)], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in range(3)], names=["g", "u", "v"])
 
-    pairs = checkpointed(met.mapInArrow(run, "u long, v long").distinct())
+    def recheck(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The true links of each group (g, node, shingles), whose rows follow each other; a group has two blocks of texts at most."""
+        of, nodes, its = None, [], []
+        for batch in batches:
+            arrays, empty = batch.column(2), np.zeros(0, np.int32)
+            for k, (g, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if g != of:
+                    yield from checked(nodes, its)
+                    of, nodes, its = g, [], []
+                nodes.append(node)
+                its.append(np.concatenate([empty, arrays[k].values.to_numpy()]))
+        yield from checked(nodes, its)
+
+    def checked(nodes: list[int], its: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if nodes:
+            found = [(nodes[i], nodes[j]) for i, j in true_links(its, similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in range(2)], names=["u", "v"])
+
+    pairs = checkpointed(met.mapInArrow(run, "g long, u long, v long").distinct())
     sets = sketched.select("node", "shingles")
-    both = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "x"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "y"}), "v")
+    both = pairs.select("u", "v").distinct().join(sets.withColumnsRenamed({"node": "u", "shingles": "x"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "y"}), "v")
     common = F.size(F.array_intersect("x", "y"))
-    links_ = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
-    roots = components(links_)
+    judged = checkpointed(both.select("u", "v", (common >= similarity * (F.size("x") + F.size("y") - common)).alias("holds")))
+    failed = pairs.join(judged.where("not holds"), ["u", "v"]).select("g").distinct()
+    # A group of two texts has no other pair.
+    again = pairs.join(failed, "g").select("g", F.explode(F.array("u", "v")).alias("node")).distinct()
+    again = again.join(again.groupBy("g").agg(F.count("*").alias("n")).where("n > 2"), "g").select("g", "node")
+    again = again.join(sets, "node").select("g", "node", "shingles").repartition("g").sortWithinPartitions("g", "node")
+    roots = components(judged.where("holds").select("u", "v").union(again.mapInArrow(recheck, "u long, v long")))
     tied = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(tied.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -181,6 +181,26 @@ def test_near_duplicates(docs, rows):
     same([tuple(r) for r in simhash.near_duplicates(docs).collect()], [(i, least.get(r)) for (i, _), r in zip(rows, roots, strict=True)])
 
 
+def test_near_duplicates_on_one_template(spark):
+    draw = random.Random(2)
+    words = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    template, shared = words(160), words(6)
+    # All pairs are near 0.76, the first alone is at 0.81; its fingerprints are not the closest.
+    texts = [" ".join(template + (shared if i < 2 else []) + words(19 if i < 2 else 25)) for i in range(40)]
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(40)} | {1: 0}
+
+
+def test_true_links():
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(-9000, 9000, 12000 + 100 * i, dtype=np.int32)) for i in range(20)] + [np.array([k], np.int32) for k in (1, 1, 2)]
+    near = lambda a, b: len(np.intersect1d(a, b)) >= 0.33 * len(np.union1d(a, b))
+    roots = linked([frozenset(x.tolist()) for x in sets], lambda a, b: len(a & b) >= 0.33 * len(a | b))
+    found = simhash.true_links(sets, 0.33)
+    assert all(near(sets[i], sets[j]) and roots[i] == roots[j] for i, j in found)
+    assert len(found) == len(sets) - len(set(roots))
+
+
 def test_contamination(spark, docs, rows):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
