@@ -26,14 +26,22 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+PEM_END = "-----END [A-Z ]{0,40}PRIVATE KEY-----"
+#: Header lines of an encrypted key, then all up to the END line, or, where that is missing, to the last line of base64;
+#: the header alone if nothing of the kind follows. Runs of one class, so that long bodies need no stack.
+PEM = (
+    r"""-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[\s\\nr>#*|"'+,]+[A-Z][A-Za-z0-9-]{1,40}:[^\n\\]*){0,9}"""
+    rf"(?:[^-]*{PEM_END}|"
+    r"""[A-Za-z0-9+/=\s\\"'>#*,|]*[\s\\"'>nr][A-Za-z0-9+/]{24,}={0,2}(?:[\r\\nr"'+]*\n[\x20\t>#*|"']*[A-Za-z0-9+/]+={0,2}(?m:$))?)?"""
+)
 #: Patterns and least lengths. Letters of the assigned names match in either case.
 RULES = (
     Rule("assign", 1, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 1),
     Rule("access", 1, "AKIA[A-Z0-9]+", 20),
     Rule("hex", 1, "[0-9a-f]{24,}"),  # the same matches as a run of any length that is dropped under 24
-    Rule("pem", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", 2, PEM),
     Rule("forge", 1, "gh[oprsu]_[A-Za-z0-9]{36,}"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 BASE = ("assign", "access", "hex")
 

@@ -71,6 +71,27 @@ def test_redaction(spark, docs):
     assert secrets.findings(out, secrets.scan(out)).where(F.size("spans") > 0).count() <= 1  # a text may still name a key
 
 
+def test_whole_keys_and_long_tokens(spark):
+    body = [(chr(65 + i % 26) + "b3+/Zq9") * 8 for i in range(3000)]
+    tail = "Kq7+xY4w=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = "\n".join([begin, *body[:25], tail, end])
+    token = "eyJ" + "aB3_" * 700 + "." + "cD4-" * 10 + "." + "eF5x" * 10
+    texts = [
+        f"one\n{key}\ntwo\n{key}\nthree",
+        "one " + key.replace("\n", "\\n") + " two",
+        "\n".join(["one", "> " + begin, "> Proc-Type: 4,ENCRYPTED", "> DEK-Info: AES-128-CBC,0123ABCD", "> ", *["> " + x for x in body[:4]], "> " + tail, "> " + end, "two"]),
+        "\n".join(["one", begin, *body[:25], tail, "", "Then comes more, in words."]),
+        "\n".join([begin, *body]),
+        f"Look for {begin} in your files, and tell us.",
+        f"one {token} two",
+    ]
+    want = ["one\n[SECRET]\ntwo\n[SECRET]\nthree", "one [SECRET] two", "one\n> [SECRET]\ntwo", "one\n[SECRET]\n\nThen comes more, in words.", "[SECRET]", "Look for [SECRET] in your files, and tell us.", "one [SECRET] two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = secrets.redact(docs, secrets.findings(docs, secrets.scan(docs)))
+    assert [r.text for r in clean.orderBy("doc_id").collect()] == want
+
+
 def luhn(d):
     return sum(sum(divmod(2 * int(x), 10)) if i % 2 else int(x) for i, x in enumerate(reversed(d))) % 10 == 0
 
