@@ -53,7 +53,8 @@ def license_scan(df: DataFrame, base: tuple = BASE, notices: tuple = NOTICES, id
     The hashes of all rolling word grams of every text are joined with the templates' positions (two words hashed, the
     third compared in the join, and all words compared themselves, so that a hit is exact). Hits vote for their diagonal,
     the offset between text and template; diagonals a few words apart are merged, so that a word put in or left out
-    doesn't break a notice; a span counts if it holds enough of its template in a length like the template's. A base
+    doesn't break a notice; a span counts if it holds enough of its template in a length like the template's, and a
+    longer one if a stretch of such a length in it does. A base
     phrase counts only whole. score is the greatest share of a template found. Only hits and one row per document are
     shuffled, by document. Null and empty texts have no words and no labels; repeated rows (same id, same text) each get
     their row; a null id stays null; an empty table gives no rows.
@@ -71,7 +72,7 @@ def license_scan(df: DataFrame, base: tuple = BASE, notices: tuple = NOTICES, id
     doc = ["doc_id", "row_key", "n_words"]
     hits = hits.repartition("doc_id", "row_key").groupBy(*doc, "template", "pos", "t_pos").agg(F.count("*").alias("copies"))
     diagonals = hits.groupBy(*doc, "template", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("pos").alias("start"), F.max("pos").alias("last"), F.max("copies").alias("copies")
+        F.count("*").alias("votes"), F.min("pos").alias("start"), F.max("pos").alias("last"), F.max("copies").alias("copies"), F.collect_list("pos").alias("at")
     )
     known = [*base, *notices]
     sizes = [len(p.split()) for _, p in known]
@@ -82,7 +83,18 @@ def license_scan(df: DataFrame, base: tuple = BASE, notices: tuple = NOTICES, id
     diagonals = diagonals.withColumn("fresh", fresh.cast("int")).withColumn("part", F.sum("fresh").over(order))
     spans = diagonals.groupBy(*doc, "template", "part").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"), F.max("last").alias("last"), F.max("copies").alias("copies"))
     grams_in = [max(1, n - min(GRAM, n) + 1) for n in sizes]
-    spans = spans.select(*doc, "template", "start", "copies", pick([label for label, _ in known]).alias("label"), F.least(F.lit(1.0), F.col("votes") / pick(grams_in)).alias("share"), ((F.col("last") - F.col("start") + GRAM) <= pick([LONGEST * max(n, GRAM) for n in sizes])).alias("short"))
+    longest = [LONGEST * max(n, GRAM) for n in sizes]
+    # A merged span that is too long, as of a notice that is repeated, counts by each stretch of a fitting length in it.
+    part = W.partitionBy(*doc, "template", "part")
+    long = diagonals.where(F.col("template") >= len(base)).withColumn("span", F.max("last").over(part) - F.min("start").over(part) + GRAM).where(F.col("span") > pick(longest))
+    placed = long.select(*doc, "template", "part", "copies", "diagonal", F.explode("at").alias("start"))
+    ahead = F.collect_list(F.struct("start", (F.col("start") - F.col("diagonal")).alias("t_pos"))).over(part.orderBy("start").rangeBetween(0, int(max(longest))))
+    fits = placed.withColumn("ahead", ahead).withColumn("end", F.col("start") + pick(longest) - GRAM)
+    votes = F.size(F.array_distinct(F.transform(F.filter("ahead", lambda x: x["start"] <= F.col("end")), lambda x: x["t_pos"])))
+    fits = fits.withColumn("votes", votes.cast("long")).groupBy(*doc, "template").agg(F.max("votes").alias("votes"), F.max("copies").alias("copies"))
+    fits = fits.select(*doc, "template", F.lit(0).alias("part"), "votes", F.lit(0).alias("start"), F.lit(0).alias("last"), "copies")
+    spans = spans.unionByName(fits)
+    spans = spans.select(*doc, "template", "start", "copies", pick([label for label, _ in known]).alias("label"), F.least(F.lit(1.0), F.col("votes") / pick(grams_in)).alias("share"), ((F.col("last") - F.col("start") + GRAM) <= pick(longest)).alias("short"))
     is_base = F.col("template").between(0, len(base) - 1)
     found = (is_base & (F.col("share") == 1)) | ((F.col("template") >= len(base)) & (F.col("share") >= LEAST) & F.col("short"))
     base_hit = is_base & (F.col("share") == 1)

@@ -143,6 +143,12 @@ def test_notice_with_words_put_in(spark):
     assert row.labels == "mit" and row.n_base == 0 and 0.6 <= row.score < 1
 
 
+def test_repeated_notices(spark):
+    texts = ["This work is licensed under the GNU General Public License. See the GNU General Public License", "Released under the MIT license\n" * 5, "Redistributed under the one and the other MIT license " * 5, "Released under the MIT license " + "under the MIT license " * 9]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [("gpl-notice" in rows[0].labels, rows[0].score)] + [(r.labels, r.score) for r in rows[1:]] == [(True, 1.0), ("mit", 1.0), ("", 0.0), ("mit", 1.0)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.license_scan(none).count() == 0
