@@ -31,6 +31,7 @@ class Ranks:
             lengths.setdefault(t[-3:], set()).add(len(t))
         #: By the last three bytes (fewer in shorter tokens) the lengths of the tokens that end so, longest first.
         self.lengths = {b: tuple(sorted(x, reverse=True)) for b, x in lengths.items()}
+        self.longest = max(map(len, ranks), default=1)
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.agree: dict[tuple[int, int], bool] = {}
         self.four = {i: i.to_bytes(4, "little") for i in self.texts}.__getitem__
@@ -113,10 +114,23 @@ class Prefixes:
         return self
 
     def replace(self, start: int, stop: int, new: bytes) -> Prefixes:
-        """Re-encodes after an edit: the prefixes before `start` are kept, those behind it are made anew."""
-        rest = new + self.data[stop:]
+        """Re-encodes near an edit: the prefixes before `start` are kept; those behind it are made anew until the last tokens agree again.
+
+        A prefix's last token follows from its last bytes and the last tokens before it, no farther back than the longest
+        token. So once that many in a row are as before the edit, all behind them are.
+        """
+        old, rest = self.last, self.data[stop:]
         self.data, self.last = self.data[:start], self.last[:start]
-        return self.append(rest)
+        self.append(new)
+        same, reach, shift = 0, self.vocabulary.longest, start + len(new) - stop
+        for i in range(len(rest)):
+            if same == reach:
+                self.data += rest[i:]
+                self.last += old[stop + i :]
+                break
+            self.append(rest[i : i + 1])
+            same = same + 1 if self.last[-1] == old[len(self.last) - 1 - shift] else 0
+        return self
 
     def ids(self) -> list[int]:
         out, end, texts = [], len(self.data), self.vocabulary.texts

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.lineage import checkpointed
 
-__all__ = ["ascii_lower", "checkpointed", "documents", "id_and_text", "slices"]
+__all__ = ["ascii_lower", "checkpointed", "documents", "heavy_keys", "id_and_text", "id_key", "nested", "slices", "spread_join"]
 
 #: The ASCII letters that the contracts lower-case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Keys whose rows a join deals out further (their number is the bound of what is broadcast), the rows from which a key may
+#: be one of them, and the parts that such a key gets.
+HEAVY, HEAVY_ROWS, PARTS = 1000, 300, 64
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,3 +47,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
             size += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def id_key(id_: Column) -> Column:
+    """An id as a string that is never null, so that rows of null ids can be joined and grouped like others."""
+    return F.coalesce(id_.cast("string"), F.lit("\0null"))
+
+
+def nested(df: DataFrame, *extra: Column) -> DataFrame:
+    """All columns of `df` within one, `row`, beside `extra`, so that no name of the input can clash with an operator's."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *extra)
+
+
+def heavy_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """(heavy) the keys of (key, n) with the most rows, at most HEAVY; the others are not left out, they need no parts."""
+    return counts.where(F.col(n) >= HEAVY_ROWS).orderBy(F.desc(n)).limit(HEAVY).select(F.col(key).alias("heavy"))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """`rows` joined with `table` on `key`. The rows of a heavy key are dealt to PARTS parts by a hash of `by`, and the table's
+    rows of that key are repeated in each, so that no key lands in one task."""
+    many = F.broadcast(heavy)  # HEAVY keys at most
+    part = F.when(F.col("heavy").isNotNull(), F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")).otherwise(0)
+    left = rows.join(many, F.col(key) == F.col("heavy"), "left").withColumn("part", part).drop("heavy")
+    every = F.when(F.col("heavy").isNotNull(), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(many, F.col(key) == F.col("heavy"), "left").withColumn("part", F.explode(every)).drop("heavy")
+    return left.join(right, [key, "part"], how).drop("part")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import id_and_text
+from tallyweave.llm.common import id_and_text, id_key, nested
+from tallyweave.llm.spans import bound
 
 #: Words of a window, the least plain words in it, the share of an item's windows that must be matched on one alignment,
 #: and the share of matched slots that must agree with a one-to-one renaming.
@@ -16,14 +17,17 @@ RUN = 6
 UNITS = "mm cm m km in ft yd mi mg g kg lb lbs oz t ml l cl ms s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres percent dollar dollars euro euros cent cents usd eur gbp kmh mph hz kb mb gb".split()
 #: Number words.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half".split()
-BREAK = r"[^\p{L}\p{N}]+"
-#: The most windows of benchmark items that are broadcast (16 bytes each and their words); more are joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
+#: A whole number with its separators and decimals and the letters behind it, or a run of letters and digits. Quantifiers
+#: don't give back, so that long runs need no stack.
+TOKEN = r"\p{N}++(?:[.,]\p{N}++)*+[\p{L}\p{N}]*+|[\p{L}\p{N}]++"
+#: The most bytes of benchmark windows that are broadcast, counted first; more are joined by a shuffle, in which each window
+#: of the benchmark is repeated for so many parts of the texts' windows.
+BROADCAST_BYTES, PARTS = 32 << 20, 16
 
 
 def words_of(text: Column) -> Column:
-    """Runs of letters and digits, so that punctuation and markup don't matter. Digits stay with a decimal part."""
-    return F.array_remove(F.split(text, BREAK), "")
+    """Numbers and runs of letters and digits, so that other punctuation and markup don't matter."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def canonical(word: Column, names: bool = True) -> Column:
@@ -40,8 +44,14 @@ def canonical(word: Column, names: bool = True) -> Column:
 
 
 def windows(texts: DataFrame, window: int = WINDOW, names: bool = True) -> DataFrame:
-    """One row for each window of canonical words of which enough are plain: the other columns, `words`, `pos` and the window's hash `sum`."""
-    df = texts.withColumn("words", words_of(F.col("text"))).drop("text").withColumn("kinds", F.transform("words", lambda w: canonical(w, names)))
+    """One row for each window of canonical words of which enough are plain: the other columns, `words`, `pos` and the window's hash `sum`.
+
+    A run of names or of numbers, such as a full name, is one word, which its first stands for.
+    """
+    typed = F.transform(words_of(F.col("text")), lambda w: F.struct(w.alias("word"), canonical(w, names).alias("kind")))
+    alone = lambda t: lambda x, i: (i == 0) | ~x["kind"].isin("<name>", "<number>") | (x["kind"] != F.get(t, i - 1)["kind"])
+    df = texts.withColumn("typed", bound(typed, lambda t: F.filter(t, alone(t)))).drop("text")
+    df = df.withColumns({"words": F.col("typed.word"), "kinds": F.col("typed.kind")}).drop("typed")
     df = df.select("*", F.posexplode("kinds").alias("pos", "k0"))
     df = df.withColumns({f"k{i}": F.get("kinds", F.col("pos") + i) for i in range(1, window)})
     kinds = [f"k{i}" for i in range(window)]
@@ -49,18 +59,9 @@ def windows(texts: DataFrame, window: int = WINDOW, names: bool = True) -> DataF
     return df.where(F.col(kinds[-1]).isNotNull() & (plain >= PLAIN)).withColumn("sum", F.xxhash64(*kinds)).drop("kinds", *kinds)
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row (doc_id, item_id, n_windows, item_windows, longest_run, slots, consistent, start_word) for each item that a text holds, verbatim or with other numbers, names and units.
-
-    Windows of canonical words are hash-joined with the items' windows. Matches on one alignment (the offset between text
-    and item) belong together; each brings the words that stand at its place on both sides. Where the placeholders stand,
-    a value of the item must always go with the same value of the text. A pair is returned if it has enough of the
-    item's windows, or enough of them on end, on one alignment, with consistent slots. Items shorter than a window are
-    matched by none. The items' windows are broadcast while their number, which is counted, is small, else shuffled. Null
-    and empty texts match nothing; null ids stay null; repeated rows give one pair; empty tables give no rows.
-    """
-    marked = id_and_text(docs, id_col, text_col).withColumn("row_key", F.xxhash64("text"))
-    each = windows(marked)
+def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, broadcast_bytes: int) -> DataFrame:
+    """The alignments of texts (doc_id, row_key) and items that count as leaks."""
+    each = windows(id_and_text(docs, id_col, text_col).withColumn("row_key", F.xxhash64("text")))
     own = id_and_text(items, item_id_col, item_text_col).withColumnRenamed("doc_id", "item_id")
     own = own.withColumn("item_key", F.xxhash64("text")).distinct()
     # Texts all in capitals or all in small letters show no names; for them the items' windows are also hashed without.
@@ -69,9 +70,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     sizes = bench.groupBy("item_id", "item_key").agg(F.count_if(F.col("named") == 1).alias("n"), F.count_if(F.col("named") == 0).alias("n_plain"))
     sizes = sizes.select("item_id", "item_key", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("n_plain")).alias("item_windows"))
     bench = bench.drop("named").distinct().join(sizes, ["item_id", "item_key"])
-    small = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    hits = each.join(F.broadcast(bench) if small else bench, F.col("sum") == F.col("item_sum"))
-    hits = hits.select("doc_id", "row_key", "item_id", "item_key", "item_windows", "pos", "item_pos", F.slice("words", F.col("pos") + 1, WINDOW).alias("ours"), "theirs")
+    ours = F.slice("words", F.col("pos") + 1, WINDOW).alias("ours")
+    # A row of numbers, an array and its words.
+    size = bench.agg(F.sum(F.octet_length(F.array_join("theirs", "")) + 8 * WINDOW + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
+        hits = each.join(F.broadcast(bench), F.col("sum") == F.col("item_sum")).select("doc_id", "row_key", "item_id", "item_key", "item_windows", "pos", "item_pos", ours, "theirs")
+    else:
+        # A window's row takes its own words along, not the text's; a window that many texts share goes to PARTS parts.
+        each = each.select("doc_id", "row_key", "pos", "sum", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(PARTS)).cast("int").alias("part"), ours)
+        parted = bench.withColumn("item_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        hits = each.join(parted, (F.col("sum") == F.col("item_sum")) & (F.col("part") == F.col("item_part"))).select("doc_id", "row_key", "item_id", "item_key", "item_windows", "pos", "item_pos", "ours", "theirs")
 
     pair = ["doc_id", "row_key", "item_id", "item_key", "item_windows", (F.col("pos") - F.col("item_pos")).alias("offset")]
     hits = hits.repartition("doc_id", "row_key", "item_id", "item_key").dropDuplicates(["doc_id", "row_key", "item_id", "item_key", "pos", "item_pos"])
@@ -86,11 +94,36 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     share = F.when(F.size("slots") == 0, 1.0).otherwise(F.least(values, others) / F.size("slots"))
     runs = F.aggregate("at", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")), _longer, lambda a: a["best"])
     aligned = aligned.withColumn("consistent", share).withColumn("longest_run", runs)
-    leaks = aligned.where((F.col("consistent") >= CONSISTENT) & ((F.col("n_windows") >= LEAST * F.col("item_windows")) | (F.col("longest_run") >= RUN)))
+    return aligned.where((F.col("consistent") >= CONSISTENT) & ((F.col("n_windows") >= LEAST * F.col("item_windows")) | (F.col("longest_run") >= RUN)))
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row (doc_id, item_id, n_windows, item_windows, longest_run, slots, consistent, start_word) for each item that a text holds, verbatim or with other numbers, names and units.
+
+    Windows of canonical words are hash-joined with the items' windows. Matches on one alignment (the offset between text
+    and item) belong together; each brings the words that stand at its place on both sides. Where the placeholders stand,
+    a value of the item must always go with the same value of the text. A pair is returned if it has enough of the
+    item's windows, or enough of them on end, on one alignment, with consistent slots. Items shorter than a window are
+    matched by none. The items' windows are broadcast while their bytes, which are counted, are few, else shuffled. Null
+    and empty texts match nothing; null ids stay null; repeated rows give one pair; empty tables give no rows.
+    """
+    leaks = _leaks(docs, items, id_col, text_col, item_id_col, item_text_col, broadcast_bytes)
     best = F.max(F.struct("n_windows", "longest_run", (-F.col("start_word")).alias("s"), "consistent", "item_windows", F.size("slots").alias("slots"))).alias("b")
     return leaks.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.n_windows"), F.col("b.item_windows").cast("long").alias("item_windows"), F.col("b.longest_run").cast("long").alias("longest_run"), F.col("b.slots").cast("long").alias("slots"), F.col("b.consistent"), (-F.col("b.s")).cast("long").alias("start_word"))
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of `docs`, with all their columns, that hold no item.
+
+    Rows are told apart by id and text, a null id among them: a clean row stays though another row of its id goes. Null
+    and empty texts hold nothing and stay; repeated rows stay or go together; an empty table gives no rows, and without
+    items every row stays.
+    """
+    leaks = _leaks(docs, items, id_col, text_col, item_id_col, item_text_col, broadcast_bytes).select(id_key(F.col("doc_id")).alias("id"), "row_key").distinct()
+    rows = nested(docs, id_key(docs[id_col]).alias("id"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("row_key"))
+    return rows.join(leaks, ["id", "row_key"], "left_anti").select("row.*")
+
+
 def _longer(a: Column, x: Column) -> Column:
     run = F.when(x == a["last"] + 1, a["run"] + 1).otherwise(1)
     return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))

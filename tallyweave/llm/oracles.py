@@ -59,7 +59,7 @@ FROM docs LEFT JOIN ok USING (doc_id) GROUP BY doc_id, words"""
 
 
 def template_decontamination() -> str:
-    words = "list_filter(string_split_regex(coalesce(text, ''), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    words = "regexp_extract_all(coalesce(text, ''), '\\p{N}+(?:[.,]\\p{N}+)*[\\p{L}\\p{N}]*|[\\p{L}\\p{N}]+')"
     lists = {k: ", ".join(f"'{x}'" for x in v) for k, v in (("number", decontam.NUMBERS), ("unit", decontam.UNITS))}
 
     def kind(word: str, names: bool = True) -> str:
@@ -67,8 +67,11 @@ def template_decontamination() -> str:
         return f"CASE WHEN regexp_matches({word}, '^\\p{{N}}') THEN '<number>' {name}WHEN lower({word}) IN ({lists['number']}) THEN '<number>' WHEN lower({word}) IN ({lists['unit']}) THEN '<unit>' ELSE lower({word}) END"
 
     def windows(source: str, id_: str, names: bool) -> str:
+        typed = f"SELECT {id_}, pos, word, {kind('word', names)} AS kind FROM {source}"
+        alone = f"SELECT *, coalesce(kind NOT IN ('<name>', '<number>') OR kind <> lag(kind) OVER (PARTITION BY {id_} ORDER BY pos), true) AS alone FROM ({typed})"
+        placed = f"SELECT {id_}, word, kind, row_number() OVER (PARTITION BY {id_} ORDER BY pos) - 1 AS pos FROM ({alone}) WHERE alone"
         return f"""SELECT {id_}, pos, string_agg(kind, ' ') OVER h AS g, list(word) OVER h AS w, count(*) OVER h AS n, count(*) FILTER (NOT starts_with(kind, '<')) OVER h AS plain
-    FROM (SELECT {id_}, pos, word, {kind("word", names)} AS kind FROM {source}) WINDOW h AS (PARTITION BY {id_} ORDER BY pos ROWS BETWEEN CURRENT ROW AND {decontam.WINDOW - 1} FOLLOWING)"""
+    FROM ({placed}) WINDOW h AS (PARTITION BY {id_} ORDER BY pos ROWS BETWEEN CURRENT ROW AND {decontam.WINDOW - 1} FOLLOWING)"""
 
     full = f"n = {decontam.WINDOW} AND plain >= {decontam.PLAIN}"
     return f"""WITH d AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM (SELECT doc_id, {words} AS words FROM documents)),

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from tallyweave.llm.common import id_and_text, slices
 
 #: (bytes of text from, least ratio, greatest ratio) for whole documents: compressed bytes over bytes. Short texts carry
-#: the frame and an untrained entropy coder, so their ratios run higher and their band is wider.
-BANDS = ((0, 0.0, 9.0), (100, 0.40, 1.10), (200, 0.36, 1.00), (400, 0.28, 0.90), (800, 0.24, 0.80), (3200, 0.20, 0.75), (12800, 0.16, 0.70))
-#: Bytes of a fixed chunk, the band for a whole chunk, and the share of chunks outside it that rejects a document.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (0.14, 0.80), 0.5
+#: the frame and an untrained entropy coder, so their ratios run higher and their band is wider: a text of 10 bytes that
+#: doesn't repeat takes 19 to 23, one of 50 bytes about 50 to 63.
+BANDS = ((0, 0.9, 20.0), (10, 0.8, 2.4), (25, 0.6, 1.6), (50, 0.5, 1.3), (100, 0.40, 1.10), (200, 0.36, 1.00), (400, 0.28, 0.90), (800, 0.24, 0.80), (3200, 0.20, 0.75), (12800, 0.16, 0.70))
+#: Bytes of a fixed chunk (the last of a text is what is left), how much wider a chunk's band is than that of a document of
+#: its length, and the share of a text's bytes in chunks outside their band that rejects it.
+CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 4096, 0.7, 1.07, 0.5
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SPACES, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, chunks_outside long, n_chunks long"
@@ -43,6 +45,11 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
+def band(n: int) -> tuple[float, float]:
+    """The limits of the ratio for a text of n bytes."""
+    return next((low, high) for start, low, high in reversed(BANDS) if n >= start)
+
+
 def measure(text: str, compress) -> tuple:
     """The counts and the verdict of one text, in the order of SCHEMA from n_words on."""
     data = text.encode()
@@ -51,20 +58,24 @@ def measure(text: str, compress) -> tuple:
     repeated = repeated_words(words)
     failed = len(words) < LEAST_WORDS or 100 * repeated > MOST_REPEATED * len(words)
     ratio = len(compress(data)) / len(data) if data else 0.0
-    low, high = next((low, high) for start, low, high in reversed(BANDS) if len(data) >= start)
-    chunks = [data[i : i + CHUNK] for i in range(0, len(data) - CHUNK + 1, CHUNK)] if len(data) >= 2 * CHUNK else []
-    outside = sum(not CHUNK_BAND[0] <= len(compress(x)) / CHUNK <= CHUNK_BAND[1] for x in chunks)
-    kept = not failed and low <= ratio <= high and outside <= CHUNK_SHARE * len(chunks)
+    low, high = band(len(data))
+    outside = bytes_outside = 0
+    for i in range(0, len(data), CHUNK):
+        chunk = data[i : i + CHUNK]
+        least, most = band(len(chunk))
+        if not CHUNK_LOW * least <= len(compress(chunk)) / len(chunk) <= CHUNK_HIGH * most:
+            outside, bytes_outside = outside + 1, bytes_outside + len(chunk)
+    kept = not failed and low <= ratio <= high and bytes_outside <= CHUNK_SHARE * len(data)
     chars = len(text) - sum(map(text.count, SPACES))
-    return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, kept, ratio, outside, len(chunks)
+    return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, kept, ratio, outside, -(-len(data) // CHUNK)
 
 
 def compression_bands(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 3) -> DataFrame:
     """One row per input row: word and line counts, the zstandard ratio of the whole text and of fixed chunks, and a verdict.
 
     A text is kept if it passes the base rules (enough words, few repeated windows), its ratio lies in the band for its
-    length, and no more than half of its whole chunks lie outside the chunk band. Null and empty texts have no words and
-    fail; a null id stays null; repeated rows are judged one by one; an empty table gives no rows. Row by row, no shuffle.
+    length, and no more than half of its bytes lie in chunks outside the band for the chunk's length; every byte lies in a
+    chunk, the last of which is shorter. Null and empty texts have no words, no chunks and ratio zero, and fail; a null id stays null; repeated rows are judged one by one; an empty table gives no rows. Row by row, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +93,11 @@ def compression_bands(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def passing(df: DataFrame, text_col: str = "text", level: int = 3) -> DataFrame:
-    """The rows of `df`, with all its columns, whose texts `compression_bands` keeps. No shuffle."""
+    """The rows of `df`, with all its columns, whose texts `compression_bands` keeps. No shuffle.
+
+    Null and empty texts fail and go; rows of null or equal ids are judged one by one by their own texts, so repeated rows
+    stay or go together; no other column is read, whatever its name; an empty table gives no rows.
+    """
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

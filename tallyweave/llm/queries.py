@@ -26,7 +26,8 @@ def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import secrets
 
     docs = documents(spark, sf_dir)
-    return secrets.digest(secrets.findings(docs, secrets.scan(docs)), secrets.BASE)
+    ledger = secrets.update(docs, secrets.ledger_folder(spark))
+    return secrets.digest(secrets.findings(docs, ledger), secrets.BASE)
 
 
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import id_and_text
+from tallyweave.functions.lineage import shared_folder
+from tallyweave.llm.common import heavy_keys, id_and_text, id_key, nested, spread_join
 from tallyweave.llm.spans import SPAN, count_of, joined, masked, matches, of_kind, ordered
 
 
@@ -44,6 +47,7 @@ RULES = (
     Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 BASE = ("assign", "access", "hex")
+LEDGER = f"blob binary, rule string, spans {SPAN}"
 
 
 def blob_of(text: Column) -> Column:
@@ -54,11 +58,12 @@ def blob_of(text: Column) -> Column:
 def scan(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """New ledger rows (blob, rule, spans): one for each blob of `df` and rule version that `ledger` hasn't seen.
 
-    Each distinct text is scanned once, in the row of its smallest id, for the rules it is due. Only ids and addresses are
+    Each distinct text is scanned once, in a row of its smallest id, for the rules it is due. Only ids and addresses are
     grouped; texts go once through a shuffle on (blob, id), which no group of copies makes uneven. A null text is the
-    empty blob; repeated rows are one blob; an empty table gives no rows.
+    empty blob; a null id is a path like others, and a blob's smallest only where it has no other; repeated rows (same id,
+    same text) are scanned once; other columns aren't read; an empty table gives no rows.
     """
-    texts = id_and_text(df, id_col, text_col).withColumn("blob", blob_of(F.col("text")))
+    texts = id_and_text(df, id_col, text_col).select(blob_of(F.col("text")).alias("blob"), id_key(F.col("doc_id")).alias("path"), "doc_id", "text")
     owners = texts.groupBy("blob").agg(F.min("doc_id").alias("owner"))
     names = F.array(*[F.lit(r.name) for r in rules])
     if ledger is None:
@@ -66,8 +71,9 @@ def scan(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...]
     else:
         seen = ledger.select("blob", "rule").distinct()
         due = owners.withColumn("rule", F.explode(names)).join(seen, ["blob", "rule"], "left_anti").groupBy("blob", "owner").agg(F.collect_list("rule").alias("due"))
-    due = due.select(F.col("blob").alias("its"), "owner", "due").hint("shuffle_hash")
-    rows = texts.join(due, (F.col("blob") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("owner")))
+    due = due.select("blob", id_key(F.col("owner")).alias("path"), "due")
+    # Repeated rows lie together by (blob, path) already; one of them stays.
+    rows = texts.select("blob", "path", "text").join(due, ["blob", "path"]).groupBy("blob", "path").agg(F.first("text").alias("text"), F.first("due").alias("due"))
     text, found = F.col("text"), []
     for rank, rule in enumerate(rules):
         holds = (lambda whole, inner, n=rule.least: F.length(inner) >= n) if rule.least else None
@@ -77,24 +83,54 @@ def scan(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...]
     return rows.select("blob", F.explode(F.filter("found", lambda x: x["spans"].isNotNull())).alias("f")).select("blob", "f.rule", "f.spans")
 
 
-def findings(df: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, blob, spans) for every row of `df`: the ledger's findings joined back to all paths of a blob, ordered by place; none: an empty array."""
-    paths = id_and_text(df, id_col, text_col).select("doc_id", blob_of(F.col("text")).alias("blob"))
-    hits = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    return paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+def ledger_folder(spark: SparkSession) -> str:
+    """A new folder for a ledger among the checkpoints, which the cluster shares."""
+    return f"{shared_folder(spark)}/blob-ledger-{uuid.uuid4().hex}"
+
+
+def update(df: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scans what the ledger table in `folder` hasn't seen of `df`, appends it there, and returns the table as it then is.
+
+    A folder without a table is an empty ledger. A blob and rule version already in it isn't scanned again, whichever rows
+    hold it now; what is appended is one commit of one job, so that a lost executor's tasks run again without doubling rows.
+    """
+    spark = df.sparkSession
+    try:
+        before = spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException:  # no table yet
+        before = None
+    scan(df, before, rules, id_col, text_col).write.mode("append").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def findings(df: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, blob, spans) for every row of `df`: the ledger's findings for `rules` joined back to all paths of a blob, ordered by place; none: an empty array.
+
+    The paths of a blob of many copies are dealt out further. Null ids and null texts (the empty blob) and repeated rows each get their row;
+    an empty table gives no rows.
+    """
+    paths = id_and_text(df, id_col, text_col).select("doc_id", id_key(F.col("doc_id")).alias("path"), blob_of(F.col("text")).alias("blob"))
+    names = [r.name for r in rules]
+    hits = ledger.where((F.size("spans") > 0) & F.col("rule").isin(names)).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    many = heavy_keys(paths.groupBy("blob").agg(F.count("*").alias("n")), "blob", "n")
+    return spread_join(paths, hits, "blob", "path", many, "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
-    """Counts and digests of the findings for each row."""
+    """Counts of the base kinds and digests of the findings of each row of `found`: zero and those of the empty string where it has none, a null id stays null."""
     spans = F.col("spans")
     counts = [count_of(spans, kind).alias(f"n_{kind}") for kind in base]
     return found.select("doc_id", *counts, F.sha2(joined(of_kind(spans, *base)).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
 def redact(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`df` with every secret replaced by [SECRET]; other columns and rows stay as they are."""
-    hits = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__blob"]).hint("shuffle_hash")
-    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    rows = df.withColumn("__own", blob_of(text)).join(hits, F.col("__own").eqNullSafe(F.col("__blob")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    clean = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(masked(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col("__spans"), lambda s: F.lit("[SECRET]")))
-    return rows.withColumn(text_col, clean).select(*df.columns)
+    """`df` with every secret replaced by [SECRET].
+
+    Rows are told apart by id and text, a null id among them; other columns, whatever their names, and rows without
+    findings, also null texts, stay as they are; repeated rows are masked alike; an empty table gives no rows.
+    """
+    hits = found.where(F.size("spans") > 0).groupBy(id_key(F.col("doc_id")).alias("path"), "blob").agg(F.first("spans").alias("spans"))
+    rows = nested(df, id_key(df[id_col]).alias("path"), blob_of(F.coalesce(df[text_col].cast("string"), F.lit(""))).alias("blob")).join(hits, ["path", "blob"], "left")
+    own = F.col("row")[text_col]
+    clean = F.when(F.col("spans").isNull(), own).otherwise(masked(own.cast("string"), F.col("spans"), lambda s: F.lit("[SECRET]")))
+    return rows.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])

@@ -7,13 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import checkpointed, id_and_text, slices
-from tallyweave.llm.components import components
+from tallyweave.llm.common import checkpointed, heavy_keys, id_and_text, id_key, nested, slices, spread_join
+from tallyweave.llm.components import smallest_of_each
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
+#: Segments of the ring. More of them make longer keys (28 of 64 bits at 16 segments and two differing bits), so that fewer
+#: fingerprints meet by chance, and one key more for each.
+SEGMENTS = 16
 #: Rows of a bucket that meet in one block; a larger bucket is dealt out as pairs of blocks.
 BLOCK = 1024
 
@@ -54,50 +57,53 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
     return id_and_text(df, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def segments(distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of the ring's segments, one more than the distance, so that the first of a chain may not differ at all."""
-    n = distance + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def ring_masks(distance: int, segments: int = SEGMENTS) -> list[tuple[int, int]]:
+    """(mask, most) for each budget of a chain that starts at bit 0: of the first so many segments at most `most` bits may differ.
+
+    A chain of k segments may hold distance * k / segments differences. As sums only grow, the longest chain of each whole
+    number of differences stands for the shorter ones.
+    """
+    width = BITS // segments
+    longest = {distance * k // segments: k for k in range(1, segments + 1)}
+    return [((1 << width * k) - 1, most) for most, k in sorted(longest.items())]
 
 
-def chain_holds(diff: np.ndarray, start: int, ring: list[tuple[int, int]], distance: int) -> np.ndarray:
-    """Whether the differences of the segments from `start` on, summed segment by segment around the ring, stay within distance * length / segments."""
-    total, holds = np.zeros(len(diff), np.int64), np.ones(len(diff), bool)
-    for length in range(1, len(ring) + 1):
-        shift, width = ring[(start + length - 1) % len(ring)]
-        total += np.bitwise_count((diff >> np.uint64(shift)) & np.uint64((1 << width) - 1))
-        holds &= total * len(ring) <= distance * length
-        if not holds.any():
-            break
-    return holds
+def rotated(fps: np.ndarray, by: int) -> np.ndarray:
+    return fps if by == 0 else (fps >> np.uint64(by)) | (fps << np.uint64(BITS - by))
 
 
-def linked(fps: np.ndarray, start: int, ring: list[tuple[int, int]], distance: int) -> list[tuple[int, int]]:
-    """Edges that join all fingerprints of a block that hang together by links with a chain from `start`; one fewer than nodes at most."""
-    root, edges = np.arange(len(fps)), []
+def linked(fps: np.ndarray, start: int, masks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Edges that join all fingerprints of a block that hang together by links whose chain starts at bit `start`; one fewer than nodes at most."""
+    root, edges, turned = np.arange(len(fps)), [], rotated(fps, start)
     for i in range(len(fps) - 1):
-        diff = fps[i + 1 :] ^ fps[i]
-        holds = chain_holds(diff, start, ring, distance)
-        for j in (np.flatnonzero(holds) + i + 1).tolist() if holds.any() else ():
-            if np.bitwise_count(fps[i] ^ fps[j]) <= distance and root[i] != root[j]:
+        diff = turned[i + 1 :] ^ turned[i]
+        places = np.arange(i + 1, len(fps))
+        for mask, most in masks:  # the last mask is the full Hamming check
+            within = np.bitwise_count(diff & np.uint64(mask)) <= most
+            diff, places = diff[within], places[within]
+            if not len(places):
+                break
+        for j in places.tolist():
+            if root[i] != root[j]:
                 edges.append((i, j))
                 root[root == root[j]] = root[i]
     return edges
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments: int = SEGMENTS) -> DataFrame:
     """Edges (u, v) between the distinct fingerprints of `fps` (fp long) that hang together as all links at `distance` or fewer bits do.
 
-    Two fingerprints that differ in d bits have a segment from which on every chain's differences are in proportion at
-    most d * length / segments. So they agree in some segment, by which they are joined, and the further segments of the
-    chain prune before all bits are compared. A bucket of one segment value is cut into blocks of about `block` rows and
-    every pair of blocks is a group of its own, so that no bucket lands in one task; a group yields a spanning forest of
-    its links, not its pairs. No partner is dropped.
+    Round the ring of segments, two fingerprints that differ in d bits have a segment from which on every chain's
+    differences stay within its share, distance * length / segments. The first segments of such a chain, those whose share
+    is below one, may not differ at all: by them fingerprints are joined, once for each start, and the longer chains prune
+    before all bits are compared. A bucket of one value is cut into blocks of about `block` rows and every pair of blocks is
+    a group of its own, so that no bucket lands in one task; a group yields a spanning forest of its links, not its pairs.
+    No partner is dropped.
     """
-    ring = segments(distance)
-    part = lambda shift, width: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-    keys = fps.select("fp", F.posexplode(F.array(*[part(a, b) for a, b in ring])).alias("i", "value"))
+    masks = ring_masks(distance, segments)
+    width, zero = BITS // segments, masks[0][0] if masks[0][1] == 0 else 0
+    turned = lambda by: F.col("fp") if by == 0 else F.shiftrightunsigned("fp", by).bitwiseOR(F.shiftleft("fp", BITS - by))
+    keys = fps.select("fp", F.posexplode(F.array(*[turned(width * i).bitwiseAND(F.lit(zero)) for i in range(segments)])).alias("i", "value"))
     sizes = keys.groupBy("i", "value").agg(F.count("*").alias("n")).where("n > 1")
     rows = keys.join(sizes, ["i", "value"])
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -128,7 +134,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
         fps, which, out = columns[4].view(np.uint64), columns[0], []
         for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
             if b - a > 1:
-                out += [(a + i, a + j) for i, j in linked(fps[a:b], int(which[a]), ring, distance)]
+                out += [(a + i, a + j) for i, j in linked(fps[a:b], int(which[a]) * width, masks)]
         if out:
             pairs = fps[np.array(out)].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
@@ -144,21 +150,20 @@ def simhash_components(df: DataFrame, shingle: int = SHINGLE, distance: int = DI
     like any other; a null id stays null and is never a component's smallest unless all are null; repeated rows each get
     their row; an empty table gives no rows.
     """
-    rows = checkpointed(fingerprints(df, shingle, id_col, text_col))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes.select("fp"), distance))
-    tied = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = tied.join(least, "root").select("fp", "component_id")
-    return rows.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = checkpointed(fingerprints(df, shingle, id_col, text_col).withColumnRenamed("fp", "node"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    known = smallest_of_each(nodes.select("node", "first"), links(nodes.select(F.col("node").alias("fp")), distance)).drop("best")
+    out = spread_join(rows, known, "node", "doc_id", heavy_keys(nodes, "node", "n"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Near-duplicates by shingles of words: words of a shingle, the least Jaccard similarity, 64-bit words of a fingerprint,
 #: and the keys by which candidates meet: each is made of the least of `PER_KEY` permuted shingle hashes, so that texts
 #: of similarity s share a key with probability 1 - (1 - s ** PER_KEY) ** KEYS, over 0.99999 at 0.8.
 NEAR_SHINGLE, SIMILARITY, WIDE, KEYS, PER_KEY = 5, 0.8, 4, 12, 2
-#: Differing bits, of 256, from which a pair is no candidate: over three standard deviations above the mean at 0.8.
-WIDE_DISTANCE = 60
+#: The most differing bits, of 256, of a candidate: six standard deviations above the mean at 0.8. Texts of fewer distinct
+#: shingles than FEW, whose majorities are often ties, are candidates at any distance.
+WIDE_DISTANCE, FEW = 72, 32
 
 
 def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -177,8 +182,8 @@ def wide_sketch(words: list[bytes], shingle: int = NEAR_SHINGLE) -> tuple[bytes,
     return b"".join(print_), keys, np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
-def wide_links(prints: np.ndarray, distance: int = WIDE_DISTANCE) -> list[tuple[int, int]]:
-    """The closest links, by differing bits, that hang a block's fingerprints together; prints is rows of 16 segments of 16 bits.
+def wide_links(prints: np.ndarray, few: np.ndarray, distance: int = WIDE_DISTANCE) -> list[tuple[int, int]]:
+    """The closest links, by differing bits, that hang a block's fingerprints together; prints is rows of 16 segments of 16 bits, few marks those that no distance prunes.
 
     Round the ring of segments some chain keeps each of its sums of differences within its share of the distance, or the
     pair is farther apart; only pairs with such a chain are candidates.
@@ -186,6 +191,7 @@ def wide_links(prints: np.ndarray, distance: int = WIDE_DISTANCE) -> list[tuple[
     n, pairs = len(prints), []
     for i in range(n - 1):
         diff = np.bitwise_count(prints[i + 1 :] ^ prints[i]).astype(np.int64)
+        any_ = few[i + 1 :] | few[i]
         ring = np.concatenate([diff, diff], axis=1)
         m = diff.shape[1]
         alive, total = np.ones_like(diff, bool), np.zeros_like(diff)
@@ -194,7 +200,7 @@ def wide_links(prints: np.ndarray, distance: int = WIDE_DISTANCE) -> list[tuple[
             alive &= total * m <= distance * length
             if length in (1, 2, 4) and not alive.any():
                 break
-        for j in np.flatnonzero(alive.any(axis=1)).tolist():
+        for j in np.flatnonzero(alive.any(axis=1) | any_).tolist():
             pairs.append((int(diff[j].sum()), i, i + 1 + j))
     root, edges = list(range(n)), []
 
@@ -239,38 +245,65 @@ def true_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[t
     return out
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit key of a text: of ten thousand million different texts a few share theirs."""
+    return F.xxhash64(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of `df`, with all their columns, that near-duplicate removal keeps: of each group of `near_duplicates` the row of the smallest id.
+
+    A null id is larger than every other; of rows of that id with different texts the one of the least text key stays, of
+    repeated rows (same id, same text) one. Rows are told apart by id and text. An empty table gives no rows.
+    """
+    best = _groups(df, id_col=id_col, text_col=text_col, **settings)[1].where(F.col("node") == F.col("best")).select("node", id_key(F.col("component_id")).alias("id"))
+    rows = nested(df, text_key(df[text_col]).alias("node"), id_key(df[id_col]).alias("id"))
+    return rows.join(best, ["node", "id"], "left_semi").dropDuplicates(["node", "id"]).select("row.*")
+
+
 def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for each row: the smallest id that is reached by links between texts whose sets of word shingles have Jaccard similarity `similarity` or more.
 
+    Texts without words are one group; a null id stays null and counts only where no other is; repeated rows each get
+    their row; an empty table gives no rows. See `_groups` for the method.
+    """
+    rows, groups, firsts = _groups(df, shingle, similarity, block, id_col, text_col)
+    return spread_join(rows, groups, "node", "doc_id", heavy_keys(firsts, "node", "n")).select("doc_id", "component_id")
+
+
+def _groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, node) of each row, (node, component_id, best) and (node, first, n) of each distinct text, a node.
+
     At that similarity fingerprints differ in too many bits for segments that agree, so candidates meet by keys of least
     shingle hashes. Their fingerprints are compared round the ring of segments; the closest links that hang a block
     together are checked on the shingles themselves. Where one of them fails, it may have displaced others, so all pairs of
-    the texts that it hung together are checked. Exact copies are one node. A key's rows are cut into blocks, and every
-    pair of blocks is a group of its own. Texts without words are one group; a null id stays null and counts only where
-    no other is; repeated rows each get their row; an empty table gives no rows.
+    the texts that it hung together are checked. So no link that a key shows is lost. Exact copies are one node. A key's
+    rows are cut into blocks, and every pair of blocks is a group of its own.
     """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # repeated rows of an owner lie in one partition
         for batch in slices(batches):
+            fresh = [not (x in seen or seen.add(x)) for x in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             made = [wide_sketch(x.lower().split(), shingle) for x in batch.column(1).to_pylist()]
             arrays = [batch.column(0), pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.list_(pa.int64())), pa.array([x[2] for x in made], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["node", "print", "keys", "shingles"])
 
-    texts = id_and_text(df, id_col, text_col).withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    node = F.xxhash64("sha")
-    rows = checkpointed(texts.select("doc_id", node.alias("node")))
-    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
+    texts = id_and_text(df, id_col, text_col).withColumn("node", text_key(F.col("text")))
+    rows = checkpointed(texts.select("doc_id", "node"))
+    firsts = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     # One row of each text makes its sketch; which row that is doesn't matter, as they are equal.
     owners = firsts.select(F.col("node").alias("its"), "first").hint("shuffle_hash")
-    one = texts.select("doc_id", node.alias("node"), "text").join(owners, (F.col("node") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    one = texts.select("doc_id", "node", "text").join(owners, (F.col("node") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("first")))
     sketched = checkpointed(one.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(sketches, "node long, print binary, keys array<long>, shingles array<int>"))
 
-    keyed = sketched.select("node", "print", F.explode("keys").alias("key"))
+    keyed = sketched.select("node", "print", (F.size("shingles") < FEW).alias("few"), F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     met = keyed.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "print")
+    met = met.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "print", "few")
     order = ["key", "a", "b"]
     met = met.repartition(*order).sortWithinPartitions(*order, "node")
 
@@ -291,11 +324,11 @@ def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: floa
         change = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])
         starts = np.r_[0, np.flatnonzero(change) + 1, batch.num_rows].tolist()
         prints = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-        nodes = columns[3]
+        nodes, few = columns[3], batch.column(5).to_numpy(zero_copy_only=False).astype(bool)
         for a, b in zip(starts, starts[1:] if last else starts[1:-1], strict=False):
             if b - a > 1:
                 x, first = np.unique(nodes[a:b], return_index=True)
-                out += named([(int(x[i]), int(x[j])) for i, j in wide_links(prints[a:b][first])])
+                out += named([(int(x[i]), int(x[j])) for i, j in wide_links(prints[a:b][first], few[a:b][first])])
         return None if last else batch.slice(starts[-2])
 
     def named(links_: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -349,7 +382,5 @@ def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: floa
     again = pairs.join(failed, "g").select("g", F.explode(F.array("u", "v")).alias("node")).distinct()
     again = again.join(again.groupBy("g").agg(F.count("*").alias("n")).where("n > 2"), "g").select("g", "node")
     again = again.join(sets, "node").select("g", "node", "shingles").repartition("g").sortWithinPartitions("g", "node")
-    roots = components(judged.where("holds").select("u", "v").union(again.mapInArrow(recheck, "u long, v long")))
-    tied = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(tied.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    found = judged.where("holds").select("u", "v").union(again.mapInArrow(recheck, "u long, v long"))
+    return rows, smallest_of_each(firsts.select("node", "first"), found), firsts

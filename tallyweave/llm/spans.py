@@ -23,12 +23,16 @@ def sum_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def sums_before(values: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
-    """`body` given a function of i: the sum of the first i values."""
-    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / BLOCK).cast("int")), lambda b: sum_of(F.slice(v, b * BLOCK + 1, BLOCK)))
-    starts = lambda w: F.transform(w, lambda _, b: sum_of(F.slice(w, F.lit(1), b)))
-    before = lambda v, s: lambda i: F.get(s, F.floor(i / BLOCK).cast("int")) + sum_of(F.slice(v, i - i % BLOCK + 1, i % BLOCK))
-    return bound(values, lambda v: bound(bound(blocks(v), starts), lambda s: body(before(v, s))))
+def most_of(values: Column) -> Column:
+    return F.coalesce(F.array_max(values), F.lit(0).cast("long"))
+
+
+def before(values: Column, body: Callable[[Callable[[Column], Column]], Column], fold: Callable[[Column], Column] = sum_of, both: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """`body` given a function of i: the sum of the first i values (or what `fold` makes of an array, and `both` of two results)."""
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / BLOCK).cast("int")), lambda b: fold(F.slice(v, b * BLOCK + 1, BLOCK)))
+    starts = lambda w: F.transform(w, lambda _, b: fold(F.slice(w, F.lit(1), b)))
+    at = lambda v, s: lambda i: both(F.get(s, F.floor(i / BLOCK).cast("int")), fold(F.slice(v, i - i % BLOCK + 1, i % BLOCK)))
+    return bound(values, lambda v: bound(bound(blocks(v), starts), lambda s: body(at(v, s))))
 
 
 def matches(text: Column, pattern: str, kind: str, rank: int, holds: Callable[[Column, Column], Column] | None = None, group: int = 0) -> Column:
@@ -44,12 +48,12 @@ def matches(text: Column, pattern: str, kind: str, rank: int, holds: Callable[[C
     def placed(x: Column) -> Column:
         units = F.transform(x, lambda s: s["gap"] + F.coalesce(F.length(s["whole"]), F.lit(0)))
 
-        def spans(before: Callable[[Column], Column]) -> Column:
-            at = F.transform(x, lambda s, i: F.struct((before(i) + s["gap"]).alias("start"), s["whole"].alias("whole"), s["inner"].alias("inner")))
+        def spans(sums: Callable[[Column], Column]) -> Column:
+            at = F.transform(x, lambda s, i: F.struct((sums(i) + s["gap"]).alias("start"), s["whole"].alias("whole"), s["inner"].alias("inner")))
             kept = F.filter(at, lambda s: s["whole"].isNotNull() & (F.lit(True) if holds is None else holds(s["whole"], s["inner"])))
             return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (s["start"] + F.length(s["whole"])).alias("stop")))
 
-        return sums_before(units, spans)
+        return before(units, spans)
 
     return F.when(text.rlike(pattern), bound(steps, placed).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
@@ -73,15 +77,12 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def masked(text: Column, spans: Column, mask: Callable[[Column], Column]) -> Column:
-    """The text with every span replaced by `mask(span)`; a span that begins inside the one before it only extends it."""
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.when(fresh, F.concat(acc["out"], gap, mask(s))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
+    """The text with every span replaced by `mask(span)`; a span that begins inside the one before it only extends it.
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)
+    Pieces are made one by one and joined once, so that many spans take time in proportion.
+    """
+    gap = lambda s, at: F.substring(text, (at + 1).cast("int"), (s["start"] - at).cast("int"))
+    # `reach(i)`: how far the first i spans go.
+    piece = lambda reach: lambda s, i: F.when(s["start"] >= reach(i), F.concat(gap(s, reach(i)), mask(s))).otherwise("")
+    pieces = lambda reach: F.concat(F.array_join(F.transform(spans, piece(reach)), ""), F.substring(text, (reach(F.size(spans)) + 1).cast("int"), F.length(text)))
+    return F.when(F.size(spans) > 0, before(F.transform(spans, lambda s: s["stop"]), pieces, most_of, F.greatest)).otherwise(text)

@@ -66,6 +66,41 @@ def test_quality_verdict(spark):
     assert [tuple(r)[::2] for r in quality.passing(table).collect()] == [(1, "x")]
 
 
+def test_quality_bands(docs, rows):
+    """The verdict from its definition: chunks of every byte, limits by length."""
+    import zstandard
+
+    limits = lambda n: [(low, high) for start, low, high in quality.BANDS if n >= start][-1]
+    ratio = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x)) / len(x)
+    want = []
+    for r in quality.compression_bands(docs).collect():
+        want.append((r.doc_id, r.n_words, r.kept, r.chunks_outside, r.n_chunks, round(r.ratio, 9), r.base_failed))
+    got, failed = [], {(x[0], x[1], x[5]): x[6] for x in want}
+    for i, t in rows:
+        b, n = t.encode(), len(t.encode().split())
+        parts = [b[k : k + 4096] for k in range(0, len(b), 4096)]
+        out = [x for x in parts if not 0.7 * limits(len(x))[0] <= ratio(x) <= 1.07 * limits(len(x))[1]]
+        whole = round(ratio(b), 9) if b else 0.0
+        good = not failed[i, n, whole] and limits(len(b))[0] <= whole <= limits(len(b))[1] and 2 * sum(map(len, out)) <= len(b)
+        got.append((i, n, good, len(out), len(parts), whole, failed[i, n, whole]))
+    same(got, want)
+    assert 0 < sum(x[2] for x in got) < len(got)
+
+
+def test_quality_judges_every_chunk(spark):
+    import base64
+
+    random.seed(4)
+    prose = " ".join("".join(random.choice(["ta", "re", "mo", "li", "su", "en", "or"]) for _ in range(random.randint(1, 4))) for _ in range(2000))[:5000]
+    noise = base64.b85encode(random.randbytes(3000)).decode()
+    noise = " ".join(noise[i : i + 40] for i in range(0, len(noise), 40))
+    short = ["go " * 25, "the cat sat on a red mat and we ran to the big dog by the sea at ten as it was hot", "a b c d e f g h i j k l m n o p q r s t u v w"]
+    texts = [prose, prose[:4096] + " " + noise[:3900] + " x", prose[:3000], *short]
+    got = {r.doc_id: r for r in quality.compression_bands(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].kept for i in (0, 2, 4, 5)] == [True] * 4 and got[3].base_failed
+    assert (got[0].n_chunks, got[1].n_chunks, got[1].chunks_outside) == (2, 2, 1)
+
+
 def test_bpe_is_the_library(docs, rows):
     import tiktoken
 
@@ -88,6 +123,18 @@ def test_bpe_appends_and_edits():
         assert bpe.Prefixes(v, data).replace(cut, len(data), new).ids() == bpe.Prefixes(v, data[:cut] + new).ids()
 
 
+def test_bpe_edits_stop_where_tokens_agree():
+    v = bpe.ranks_of(P.path("byte_bpe_multi_50k.tiktoken"))
+    random.seed(6)
+    data = bytes(random.choice(b"aeionrst lh") for _ in range(3000))
+    for _ in range(20):
+        start = random.randint(0, len(data))
+        stop, new = min(len(data), start + random.randint(0, 5)), bytes(random.choice(b"aeionrst") for _ in range(random.randint(0, 5)))
+        edited, fresh = bpe.Prefixes(v, data), bpe.Prefixes(v, data[:start] + new + data[stop:])
+        edited.replace(start, stop, new)
+        assert edited.data == fresh.data and edited.last == fresh.last
+
+
 def test_counts_are_the_library(docs, rows):
     from tokenizers import Tokenizer
 
@@ -163,9 +210,22 @@ def test_links_of_crowded_fingerprints(spark, block):
 
 
 def test_components_of_a_path_and_a_star(spark):
-    edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 200)] + [(5, 5)]
+    edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 5000)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {i: 0 for i in range(61)} | {k: 100 for k in range(100, 200)}
+    assert got == {i: 0 for i in range(61)} | {k: 100 for k in range(100, 5000)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_hubs_are_dealt_out(spark):
+    from tallyweave.llm.common import PARTS, heavy_keys, spread_join
+
+    rows = spark.range(3000).selectExpr("if(id < 2000, 7, id) AS k", "id")
+    table = spark.createDataFrame([(7, "hub"), (2500, "leaf"), (9, "none")], "k long, name string")
+    heavy = heavy_keys(rows.groupBy("k").count(), "k", "count")
+    assert [r.heavy for r in heavy.collect()] == [7]
+    got = spread_join(rows, table, "k", "id", heavy)
+    same([(r.k, r.id, r.name) for r in got.collect()], [(7, i, "hub") for i in range(2000)] + [(2500, 2500, "leaf")])
+    assert spread_join(rows, table, "k", "id", heavy, "left").count() == 3000 and PARTS > 1
 
 
 def test_near_duplicates(docs, rows):
@@ -181,6 +241,36 @@ def test_near_duplicates(docs, rows):
     same([tuple(r) for r in simhash.near_duplicates(docs).collect()], [(i, least.get(r)) for (i, _), r in zip(rows, roots, strict=True)])
 
 
+def test_near_duplicates_around_the_limit(spark):
+    """Clusters of variants of one text near the limit, and short texts, against all pairs; recall of links between different texts is 1 here."""
+    draw, texts = random.Random(9), []
+    for size in [8, 9, 9, 10, 12, 16, 30, 60, 120, 250] * 4:
+        words = [f"v{draw.randrange(10**9)}" for _ in range(size)]
+        for _ in range(12):
+            w = list(words)
+            for _ in range(draw.randint(0, max(1, size // 30))):
+                w[draw.randrange(size)] = f"u{draw.randrange(10**9)}"
+            texts.append(" ".join(w[draw.randint(0, 1) :]))
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))) for t in texts]
+    roots = linked(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (256, 7):
+        got = simhash.near_duplicates(table, block=block).collect()
+        same([tuple(r) for r in got], list(enumerate(roots)))
+    assert 40 < len(set(roots)) < len(texts) - 40
+
+
+def test_one_of_each(spark):
+    words = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    near = words(1).rsplit(" ", 1)[0] + " other"
+    rows = [(3, words(1)), (2, near), (None, words(1)), (2, words(2)), (2, words(2)), (1, words(2)), (None, words(3)), (None, words(3)), (None, words(4)), (5, None), (6, ""), (7, " \n")]
+    table = spark.createDataFrame([(i, t, "a", 1, 2, "b") for i, t in rows], "doc_id long, text string, node string, id int, row int, gone_id string")
+    got = simhash.one_of_each(table)
+    assert got.columns == table.columns
+    same([(r.doc_id, r.text) for r in got.collect()], [(2, near), (1, words(2)), (None, words(3)), (None, words(4)), (5, None)])
+    assert simhash.one_of_each(table.limit(0)).count() == 0
+
+
 def test_near_duplicates_on_one_template(spark):
     draw = random.Random(2)
     words = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
@@ -222,6 +312,34 @@ def test_contamination_with_other_slots(spark):
     assert 10 in got and got[10].consistent == 1.0 and 11 not in got and 12 not in got
 
 
+def test_contamination_keeps_whole_numbers_and_names(spark):
+    item = "Maria Lopez pays 1,250.50 dollars for twenty-five red lamps and sells 3.5 of them each day until none is left in her shop"
+    asked = "Joe pays 980 euros for 12 red lamps and sells 40 of them each day until none is left in her shop"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, asked), (2, item.upper()), (3, "Joe pays for red lamps and a day")], "doc_id long, text string")
+    assert {r.doc_id for r in contamination(docs, items).collect()} == {1, 2}
+
+
+def test_contamination_by_a_shuffle(spark, docs):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = [contamination(docs, items, broadcast_bytes=b).collect() for b in (0, 1 << 30)]
+    same(*[[tuple(r) for r in x] for x in got])
+    assert got[0]
+
+
+def test_decontaminated(spark):
+    from tallyweave.llm.decontam import decontaminated
+
+    item = "how many brown apples does the old man sell on the long road before the rain comes down again"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, "so: " + item), (None, "clean"), (4, item), (4, "clean too"), (5, None), (6, ""), (6, "")]
+    table = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, gone_id int, row_key string")
+    got = decontaminated(table, items)
+    assert got.columns == table.columns
+    same([(r.doc_id, r.text) for r in got.collect()], [x for x in rows if item not in (x[1] or "")])
+    assert decontaminated(table, items.limit(0)).count() == len(rows) and decontaminated(table.limit(0), items).count() == 0
+
+
 def test_katz(spark, docs, rows):
     got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in katz.katz_scores(docs, batch_bytes=60_000).collect()]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
@@ -280,6 +398,28 @@ def test_empty_tables(spark):
     assert contamination(none, none.withColumnRenamed("doc_id", "item_id")).count() == 0
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Each stage alone: null, equal and repeated ids, null and empty texts, clashing names, an empty table."""
+    import corpus_pipeline
+
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    prose = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars between 300 and 2000").orderBy("doc_id").limit(3).collect()
+    a, b, c = (r.text for r in prose)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, a), (1, a), (None, a), (1, b + " password = hunter2hunter2"), (None, item + " " + c), (1, item + " " + b), (2, None), (None, ""), (3, "x")]
+    fields = "doc_id long, text string, lang string, source string, n_chars long, gone_id int, row int, id int, node int, row_key int, blob int, path int, spans int"
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[1] * 8) for i, t in rows], fields)
+    texts = {name: [(r.doc_id, r.text) for r in f(spark, table, str(tmp_path)).collect()] for name, f in corpus_pipeline.STAGES[:-1]}
+    assert all(f(spark, table, str(tmp_path)).columns == table.columns for _, f in corpus_pipeline.STAGES[:-1])
+    assert len(texts["quality"]) == 6
+    same(texts["near_duplicates"], [rows[0], *rows[3:7], rows[8]])
+    same(texts["decontamination"], [r for r in rows if item not in (r[1] or "")])
+    same(texts["secrets"], [(i, t and t.replace("password = hunter2hunter2", "[SECRET]")) for i, t in rows])
+    assert corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).count() == len(rows)
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -64,6 +64,33 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     assert {r.rule for r in secrets.scan(docs, first, changed).select("rule").distinct().collect()} == {"assign@2"}
 
 
+def test_ledger_is_kept(spark, docs):
+    folder = secrets.ledger_folder(spark)
+    half = docs.where("doc_id < 100")
+    first = secrets.update(half, folder)
+    n = first.count()
+    assert n == half.selectExpr("coalesce(text, '')").distinct().count() * len(secrets.RULES)
+    whole = secrets.update(docs, folder)
+    assert whole.count() == docs.selectExpr("coalesce(text, '')").distinct().count() * len(secrets.RULES) > n
+    assert secrets.update(docs, folder).count() == whole.count()
+    of = lambda ledger: sorted(map(str, secrets.digest(secrets.findings(docs, ledger), secrets.BASE).collect()))
+    assert of(spark.read.parquet(folder)) == of(secrets.scan(docs))
+    newer = (secrets.Rule("assign", 2, "zzz"), *secrets.RULES[1:])
+    both = secrets.update(docs, folder, newer)
+    assert secrets.findings(docs, both, rules=newer).selectExpr("explode(spans) AS s").where("s.kind = 'assign'").count() == 0
+
+
+def test_repeated_rows_are_scanned_once(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh"), (1, "token=abcdefgh"), (None, "x"), (None, "x")], "doc_id long, text string")
+    assert secrets.scan(docs).count() == 2 * len(secrets.RULES)
+
+
+def test_many_masks(spark):
+    text = " ".join(f"{'é' * (i % 5)} token=abcdef{i}" for i in range(3000))
+    (row,) = secrets.redact(*(lambda d: (d, secrets.findings(d, secrets.scan(d))))(spark.createDataFrame([(1, text, 1)], "doc_id long, text string, __own int"))).collect()
+    assert row.text == re.sub("token=abcdef[0-9]+", "[SECRET]", text) and row["__own"] == 1
+
+
 def test_redaction(spark, docs):
     out = secrets.redact(docs, secrets.findings(docs, secrets.scan(docs)))
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -120,6 +147,56 @@ def test_terms_that_disclose(spark):
     assert "Kestrel" not in "".join(r.text for r in pii.sanitise(docs, found_).collect())
 
 
+def test_terms_by_brute_force(spark):
+    """Term spans from their definition, over texts whose contexts cut words, with copies, null and repeated rows."""
+    import math
+    import random
+    from collections import defaultdict
+
+    import regex
+
+    draw = random.Random(3)
+    common = [f"w{'abcdefghij'[i]}{'klmno'[j]}" for i in range(10) for j in range(5)]
+    say = lambda n: " ".join(draw.choice(common) for _ in range(n))
+    texts = [None, "", "international " + "x" * 66 + " jo@x.org"]
+    for k in range(8):
+        name, mail = f"Zorro{'abcdefgh'[k]}", f"u{k}@mail.example.org"
+        for _ in range(5):
+            gap = draw.choice([" ", "\n", " " + say(3) + " "])
+            texts.append(f"{say(40)} {name}{gap}{mail} {say(40)} {name.upper()} {say(20)}\n{say(5)}")
+        texts += [texts[-1]] * 20
+    texts += ["international " + "y" * 66 + f" to jo@x.org {i}" for i in range(4)]
+    texts += [say(60) for _ in range(100)]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, terms int, heavy int")
+    term = regex.compile(r"(?<![\p{L}\p{N}_@.+-])\p{L}[\p{L}\p{N}]{2,}(?![\p{L}\p{N}_@])")
+    mails = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    holds, near, support, spread = defaultdict(int), defaultdict(int), defaultdict(set), defaultdict(int)
+    for _, t in rows:
+        t = t or ""
+        for w in {x for x in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if x}:
+            spread[w] += 1
+        pairs = {(m[0].lower(), x[0].lower()) for m in mails.finditer(t) for x in term.finditer(t) if x.start() >= m.start() - 80 and x.end() <= m.end() + 80 and (x.end() <= m.start() or x.start() >= m.end())}
+        for e in {m[0].lower() for m in mails.finditer(t)}:
+            holds[e] += 1
+        for p in pairs:
+            near[p] += 1
+            support[p].add(t)
+    n = len(rows)
+    told = {(e, w) for (e, w), k in near.items() if len(support[e, w]) >= 3 and math.log(n * k / (holds[e] * spread[w])) / math.log(n / holds[e]) >= 0.85}
+    want = []
+    for i, t in rows:
+        t = t or ""
+        es = [(m.start(), 0, "email", m.end()) for m in mails.finditer(t)]
+        here = {w for e, w in told for m in mails.finditer(t) if m[0].lower() == e}
+        want.append((i, line(es + [(x.start(), 9, "term", x.end()) for x in term.finditer(t) if x[0].lower() in here])))
+    got = [(r.doc_id, r.spans) for r in pii.digest(pii.personal_data(table)).select("doc_id", "spans").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {w for _, w in told} >= {f"zorro{c}" for c in "abcdefgh"} and "national" not in {w for _, w in told}
+    clean = pii.sanitise(table, pii.personal_data(table))
+    assert clean.columns == table.columns and clean.count() == n and "zorro" not in "".join((r.text or "").lower() for r in clean.collect())
+
+
 def test_licenses(spark, docs):
     rows = licenses.license_scan(docs).collect()
     got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows), key=str)
