@@ -44,6 +44,18 @@ FORMAL_TITLES = ("校長", "主任", "組長", "教師", "導師", "科任", "
 SHORT_COLUMNS = ("清冊序號", "姓名", "薪俸表別", "總金額", "支領數額", "專業加給表別", "總金額.1", "支領數額.1", "職務加給表別", "總金額.2", "支領數額.2")
 REGION_COLUMNS = (*SHORT_COLUMNS, "地域加給表別", "總金額.3", "支領數額.3")
 NUMERIC_COLUMNS = ("清冊序號", "增支", *[f"{c}{s}" for s in ("", ".1", ".2", ".3") for c in ("總金額", "支領數額", "待遇差額", "補發金額")])
+#: A register's layout as shown.
+LAYOUT_LABELS = {"vertical": "直式（一人一欄）", "horizontal": "橫式（一人一列）"}
+#: What a match rests on, from the surest to the weakest; 單位 is followed by the department that the title gives.
+BASIS_ID, BASIS_NAME, BASIS_DEPT, BASIS_FLAG, BASIS_AMOUNTS, BASIS_LEFT = "身分證字號", "姓名", "單位", "主管職", "金額指紋", "順推"
+BASIS_NEAR = "姓名相近（AF 為「{}」，請確認是否同一人）"
+#: Texts of the warnings; the names follow, or stand at the braces.
+WARN_MISSING = "清冊中以下人員在 AF 找不到對應："
+WARN_EXTRA = "AF 中以下人員不在清冊內，已附加至末尾："
+WARN_TWICE = "清冊中以下姓名出現多次，請確認是重複登打或同名不同人："
+WARN_CODE = "AF 出現未知職務加給代碼 {}（{}），未納入比對"
+WARN_NAMESAKES = "AF 有 {} 位同名「{}」，將以職稱／單位區辨"
+WARN_SUMS = "薪資清冊本身加總不符（各項相加 ≠ 應發金額）：{}，請先確認清冊是否正確"
 #: The order of outcomes.
 STATUS_ORDER = ("diff", "pdf_only", "af_only", "ok")
 #: Thresholds of learning and matching.

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from tallyweave.functions import rules
 
 _FULLWIDTH = "０１２３４５６７８９"
+#: The characters that count as white space at the ends of a text.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(x: Column) -> Column:
     """Without white space of any script at both ends (Spark's trim knows only the blank)."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def blank_as_null(x: Column) -> Column:
@@ -22,10 +24,10 @@ def blank_as_null(x: Column) -> Column:
 
 
 def money(x: Column) -> Column:
-    """An amount as a whole number: thousands commas dropped, cents cut off, 0 for what isn't a number."""
-    plain = F.translate(strip(F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), ",", "")), _FULLWIDTH, "0123456789")
-    number = plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.coalesce(F.when(number, plain.try_cast("double").try_cast("bigint")), F.lit(0).cast("bigint"))
+    """An amount as a whole number: thousands commas dropped, cents cut off, 0 for what isn't a number. One _ may stand between digits."""
+    plain = F.translate(strip(F.translate(F.coalesce(x.cast("string"), F.lit("")), ",", "")), _FULLWIDTH, "0123456789")
+    number = plain.rlike(r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$")
+    return F.coalesce(F.when(number, F.translate(plain, "_", "").try_cast("double").try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def whole_number(x: Column) -> Column:
@@ -153,5 +155,10 @@ def poll_seconds(jobs: Column, idle_seconds: Column) -> Column:
     return F.when((jobs > 0) | (idle_seconds < rules.ACTIVE_WINDOW), rules.POLL_ACTIVE).otherwise(rules.POLL_IDLE)
 
 
+def in_order(items: Column, sep: str = "、") -> Column:
+    """The texts of an array of (..., text), joined in the order of what stands before them."""
+    return F.array_join(F.transform(F.array_sort(items), lambda x: x["text"]), sep)
+
+
 def clamp(x: Column, low: int = rules.POLL_ACTIVE, high: int = rules.POLL_IDLE) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))

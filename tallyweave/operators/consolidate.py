@@ -34,15 +34,22 @@ def cleaned(af: DataFrame) -> DataFrame:
 def consolidate(af: DataFrame) -> DataFrame:
     """One record per batch and person id: first name, last department, last pay and allowance with a code, sums by duty code, rows.
 
-    One shuffle; all parts are summed on the map side.
+    Numbers are aggregated by hash, with sums on the map side. Texts would force sorts, so their rows' places are aggregated
+    instead: a text's place and its number in its batch's list of texts are one number, and the lists, names and departments
+    of one file, are joined in the end.
     """
     rows = cleaned(af)
-    last = lambda value, key: F.coalesce(F.max_by(value, F.when(F.col(key) != "", F.col("row_ord"))), F.lit(0 if value.endswith("amt") else ""))
+    has = lambda key: F.when(F.col(key) != "", F.col("row_ord"))
+    last = lambda value, key: F.coalesce(F.max_by(value, has(key)), F.lit(0)).cast("bigint")
     duty = lambda codes: F.coalesce(F.sum(F.when(F.col("duty_code").isin(*codes), F.col("duty_amt"))), F.lit(0)).cast("bigint")
-    return rows.groupBy("batch_id", "person_id").agg(
-        F.min_by("name", "row_ord").alias("name"), last("dept", "dept").alias("dept"), last("pay_amt", "pay_code").cast("bigint").alias("pay"), last("prof_amt", "prof_code").cast("bigint").alias("prof"),
+    text = lambda c: F.xxhash64(c)
+    numbers = rows.groupBy("batch_id", "person_id").agg(
+        F.min_by(text("name"), F.col("row_ord")).alias("name_key"), F.max_by(text("dept"), has("dept")).alias("dept_key"), last("pay_amt", "pay_code").alias("pay"), last("prof_amt", "prof_code").alias("prof"),
         duty(rules.MANAGER_CODES).alias("mgr"), duty(rules.TEACHER_CODES).alias("tutor"), F.count("*").alias("n_rows"), F.min("row_ord").alias("row_ord"),
     )
+    named = lambda c: rows.select("batch_id", text(c).alias(f"{c}_key"), c).distinct()
+    out = numbers.join(named("name"), ["batch_id", "name_key"]).join(named("dept"), ["batch_id", "dept_key"], "left")
+    return out.select("batch_id", "person_id", "name", F.coalesce("dept", F.lit("")).alias("dept"), "pay", "prof", "mgr", "tutor", "n_rows", "row_ord")
 
 
 def unknown_codes(af: DataFrame) -> DataFrame:
@@ -61,6 +68,18 @@ def first_names(df: DataFrame, keys: list[str], name: str, n: int = 5) -> DataFr
     return ranked.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(name)), "、").alias("names"))
 
 
+def names(records: DataFrame) -> DataFrame:
+    """(batch_id, names): each batch's distinct names in order; a batch is one file."""
+    return records.groupBy("batch_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def warnings(af: DataFrame, records: DataFrame) -> DataFrame:
+    """(batch_id, warning) of unknown duty codes and of namesakes."""
+    filled = lambda form, *values: F.concat(*[x for part, v in zip(form.split("{}"), (*values, None), strict=True) for x in ((F.lit(part), v) if v is not None else (F.lit(part),))])
+    codes = unknown_codes(af).select("batch_id", filled(rules.WARN_CODE, F.col("duty_code"), F.col("names")).alias("warning"))
+    return codes.unionByName(namesakes(records).select("batch_id", filled(rules.WARN_NAMESAKES, F.col("n").cast("string"), F.col("name")).alias("warning")))
+
+
 def namesakes(records: DataFrame, keys: list[str] = ["batch_id"], name: str = "name") -> DataFrame:  # noqa: B006
     """Names that several records bear."""
     return records.groupBy(*keys, name).agg(F.count("*").alias("n")).where("n > 1")

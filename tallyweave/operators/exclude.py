@@ -16,14 +16,47 @@ def load_settings(settings: DataFrame, tenants: DataFrame) -> DataFrame:
     return tenants.join(settings, "tenant", "left").select("tenant", F.coalesce("titles", none).alias("titles"), F.coalesce("names", none).alias("names"), F.coalesce("use_default", F.lit(True)).alias("use_default"))
 
 
-def save_settings(settings: DataFrame, updates: DataFrame) -> DataFrame:
-    """The settings after updates (tenant, titles, names, use_default): lists trimmed, distinct and sorted; a null use_default leaves the old one."""
+def save_settings(settings: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+    """The settings after updates (tenant, titles, names, use_default): lists trimmed, distinct and sorted; a null use_default leaves the old one.
+
+    Of several updates of a tenant the last by `order` counts, and must be the only one without it; the last use_default that isn't null stays.
+    """
+    if order is not None:
+        of = F.coalesce(F.when(F.trim("tenant") != "", F.col("tenant")), F.lit("_default")).alias("tenant")
+        given = F.when(F.col("use_default").isNotNull(), F.col(order))
+        updates = updates.groupBy(of).agg(F.max_by("titles", order).alias("titles"), F.max_by("names", order).alias("names"), F.max_by("use_default", given).alias("use_default"))
     old = settings.select("tenant", F.col("titles").alias("t0"), F.col("names").alias("n0"), F.col("use_default").alias("u0"))
     new = updates.select(F.coalesce(F.when(F.trim("tenant") != "", F.col("tenant")), F.lit("_default")).alias("tenant"), sorted_set(F.col("titles")).alias("t1"), sorted_set(F.col("names")).alias("n1"), F.col("use_default").alias("u1"))
     both = old.join(new, "tenant", "full")
     return both.select("tenant", F.coalesce("t1", "t0").alias("titles"), F.coalesce("n1", "n0").alias("names"), F.coalesce("u1", "u0", F.lit(True)).alias("use_default"))
 
 
+def remember(settings: DataFrame, more: DataFrame) -> DataFrame:
+    """The settings with further titles and names (tenant, titles, names) put to those that are there; `changed` tells whether a tenant's lists grew.
+
+    Several rows of a tenant are put together.
+    """
+    none = F.array().cast("array<string>")
+    more = more.groupBy("tenant").agg(F.flatten(F.collect_list(F.coalesce("titles", none))).alias("t1"), F.flatten(F.collect_list(F.coalesce("names", none))).alias("n1"))
+    old = settings.select("tenant", F.col("titles").alias("t0"), F.col("names").alias("n0"), "use_default")
+    both = old.join(more, "tenant", "full").select("tenant", *[F.coalesce(c, none).alias(c) for c in ("t0", "n0", "t1", "n1")], F.coalesce("use_default", F.lit(True)).alias("use_default"))
+    titles, names = sorted_set(F.concat("t0", "t1")), sorted_set(F.concat("n0", "n1"))
+    changed = (titles != F.array_sort("t0")) | (names != F.array_sort("n0"))
+    return both.select("tenant", titles.alias("titles"), names.alias("names"), "use_default", changed.alias("changed"))
+
+
+def with_learned(settings: DataFrame, stats: DataFrame) -> DataFrame:
+    """`settings` with the titles that the statistics suggest put to every tenant's own; `changed` tells where they weren't there."""
+    found = learn(stats).where("verdict = 'suggest'").agg(F.collect_set("title").alias("titles"))  # one row, of titles alone
+    return remember(settings, settings.select("tenant").join(F.broadcast(found)).withColumn("names", F.array().cast("array<string>")))
+
+
+def by_total(stats: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Adds place, from 0: most people first, then by title; within `keys` where given."""
+    order = W.partitionBy(*keys).orderBy(F.desc("total"), "title")
+    return stats.withColumn("place", (F.row_number().over(order) - 1).cast("bigint"))
+
+
 def mark(people: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     """Adds secondary and secondary_reason. `settings` is one row per batch or tenant (batch_id, titles, names, use_default); without it the default words count.
 
@@ -74,5 +107,6 @@ def learned_by_batch(observations: DataFrame, order: str = "batch_ord") -> DataF
 
 
 def suggested_titles(people: DataFrame) -> DataFrame:
-    """Titles whose main post has a default word."""
-    return people.where(has_any(title_head(F.col("title")), rules.EXCLUDED_TITLES)).select("batch_id", "title").distinct()
+    """(batch_id, titles) per batch, in order, whose main post has a default word."""
+    found = people.where(has_any(title_head(F.col("title")), rules.EXCLUDED_TITLES))
+    return found.groupBy("batch_id").agg(sorted_set(F.collect_set("title")).alias("titles"))

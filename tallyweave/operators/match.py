@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,12 +18,12 @@ from tallyweave.functions.text import department, title_department
 
 #: (basis, key columns besides the batch, whether the last right row of a key counts instead of an only one)
 TIERS = (
-    ("身分證字號", ("k_id",), True),
-    ("姓名", ("k_name",), False),
-    ("單位", ("k_name", "k_dept"), False),
-    ("主管職", ("k_name", "k_flag"), False),
-    ("金額", ("k_name", "pay", "prof", "mgr", "tutor"), False),
-    ("同名唯一", ("k_name",), False),
+    (rules.BASIS_ID, ("k_id",), True),
+    (rules.BASIS_NAME, ("k_name",), False),
+    (rules.BASIS_DEPT, ("k_name", "k_dept"), False),
+    (rules.BASIS_FLAG, ("k_name", "k_flag"), False),
+    (rules.BASIS_AMOUNTS, ("k_name", "pay", "prof", "mgr", "tutor"), False),
+    (rules.BASIS_LEFT, ("k_name",), False),
 )
 
 
@@ -70,26 +73,58 @@ def tiers(rows: DataFrame, upto: int = len(TIERS)) -> DataFrame:
 
 def closest(name: str, known: list[str], cutoff: float) -> str | None:
     """The known name of the greatest matching ratio from `cutoff` on; of equals the last in order."""
-    best = None
-    for other in known:
-        # 2 * shorter / both bounds the ratio from above.
-        if 2 * min(len(name), len(other)) < cutoff * (len(name) + len(other)):
-            continue
-        m = SequenceMatcher(None, other, name)
-        m.set_seqs(other, name)
-        if m.quick_ratio() >= cutoff and (r := m.ratio()) >= cutoff and (best is None or (r, other) > best):
-            best = (r, other)
-    return None if best is None else best[1]
+    return Likeness(known).closest(name, cutoff)
+
+
+class Likeness:
+    """The names of one batch, ready to be compared with others. The letters in common bound a ratio from above, so that few are worked out."""
+
+    def __init__(self, names: Iterable[str]):
+        self.names = sorted(set(names))
+        self.letters = {c: i for i, c in enumerate(sorted(set("".join(self.names))))}
+        self.counts = np.zeros((len(self.names), len(self.letters)), np.int16)
+        for i, name in enumerate(self.names):
+            for c in name:
+                self.counts[i, self.letters[c]] += 1
+        self.sizes = np.array([len(n) for n in self.names], np.int64)
+        self.free = np.ones(len(self.names), bool)
+
+    def take(self, name: str) -> None:
+        """Leaves a name out from now on."""
+        self.free[bisect_left(self.names, name)] = False
+
+    def closest(self, name: str, cutoff: float) -> str | None:
+        own = np.zeros(len(self.letters), np.int16)
+        for c in name:
+            if c in self.letters:
+                own[self.letters[c]] += 1
+        whole = self.sizes + len(name)
+        most = np.where(whole > 0, 2.0 * np.minimum(self.counts, own).sum(axis=1) / np.maximum(whole, 1), 1.0)
+        at = np.flatnonzero(self.free & (most >= cutoff))
+        matcher, best = SequenceMatcher(), None
+        matcher.set_seq2(name)
+        for i in at[np.argsort(-most[at], kind="stable")].tolist():
+            if best is not None and most[i] < best[0]:
+                break
+            matcher.set_seq1(self.names[i])
+            if (r := matcher.ratio()) >= cutoff and (best is None or (r, self.names[i]) > best):
+                best = (r, self.names[i])
+        return None if best is None else best[1]
 
 
 def fuzzy_pairs(rows: DataFrame, cutoff: float = rules.MATCH_CUTOFF) -> DataFrame:
     """(batch_id, left_ord, right_ord) of names one letter apart, among what the keyed tiers left.
 
     In left order each row takes its closest free name, if that is one letter apart and no other free row bears it. A take
-    changes what is free for the next, so a batch, the size of one file, is handled in order in one task.
+    changes what is free for the next, so a batch, the size of one file, is handled in order in one task. Left rows without
+    any free name one letter apart can't take; they are left out before, by joining names with one letter left out.
     """
     free = rows.where(F.col("partner").isNull() & ~F.col("pending")).select("batch_id", "side", "row_ord", "k_name")
-    both = free.groupBy("batch_id").agg(F.count_if(F.col("side") == "L").alias("a"), F.count_if(F.col("side") == "R").alias("b")).where("a > 0 and b > 0")
+    holes = F.transform(F.sequence(F.lit(1), F.length("k_name")), lambda i: F.concat_ws(":", i.cast("string"), F.left("k_name", i - 1), F.substring(F.col("k_name"), i + 1, F.length("k_name"))))
+    holed = free.where(F.length("k_name") > 0).select("batch_id", "side", "row_ord", F.explode(holes).alias("hole"))
+    near = holed.where("side = 'L'").join(holed.where("side = 'R'").select("batch_id", "hole").distinct(), ["batch_id", "hole"]).select("batch_id", "row_ord").distinct()
+    lefts = free.where("side = 'L'").join(near, ["batch_id", "row_ord"], "left_semi")
+    free = lefts.unionByName(free.where("side = 'R'").join(near.select("batch_id").distinct(), "batch_id", "left_semi"))
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row_ord")
@@ -97,16 +132,17 @@ def fuzzy_pairs(rows: DataFrame, cutoff: float = rules.MATCH_CUTOFF) -> DataFram
         by_name: dict[str, list[int]] = {}
         for name, ord_ in zip(pool.k_name, pool.row_ord, strict=True):
             by_name.setdefault(name, []).append(ord_)
-        out = []
+        known, out = Likeness(by_name), []
         for name, ord_ in zip(group[group.side == "L"].k_name, group[group.side == "L"].row_ord, strict=True):
-            best = closest(name, list(by_name), cutoff)
+            best = known.closest(name, cutoff)
             if best is not None and len(best) == len(name) and sum(a != b for a, b in zip(best, name, strict=True)) == 1 and len(by_name[best]) == 1:
                 out.append((ord_, by_name.pop(best)[0]))
+                known.take(best)
         frame = pd.DataFrame(out, columns=["left_ord", "right_ord"]).astype("int64")
         frame.insert(0, "batch_id", group.batch_id.iloc[0])
         return frame
 
-    return free.join(both.select("batch_id"), "batch_id").groupBy("batch_id").applyInPandas(greedy, f"batch_id {rows.schema['batch_id'].dataType.simpleString()}, left_ord long, right_ord long")
+    return free.groupBy("batch_id").applyInPandas(greedy, f"batch_id {rows.schema['batch_id'].dataType.simpleString()}, left_ord long, right_ord long")
 
 
 def match_cascade(left: DataFrame, right: DataFrame, cutoff: float = rules.MATCH_CUTOFF) -> DataFrame:
@@ -118,12 +154,13 @@ def match_cascade(left: DataFrame, right: DataFrame, cutoff: float = rules.MATCH
     pairs = checkpointed(fuzzy_pairs(rows, cutoff))
     ends = pairs.select("batch_id", F.lit("L").alias("side"), F.col("left_ord").alias("row_ord"), F.col("right_ord").alias("more")).unionByName(pairs.select("batch_id", F.lit("R").alias("side"), F.col("right_ord").alias("row_ord"), F.col("left_ord").alias("more")))
     rows = rows.join(ends, ["batch_id", "side", "row_ord"], "left")
-    return rows.withColumn("basis", F.coalesce("basis", F.when(F.col("more").isNotNull(), "姓名相近"))).withColumn("partner", F.coalesce("partner", "more")).drop("more")
+    return rows.withColumn("basis", F.coalesce("basis", F.when(F.col("more").isNotNull(), rules.BASIS_NEAR))).withColumn("partner", F.coalesce("partner", "more")).drop("more")
 
 
-def label(basis: Column, dept: Column) -> Column:
-    """The basis as shown: with the department for matches by it."""
-    return F.when(basis == "單位", F.concat(basis, F.lit("（"), dept, F.lit("）"))).otherwise(basis)
+def label(basis: Column, title: Column, right_name: Column) -> Column:
+    """The basis as shown: with the department that the title gives for matches by it, with the other name for names one letter apart."""
+    dept = F.concat(basis, F.lit("（"), title_department(title), F.lit("）"))
+    return F.when(basis == rules.BASIS_DEPT, dept).when(basis == rules.BASIS_NEAR, F.replace(basis, F.lit("{}"), right_name)).otherwise(basis)
 
 
 def ambiguous_groups(rows: DataFrame) -> DataFrame:

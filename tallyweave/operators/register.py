@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweave.functions import rules
+from tallyweave.functions.lineage import checkpointed
 from tallyweave.functions.text import has_any, is_number_cell, money, strip
 
 FIELDS = ("pay", "prof", "mgr", "_tutor", "_special", "region", "gross", "net")
@@ -32,6 +33,14 @@ def layouts(rows: DataFrame) -> DataFrame:
     return first.select("batch_id", F.when(F.contains("top", F.lit("序號")) & F.contains("top", F.lit("姓名")), "vertical").otherwise("horizontal").alias("layout"))
 
 
+def layout_label(layout: Column) -> Column:
+    """A layout as shown."""
+    out = layout
+    for kind, text in rules.LAYOUT_LABELS.items():
+        out = F.when(layout == kind, text).otherwise(out)
+    return out
+
+
 def _alias(label: Column) -> Column:
     out = F.lit(None).cast("string")
     for text, field in rules.FIELD_ALIASES.items():
@@ -84,7 +93,10 @@ def horizontal(rows: DataFrame) -> DataFrame:
 
 
 def parse(rows: DataFrame) -> DataFrame:
-    """People of all batches, each by its own layout."""
-    kinds = layouts(rows)
-    of = lambda kind: rows.join(kinds.where(F.col("layout") == kind).select("batch_id"), "batch_id", "left_semi")
+    """People of all batches, each by its own layout.
+
+    The cells are read once, with their layout, and kept; both layouts' parts read what is kept.
+    """
+    rows = checkpointed(rows.select("batch_id", "tbl", "r", "c", "text").join(layouts(rows), "batch_id"))
+    of = lambda kind: rows.where(F.col("layout") == kind).drop("layout")
     return vertical(of("vertical")).withColumn("layout", F.lit("vertical")).unionByName(horizontal(of("horizontal")).withColumn("layout", F.lit("horizontal")))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyweave.functions.text import strip, whole_number
+from tallyweave.functions import rules
+from tallyweave.functions.text import in_order, strip, whole_number
 
 
 def clean_roster(roster: DataFrame) -> DataFrame:
@@ -48,6 +49,24 @@ def duplicated_names(roster: DataFrame) -> DataFrame:
     return clean_roster(roster).groupBy("batch_id", "name").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1")
 
 
+def warnings(roster: DataFrame, table: DataFrame) -> DataFrame:
+    """(batch_id, kind, warning) of names that the table lacks, that the roster lacks, and that the roster bears several times, each in order; a batch is one file."""
+    text = lambda place: in_order(F.collect_list(F.struct(F.col(place).cast("bigint").alias("place"), F.col("name").alias("text"))))
+    each = (
+        ("missing", rules.WARN_MISSING, missing(roster, table), "pos"),
+        ("extra", rules.WARN_EXTRA, extra_names(roster, table), "first"),
+        ("twice", rules.WARN_TWICE, duplicated_names(roster), "first"),
+    )
+    parts = [rows.groupBy("batch_id").agg(F.concat(F.lit(begin), text(place)).alias("warning")).select("batch_id", F.lit(kind).alias("kind"), "warning") for kind, begin, rows, place in each]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds place, the running number from 0 in each batch of a result of `reorder`."""
+    order = W.partitionBy("batch_id").orderBy("part", "pos", "row_ord")
+    return rows.withColumn("place", (F.row_number().over(order) - 1).cast("bigint"))
+
+
 def preview(rows: DataFrame, n: int = 20) -> DataFrame:
     """The first rows of the result."""
     return rows.orderBy("part", "pos", "row_ord").limit(n)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import rules
-from tallyweave.functions.text import money, strip, sum_check, without_leading_number
-from tallyweave.operators.match import closest
+from tallyweave.functions.text import in_order, money, strip, sum_check, without_leading_number
+from tallyweave.operators.match import Likeness
 
 MEASURES = rules.MEASURES
 
@@ -25,19 +23,19 @@ def annotate_sums(people: DataFrame, measures: tuple[str, ...] = (*MEASURES, "re
 def fix_names(rows: DataFrame, known: DataFrame, cutoff: float = rules.NAME_CUTOFF) -> DataFrame:
     """Adds fixed_name: the name where it is blank or known in its batch, else the closest known name from `cutoff` on, else the name.
 
-    Names with nothing exact, few, are compared with their own batch's names, in pieces of rows; a batch is one file.
+    Names with nothing exact are compared with their own batch's names, which lie in one task once; a batch is one file.
     """
-    names = known.select("batch_id", "name").distinct()
+    # New columns, as both frames may come from one.
+    names = known.select(F.col("batch_id").alias("batch_id"), F.col("name").alias("name")).distinct()
     exact = rows.join(names.withColumn("__known", F.lit(True)), ["batch_id", "name"], "left")
     open_ = exact.where((F.col("name") != "") & F.col("__known").isNull()).select("batch_id", "name").distinct()
-    lists = names.groupBy("batch_id").agg(F.collect_list("name").alias("names"))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["closest"] = [closest(n, list(known_), cutoff) for n, known_ in zip(b.name, b.names, strict=True)]
-            yield b[["batch_id", "name", "closest"]]
+    def best(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return own.assign(closest=pd.Series(dtype=object))
+        likeness = Likeness(others.name)
+        return own.assign(closest=[likeness.closest(n, cutoff) for n in own.name])
 
-    found = open_.join(lists, "batch_id").mapInPandas(best, f"batch_id {rows.schema['batch_id'].dataType.simpleString()}, name string, closest string")
+    found = open_.groupBy("batch_id").cogroup(names.select(F.col("batch_id").alias("batch_id"), F.col("name").alias("name")).groupBy("batch_id")).applyInPandas(best, f"batch_id {rows.schema['batch_id'].dataType.simpleString()}, name string, closest string")
     return exact.join(found, ["batch_id", "name"], "left").withColumn("fixed_name", F.coalesce("closest", "name")).withColumn("name_known", F.coalesce("__known", F.lit(False)) | F.col("closest").isNotNull()).drop("__known", "closest")
 
 
@@ -66,6 +64,18 @@ def validate(scanned: DataFrame, af: DataFrame) -> DataFrame:
     return rows.select("batch_id", "row_ord", F.col("name").alias("raw_name"), F.col("resolved").alias("name"), "title", "person_id", "id_ok", "name_ok", sum_ok.alias("sum_ok"), good.alias("good"), "gross", *MEASURES, F.when(~good, F.filter(reasons, lambda r: r.isNotNull())).alias("reasons"))
 
 
+def bad_sums(people: DataFrame) -> DataFrame:
+    """(batch_id, warning) for batches of `annotate_sums` with rows that don't add up, their names in the rows' order; a batch is one file."""
+    of = in_order(F.collect_list(F.struct("row_ord", F.col("name").alias("text"))))
+    return people.where("arith_ok = false").groupBy("batch_id").agg(F.replace(F.lit(rules.WARN_SUMS), F.lit("{}"), of).alias("warning"))
+
+
+def people_of(validated: DataFrame) -> DataFrame:
+    """Every scanned row (batch_id, row_ord, name, title), whether good or not, as title statistics take them: a doubtful one under the name suggested, else as read."""
+    name = F.when(F.col("good") | F.col("name_ok"), F.col("name")).otherwise(F.col("raw_name"))
+    return validated.select("batch_id", "row_ord", name.alias("name"), "title")
+
+
 def good_rows(validated: DataFrame) -> DataFrame:
     """Rows fit for comparison; an id that wasn't valid is left out."""
     return validated.where("good").select("batch_id", "row_ord", "name", "title", F.when(F.col("id_ok"), F.col("person_id")).otherwise("").alias("person_id"), *MEASURES, "gross")

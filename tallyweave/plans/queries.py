@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyweave.functions import text
+from tallyweave.functions import rules, text
+from tallyweave.functions.lineage import shared_folder
 from tallyweave.operators import compare as cmp
 from tallyweave.operators import consolidate as con
 from tallyweave.operators import exclude as exc
@@ -15,7 +18,7 @@ from tallyweave.operators import match as mat
 from tallyweave.operators import register as reg
 from tallyweave.operators import reorder as reo
 from tallyweave.operators import validate as val
-from tallyweave.sources import reports
+from tallyweave.sources import reports, scans, sheet, state
 from tallyweave.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,12 +69,12 @@ _LINES = f"""lines AS (SELECT l_orderkey % 16 AS batch_id, l_linenumber::BIGINT
   {_CODE} AS duty_code, l_suppkey AS duty_amt FROM lineitem)"""
 
 
-@query(f"""WITH {_LINES} SELECT batch_id, person_id, sum(pay)::BIGINT AS pay, sum(mgr)::BIGINT AS mgr, sum(tutor)::BIGINT AS tutor, sum(n_rows)::BIGINT AS n_rows, max(prof)::BIGINT AS prof, max(dept) AS dept FROM (
-  SELECT batch_id, person_id, coalesce(arg_max(pay_amt, row_ord) FILTER (has_pay), 0) AS pay, coalesce(arg_max(prof_amt, row_ord) FILTER (has_prof), 0) AS prof,
+@query(f"""WITH {_LINES} SELECT batch_id, person_id, sum(pay)::BIGINT AS pay, sum(mgr)::BIGINT AS mgr, sum(tutor)::BIGINT AS tutor, sum(n_rows)::BIGINT AS n_rows, max(prof)::BIGINT AS prof, max(dept) AS dept, max(name) AS name, max(row_ord)::BIGINT AS row_ord FROM (
+  SELECT batch_id, person_id, arg_min(name, row_ord) AS name, min(row_ord) AS row_ord, coalesce(arg_max(pay_amt, row_ord) FILTER (has_pay), 0) AS pay, coalesce(arg_max(prof_amt, row_ord) FILTER (has_prof), 0) AS prof,
     coalesce(arg_max(dept, row_ord) FILTER (dept <> ''), '') AS dept, coalesce(sum(duty_amt) FILTER (duty_code IN ('C1009', 'C1001')), 0) AS mgr,
     coalesce(sum(duty_amt) FILTER (duty_code = 'C1014'), 0) AS tutor, count(*) AS n_rows FROM lines GROUP BY ALL) GROUP BY batch_id, person_id""")
 def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return con.consolidate(_lines(spark, sf_dir)).select("batch_id", "person_id", "pay", "mgr", "tutor", "n_rows", "prof", "dept")
+    return con.consolidate(_lines(spark, sf_dir)).select("batch_id", "person_id", "pay", "mgr", "tutor", "n_rows", "prof", "dept", "name", "row_ord")
 
 
 @query(f"""WITH {_LINES} SELECT batch_id, duty_code, array_to_string(list_slice(list_sort(list(DISTINCT name)), 1, 5), '、') AS names FROM lines
@@ -80,6 +83,30 @@ def unknown_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return con.unknown_codes(_lines(spark, sf_dir))
 
 
+@query(f"""WITH {_LINES}, c AS (SELECT batch_id, person_id, arg_min(name, row_ord) AS name FROM lines GROUP BY ALL)
+  SELECT batch_id, array_to_string(list_sort(list(DISTINCT name)), ',') AS names, count(DISTINCT name) AS n FROM c GROUP BY batch_id""")
+def sorted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return con.names(con.consolidate(_lines(spark, sf_dir))).select("batch_id", F.array_join("names", ",").alias("names"), F.size("names").cast("bigint").alias("n"))
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT batch_id, person_id, arg_min(name, row_ord) AS name FROM lines GROUP BY ALL)
+  SELECT batch_id, 'AF 出現未知職務加給代碼 ' || duty_code || '（' || array_to_string(list_slice(list_sort(list(DISTINCT name)), 1, 5), '、') || '），未納入比對' AS warning FROM lines WHERE duty_code NOT IN ('C1009', 'C1001', 'C1014') GROUP BY batch_id, duty_code
+  UNION ALL SELECT batch_id, 'AF 有 ' || count(*) || ' 位同名「' || name || '」，將以職稱／單位區辨' FROM c GROUP BY batch_id, name HAVING count(*) > 1""")
+def load_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return con.warnings(lines, con.consolidate(lines))
+
+
+@query("""SELECT o_custkey % 16 AS batch_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Q' || o_custkey END AS person_id, max(o_orderkey) AS pay, count(*) AS n_rows FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY ALL""")
+def blank_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id, null or blank, are left out; ids in small letters and with blanks around are one person's."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 4
+    person = F.concat(F.when(k == 1, "q").otherwise(" Q"), F.col("o_custkey").cast("string"), F.when(k == 2, "　").otherwise(""))
+    blank = F.when(F.col("o_orderkey") % 8 == 0, F.lit(None).cast("string")).otherwise("　 ")
+    rows = o.select((F.col("o_custkey") % 16).alias("batch_id"), F.col("o_orderkey").alias("row_ord"), F.when(k == 0, blank).otherwise(person).alias("person_id"), F.lit("n").alias("name"), F.lit("P").alias("pay_code"), F.col("o_orderkey").cast("string").alias("pay_amt"), *[F.lit("").alias(c) for c in ("prof_code", "prof_amt", "duty_code", "duty_amt")])
+    return con.consolidate(rows).select("batch_id", "person_id", "pay", "n_rows")
+
+
 @query("SELECT p_brand AS batch_id, p_name AS name, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
 def namesakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return con.namesakes(table(spark, sf_dir, "part").select(F.col("p_brand").alias("batch_id"), F.col("p_name").alias("name")))
@@ -128,6 +155,29 @@ def roster_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reo.duplicated_names(part.select(F.col("p_brand").alias("batch_id"), F.col("p_partkey").alias("row_ord"), F.col("p_size").cast("string").alias("seq"), F.col("p_name").alias("name")))
 
 
+@query(f"""WITH {_ROSTER}, placed AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY seq) AS pos FROM own),
+  lost AS (SELECT batch_id, '清冊中以下人員在 AF 找不到對應：' || string_agg(name, '、' ORDER BY pos) AS warning FROM placed WHERE NOT EXISTS (FROM rows WHERE rows.name = placed.name) GROUP BY batch_id),
+  more AS (SELECT batch_id, 'AF 中以下人員不在清冊內，已附加至末尾：' || string_agg(name, '、' ORDER BY first) AS warning FROM (SELECT batch_id, name, min(row_ord) AS first FROM rows WHERE NOT EXISTS (FROM own WHERE own.name = rows.name) GROUP BY ALL) GROUP BY batch_id)
+  SELECT batch_id, 'missing' AS kind, warning FROM lost UNION ALL SELECT batch_id, 'extra', warning FROM more""")
+def reorder_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reo.warnings(*_roster(spark, sf_dir))
+
+
+@query("""SELECT p_brand AS batch_id, 'twice' AS kind, '清冊中以下姓名出現多次，請確認是重複登打或同名不同人：' || string_agg(p_name, '、' ORDER BY first) AS warning FROM (
+  SELECT p_brand, p_name, min(pos) AS first FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS pos FROM part) GROUP BY ALL HAVING count(*) > 1) GROUP BY p_brand""")
+def twice_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    roster = part.select(F.col("p_brand").alias("batch_id"), F.col("p_partkey").alias("row_ord"), F.col("p_size").cast("string").alias("seq"), F.col("p_name").alias("name"))
+    return reo.warnings(roster, roster.select("batch_id", "row_ord", "name"))
+
+
+@query(f"""WITH {_ROSTER}, placed AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY seq) AS pos FROM own),
+  every AS (SELECT p.batch_id, 0 AS part, p.pos, row_ord FROM placed p JOIN rows USING (batch_id, name) UNION ALL SELECT batch_id, 1, row_ord, row_ord FROM rows WHERE NOT EXISTS (FROM own WHERE own.name = rows.name))
+  SELECT batch_id, row_ord, row_number() OVER (PARTITION BY batch_id ORDER BY part, pos, row_ord) - 1 AS place FROM every""")
+def reorder_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reo.numbered(reo.reorder(*_roster(spark, sf_dir))).select("batch_id", "row_ord", "place")
+
+
 @query(f"""WITH {_ROSTER} SELECT name, row_ord FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY seq) AS pos FROM own) own JOIN rows USING (batch_id, name) ORDER BY pos, row_ord LIMIT 20""")
 def topk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reo.preview(reo.reorder(*_roster(spark, sf_dir)).where("part = 0")).select("name", "row_ord")
@@ -198,7 +248,8 @@ for _k in range(6):
     _tier(_k)
 
 
-_ALL = " UNION ALL ".join(f"SELECT batch_id, l_ord, r_ord, '{mat.TIERS[k][0]}' AS basis FROM m{k}" for k in range(6))
+_BASES = ("身分證字號", "姓名", "單位", "主管職", "金額指紋", "順推")
+_ALL = " UNION ALL ".join(f"SELECT batch_id, l_ord, r_ord, '{_BASES[k]}' AS basis FROM m{k}" for k in range(6))
 
 
 @query(f"WITH {_TIERS} {_ALL}")
@@ -229,10 +280,46 @@ def compare_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cmp.compare(*_registers(spark, sf_dir)).select("batch_id", "status", F.coalesce("left_ord", F.lit(-1)).alias("l_ord"), F.coalesce("right_ord", F.lit(-1)).alias("r_ord"), F.coalesce("needs_confirm", F.lit(False)).alias("needs_confirm"))
 
 
-@query(f"WITH {_RESULTS} SELECT batch_id, l_ord, 'pay' AS field, d_pay::BIGINT AS delta FROM results WHERE d_pay <> 0 UNION ALL SELECT batch_id, l_ord, 'mgr', d_mgr::BIGINT FROM results WHERE d_mgr <> 0")
+_SHOWN = f"""{_RESULTS}, basis AS (SELECT r_ord, basis FROM pairs),
+  shown AS (SELECT r.batch_id, r.status, r.l_ord, r.r_ord, coalesce(p.p_name, q.p_name) AS name, coalesce(b.basis, '') || CASE WHEN b.basis = '單位' THEN CASE r.l_ord // 2 % 5 WHEN 1 THEN '（教務處）' WHEN 2 THEN '（學生事務處）' ELSE '（總務處）' END ELSE '' END AS match_basis,
+    CASE WHEN r.r_ord IS NULL THEN '' ELSE CASE (r.r_ord - 1) // 2 % 4 WHEN 0 THEN '教務處' WHEN 1 THEN '學務處' WHEN 2 THEN '' ELSE '總務處' END END AS dept,
+    CASE WHEN r.r_ord % 10 = 1 THEN 'i' || p.p_size ELSE '' END AS person_id,
+    CASE WHEN r.l_ord IS NULL THEN '' ELSE CASE r.l_ord // 2 % 5 WHEN 0 THEN '教師' WHEN 1 THEN '教學組長' WHEN 2 THEN '教師兼學務主任' WHEN 3 THEN '代理工友' ELSE '長代教師' END END AS title
+    FROM results r LEFT JOIN part p ON r.r_ord = p.p_partkey LEFT JOIN part q ON r.l_ord = q.p_partkey LEFT JOIN basis b ON r.r_ord = b.r_ord AND r.l_ord IS NOT NULL)"""
+
+
+@query(f"WITH {_SHOWN} SELECT batch_id, status, name, title, dept, person_id, match_basis, row_number() OVER (PARTITION BY batch_id ORDER BY CASE status WHEN 'diff' THEN 0 WHEN 'pdf_only' THEN 1 WHEN 'af_only' THEN 2 ELSE 3 END, name, coalesce(l_ord, r_ord)) - 1 AS place FROM shown")
+def compare_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as they are shown, with their places: names, titles, departments, ids and what a match rests on."""
+    return cmp.placed(cmp.compare(*_registers(spark, sf_dir))).select("batch_id", "status", "name", "title", "dept", "person_id", "match_basis", "place")
+
+
+@query(f"""WITH {_SHOWN} SELECT batch_id, '[' || string_agg('{{"name":"' || name || '","status":"' || status || '","title":"' || title || '"}}', ',' ORDER BY CASE status WHEN 'diff' THEN 0 WHEN 'pdf_only' THEN 1 WHEN 'af_only' THEN 2 ELSE 3 END, name, coalesce(l_ord, r_ord)) || ']' AS records FROM shown GROUP BY batch_id""")
+def result_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results kept by batch in a table, and read again as records in their order."""
+    rows = cmp.placed(cmp.compare(*_registers(spark, sf_dir))).select("batch_id", "place", "name", "status", "title")
+    folder = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    state.keep_result(rows, folder)
+    return state.kept_records(spark, folder, "place", ["name", "status", "title"])
+
+
+@query(f"""WITH {_RESULTS}, s AS (SELECT r.*, r.l_ord // 2 % 5 IN (3, 4) AS aside FROM results r)
+  SELECT batch_id, count(*) FILTER (status = 'ok' AND NOT coalesce(aside, false)) AS ok, count(*) FILTER (coalesce(aside, false)) AS secondary, count(*) FILTER (coalesce(aside, false) AND status IN ('diff', 'pdf_only')) AS secondary_diff FROM s GROUP BY batch_id""")
+def compare_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts with rows set aside by their titles."""
+    left, right = _registers(spark, sf_dir)
+    left = exc.mark(left)
+    matched = mat.match_cascade(left, right)
+    results = cmp.compare(left, right, matched)
+    main, aside = cmp.parts(results)
+    n = main.where("status = 'ok'").groupBy("batch_id").agg(F.count("*").alias("ok"))
+    return cmp.summary(results, matched).drop("ok").join(n, "batch_id", "left").select("batch_id", F.coalesce("ok", F.lit(0)).alias("ok"), "secondary", "secondary_diff")
+
+
+@query(f"WITH {_RESULTS} SELECT batch_id, l_ord, 'pay' AS field, '薪俸／本俸' AS label, d_pay::BIGINT AS delta FROM results WHERE d_pay <> 0 UNION ALL SELECT batch_id, l_ord, 'mgr', '職務加給', d_mgr::BIGINT FROM results WHERE d_mgr <> 0")
 def compare_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cmp.compare(*_registers(spark, sf_dir)).select("batch_id", F.col("left_ord").alias("l_ord"), F.explode("diffs").alias("d"))
-    return rows.select("batch_id", "l_ord", "d.field", "d.delta")
+    return rows.select("batch_id", "l_ord", "d.field", "d.label", "d.delta")
 
 
 @query(f"""WITH {_RESULTS}, waiting AS (SELECT batch_id, count(*) AS n FROM (SELECT batch_id, name FROM pending INTERSECT SELECT batch_id, name FROM (SELECT batch_id, name FROM l6 UNION ALL SELECT batch_id, name FROM r6)) GROUP BY batch_id)
@@ -253,13 +340,34 @@ def fuzzy_hamming1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where(text.one_letter_apart(F.col("word"), F.col("b"))).select("brand", F.col("word").alias("a"), "b")
 
 
-@query()
+@query("""SELECT c_custkey // 250 AS batch_id, c_custkey % 4 <> 3 AS name_known,
+  CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'Cuxtomer' || substr(c_name, 9) WHEN 2 THEN '' ELSE '~~' || c_custkey END AS name,
+  CASE c_custkey % 4 WHEN 2 THEN '' WHEN 3 THEN '~~' || c_custkey ELSE c_name END AS fixed_name FROM customer""".replace("c_custkey % 4 <> 3 AS name_known", "c_custkey % 4 < 2 AS name_known"))
 def fuzzy_difflib(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' names with a letter changed, fixed by the names of their batch."""
-    c = table(spark, sf_dir, "customer").withColumn("batch_id", F.col("c_custkey") % 64)
-    known = c.select("batch_id", F.col("c_name").alias("name"))
-    broken = c.where("c_custkey % 5 = 0").select("batch_id", F.overlay("c_name", F.lit("x"), F.lit(3)).alias("name"))
-    return val.fix_names(broken, known).select("batch_id", "name", "fixed_name", "name_known")
+    """All customers' names fixed by the names of their batch: unchanged ones, ones with a letter changed, blank ones, and ones like none."""
+    c = table(spark, sf_dir, "customer").withColumn("batch_id", F.floor(F.col("c_custkey") / 250))
+    k = F.col("c_custkey") % 4
+    name = F.when(k == 0, F.col("c_name")).when(k == 1, F.overlay("c_name", F.lit("x"), F.lit(3))).when(k == 2, "").otherwise(F.concat(F.lit("~~"), F.col("c_custkey").cast("string")))
+    return val.fix_names(c.select("batch_id", name.alias("name")), c.select("batch_id", F.col("c_name").alias("name"))).select("batch_id", "name", "fixed_name", "name_known")
+
+
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers on both sides, one letter changed on the left, and of every fifth nobody on the right."""
+    c = table(spark, sf_dir, "customer")
+    common = [F.floor(F.col("c_custkey") / 100).alias("batch_id"), F.col("c_custkey").alias("row_ord")]
+    amounts = [F.col("c_nationkey").cast("bigint").alias("pay"), *[F.lit(0).cast("bigint").alias(m) for m in ("prof", "mgr", "tutor")]]
+    left = c.select(*common, F.overlay("c_name", F.lit("x"), F.lit(3)).alias("name"), F.lit("教師").alias("title"), F.lit("").alias("person_id"), *amounts)
+    right = c.where("c_custkey % 5 <> 0").select(*common, F.col("c_name").alias("name"), F.col("c_mktsegment").alias("dept"), F.concat(F.lit("K"), F.col("c_custkey").cast("string")).alias("person_id"), *amounts)
+    return left, right
+
+
+@query("""SELECT c_custkey // 100 AS batch_id, c_custkey % 5 = 0 AS alone, CASE WHEN c_custkey % 5 = 0 THEN 'pdf_only' ELSE 'ok' END AS status,
+  CASE WHEN c_custkey % 5 = 0 THEN 'Cuxtomer' || substr(c_name, 9) ELSE c_name END AS name, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'K' || c_custkey END AS person_id,
+  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS dept, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '姓名相近（AF 為「' || c_name || '」，請確認是否同一人）' END AS match_basis FROM customer""")
+def tier_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names one letter apart, each with the closest of its batch."""
+    rows = cmp.compare(*_near(spark, sf_dir))
+    return rows.select("batch_id", (F.col("status") == "pdf_only").alias("alone"), "status", "name", "person_id", "dept", "match_basis")
 
 
 # --- scalar functions --------------------------------------------------------------------------------------------------
@@ -335,12 +443,71 @@ def learned_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exc.learned_by_batch(_observations(spark, sf_dir).withColumn("batch_ord", F.col("batch_id").cast("bigint")))
 
 
-@query("SELECT p_brand AS tenant, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS titles FROM part GROUP BY p_brand")
-def settings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("SELECT p_brand AS tenant, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS titles, false AS use_default FROM part GROUP BY p_brand")
+def settings_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings replaced by the last of two updates each; a null use_default leaves the old one."""
     part = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("tenant")).agg(F.collect_set(F.concat(F.lit(" "), "p_type", F.lit("　"))).alias("titles"))
-    updates = part.select("tenant", "titles", F.array(F.lit("")).alias("names"), F.lit(None).cast("boolean").alias("use_default"))
+    last = part.select("tenant", "titles", F.array(F.lit("")).alias("names"), F.lit(None).cast("boolean").alias("use_default"), F.lit(2).alias("at"))
+    first = part.select("tenant", F.array(F.lit("first")).alias("titles"), F.array(F.lit("x")).alias("names"), F.lit(None).cast("boolean").alias("use_default"), F.lit(1).alias("at"))
     old = part.select("tenant", F.array(F.lit("old")).alias("titles"), F.array(F.lit("x")).alias("names"), F.lit(False).alias("use_default"))
-    return exc.save_settings(old, updates).select("tenant", F.array_join("titles", ",").alias("titles"))
+    return exc.save_settings(old, first.unionByName(last), "at").select("tenant", F.array_join("titles", ",").alias("titles"), "use_default")
+
+
+@query("""SELECT p_brand AS tenant, 'old,' || array_to_string(list_sort(list(DISTINCT p_type)), ',') AS titles, 'kept' || CASE WHEN min(p_size) < 5 THEN ',named' ELSE '' END AS names, true AS changed FROM part GROUP BY p_brand
+  UNION ALL SELECT 'quiet', 'old', 'kept', false""".replace("'old,' || array_to_string(list_sort(list(DISTINCT p_type)), ',')", "array_to_string(list_sort(list_append(list(DISTINCT p_type), 'old')), ',')"))
+def settings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections remembered: their titles and names are put to those that a tenant has."""
+    part = table(spark, sf_dir, "part")
+    more = part.groupBy(F.col("p_brand").alias("tenant"), (F.col("p_partkey") % 2).alias("k")).agg(F.collect_set(F.concat(F.lit(" "), "p_type")).alias("titles"), F.when(F.min("p_size") < 5, F.array(F.lit("named "))).otherwise(F.array().cast("array<string>")).alias("names"))
+    own = [F.array(F.lit("old")).alias("titles"), F.array(F.lit("kept")).alias("names"), F.lit(True).alias("use_default")]
+    quiet = spark.range(1).select(F.lit("quiet").alias("tenant"))
+    old = part.select(F.col("p_brand").alias("tenant")).distinct().unionByName(quiet).select("tenant", *own)
+    more = more.select("tenant", "titles", "names").unionByName(quiet.select("tenant", F.array(F.lit(" old")).alias("titles"), F.array(F.lit("")).alias("names")))
+    return exc.remember(old, more).select("tenant", F.array_join("titles", ",").alias("titles"), F.array_join("names", ",").alias("names"), "changed")
+
+
+@query(f"""WITH {_SEEN}, stats AS (SELECT title, sum(total) AS total, sum(in_af) AS in_af, count(*) AS files FROM seen GROUP BY title),
+  learned AS (SELECT title FROM stats WHERE in_af = 0 AND total >= 3 AND files >= 2)
+  SELECT user_id, event_id, CASE WHEN event_type || (event_id % 7) IN (FROM learned) THEN '職稱含「' || event_type || (event_id % 7) || '」' ELSE '' END AS reason FROM events""")
+def learned_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles learned from all batches are put to each tenant's own, and people marked by them."""
+    people = table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("string").alias("batch_id"), F.concat("event_type", (F.col("event_id") % 7).cast("string")).alias("title"), F.col("user_id").cast("string").alias("name"), "event_id", "user_id")
+    saved = people.select(F.col("batch_id").alias("tenant")).distinct().select("tenant", F.array().cast("array<string>").alias("titles"), F.array().cast("array<string>").alias("names"), F.lit(True).alias("use_default"))
+    settings = exc.with_learned(saved, exc.merge(_observations(spark, sf_dir))).withColumnRenamed("tenant", "batch_id")
+    return exc.mark(people, settings).select("user_id", "event_id", F.coalesce("secondary_reason", F.lit("")).alias("reason"))
+
+
+@query(f"""WITH {_SEEN}, stats AS (SELECT title, sum(total)::BIGINT AS total FROM seen GROUP BY title)
+  SELECT left(title, 1) AS first, title, total, row_number() OVER (PARTITION BY left(title, 1) ORDER BY total DESC, title) - 1 AS place FROM stats""")
+def titles_by_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = exc.merge(_observations(spark, sf_dir)).withColumn("first", F.left("title", F.lit(1)))
+    return exc.by_total(stats, ["first"]).select("first", "title", "total", "place")
+
+
+@query("""SELECT p_brand AS batch_id, array_to_string(list_sort(list(DISTINCT '代理' || p_type)), ',') AS titles FROM part WHERE p_size % 3 = 0 GROUP BY p_brand""")
+def suggested_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles with a default word in their main post; one only behind 兼 isn't one."""
+    part = table(spark, sf_dir, "part")
+    title = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" 代理"), "p_type")).when(F.col("p_size") % 3 == 1, F.concat("p_type", F.lit("兼代理"))).otherwise(F.col("p_type"))
+    return exc.suggested_titles(part.select(F.col("p_brand").alias("batch_id"), title.alias("title"))).select("batch_id", F.array_join("titles", ",").alias("titles"))
+
+
+@query("""SELECT '代理' || p_type AS title, count(*) AS total, count(*) FILTER (p_size > 25) AS in_af, 'wrong' AS verdict FROM part GROUP BY p_type HAVING count(*) FILTER (p_size > 25) > 0""")
+def wrong_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that the default words exclude though the register has them."""
+    part = table(spark, sf_dir, "part")
+    people = part.select(F.col("p_brand").alias("batch_id"), F.concat(F.lit("代理"), "p_type").alias("title"), F.col("p_partkey").cast("string").alias("name"))
+    known = part.where("p_size > 25").select(F.col("p_brand").alias("batch_id"), F.col("p_partkey").cast("string").alias("name"))
+    return exc.learn(exc.merge(exc.observe(people, known))).where("verdict = 'wrong'").select("title", "total", "in_af", "verdict")
+
+
+@query("SELECT user_id::VARCHAR AS tenant, CASE WHEN user_id % 3 = 0 THEN 'first' ELSE 'last' || max(event_id) END AS title, user_id % 3 = 0 AS old FROM events WHERE user_id % 3 = 0 OR event_id % 2 = 0 GROUP BY ALL".replace("WHERE user_id % 3 = 0 OR event_id % 2 = 0 GROUP BY ALL", "GROUP BY user_id"))
+def settings_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed table after updates: of a key's the last counts, other keys stay."""
+    e = table(spark, sf_dir, "events")
+    old = e.select(F.col("user_id").cast("string").alias("tenant"), F.lit("first").alias("title"), F.lit(True).alias("old"), F.lit(0).cast("bigint").alias("at")).distinct()
+    new = e.where("user_id % 3 <> 0").select(F.col("user_id").cast("string").alias("tenant"), F.concat(F.lit("last"), F.col("event_id").cast("string")).alias("title"), F.lit(False).alias("old"), F.col("event_id").alias("at"))
+    return state.upserted(old, new, ["tenant"], "at").select("tenant", "title", "old")
 
 
 # --- checks and corrections --------------------------------------------------------------------------------------------
@@ -386,6 +553,54 @@ def corrected_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return val.corrected(val.good_rows(checked), fixed).select("batch_id", "row_ord", "name")
 
 
+@query(f"WITH {_SCANNED} SELECT batch_id, row_ord, CASE WHEN name_ok THEN '' ELSE '姓名「空白」無法對應 AF 名單' END AS name_reason, CASE WHEN NOT name_ok THEN '身分證「ID' || batch_name || '」檢查碼不符，可能辨識錯誤' ELSE '' END AS id_reason, CASE WHEN none THEN '未讀到應發金額，無法驗算' WHEN sum_ok THEN '' ELSE '差 +7' END AS sum_reason FROM (SELECT *, substr(name, 2) AS batch_name FROM scanned) WHERE NOT (name_ok AND sum_ok)")
+def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reasons of rows that a person must look at, as texts."""
+    rows = val.quarantined(val.validate(*_scanned(spark, sf_dir)))
+    of = lambda part: F.coalesce(F.get(F.filter("reasons", lambda r: r.contains(part)), F.lit(0)), F.lit(""))
+    sums = of("應發金額")
+    return rows.select("batch_id", "row_ord", of("姓名").alias("name_reason"), of("身分證").alias("id_reason"), F.when(sums.contains("不符"), F.regexp_extract(sums, "差 [+-][0-9,]+", 0)).otherwise(sums).alias("sum_reason"))
+
+
+@query("SELECT c_nationkey AS batch_id, '薪資清冊本身加總不符（各項相加 ≠ 應發金額）：' || string_agg(c_name, '、' ORDER BY c_custkey) || '，請先確認清冊是否正確' AS warning FROM customer WHERE c_custkey % 3 = 1 GROUP BY c_nationkey")
+def sum_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 3
+    people = c.select(F.col("c_nationkey").alias("batch_id"), F.col("c_custkey").alias("row_ord"), F.col("c_name").alias("name"), F.col("c_custkey").alias("pay"), *[F.lit(0).cast("bigint").alias(m) for m in ("prof", "mgr", "tutor")], F.when(k == 0, F.col("c_custkey")).when(k == 1, F.col("c_custkey") + 1).otherwise(0).cast("bigint").alias("gross"))
+    return val.bad_sums(val.annotate_sums(people))
+
+
+@query(f"""WITH {_SCANNED}, p AS (SELECT batch_id, CASE WHEN name_ok THEN name ELSE '' END AS name FROM scanned)
+  SELECT batch_id, '教師' AS title, count(*) AS total, count(*) FILTER (name <> '') AS in_af FROM p GROUP BY batch_id""")
+def scanned_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title statistics of all scanned rows, good and doubtful together."""
+    rows, af = _scanned(spark, sf_dir)
+    return exc.observe(val.people_of(val.validate(rows, af)), af)
+
+
+@query(f"""WITH {_SCANNED}, kept AS (SELECT batch_id, row_ord, name, name_ok AND sum_ok AS good FROM scanned WHERE (name_ok AND sum_ok) OR row_ord % 5 <> 0),
+  people AS (SELECT batch_id, name, min(row_ord) AS row_ord, count(*) AS n FROM kept GROUP BY ALL), known AS (SELECT DISTINCT c_custkey % 32 AS batch_id, 'c' || c_custkey AS name FROM customer)
+  SELECT batch_id, name, CASE WHEN k.name IS NULL THEN 'pdf_only' WHEN p.name IS NULL THEN 'af_only' ELSE 'pair' END AS status FROM (SELECT batch_id, name, true FROM known) k FULL JOIN people p USING (batch_id, name)""")
+def corrected_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that passed and the corrected ones, one a name, compared with the register."""
+    rows, af = _scanned(spark, sf_dir)
+    checked = val.validate(rows, af)
+    first = lambda df: df.withColumn("__k", F.row_number().over(W.partitionBy("batch_id", "name").orderBy("row_ord"))).where("__k = 1").drop("__k")
+    need = val.quarantined(checked).join(rows.select("batch_id", "row_ord", F.replace("person_id", F.lit("id"), F.lit("c")).alias("name")), ["batch_id", "row_ord"]).where("row_ord % 5 <> 0")
+    good = first(val.good_rows(checked))
+    fixed = first(need).join(good.select("batch_id", "name"), ["batch_id", "name"], "left_anti")
+    records = af.select("*", F.lit("").alias("dept"), *[F.lit(0).cast("bigint").alias(m) for m in ("pay", "prof", "mgr", "tutor")])
+    results = cmp.with_corrections(good, fixed, records)
+    return results.select("batch_id", "name", F.when(F.col("status").isin("ok", "diff"), "pair").otherwise(F.col("status")).alias("status"))
+
+
+@query(f"WITH {_SCANNED} SELECT batch_id, row_ord, CASE WHEN name_ok THEN name ELSE '' END AS name FROM scanned WHERE name_ok AND sum_ok OR row_ord % 2 = 0")
+def promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubtful rows that are set aside go with the good ones, under the first of their names that isn't blank."""
+    checked = val.validate(*_scanned(spark, sf_dir))
+    need = val.quarantined(checked).withColumn("name", F.col("suggested_name")).withColumn("title", F.when(F.col("row_ord") % 2 == 0, "代課教師").otherwise("教師"))
+    return val.promote(val.good_rows(checked), exc.mark(need)).select("batch_id", "row_ord", "name")
+
+
 # --- registers ---------------------------------------------------------------------------------------------------------
 
 
@@ -405,9 +620,9 @@ def _cells(spark: SparkSession, sf_dir: str, vertical: bool) -> DataFrame:
     return rows.select("batch_id", F.lit(0).alias("tbl"), "x.r", "x.c", "x.text")
 
 
-@query("SELECT o_orderkey // 500 AS batch_id, '人' || o_orderkey AS name, o_orderpriority AS title, o_custkey AS pay, 7::BIGINT AS tutor, o_orderkey % 500 + 1 AS seq FROM orders")
+@query("SELECT o_orderkey // 500 AS batch_id, '人' || o_orderkey AS name, o_orderpriority AS title, o_custkey AS pay, 7::BIGINT AS tutor, o_orderkey % 500 + 1 AS seq, o_orderkey % 500 + 1 AS row_ord, '直式（一人一欄）' AS shown FROM orders")
 def register_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reg.parse(_cells(spark, sf_dir, True)).select("batch_id", "name", "title", "pay", "tutor", "seq")
+    return reg.parse(_cells(spark, sf_dir, True)).select("batch_id", "name", "title", "pay", "tutor", "seq", "row_ord", reg.layout_label(F.col("layout")).alias("shown"))
 
 
 @query("SELECT o_orderkey // 500 AS batch_id, '人' || o_orderkey AS name, o_orderpriority AS title, o_custkey AS pay FROM orders")
@@ -415,6 +630,80 @@ def register_horizontal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reg.parse(_cells(spark, sf_dir, False)).select("batch_id", "name", "title", "pay")
 
 
+@query("""SELECT o_orderkey // 500 AS batch_id, '人' || (o_orderkey // 2) AS name, min_by(o_custkey, o_orderkey) AS pay, '橫式（一人一列）' AS shown FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 GROUP BY ALL""")
+def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row-wise registers out of arrays of tables: rows of sums and names of one letter are skipped, a name's first row counts, empty tables are left out."""
+    o = table(spark, sf_dir, "orders").withColumn("batch_id", F.floor(F.col("o_orderkey") / 500))
+    k = F.col("o_orderkey")
+    name = F.when(k % 5 == 0, "合計").when(k % 7 == 0, "人").otherwise(F.concat(F.lit("人"), F.floor(k / 2).cast("string")))
+    line = F.struct(k.alias("k"), F.array(name, F.col("o_custkey").cast("string"), F.lit("x")).alias("row"))
+    body = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["row"])
+    head = F.array(F.array(F.lit("報表"), F.lit("")), F.array(F.lit("姓 名／姓名"), F.lit(" 本俸"), F.lit("其他")))
+    empty = F.array().cast("array<array<string>>")
+    docs = o.groupBy("batch_id").agg(F.array(empty, F.concat(head, body)).alias("tables"))
+    return reg.parse(reg.cells(docs)).select("batch_id", "name", "pay", reg.layout_label(F.col("layout")).alias("shown"))
+
+
+@query("""SELECT p_partkey, p_size::VARCHAR AS seq, p_name AS name, trunc(p_retailprice)::BIGINT::VARCHAR AS gross, p_brand AS region, 'p' AS code FROM part""")
+def region_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wanted columns that are there, in their order, numeric ones as whole numbers."""
+    part = table(spark, sf_dir, "part")
+    wide = part.select("p_partkey", F.col("p_brand").alias("地域加給表別"), F.lit("z").alias("別的"), F.col("p_name").alias("姓名"), F.format_number("p_retailprice", 2).alias("總金額.3"), F.col("p_size").cast("string").alias("清冊序號"), F.lit("p").alias("薪俸表別"))
+    kept = sheet.table_columns(wide, ("p_partkey", *rules.REGION_COLUMNS))
+    assert kept.columns == ["p_partkey", "清冊序號", "姓名", "薪俸表別", "地域加給表別", "總金額.3"]
+    return kept.select("p_partkey", F.col("清冊序號").alias("seq"), F.col("姓名").alias("name"), F.col("`總金額.3`").alias("gross"), F.col("地域加給表別").alias("region"), F.col("薪俸表別").alias("code"))
+
+
+@query("""SELECT c_nationkey || '.xlsx' AS batch_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row_ord, c_name AS name, c_custkey::VARCHAR AS seq, '' AS dept, c_mktsegment || '<&' AS code FROM customer""")
+def sheet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as one workbook a nation, and read again: trimmed headers, missing columns as '', all cells as texts."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("batch_id"), F.col("c_custkey").cast("string").alias(" 清冊序號 "), F.col("c_name").alias("姓名"), F.concat("c_mktsegment", F.lit("<&")).alias("總金額.1"), "c_custkey")
+    books = sheet.write_sheets(c, [" 清冊序號 ", "姓名", "總金額.1"], ["c_custkey"])
+    rows = sheet.parsed(books.select(F.concat(F.col("batch_id").cast("string"), F.lit(".xlsx")).alias("path"), "content"))
+    return sheet.columns_of(rows, {"seq": "清冊序號", "name": "姓名", "dept": "單位", "code": "總金額.1"})
+
+
+@query("""SELECT c_nationkey::VARCHAR AS batch_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row_ord, c_name AS name, c_custkey::VARCHAR AS pay, c_custkey % 2 = 0 AS id_valid,
+  CASE WHEN c_custkey % 3 = 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS confidence FROM customer""")
+def scan_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of scans as JSON messages, a job a nation, read as rows; a row's confidence is the one given, else the least of its fields'."""
+    c = table(spark, sf_dir, "customer")
+    least = F.when(F.col("c_custkey") % 3 == 0, F.lit(0.25))
+    fields = F.when(F.col("c_custkey") % 3 != 0, F.create_map(F.lit("a"), F.lit(0.75), F.lit("b"), F.lit(0.5)))
+    person = F.struct("c_custkey", F.to_json(F.struct(F.col("c_name").alias("姓名"), F.col("c_custkey").alias("薪俸"), F.when(F.col("c_custkey") % 2 == 0, F.lit(True)).alias("身分證有效"), least.alias("最低信心"), fields.alias("欄位信心"))).alias("p"))
+    people = F.array_join(F.transform(F.array_sort(F.collect_list(person)), lambda x: x["p"]), ",")
+    jobs_ = c.groupBy("c_nationkey").agg(F.concat(F.lit('{"job_id":"'), F.col("c_nationkey").cast("string"), F.lit('","people":['), people, F.lit("]}")).alias("value"))
+    return scans.people(jobs_).select("batch_id", "row_ord", "name", "pay", "id_valid", "confidence")
+
+
+@query("""SELECT p_partkey::VARCHAR AS job_id, CASE WHEN p_partkey % 3 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN p_partkey % 3 = 0 THEN repeat('x', least(300, p_size * 10)) ELSE '' END AS error,
+  CASE WHEN p_partkey % 3 = 0 THEN repeat('x', least(200, p_size * 10)) ELSE '' END AS brief FROM part""")
+def scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    raw = part.select(F.to_json(F.struct(F.col("p_partkey").cast("string").alias("job_id"), F.when(F.col("p_partkey") % 3 == 0, F.repeat(F.lit("x"), F.col("p_size") * 10)).alias("error"))).alias("value"))
+    long, short = scans.messages(raw), scans.messages(raw, brief=True).select("job_id", F.col("error").alias("brief"))
+    return long.join(short, "job_id").select("job_id", "status", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("brief", F.lit("")).alias("brief"))
+
+
+@query("SELECT c_nationkey::VARCHAR AS batch_id, count(*) AS n, count(*) FILTER (c_custkey % 3 = 1) AS n_ok FROM customer GROUP BY c_nationkey")
+def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each job, and those that add up to a gross amount that isn't 0."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 3
+    gross = F.when(k == 0, F.lit(0)).otherwise(F.col("c_custkey") + F.when(k == 1, 2).otherwise(3))
+    rows = c.select(F.col("c_nationkey").cast("string").alias("batch_id"), F.col("c_custkey").cast("string").alias("pay"), F.lit("2").alias("prof"), F.lit(None).cast("string").alias("mgr"), F.lit("x").alias("tutor"), gross.cast("string").alias("gross"))
+    return scans.scan_summary(rows)
+
+
+@query("SELECT page_id::VARCHAR AS path, CASE WHEN length(html) > 2000 THEN '' ELSE html END AS content, CASE WHEN length(html) > 2000 THEN 'larger than 2000 bytes' ELSE '' END AS error FROM pages".replace("length(html)", "octet_length(encode(html))"))
+def posted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as they go over the wire and come back; larger ones are refused and say so."""
+    data = F.encode(F.col("html"), "UTF-8")
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.octet_length("html").alias("length"), data.alias("content"))
+    sent = scans.posted(files, 2000)
+    back = scans.received(sent).select("path", F.decode("content", "UTF-8").alias("text"))
+    return sent.select("path", "error").join(back, "path", "left").select("path", F.coalesce("text", F.lit("")).alias("content"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 # --- queue, activity, reports ------------------------------------------------------------------------------------------
 
 
@@ -462,6 +751,52 @@ def scanned_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.get(text.from_first_thousand(numbers), F.lit(0)), F.lit(-1)).alias("pay"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey::VARCHAR WHEN o_orderkey % 3 = 1 THEN 'x' || o_orderkey ELSE '_default' END AS tenant, CASE WHEN o_orderkey % 3 = 0 THEN '.xlsx' WHEN o_orderkey % 3 = 1 THEN '' ELSE '' END AS ext FROM orders""")
+def tenant_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's tenant is its unit, else its name, else a default; its extension in small letters."""
+    k = F.col("o_orderkey") % 3
+    name = F.when(k == 0, F.concat(F.lit("af_"), F.col("o_custkey").cast("string"), F.lit("_11407.XLSX"))).when(k == 1, F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))).otherwise("")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.tenant(name).alias("tenant"), text.extension(name).alias("ext"))
+
+
+@query("SELECT o_orderkey, o_orderpriority || ' 教師' AS title FROM orders".replace("o_orderpriority || ' 教師'", "regexp_replace(o_orderpriority, '^[0-9]+', '')"))
+def leading_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.without_leading_number(F.col("o_orderpriority")).alias("title"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 OR user_id * 10 < 600 THEN 3 ELSE 60 END AS poll, greatest(3, least(60, event_id % 100)) AS held, event_id % 2 = 0 AS numeric FROM events""")
+def worker_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds until a worker asks again, kept within their limits; scanned numbers with stray marks behind them."""
+    e = table(spark, sf_dir, "events")
+    mark = F.when(F.col("event_id") % 2 == 0, F.concat(F.format_number("event_id", 0), F.lit("_. "))).otherwise(F.concat(F.col("event_id").cast("string"), F.lit("(無)")))
+    poll = text.poll_seconds((F.col("event_id") % 4 == 0).cast("int"), F.col("user_id") * 10)
+    return e.select("event_id", poll.alias("poll"), text.clamp(F.col("event_id") % 100).alias("held"), text.is_scanned_number(mark).alias("numeric"))
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS kept, CASE WHEN page_id % 3 = 0 THEN page_id * 1000 + 7 ELSE 0 END AS amount FROM pages")
+def underscored_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One _ between digits belongs to a number, others don't."""
+    k = F.col("page_id").cast("string")
+    shown = F.when(F.col("page_id") % 3 == 0, F.concat(k, F.lit("_007"))).when(F.col("page_id") % 3 == 1, F.concat(k, F.lit("__007"))).otherwise(F.concat(F.lit("_"), k))
+    return table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 3 == 0).alias("kept"), text.money(shown).alias("amount"))
+
+
+@query("SELECT s_suppkey AS batch_id, 'W' || s_name || ' no ' || s_suppkey AS body, 'no ' || s_suppkey AS box FROM supplier".replace("'W' || s_name || ' no ' || s_suppkey AS body", "'for ' || s_name || ' <编号>' AS body").replace("'no ' || s_suppkey AS box", "'no ' || s_suppkey AS box").replace("编号", "編號"))
+def filled_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document template filled for each supplier: a placeholder parted between runs, and one that counts in text boxes alone."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("batch_id"), F.col("s_name").alias("school"), F.concat(F.lit("no "), F.col("s_suppkey").cast("string")).alias("number"))
+    filled = reports.filled_templates(rows, reports.sample_template(), {"<學校>": "school"}, {"<編號>": "number"})
+    return reports.template_texts(filled)
+
+
+@query("""SELECT s_suppkey AS batch_id, true AS titled, 2 * (3 + 2 * 4) AS n_rows, 4 * 2 * 8 + 4 * 8 AS n_blank, s_suppkey % 2 = 0 AS blank, s_name AS unit FROM supplier""".replace("4 * 2 * 8 + 4 * 8 AS n_blank", "2 * 4 * (2 * 8 + 1) AS n_blank"))
+def audit_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit form of each supplier: its title, rows, blank cells, the room for a number that isn't there, and the unit."""
+    s = table(spark, sf_dir, "supplier").withColumn("form", reports.audit_form(F.col("s_name"), F.when(F.col("s_suppkey") % 2 == 1, "7"), F.lit("11407")))
+    count = lambda what: F.size(F.regexp_extract_all("form", F.lit(what), F.lit(0)))
+    return s.select(F.col("s_suppkey").alias("batch_id"), F.contains("form", F.lit("待遇稽核情形紀錄表")).alias("titled"), count("<tr>").alias("n_rows"), count("<td[^>]*></td>").alias("n_blank"), F.contains("form", F.lit("編號：　　　　　")).alias("blank"), F.regexp_extract("form", "學校名稱：([^　]*)", 1).alias("unit"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

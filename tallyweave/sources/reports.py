@@ -32,11 +32,76 @@ def html_page(title: Column, unit: Column, table: Column) -> Column:
     return F.concat(F.lit('<!DOCTYPE html><html lang="zh-TW"><head><meta charset="UTF-8"><title>'), escaped(title), F.lit("</title></head><body><h2>"), escaped(unit), F.lit("</h2><h3>"), escaped(title), F.lit("</h3>"), table, F.lit("</body></html>"))
 
 
+#: The audit form's texts, and the columns that its cells span.
+AUDIT_TITLE = "高雄市政府教育局所屬機關學校 待遇稽核情形紀錄表"
+AUDIT_GROUPS = ("一般人員<br>(含約脩僱人員)稽核筆數", "技工工友稽核筆數")
+AUDIT_COUNTS = (("錯誤筆數", 2, 3), ("正確率", 3, None))
+AUDIT_NAME, AUDIT_ITEMS = "姓　名", "抽　驗　項　目"
+AUDIT_COLUMNS = (("薪俣表別", 1), ("薪俣支領數額", 2), ("專業加給表別", 2), ("專業加給支領數額", 1), ("職務加給表別", 2), ("職務加給支領數額", 1), ("地域加給表別", 2), ("地域加給支領數額", 1))
+AUDIT_STATES = ("錯誤情形", "正確情形")
+AUDIT_HEAD = (("編號：", "　　　", "　　"), ("學校名稱：", "　　　　　　　", "　　"), ("稽核月份：", "　　　", ""))
+AUDIT_FOOT = ("稽核人員機關學校：　　　　　　　　　　　　職稱：　　　　　　姓名：＿＿＿＿＿＿＿", "該組負責人核章：＿＿＿＿＿＿＿＿＿＿＿", "本局承辦人：＿＿＿＿＿＿＿＿＿＿＿　　人事主任：＿＿＿＿＿＿＿＿＿＿＿＿＿")
+
+
+def _cell(tag: str, text: str = "", columns: int = 1, rows: int = 1) -> str:
+    spans = (f' colspan="{columns}"' if columns > 1 else "") + (f' rowspan="{rows}"' if rows > 1 else "")
+    return f"<{tag}{spans}>{text}</{tag}>"
+
+
+def _audit_table(group: str, blocks: int) -> str:
+    row = lambda *cells: f"<tr>{''.join(cells)}</tr>"
+    (wrong, wide, gap), (rate, broad, _) = AUDIT_COUNTS
+    first = row(_cell("th", group, 2), _cell("th", "", 2), _cell("th", wrong, wide), _cell("th", "", gap), _cell("th", rate, broad), _cell("th", "%", 2))
+    second = row(_cell("th", AUDIT_NAME, 2, 2), _cell("th", AUDIT_ITEMS, sum(n for _, n in AUDIT_COLUMNS)))
+    third = row(*[_cell("th", text, n) for text, n in AUDIT_COLUMNS])
+    blank = "".join(_cell("td", "", n) for _, n in AUDIT_COLUMNS)
+    person = "".join(row(_cell("td", "", 1, len(AUDIT_STATES)) if k == 0 else "", _cell("td", state), blank) for k, state in enumerate(AUDIT_STATES))
+    return f'<table class="audit-tbl"><thead>{first}{second}{third}</thead><tbody>{person * blocks}</tbody></table>'
+
+
 def audit_form(unit: Column, number: Column, month: Column, blocks: int = 4) -> Column:
-    """The blank audit form: two sections of `blocks` empty person blocks each."""
-    block = "<tr>" + "<td></td>" * 9 + "</tr>"
-    section = "".join(block for _ in range(blocks))
-    return F.concat(F.lit("<h2>"), escaped(unit), F.lit(" "), escaped(number), F.lit(" "), escaped(month), F.lit(f"</h2><table>{section}</table><table>{section}</table>"))
+    """The audit form: title, number, school and month, a table of `blocks` blank persons for each of the two groups, and the lines to sign. Blank values leave room to write."""
+    given = [F.concat(F.lit(label), F.when(F.coalesce(x, F.lit("")) != "", escaped(x)).otherwise(room), F.lit(behind)) for (label, room, behind), x in zip(AUDIT_HEAD, (number, unit, month), strict=True)]
+    tables = "<br>".join(_audit_table(group, blocks) for group in AUDIT_GROUPS)
+    return F.concat(F.lit(f'<div class="audit-title">{AUDIT_TITLE}</div><div>'), *given, F.lit(f"</div>{tables}<div>{'<br>'.join(AUDIT_FOOT)}</div>"))
+
+
+def sample_template() -> bytes:
+    """A small document with a placeholder parted between runs, and one both in its body and in a text box."""
+    w = WORD.strip("{}")
+    run = lambda *texts: "<w:p>" + "".join(f"<w:r><w:t>{t}</w:t></w:r>" for t in texts) + "</w:p>"
+    body = run("for &lt;學", "校&gt; &lt;編號&gt;") + f"<w:txbxContent>{run('&lt;編號&gt;')}</w:txbxContent>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def template_texts(filled: DataFrame) -> DataFrame:
+    """(batch_id, body, box) of filled documents: the paragraphs' texts outside and inside text boxes, on lines."""
+
+    def run(batches):
+        for batch in batches:
+            trees = [ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(c)).read("word/document.xml")) for c in batch.content]
+            text = lambda p: "".join(t.text or "" for t in p.iter(f"{WORD}t"))
+            boxes = [[p for b in t.iter(f"{WORD}txbxContent") for p in b.iter(f"{WORD}p")] for t in trees]
+            body = ["\n".join(text(p) for p in t.iter(f"{WORD}p") if p not in inside) for t, inside in zip(trees, boxes, strict=True)]
+            yield batch[["batch_id"]].assign(body=body, box=["\n".join(map(text, inside)) for inside in boxes])
+
+    return filled.mapInPandas(run, f"batch_id {filled.schema['batch_id'].dataType.simpleString()}, body string, box string")
+
+
+def filled_templates(df: DataFrame, template: bytes, values: dict[str, str], boxes: dict[str, str]) -> DataFrame:
+    """(batch_id, content): the template filled for each row; `values` and `boxes` name the column for each placeholder."""
+    columns = sorted({*values.values(), *boxes.values()})
+
+    def run(batches):
+        for batch in batches:
+            filled = [fill_template(template, {k: row[c] for k, c in values.items()}, {k: row[c] for k, c in boxes.items()}) for row in batch.to_dict("records")]
+            yield batch[["batch_id"]].assign(content=filled)
+
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]
+    return df.select("batch_id", *texts).mapInPandas(run, f"batch_id {df.schema['batch_id'].dataType.simpleString()}, content binary")
 
 
 def payload(**columns: Column) -> Column:

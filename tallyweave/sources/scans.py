@@ -18,10 +18,10 @@ def least_confidence(fields: Column, given: Column) -> Column:
     return F.coalesce(given, F.array_min(F.map_values(fields)))
 
 
-def messages(raw: DataFrame, value: str = "value") -> DataFrame:
-    """(job_id, status, error) of each message: failed with its error, cut to 300 characters, else done."""
+def messages(raw: DataFrame, value: str = "value", brief: bool = False) -> DataFrame:
+    """(job_id, status, error) of each message: failed with its error, cut to 300 characters (`brief`: to 200, as in notices), else done."""
     m = raw.select(F.from_json(value, MESSAGE).alias("m"))
-    return m.select("m.job_id", F.when(F.col("m.error").isNotNull(), "failed").otherwise("done").alias("status"), F.left("m.error", F.lit(300)).alias("error"))
+    return m.select("m.job_id", F.when(F.col("m.error").isNotNull(), "failed").otherwise("done").alias("status"), F.left("m.error", F.lit(200 if brief else 300)).alias("error"))
 
 
 def people(raw: DataFrame, value: str = "value") -> DataFrame:
@@ -38,9 +38,20 @@ def scan_summary(rows: DataFrame) -> DataFrame:
 
 
 def inbox(spark, path: str, most_bytes: int = 16 << 20) -> DataFrame:
-    """A stream of files dropped into a folder (path, content in base64); larger ones are left out."""
-    files = spark.readStream.format("binaryFile").load(path).where(F.col("length") <= most_bytes)
-    return files.select("path", F.base64("content").alias("content"))
+    """A stream of files dropped into a folder (path, content in base64, error); a file over `most_bytes` is refused: its content is null and its error says so."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return posted(files.load(path), most_bytes)
+
+
+def posted(files: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """(path, content, error) of files (path, length, content)."""
+    large = F.col("length") > most_bytes
+    return files.select("path", F.when(~large, F.base64("content")).alias("content"), F.when(large, F.lit(f"larger than {most_bytes} bytes")).alias("error"))
+
+
+def received(messages_: DataFrame) -> DataFrame:
+    """The files' bytes again (path, content)."""
+    return messages_.where("content is not null").select("path", F.unbase64("content").alias("content"))
 
 
 def job_id() -> Column:

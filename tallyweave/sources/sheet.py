@@ -1,4 +1,4 @@
-"""Spreadsheets: a Data Source that reads .xlsx files, one partition per file, and a writer of styled sheets."""
+"""Spreadsheets: a reader of .xlsx files over Spark's binary files, and a writer of styled sheets."""
 
 from __future__ import annotations
 
@@ -69,9 +69,17 @@ def sheet_rows(data: bytes, sheet: str | int = 0) -> Iterator[list[str]]:
 def read_sheets(spark: SparkSession, path: str, sheet: str | int = 0, most_bytes: int = 16 << 20) -> DataFrame:
     """(batch_id, row_ord, cells MAP<STRING, STRING>) of all .xlsx files that Spark finds at `path`; a file is a batch.
 
-    Spark's own reader lists and opens the files, so the path may be on any store; files over `most_bytes` are left out.
+    Spark's own reader lists and opens the files, so the path may be on any store; a file over `most_bytes` fails the read.
     """
-    files = spark.read.format("binaryFile").load(path).where((F.col("length") <= most_bytes) & F.lower("path").endswith(".xlsx"))
+    files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(".xlsx"))
+    refused = F.raise_error(F.concat(F.lit(f"larger than {most_bytes} bytes: "), "path")).cast("binary")
+    files = files.select("path", F.when(F.col("length") > most_bytes, refused).otherwise(F.col("content")).alias("content"))
+
+    return parsed(files, sheet)
+
+
+def parsed(files: DataFrame, sheet: str | int = 0) -> DataFrame:
+    """(batch_id, row_ord, cells) of workbooks (path, content); headers are trimmed and told apart."""
 
     def run(batches):
         import pandas as pd

@@ -4,20 +4,36 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyweave.functions.lineage import shared_folder
+
 SCHEMAS = {
     "settings": "tenant string, titles array<string>, names array<string>, use_default boolean",
     "observations": "batch_id string, title string, total long, in_af long",
+    "title_stats": "title string, total long, in_af long, files long",
     "events": "key string, n long",
     "schools": "sn1 string, sn2 string, school string, row_ord long",
 }
 
 
+def base(spark: SparkSession) -> str:
+    """The folder of the state: the setting tallyweave.state, else the warehouse, else the checkpoint folder."""
+    for found in (spark.conf.get("tallyweave.state", None), spark.conf.get("spark.sql.warehouse.dir", None)):
+        if found and found.strip():
+            return found.strip().rstrip("/")
+    return shared_folder(spark)
+
+
 def location(spark: SparkSession, name: str) -> str:
-    """The folder of a state table, under the setting tallyweave.state or the warehouse."""
-    base = spark.conf.get("tallyweave.state", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}"
+    return f"{base(spark)}/{name}"
+
+
+def diagnosis(spark: SparkSession) -> DataFrame:
+    """One row (setting, folder, on_volume): where the state goes, and whether that lies under the setting."""
+    given = (spark.conf.get("tallyweave.state", None) or "").strip()
+    return spark.createDataFrame([(given, base(spark))], "setting string, folder string").select("setting", "folder", ((F.col("setting") != "") & F.startswith("folder", "setting")).alias("on_volume"))
 
 
 def load(spark: SparkSession, name: str) -> DataFrame:
@@ -36,6 +52,55 @@ def append(df: DataFrame, name: str) -> None:
     df.write.mode("append").parquet(location(df.sparkSession, name))
 
 
+def upserted(old: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """`old` after `updates` of the same columns: of a key's updates the last by `order` takes the old row's place."""
+    last = updates.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where("__k = 1").select(*old.columns)
+    return old.join(last.select(*keys), keys, "left_anti").select(*old.columns).unionByName(last)
+
+
+def save(df: DataFrame, name: str) -> None:
+    """Writes a whole state table as its next version. Readers see the one before until the new one is whole, and a table may be read to make its own next version."""
+    spark = df.sparkSession
+    df.write.parquet(f"{location(spark, name)}/version={_version(spark, name) + 1}")
+
+
+def upsert(updates: DataFrame, name: str, keys: list[str], order: str) -> None:
+    """Puts keyed updates into a state table; as `foreachBatch` of a stream or for a frame."""
+    save(upserted(current(updates.sparkSession, name), updates, keys, order), name)
+
+
+def _version(spark: SparkSession, name: str) -> int:
+    """The newest version with rows (upserts never take the last one away); 0 for none."""
+    try:
+        return spark.read.schema("version int").parquet(location(spark, name)).agg(F.max("version")).first()[0] or 0
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
+def current(spark: SparkSession, name: str) -> DataFrame:
+    """The newest version of a saved state table; an empty one where there is none yet."""
+    version = _version(spark, name)
+    if not version:
+        return spark.createDataFrame([], SCHEMAS[name])
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{location(spark, name)}/version={version}")
+
+
+def keep_result(results: DataFrame, folder: str) -> None:
+    """Keeps results by batch, for later downloads; a batch's new result takes the place of its old one, other batches stay."""
+    results.write.partitionBy("batch_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+
+
+def kept_records(spark: SparkSession, folder: str, order: str, columns: list[str] | None = None) -> DataFrame:
+    """(batch_id, records): each batch's kept result as a JSON array of its rows in order, null as ''; a batch is one file."""
+    rows = spark.read.parquet(folder)
+    columns = columns or [c for c in rows.columns if c not in ("batch_id", order)]
+    record = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]))
+    placed = F.array_sort(F.collect_list(F.struct(order, record.alias("text"))))
+    return rows.groupBy("batch_id").agg(F.concat(F.lit("["), F.array_join(F.transform(placed, lambda x: x["text"]), ","), F.lit("]")).alias("records"))
+
+
 def counters(events: DataFrame) -> DataFrame:
     """Totals by key."""
     return events.groupBy("key").agg(F.sum("n").alias("n"))

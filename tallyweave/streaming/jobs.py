@@ -89,9 +89,15 @@ def activity(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: int
     return rows.groupBy(user, "session").agg(F.min(ts).alias("began"), F.max(ts).alias("ended"), F.count("*").alias("n_events"))
 
 
-def title_totals(observations: DataFrame) -> DataFrame:
-    """Running statistics by title of a stream of (batch_id, title, total, in_af), for update mode; a batch seen again counts once."""
-    once = observations.dropDuplicates(["batch_id", "title"])
+def title_totals(observations: DataFrame, seen: str | None = None, keep: str = "30 days") -> DataFrame:
+    """Running statistics by title of a stream of (batch_id, title, total, in_af), for update mode; a batch seen again counts once.
+
+    With `seen`, a column of times, batches are remembered for `keep` behind the latest time, which bounds the state; without it for ever.
+    """
+    if seen is None:
+        once = observations.dropDuplicates(["batch_id", "title"])
+    else:
+        once = observations.withWatermark(seen, keep).dropDuplicatesWithinWatermark(["batch_id", "title"])
     return once.groupBy("title").agg(F.sum("total").alias("total"), F.sum("in_af").alias("in_af"), F.count("*").alias("files"))
 
 

@@ -68,9 +68,13 @@ def test_comparison(af, slips):
     results = compare.compare(people, records, matched)
     rows = compare.ordered(results).collect()
     assert [(r.name, r.status, r.match_basis) for r in rows] == [
-        ("甲二", "diff", "姓名"), ("戊七", "pdf_only", None), ("丙三", "af_only", None), ("丁四伍六", "ok", "姓名相近"), ("乙同", "ok", "單位（教務處）"), ("乙同", "ok", "主管職"), ("甲一", "ok", "姓名"),
+        ("甲二", "diff", "姓名"), ("戊七", "pdf_only", ""), ("丙三", "af_only", ""), ("丁四五六", "ok", "姓名相近（AF 為「丁四五六」，請確認是否同一人）"), ("乙同", "ok", "單位（教務處）"), ("乙同", "ok", "主管職"), ("甲一", "ok", "姓名"),
     ]
-    assert [tuple(d) for d in rows[0].diffs] == [("pay", 31000, 30000, -1000)]
+    assert [tuple(d) for d in rows[0].diffs] == [("pay", "薪俸／本俸", 31000, 30000, -1000)]
+    assert [(r.dept, r.person_id, r.title) for r in rows[:4]] == [("總務處", "B100000002", "幹事"), ("", "", "代理教師"), ("", "C100000005", ""), ("", "D100000006", "教師")]
+    assert [r.place for r in compare.placed(results).orderBy("place").collect()] == list(range(7))
+    main, aside = compare.parts(results)
+    assert [r.name for r in aside.collect()] == ["戊七"] and main.count() == 6
     assert rows[1].secondary_reason == "職稱含「代理」" and rows[0].needs_confirm is False and rows[3].needs_confirm is True
     (s,) = compare.summary(results, matched).collect()
     assert (s.ok, s.diff, s.pdf_only, s.af_only, s.ambiguous, s.secondary, s.secondary_diff) == (4, 1, 0, 1, 0, 1, 1)
@@ -163,7 +167,7 @@ def one(spark, expr, **values):
 
 
 def test_scalars(spark):
-    money = {"1,234": 1234, "12.9": 12, "-3.7": -3, "nan": 0, "inf": 0, "1e3": 1000, "": 0, "abc": 0, " 5 ": 5, "１２": 12, "12d": 0, None: 0}
+    money = {"1,234": 1234, "12.9": 12, "-3.7": -3, "nan": 0, "inf": 0, "1e3": 1000, "": 0, "abc": 0, " 5 ": 5, "１２": 12, "12d": 0, None: 0, "1_000": 1000, "1__0": 0, "_1": 0, "1_.5": 0, "1.2_5": 1, "\x1c7\x85": 7}
     rows = spark.createDataFrame([(k, v) for k, v in money.items()], "x string, want long").select(text.money(F.col("x")), "want").collect()
     assert all(a == b for a, b in rows)
     lit = lambda f, *a: one(spark, f(*[F.lit(x) for x in a]))
@@ -224,6 +228,12 @@ def test_learning(spark):
     assert [tuple(r) for r in exclude.learned_by_batch(seen.withColumn("batch_ord", F.ascii("batch_id"))).collect()] == [("業務助理", ord("y"))]
     named = spark.createDataFrame([("x", ["助理"], ["n"], False)], "batch_id string, titles array<string>, names array<string>, use_default boolean")
     got = {r.name: r.secondary_reason for r in exclude.mark(people.where("batch_id = 'x'"), named).collect()}
+    saved = named.withColumnRenamed("batch_id", "tenant")
+    after = exclude.with_learned(saved, exclude.merge(seen)).first()
+    assert (after.titles, after.names, after.use_default, after.changed) == (["助理", "業務助理"], ["n"], False, True)
+    assert not exclude.with_learned(exclude.remember(saved, saved), exclude.merge(seen).limit(0)).first().changed
+    assert [tuple(r) for r in exclude.suggested_titles(people).collect()] == [("x", ["代理教師"])]
+    assert [r.title for r in exclude.by_total(exclude.merge(seen)).orderBy("place").collect()] == ["業務助理", "代理教師", "教師"]
     assert got == {"nx0": "職稱含「助理」", "nx1": "職稱含「助理」", "n": "個別指定", "known": None}
 
 
@@ -246,7 +256,7 @@ def test_reports(spark):
     html = reports.html_tables(rows, ["name", "n"], ["row_ord"], "name").first().html
     assert html.index('<td class="name">y</td><td>3</td>') < html.index('<td class="name">&lt;x&gt;</td><td></td>')
     page = spark.range(1).select(reports.html_page(F.lit("t"), F.lit("a&b"), F.lit(html)), reports.audit_form(F.lit("u"), F.lit("1"), F.lit("2"))).first()
-    assert "a&amp;b" in page[0] and page[1].count("<tr>") == 8
+    assert "a&amp;b" in page[0] and page[1].count("<tr>") == 22 and page[1].count("錯誤情形") == 8 and "技工工友稽核筆數" in page[1]
 
 
 def test_template(spark):
@@ -273,6 +283,61 @@ def test_state(spark, tmp_path):
     assert {r.tenant: (r.titles, r.names, r.use_default) for r in settings.collect()} == {"t": (["b"], ["m"], False), "_default": (["z"], [], True)}
 
 
+def test_state_upserts_and_results(spark, tmp_path):
+    spark.conf.set("tallyweave.state", str(tmp_path))
+    schema = "title string, total long, in_af long, files long, at int"
+    state.upsert(spark.createDataFrame([("a", 1, 0, 1, 1), ("a", 2, 0, 2, 2), ("b", 5, 5, 1, 1)], schema), "title_stats", ["title"], "at")
+    state.upsert(spark.createDataFrame([("b", 6, 5, 2, 1), ("c", 1, 1, 1, 1)], schema), "title_stats", ["title"], "at")
+    assert sorted(tuple(r) for r in state.current(spark, "title_stats").collect()) == [("a", 2, 0, 2), ("b", 6, 5, 2), ("c", 1, 1, 1)]
+    assert state.current(spark, "settings").count() == 0 and state.diagnosis(spark).first().on_volume
+    spark.conf.unset("tallyweave.state")
+    assert not state.diagnosis(spark).first().on_volume
+    folder = str(tmp_path / "kept")
+    state.keep_result(spark.createDataFrame([(1, 0, "x", None), (2, 1, "b", 1), (2, 0, "a", 2)], "batch_id int, place int, name string, n int"), folder)
+    state.keep_result(spark.createDataFrame([(1, 0, "y", 3)], "batch_id int, place int, name string, n int"), folder)
+    got = {r.batch_id: r.records for r in state.kept_records(spark, folder, "place").collect()}
+    assert got == {1: '[{"name":"y","n":"3"}]', 2: '[{"name":"a","n":"2"},{"name":"b","n":"1"}]'}
+
+
+def test_large_files_are_refused(spark, tmp_path):
+    from tallyweave.sources import scans
+
+    (tmp_path / "x.xlsx").write_bytes(b"x" * 100)
+    with pytest.raises(Exception, match="larger than 10 bytes"):
+        sheet.read_sheets(spark, str(tmp_path), most_bytes=10).collect()
+    inbox = scans.inbox(spark, str(tmp_path), 10)
+    (tmp_path / "y.pdf").write_bytes(b"abc")
+    q = inbox.writeStream.format("memory").queryName("inbox").option("checkpointLocation", str(tmp_path.parent / "inbox")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    got = {r.path.rsplit("/", 1)[-1]: (r.content, r.error) for r in spark.table("inbox").collect()}
+    assert got == {"x.xlsx": (None, "larger than 10 bytes"), "y.pdf": ("YWJj", None)}
+    assert [bytes(r.content) for r in scans.received(spark.table("inbox")).collect()] == [b"abc"]
+
+
+def test_likeness_is_the_library():
+    import difflib
+
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(60)})
+    own = match.Likeness(names)
+    for _ in range(400):
+        name = "".join(rng.choice("abcde") for _ in range(rng.randint(1, 6)))
+        for cutoff in (0.5, 0.75):
+            assert own.closest(name, cutoff) == next(iter(difflib.get_close_matches(name, names, 1, cutoff)), None)
+
+
+def test_corrections_and_warnings(af, slips):
+    records = consolidate.consolidate(af)
+    assert sorted(r.warning for r in consolidate.warnings(af, records).collect()) == ["AF 出現未知職務加給代碼 X9999（丙三），未納入比對", "AF 有 2 位同名「乙同」，將以職稱／單位區辨"]
+    assert consolidate.names(records).first().names == ["丁四五六", "丙三", "乙同", "甲一", "甲二"]
+    wrong = validate.annotate_sums(slips.withColumn("gross", F.when(F.col("row_ord") <= 2, 1).otherwise(F.col("gross"))))
+    assert validate.bad_sums(wrong).first().warning == "薪資清冊本身加總不符（各項相加 ≠ 應發金額）：甲一、甲二，請先確認清冊是否正確"
+    good = slips.where("row_ord < 6").select("batch_id", "row_ord", "name", "title", "person_id", "pay", "prof", "mgr", "tutor", "gross")
+    fixed = slips.where("row_ord = 6").withColumn("name", F.lit(" 丙三 "))
+    got = {(r.name, r.status) for r in compare.with_corrections(good, fixed, records).collect()}
+    assert ("丙三", "diff") in got and len(got) == 5
+
+
 def test_job_steps():
     s = jobs.step(None, 0, "upload", 0)
     for command, ts, told in (("claim", 1, "held"), ("start", 2, "pending"), ("status", 100, "pending"), ("status", 123, "timeout"), ("claim", 124, "processing"), ("result", 130, "done"), ("review", 131, "need_review"), ("submit", 140, "removed"), ("status", 141, "unknown")):
