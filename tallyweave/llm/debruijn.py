@@ -80,66 +80,56 @@ def window_anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """One key for a row's id and text; rows that agree in both are one source."""
+    """A key for a row's id and text. Where two rows share one by chance, anchors and spans of both are looked at in both, and their digests tell."""
     return F.xxhash64(doc_id, F.xxhash64(text), F.lit(7))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    """A whole partition of a few long columns, which the number of shuffle partitions keeps to a bounded size."""
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held) if held else None
+def groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by the first column and then the others, the groups' starts in it, and each sorted row's group."""
+    order = np.lexsort(columns[::-1])
+    first = columns[0][order]
+    starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.zeros(0, np.int64)
+    return order, starts, np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(first)]))
 
 
-def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(key, anchor) for anchors (anchor, key) that occur in two rows or more."""
+def repeated_anchors(found: DataFrame) -> DataFrame:
+    """(key, anchor) for anchors that two rows or more have.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _grouped(batches)
-        if table is None:
-            return
-        anchors, keys = (table.column(k).to_numpy() for k in range(2))
-        order = np.argsort(anchors, kind="stable")
-        anchors, keys = anchors[order], keys[order]
-        starts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
-        several = np.minimum.reduceat(keys, starts) != np.maximum.reduceat(keys, starts)
-        keep = np.repeat(several, np.diff(np.r_[starts, len(keys)]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(anchors[keep])], names=["key", "anchor"])
-
-    return rows.repartition("anchor").mapInArrow(run, "key long, anchor long")
+    `found` has one row (slot, key, anchor) for an anchor of a run of texts, slot being the anchor and anchor null, and one for
+    each row of an anchor that the run itself repeats, dealt by its key. So a common anchor is one row a run, not one a text.
+    """
+    dealt = found.repartition("slot")  # used twice, shuffled once
+    own = F.when(F.col("anchor").isNull(), F.col("key"))
+    several = dealt.groupBy("slot").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("slot", F.lit(True).alias("several"))
+    known = dealt.join(several.hint("shuffle_hash"), "slot", "left").where(F.col("anchor").isNotNull() | F.col("several"))
+    return known.select("key", F.coalesce("anchor", "slot").alias("anchor"))
 
 
-def covered_windows(edges: DataFrame) -> DataFrame:
-    """(key, pos, src_key, src_pos, joint) for each window that also starts in a document of a smaller id, with the place of its first occurrence.
+def covering(edges: DataFrame, window: int) -> DataFrame:
+    """(key, start, n, src_key, src_start), in words: the compacted paths of repeated edges that lie in each row behind their source; src_key null for those that a run of texts found and compared itself.
 
-    joint is false if the edge branches: if its occurrences differ in the word before or the word behind.
+    `edges` has one row (slot, ord, key, pos, lo, hi, n) for an edge of a run of texts, slot being the edge, n null, lo and hi
+    the least and greatest of what stands around it, and one for each path that the run found, n being its words. An edge
+    branches if its places differ in the word before or behind. Unbranched edges that follow each other at their first
+    place are one path; as all texts with one of them have all, the path's first edge is joined for the whole.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _grouped(batches)
-        if table is None:
-            return
-        edge, ids, keys, pos, around = (table.column(k).to_numpy() for k in range(5))
-        order = np.lexsort((pos, keys, ids, edge))
-        edge, ids, keys, pos, around = edge[order], ids[order], keys[order], pos[order], around[order]
-        starts = np.flatnonzero(np.r_[True, edge[1:] != edge[:-1]])
-        of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(edge)]))
-        joint = np.minimum.reduceat(around, starts) == np.maximum.reduceat(around, starts)
-        first = starts[of]
-        keep = ids > ids[first]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (keys, pos, keys[first], pos[first], joint[of])], names=["key", "pos", "src_key", "src_pos", "joint"])
-
-    return edges.repartition("edge").mapInArrow(run, "key long, pos int, src_key long, src_pos int, joint boolean")
-
-
-def paths(covered: DataFrame, window: int) -> DataFrame:
-    """Compacts runs of edges that follow each other both in the row and in the source, up to a branching edge, into (key, start, n, src_key, src_start), in words."""
-    covered = covered.withColumn("shift", F.col("pos") - F.col("src_pos"))
-    run = W.partitionBy("key", "src_key", "shift").orderBy("pos")
-    before = F.lag("pos").over(run)
-    breaks = before.isNull() | (before != F.col("pos") - 1) | ~(F.col("joint") & F.lag("joint").over(run))
-    numbered = covered.withColumn("fresh", breaks.cast("int")).withColumn("path", F.sum("fresh").over(run))
-    spans = numbered.groupBy("key", "src_key", "shift", "path").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
-    return spans.select("key", "start", (F.col("stop") - F.col("start") + window).alias("n"), "src_key", (F.col("start") - F.col("shift")).alias("src_start"))
+    dealt = edges.repartition("slot")  # used twice, shuffled once
+    edge = lambda c: F.when(F.col("n").isNull(), F.col(c))
+    firsts = dealt.groupBy("slot").agg(
+        F.min(edge("ord")).alias("src_ord"), F.max(edge("ord")).alias("last_ord"), F.min_by("key", edge("ord")).alias("src_key"), F.min_by("pos", edge("ord")).alias("src_pos"),
+        (F.min(edge("lo")) == F.max(edge("hi"))).alias("joint"),
+    ).where("src_ord < last_ord")
+    along = W.partitionBy("src_key").orderBy("src_pos")
+    before = F.lag("src_pos").over(along)
+    breaks = before.isNull() | (before != F.col("src_pos") - 1) | ~(F.col("joint") & F.lag("joint").over(along))
+    numbered = firsts.withColumn("fresh", breaks.cast("int")).withColumn("path", F.sum("fresh").over(along))
+    paths = numbered.groupBy("src_key", "path").agg(F.min_by("slot", "src_pos").alias("slot"), F.min("src_ord").alias("src_ord"), F.min("src_pos").alias("src_start"), F.count("*").alias("edges"))
+    paths = paths.select("slot", "src_ord", "src_key", "src_start", (F.col("edges") + window - 1).cast("int").alias("path_n"))
+    met = dealt.join(paths.hint("shuffle_hash"), "slot", "left")
+    behind = F.col("n").isNull() & (F.col("ord") > F.col("src_ord")) & (F.col("lo") <= F.col("hi"))
+    met = met.where(F.col("n").isNotNull() | behind)
+    of = lambda c: F.when(F.col("n").isNull(), F.col(c)).alias(c)
+    return met.select("key", F.col("pos").alias("start"), F.coalesce("n", "path_n").alias("n"), of("src_key"), of("src_start"))
 
 
 def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -147,10 +137,12 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
 
     A word is removed if a window of `window` words that covers it also starts in a row of a smaller id. Windows are edges
     of a De Bruijn graph over the words. Exact copies are found by their digest and keep nothing that a window covers. Of
-    the other texts, each window's anchor is grouped first, so that only windows whose anchor two rows share become edges;
-    the rows of an edge give its first place and whether it branches; unbranched runs are compacted to paths; the digest of
-    a path's words is compared with that of the words at its source before any is removed. The window is judged on the
-    input. Null and empty texts have no words; a null id is larger than every other; rows of equal id don't remove each
+    the other texts, each window's anchor is grouped first, so that only windows whose anchor two rows share become edges.
+    A run of texts in a task combines its own edges first, as sums are before a shuffle: a text's edge that another text of
+    the run has at a smaller id is compared there and then, and one row an edge goes on. The rows of an edge give its first
+    place and whether it branches; unbranched edges are compacted to paths, which are joined to the rows that hold them; the
+    digest of a path's words is compared with that of the words at its source before any is removed. So a common passage
+    is one row a run of texts, no group is held in memory, and no partner is dropped. Windows are judged on the input. Null and empty texts have no words; a null id is larger than every other; rows of equal id don't remove each
     other's words; an empty table gives no rows.
     """
     order = F.coalesce("doc_id", F.lit(2**63 - 1))
@@ -158,16 +150,18 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     texts = texts.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), F.lit(b"")).alias("sha"), F.col("text").cast("binary").alias("text"))
     firsts = texts.groupBy("sha").agg(F.min(order).alias("first"))
     # Ids and digests alone: which rows are the first of their text, by row.
-    roles = texts.select("key", "sha", order.alias("ord")).distinct().join(firsts, "sha").select(F.col("key").alias("role_key"), (F.col("ord") > F.col("first")).alias("copy")).hint("shuffle_hash")
+    roles = texts.select("key", "sha", order.alias("ord")).distinct().join(firsts, "sha").select("key", "sha", "ord", (F.col("ord") > F.col("first")).alias("copy")).hint("shuffle_hash")
+
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches, most_bytes=SLICE):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([compress(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "key", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([compress(x) for x in batch.column(2).to_pylist()], pa.binary()), batch.column(3)], names=["doc_id", "key", "text", "sha"])
 
-    # Every use below takes the same three columns, so that all share one shuffle of the texts.
-    rows = texts.select("doc_id", "key", "text").mapInArrow(shrink, "doc_id long, key long, text binary").join(roles, F.col("key") == F.col("role_key")).drop("role_key")
+    # Every use below takes the same columns, so that all share one shuffle of the texts.
+    small = texts.select("doc_id", "key", "text", "sha").mapInArrow(shrink, "doc_id long, key long, text binary, sha binary").withColumn("ord", order)
+    rows = small.join(roles, ["key", "sha", "ord"]).select("doc_id", "key", "text", "copy")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=SLICE):
@@ -175,7 +169,17 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
             keys = batch.column(1).to_numpy()[run.owner]
             # Neighbouring windows mostly share an anchor; a row for each change is enough.
             fresh = np.r_[True, (run.anchors[1:] != run.anchors[:-1]) | (run.owner[1:] != run.owner[:-1])][: len(keys)]
-            yield pa.RecordBatch.from_arrays([pa.array(run.anchors[fresh].view(np.int64)), pa.array(keys[fresh])], names=["anchor", "key"])
+            values, keys = run.anchors[fresh].view(np.int64), keys[fresh]
+            order, starts, of = groups(values, keys)
+            values, keys = values[order], keys[order]
+            here = (np.minimum.reduceat(keys, starts) != np.maximum.reduceat(keys, starts))[of] if len(of) else np.zeros(0, bool)
+            repeat = np.r_[False, (values[1:] == values[:-1]) & (keys[1:] == keys[:-1])][: len(keys)]
+            mine, first = here & ~repeat, np.zeros(len(keys), bool)
+            first[starts] = True
+            slot = np.r_[values[first], keys[mine]]
+            none = np.r_[np.ones(first.sum(), bool), np.zeros(mine.sum(), bool)]
+            arrays = [pa.array(slot), pa.array(np.r_[keys[first], keys[mine]]), pa.array(np.r_[values[first], values[mine]], mask=none)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["slot", "key", "anchor"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=SLICE):
@@ -194,13 +198,29 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
             _, first = np.unique(salt(owner, sums), return_index=True)
             first.sort()
             at, owner, ends, sums = at[first], owner[first], ends[first], sums[first]
-            top = run.hashes >> np.uint64(48)
-            before = np.where(at > run.begins[owner], top[np.maximum(at - 1, 0)], 0) if len(at) else at
-            behind = np.where(at + window < ends, top[np.minimum(at + window, len(top) - 1)], 0) if len(at) else at
-            around = (before.astype(np.int64) << 16 | behind.astype(np.int64)).astype(np.uint32).view(np.int32)
-            ids = pc.fill_null(batch.column(0), 2**63 - 1).to_numpy()
-            arrays = [sums.view(np.int64), ids[owner], batch.column(1).to_numpy()[owner], (at - run.begins[owner]).astype(np.int32), around]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["edge", "ord", "key", "pos", "around"])
+            begins = run.begins[owner]
+            before = np.where(at > begins, run.hashes[np.maximum(at - 1, 0)], np.uint64(0)) if len(at) else sums
+            behind = np.where(at + window < ends, run.hashes[np.minimum(at + window, len(run.hashes) - 1)], np.uint64(0)) if len(at) else sums
+            around = (((before * MIX ^ behind) * MIX) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            ords = pc.fill_null(batch.column(0), 2**63 - 1).to_numpy()[owner]
+            order, starts, of = groups(sums, ords, at)
+            at, owner, sums, ords, around, pos = (x[order] for x in (at, owner, sums, ords, around, at - begins))
+            source = starts[of]
+            local = np.flatnonzero(ords > ords[source])
+            same = np.ones(len(local), bool)
+            for j in range(window):
+                same &= run.hashes[at[local] + j] == run.hashes[at[source[local]] + j]
+            local = local[same]
+            local = local[np.lexsort((pos[local], owner[local]))]
+            cut = np.flatnonzero(np.r_[True, (pos[local][1:] != pos[local][:-1] + 1) | (owner[local][1:] != owner[local][:-1])]) if len(local) else local
+            run_n = np.diff(np.r_[cut, len(local)]) + window - 1
+            spans, rest = local[cut], np.flatnonzero(ords == ords[source])
+            lo, hi = (np.minimum.reduceat(around, starts)[of], np.maximum.reduceat(around, starts)[of]) if len(of) else (around, around)
+            keys, zero = batch.column(1).to_numpy()[owner], np.zeros(len(spans), np.int32)
+            none = np.r_[np.ones(len(rest), bool), np.zeros(len(spans), bool)]
+            arrays = [np.r_[sums[rest].view(np.int64), keys[spans]], np.r_[ords[rest], ords[spans]], np.r_[keys[rest], keys[spans]], np.r_[pos[rest], pos[spans]].astype(np.int32), np.r_[lo[rest], zero], np.r_[hi[rest], zero]]
+            n = pa.array(np.r_[np.zeros(len(rest), np.int64), run_n].astype(np.int32), mask=none)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), n], names=["slot", "ord", "key", "pos", "lo", "hi", "n"])
 
     def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=SLICE):
@@ -223,7 +243,7 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
                 elif spans:
                     covered = np.zeros(total - window + 1, bool)
                     for s in spans:
-                        if s["digest"] == span_digest(words, s["start"], s["n"]):
+                        if s["digest"] is None or s["digest"] == span_digest(words, s["start"], s["n"]):
                             covered[s["start"] : s["start"] + s["n"] - window + 1] = True
                     sums = gram_hashes(word_hashes(words), window)
                     at = np.flatnonzero(np.isin(sums, sums[covered]))
@@ -238,13 +258,14 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(out[3], pa.string())] if with_text else arrays, names=[*names, "kept_text"] if with_text else names)
 
     own = rows.where("not copy")
-    shared = repeated_anchors(own.select("doc_id", "key", "text").mapInArrow(anchors, "anchor long, key long"))
+    shared = repeated_anchors(own.select("doc_id", "key", "text").mapInArrow(anchors, "slot long, key long, anchor long"))
     shared = shared.groupBy("key").agg(F.collect_set("anchor").alias("anchors")).withColumnRenamed("key", "its").hint("shuffle_hash")
-    found = own.join(shared, F.col("key") == F.col("its")).select("doc_id", "key", "text", "anchors").mapInArrow(edges, "edge long, ord long, key long, pos int, around int")
-    spans = paths(covered_windows(found), window)
-    wanted = spans.select("src_key", "src_start", "n").distinct().groupBy("src_key").agg(F.collect_list(F.struct("src_start", "n")).alias("spans")).hint("shuffle_hash")
+    found = own.join(shared, F.col("key") == F.col("its")).select("doc_id", "key", "text", "anchors").mapInArrow(edges, "slot long, ord long, key long, pos int, lo int, hi int, n int")
+    spans = covering(found, window)
+    wanted = spans.where("src_key is not null").select("src_key", "src_start", "n").distinct().groupBy("src_key").agg(F.collect_list(F.struct("src_start", "n")).alias("spans")).hint("shuffle_hash")
     digests = own.join(wanted, F.col("key") == F.col("src_key")).select("doc_id", "key", "text", "spans").mapInArrow(sources, "src_key long, src_start int, n int, digest binary").dropDuplicates(["src_key", "src_start", "n"])
-    checked = spans.join(digests, ["src_key", "src_start", "n"]).groupBy("key").agg(F.collect_set(F.struct("start", "n", "digest")).alias("spans")).withColumnRenamed("key", "its").hint("shuffle_hash")
+    checked = spans.join(digests, ["src_key", "src_start", "n"], "left").where(F.col("src_key").isNull() | F.col("digest").isNotNull())
+    checked = checked.groupBy("key").agg(F.collect_set(F.struct("start", "n", "digest")).alias("spans")).withColumnRenamed("key", "its").hint("shuffle_hash")
     final = rows.join(checked, F.col("key") == F.col("its"), "left").select("doc_id", "key", "text", "copy", "spans")
     return final.mapInArrow(result, SCHEMA + (", kept_text string" if with_text else ""))
 

@@ -161,6 +161,37 @@ def test_substrings(docs, rows):
     same([tuple(r) for r in debruijn.substring_dedup(docs).collect()], want)
 
 
+@pytest.mark.parametrize("size", [1 << 20, 300])
+def test_common_passages(spark, monkeypatch, size):
+    """Passages that many rows share, whole and in part, in one run of texts and over many, equal, null and negative ids among them."""
+    monkeypatch.setattr(debruijn, "SLICE", size)
+    draw = random.Random(12)
+    words = lambda n: [f"w{draw.randrange(400)}" for _ in range(n)]
+    passages = [words(60) for _ in range(5)]
+    rows = []
+    for i in range(150):
+        own = words(draw.randint(0, 30))
+        for _ in range(draw.randint(1, 3)):
+            p = draw.choice(passages)
+            a = draw.choice([0, 0, 0, draw.randrange(40)])
+            own += p[a : a + draw.choice([60, 60, 25])] + words(draw.randint(0, 9))
+        rows.append((draw.choice([i - 20, i - 20, i - 20, 7, None]), " ".join(own)))
+    key = lambda i: 2**63 - 1 if i is None else i
+    first, want = {}, []
+    for i, t in rows:
+        w = t.encode().split()
+        for k in range(len(w) - 12):
+            g = tuple(w[k : k + 13])
+            first[g] = min(key(i), first.get(g, 2**63 - 1))
+    for i, t in rows:
+        w = t.encode().split()
+        gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < key(i) for j in range(13)}
+        want.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    same([tuple(r) for r in debruijn.substring_dedup(table).collect()], want)
+    assert 0 < sum(x[2] for x in want) < sum(x[1] for x in want)
+
+
 def linked(nodes, near):
     root = list(range(len(nodes)))
 
@@ -254,7 +285,7 @@ def test_near_duplicates_around_the_limit(spark):
     sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))) for t in texts]
     roots = linked(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block in (256, 7):
+    for block in (1024, 7):
         got = simhash.near_duplicates(table, block=block).collect()
         same([tuple(r) for r in got], list(enumerate(roots)))
     assert 40 < len(set(roots)) < len(texts) - 40
