@@ -79,7 +79,10 @@ def merges_of(path: str) -> Merges:
 
 
 def count_batch(texts: list[str], merges: Merges, split, known: dict[str, int]) -> list[int]:
-    """Tokens of each text. A special string counts as one token and parts the text, as the library's default does."""
+    """Tokens of each text. A special string counts as one token and parts the text, as the library's default does.
+
+    Added tokens' own flags (stripping blanks beside them, whole words alone) are taken as unset, as in the given vocabularies.
+    """
     cut, extra = [], []
     for text in texts:
         if merges.specials is not None and merges.specials.search(text):

@@ -12,16 +12,28 @@ from tallyweave.llm.common import ascii_lower, id_and_text
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
 #: Opening words of public licenses and notices, with labels of our own.
 NOTICES = (
+    ("agpl-notice", "the terms of the gnu affero general public license"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("boost", "distributed under the boost software license version 1 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-notice", "this work is licensed under a creative commons attribution"),
     ("cc-by-nc", "licensed under cc by nc"),
+    ("cc-by-nd", "creative commons attribution noderivatives"),
+    ("cc-by-sa", "creative commons attribution sharealike"),
+    ("cc0", "has waived all copyright and related or neighboring rights"),
+    ("epl", "made available under the terms of the eclipse public license"),
     ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl-notice", "this work is licensed under the gnu general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl-notice", "the terms of the gnu lesser general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "released under the mit license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("proprietary", "no part of this publication may be reproduced or transmitted in any form without prior written permission"),
+    ("public-domain", "dedicated to the public domain"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages"),
 )
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a gram of the long templates, offsets that neighbouring diagonals may differ by, the least share of a

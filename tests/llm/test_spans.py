@@ -220,6 +220,11 @@ def test_notice_with_words_put_in(spark):
     assert row.labels == "mit" and row.n_base == 0 and 0.6 <= row.score < 1
 
 
+def test_every_notice_is_found_whole(spark):
+    rows = licenses.license_scan(spark.createDataFrame([(i, f"see: {p.title()}.") for i, (_, p) in enumerate(licenses.NOTICES)], "doc_id long, text string")).collect()
+    assert all(licenses.NOTICES[r.doc_id][0] in r.labels.split(",") and r.score == 1 for r in rows)
+
+
 def test_repeated_notices(spark):
     texts = ["This work is licensed under the GNU General Public License. See the GNU General Public License", "Released under the MIT license\n" * 5, "Redistributed under the one and the other MIT license " * 5, "Released under the MIT license " + "under the MIT license " * 9]
     rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
