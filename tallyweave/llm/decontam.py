@@ -11,8 +11,8 @@ from tallyweave.llm.spans import bound
 #: Words of a window, the least plain words in it, the share of an item's windows that must be matched on one alignment,
 #: and the share of matched slots that must agree with a one-to-one renaming.
 WINDOW, PLAIN, LEAST, CONSISTENT = 8, 3, 0.5, 0.8
-#: An aligned run of this many matched windows is a leak even of a long item: WINDOW + RUN - 1 words on end.
-RUN = 6
+#: Words of an item on end, as written, whose windows are all matched on one alignment: a leak even of a long item.
+RUN_WORDS = 13
 #: Units, by their usual signs and names.
 UNITS = "mm cm m km in ft yd mi mg g kg lb lbs oz t ml l cl ms s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres percent dollar dollars euro euros cent cents usd eur gbp kmh mph hz kb mb gb".split()
 #: Number words.
@@ -43,20 +43,24 @@ def canonical(word: Column, names: bool = True) -> Column:
     )
 
 
-def windows(texts: DataFrame, window: int = WINDOW, names: bool = True) -> DataFrame:
-    """One row for each window of canonical words of which enough are plain: the other columns, `words`, `pos` and the window's hash `sum`.
+def windows(texts: DataFrame, window: int = WINDOW, names: bool = True, spans: bool = False) -> DataFrame:
+    """One row for each window of canonical words of which enough are plain: the other columns, `words`, `pos`, the window's hash `sum`, and, with `spans`, `first` and `until`, the words as written that it goes over.
 
     A run of names or of numbers, such as a full name, is one word, which its first stands for.
     """
-    typed = F.transform(words_of(F.col("text")), lambda w: F.struct(w.alias("word"), canonical(w, names).alias("kind")))
+    typed = F.transform(words_of(F.col("text")), lambda w, i: F.struct(w.alias("word"), canonical(w, names).alias("kind"), i.alias("at")))
     alone = lambda t: lambda x, i: (i == 0) | ~x["kind"].isin("<name>", "<number>") | (x["kind"] != F.get(t, i - 1)["kind"])
-    df = texts.withColumn("typed", bound(typed, lambda t: F.filter(t, alone(t)))).drop("text")
-    df = df.withColumns({"words": F.col("typed.word"), "kinds": F.col("typed.kind")}).drop("typed")
+    df = texts.withColumn("typed", bound(typed, lambda t: F.filter(t, alone(t))))
+    df = df.withColumn("n", F.size(words_of(F.col("text")))) if spans else df
+    df = df.drop("text").withColumns({"words": F.col("typed.word"), "kinds": F.col("typed.kind"), "ats": F.col("typed.at")}).drop("typed")
     df = df.select("*", F.posexplode("kinds").alias("pos", "k0"))
     df = df.withColumns({f"k{i}": F.get("kinds", F.col("pos") + i) for i in range(1, window)})
     kinds = [f"k{i}" for i in range(window)]
     plain = sum((F.when(F.col(k).startswith("<"), 0).otherwise(1) for k in kinds), F.lit(0))
-    return df.where(F.col(kinds[-1]).isNotNull() & (plain >= PLAIN)).withColumn("sum", F.xxhash64(*kinds)).drop("kinds", *kinds)
+    df = df.where(F.col(kinds[-1]).isNotNull() & (plain >= PLAIN)).withColumn("sum", F.xxhash64(*kinds))
+    if spans:
+        df = df.withColumns({"first": F.get("ats", F.col("pos")), "until": F.coalesce(F.get("ats", F.col("pos") + window), F.col("n"))})
+    return df.drop("kinds", "ats", "n", *kinds)
 
 
 def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, broadcast_bytes: int) -> DataFrame:
@@ -65,8 +69,8 @@ def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_i
     own = id_and_text(items, item_id_col, item_text_col).withColumnRenamed("doc_id", "item_id")
     own = own.withColumn("item_key", F.xxhash64("text")).distinct()
     # Texts all in capitals or all in small letters show no names; for them the items' windows are also hashed without.
-    bench = windows(own).withColumn("named", F.lit(1)).union(windows(own, names=False).withColumn("named", F.lit(0)))
-    bench = bench.select("item_id", "item_key", "named", F.col("pos").alias("item_pos"), F.col("sum").alias("item_sum"), F.slice("words", F.col("pos") + 1, WINDOW).alias("theirs"))
+    bench = windows(own, spans=True).withColumn("named", F.lit(1)).union(windows(own, names=False, spans=True).withColumn("named", F.lit(0)))
+    bench = bench.select("item_id", "item_key", "named", F.struct(F.col("pos").alias("pos"), "first", "until").alias("item_at"), F.col("sum").alias("item_sum"), F.slice("words", F.col("pos") + 1, WINDOW).alias("theirs"))
     sizes = bench.groupBy("item_id", "item_key").agg(F.count_if(F.col("named") == 1).alias("n"), F.count_if(F.col("named") == 0).alias("n_plain"))
     sizes = sizes.select("item_id", "item_key", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("n_plain")).alias("item_windows"))
     bench = bench.drop("named").distinct().join(sizes, ["item_id", "item_key"])
@@ -74,27 +78,29 @@ def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_i
     # A row of numbers, an array and its words.
     size = bench.agg(F.sum(F.octet_length(F.array_join("theirs", "")) + 8 * WINDOW + 64)).first()[0] or 0
     if size <= broadcast_bytes:
-        hits = each.join(F.broadcast(bench), F.col("sum") == F.col("item_sum")).select("doc_id", "row_key", "item_id", "item_key", "item_windows", "pos", "item_pos", ours, "theirs")
+        hits = each.join(F.broadcast(bench), F.col("sum") == F.col("item_sum")).select("doc_id", "row_key", "item_id", "item_key", "item_windows", "pos", "item_at", ours, "theirs")
     else:
         # A window's row takes its own words along, not the text's; a window that many texts share goes to PARTS parts.
         each = each.select("doc_id", "row_key", "pos", "sum", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(PARTS)).cast("int").alias("part"), ours)
         parted = bench.withColumn("item_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        hits = each.join(parted, (F.col("sum") == F.col("item_sum")) & (F.col("part") == F.col("item_part"))).select("doc_id", "row_key", "item_id", "item_key", "item_windows", "pos", "item_pos", "ours", "theirs")
+        hits = each.join(parted, (F.col("sum") == F.col("item_sum")) & (F.col("part") == F.col("item_part"))).select("doc_id", "row_key", "item_id", "item_key", "item_windows", "pos", "item_at", "ours", "theirs")
 
-    pair = ["doc_id", "row_key", "item_id", "item_key", "item_windows", (F.col("pos") - F.col("item_pos")).alias("offset")]
-    hits = hits.repartition("doc_id", "row_key", "item_id", "item_key").dropDuplicates(["doc_id", "row_key", "item_id", "item_key", "pos", "item_pos"])
+    pair = ["doc_id", "row_key", "item_id", "item_key", "item_windows", (F.col("pos") - F.col("item_at.pos")).alias("offset")]
+    hits = hits.repartition("doc_id", "row_key", "item_id", "item_key").dropDuplicates(["doc_id", "row_key", "item_id", "item_key", "pos", "item_at"])
     # An item has a bounded number of windows, so an alignment has.
     aligned = hits.groupBy(*pair).agg(
-        F.count("*").alias("n_windows"), F.min("pos").alias("start_word"), F.array_sort(F.collect_list("item_pos")).alias("at"),
+        F.count("*").alias("n_windows"), F.min("pos").alias("start_word"), F.array_sort(F.collect_list("item_at")).alias("at"),
         F.array_distinct(F.flatten(F.collect_list(F.filter(F.zip_with("theirs", "ours", lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))), lambda x: canonical(x["theirs"]).startswith("<"))))).alias("slots"),
     )
     # The share of the slots' values that go one to one with the text's.
     values = F.size(F.array_distinct(F.transform("slots", lambda s: s["theirs"])))
     others = F.size(F.array_distinct(F.transform("slots", lambda s: s["ours"])))
     share = F.when(F.size("slots") == 0, 1.0).otherwise(F.least(values, others) / F.size("slots"))
-    runs = F.aggregate("at", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")), _longer, lambda a: a["best"])
-    aligned = aligned.withColumn("consistent", share).withColumn("longest_run", runs)
-    return aligned.where((F.col("consistent") >= CONSISTENT) & ((F.col("n_windows") >= LEAST * F.col("item_windows")) | (F.col("longest_run") >= RUN)))
+    none = F.lit(-2)
+    start = F.struct(none.alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("first"), F.lit(0).alias("words"))
+    runs = F.aggregate("at", start, _longer)
+    aligned = aligned.withColumn("consistent", share).withColumn("runs", runs).withColumns({"longest_run": F.col("runs.best"), "words": F.col("runs.words")})
+    return aligned.where((F.col("consistent") >= CONSISTENT) & ((F.col("n_windows") >= LEAST * F.col("item_windows")) | (F.col("words") >= RUN_WORDS)))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -103,7 +109,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Windows of canonical words are hash-joined with the items' windows. Matches on one alignment (the offset between text
     and item) belong together; each brings the words that stand at its place on both sides. Where the placeholders stand,
     a value of the item must always go with the same value of the text. A pair is returned if it has enough of the
-    item's windows, or enough of them on end, on one alignment, with consistent slots. Items shorter than a window are
+    item's windows, or windows over enough of its words on end, on one alignment, with consistent slots. Items shorter than a window are
     matched by none. The items' windows are broadcast while their bytes, which are counted, are few, else shuffled. Null
     and empty texts match nothing; null ids stay null; repeated rows give one pair; empty tables give no rows.
     """
@@ -125,5 +131,6 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 
 def _longer(a: Column, x: Column) -> Column:
-    run = F.when(x == a["last"] + 1, a["run"] + 1).otherwise(1)
-    return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+    on = x["pos"] == a["last"] + 1
+    run, first = F.when(on, a["run"] + 1).otherwise(1), F.when(on, a["first"]).otherwise(x["first"])
+    return F.struct(x["pos"].alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"), first.alias("first"), F.greatest(a["words"], x["until"] - first).alias("words"))

@@ -68,9 +68,9 @@ def template_decontamination() -> str:
 
     def windows(source: str, id_: str, names: bool) -> str:
         typed = f"SELECT {id_}, pos, word, {kind('word', names)} AS kind FROM {source}"
-        alone = f"SELECT *, coalesce(kind NOT IN ('<name>', '<number>') OR kind <> lag(kind) OVER (PARTITION BY {id_} ORDER BY pos), true) AS alone FROM ({typed})"
-        placed = f"SELECT {id_}, word, kind, row_number() OVER (PARTITION BY {id_} ORDER BY pos) - 1 AS pos FROM ({alone}) WHERE alone"
-        return f"""SELECT {id_}, pos, string_agg(kind, ' ') OVER h AS g, list(word) OVER h AS w, count(*) OVER h AS n, count(*) FILTER (NOT starts_with(kind, '<')) OVER h AS plain
+        alone = f"SELECT *, count(*) OVER (PARTITION BY {id_}) AS n_words, coalesce(kind NOT IN ('<name>', '<number>') OR kind <> lag(kind) OVER (PARTITION BY {id_} ORDER BY pos), true) AS alone FROM ({typed})"
+        placed = f"SELECT {id_}, word, kind, pos AS here, coalesce(lead(pos) OVER (PARTITION BY {id_} ORDER BY pos), n_words) AS until, row_number() OVER (PARTITION BY {id_} ORDER BY pos) - 1 AS pos FROM ({alone}) WHERE alone"
+        return f"""SELECT {id_}, pos, here, last_value(until) OVER h AS until, string_agg(kind, ' ') OVER h AS g, list(word) OVER h AS w, count(*) OVER h AS n, count(*) FILTER (NOT starts_with(kind, '<')) OVER h AS plain
     FROM ({placed}) WINDOW h AS (PARTITION BY {id_} ORDER BY pos ROWS BETWEEN CURRENT ROW AND {decontam.WINDOW - 1} FOLLOWING)"""
 
     full = f"n = {decontam.WINDOW} AND plain >= {decontam.PLAIN}"
@@ -79,13 +79,13 @@ def template_decontamination() -> str:
   ours AS (SELECT * FROM ({windows("d", "doc_id", True)}) WHERE {full}),
   named AS (SELECT * FROM ({windows("b", "item_id", True)}) WHERE {full}),
   unnamed AS (SELECT * FROM ({windows("b", "item_id", False)}) WHERE {full}),
-  theirs AS (SELECT item_id, pos AS item_pos, g, w AS item_w FROM named UNION SELECT item_id, pos, g, w FROM unnamed),
+  theirs AS (SELECT item_id, pos AS item_pos, here AS item_first, until AS item_until, g, w AS item_w FROM named UNION SELECT item_id, pos, here, until, g, w FROM unnamed),
   sizes AS (SELECT item_id, coalesce(n, m) AS item_windows FROM (SELECT item_id, count(*) AS m FROM unnamed GROUP BY item_id) FULL JOIN (SELECT item_id, count(*) AS n FROM named GROUP BY item_id) USING (item_id)),
-  hits AS (SELECT DISTINCT doc_id, item_id, pos, item_pos, pos - item_pos AS off, w, item_w FROM ours JOIN theirs USING (g)),
-  runs AS (SELECT doc_id, item_id, off, max(n) AS longest_run FROM (SELECT doc_id, item_id, off, k, count(*) AS n FROM (SELECT doc_id, item_id, off, item_pos - row_number() OVER (PARTITION BY doc_id, item_id, off ORDER BY item_pos) AS k FROM hits) GROUP BY ALL) GROUP BY ALL),
+  hits AS (SELECT DISTINCT doc_id, item_id, ours.pos, item_pos, item_first, item_until, ours.pos - item_pos AS off, w, item_w FROM ours JOIN theirs USING (g)),
+  runs AS (SELECT doc_id, item_id, off, max(n) AS longest_run, max(words) AS words FROM (SELECT doc_id, item_id, off, k, count(*) AS n, max(item_until) - min(item_first) AS words FROM (SELECT doc_id, item_id, off, item_first, item_until, item_pos - row_number() OVER (PARTITION BY doc_id, item_id, off ORDER BY item_pos) AS k FROM hits) GROUP BY ALL) GROUP BY ALL),
   slots AS (SELECT doc_id, item_id, off, count(*) AS slots, count(DISTINCT a) AS va, count(DISTINCT b) AS vb FROM (SELECT DISTINCT doc_id, item_id, off, a, b FROM (SELECT doc_id, item_id, off, unnest(item_w) AS a, unnest(w) AS b FROM hits) WHERE starts_with({kind("a")}, '<')) GROUP BY ALL),
   aligned AS (SELECT doc_id, item_id, off, count(*) AS n_windows, min(pos) AS start_word FROM hits GROUP BY ALL),
   leaks AS (SELECT *, coalesce(slots, 0) AS n_slots, CASE WHEN slots IS NULL THEN 1.0::DOUBLE ELSE least(va, vb) / slots END AS consistent FROM aligned JOIN runs USING (doc_id, item_id, off) LEFT JOIN slots USING (doc_id, item_id, off) JOIN sizes USING (item_id))
 SELECT doc_id, item_id, n_windows, item_windows, longest_run, n_slots AS slots, consistent::DOUBLE AS consistent, start_word::BIGINT AS start_word
-FROM leaks WHERE consistent >= {decontam.CONSISTENT} AND (n_windows >= {decontam.LEAST} * item_windows OR longest_run >= {decontam.RUN})
+FROM leaks WHERE consistent >= {decontam.CONSISTENT} AND (n_windows >= {decontam.LEAST} * item_windows OR words >= {decontam.RUN_WORDS})
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, longest_run DESC, start_word, consistent DESC, item_windows DESC, n_slots DESC) = 1"""

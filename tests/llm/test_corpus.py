@@ -351,6 +351,14 @@ def test_contamination_keeps_whole_numbers_and_names(spark):
     assert {r.doc_id for r in contamination(docs, items).collect()} == {1, 2}
 
 
+def test_contamination_of_words_on_end(spark):
+    item = "before noon Anna Maria Lopez and her old friend walk down to the quiet harbour " + " ".join(f"and word{'abcdefghij'[i]} then" for i in range(10))
+    part = " ".join(item.split()[1:14])
+    docs = spark.createDataFrame([(1, f"zz {part} yy"), (2, "zz " + " ".join(item.split()[3:13]) + " yy")], "doc_id long, text string")
+    got = contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [r.doc_id for r in got] == [1]
+
+
 def test_contamination_by_a_shuffle(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = [contamination(docs, items, broadcast_bytes=b).collect() for b in (0, 1 << 30)]
