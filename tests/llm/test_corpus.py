@@ -459,6 +459,45 @@ def test_stages_on_awkward_rows(spark, tmp_path):
         assert f(spark, table.limit(0), str(tmp_path)).count() == 0
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """The whole pipeline's rows, each stage in plain Python over all that the one before it kept."""
+    import corpus_pipeline
+    import tiktoken
+    import zstandard
+
+    from tallyweave.llm import secrets
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    prose = table.where("n_chars between 500 and 1500 and lang = 'en'").orderBy("doc_id").first()
+    told = " ".join(reversed(prose.text.split())) + " password = hunter2hunter2, AKIA" + "B7" * 10
+    more = spark.createDataFrame([(900_001, told, "en", "s", len(told)), (900_002, None, "en", "s", 0)], table.schema)
+    sf_dir = str(tmp_path)
+    table.unionByName(more).write.parquet(f"{sf_dir}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = sorted((r.doc_id, r.text or "") for r in table.unionByName(more).collect())
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    compress = zstandard.ZstdCompressor(level=3).compress
+    docs = [(i, t) for i, t in docs if quality.measure(t, compress)[6]]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for _, t in docs for w in [t.encode().lower().split()]]
+    docs = [d for k, (d, r) in enumerate(zip(docs, linked(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b)), strict=True)) if k == r]
+    grams = lambda t: {tuple(w[k : k + 13]) for w in [re.findall(r"[^\W_]+", t.lower())] for k in range(len(w) - 12)}
+    known = set().union(*map(grams, items))
+    docs = [(i, t) for i, t in docs if not grams(t) & known]
+
+    def redacted(t):
+        spans = sorted((m.start(), m.end()) for r in secrets.RULES for m in re.finditer(r.pattern, t) if len(m[2 if r.kind == "assign" and m.re.groups > 1 else r.group]) >= r.least)
+        out, at = "", 0
+        for a, b in spans:
+            out, at = (out + t[at:a] + "[SECRET]", b) if a >= at else (out, max(at, b))
+        return out + t[at:]
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(P.path("byte_bpe_multi_50k.tiktoken")).ranks, special_tokens={})
+    want = [(i, library.encode_ordinary(redacted(t))) for i, t in docs]
+    got = [(r.doc_id, list(r.ids)) for r in corpus_pipeline.run(spark, sf_dir).collect()]
+    same(got, want)
+    assert 100 < len(got) < 202 and any("[SECRET]" in redacted(t) for _, t in docs)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
