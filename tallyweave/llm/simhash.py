@@ -161,9 +161,9 @@ def simhash_components(df: DataFrame, shingle: int = SHINGLE, distance: int = DI
 #: and the keys by which candidates meet: each is made of the least of `PER_KEY` permuted shingle hashes, so that texts
 #: of similarity s share a key with probability 1 - (1 - s ** PER_KEY) ** KEYS, over 0.99999 at 0.8.
 NEAR_SHINGLE, SIMILARITY, WIDE, KEYS, PER_KEY = 5, 0.8, 4, 12, 2
-#: The most differing bits, of 256, of a candidate: six standard deviations above the mean at 0.8. Texts of fewer distinct
+#: The most differing bits, of 256, of a candidate: over four standard deviations above the mean at 0.8. Texts of fewer distinct
 #: shingles than FEW, whose majorities are often ties, are candidates at any distance.
-WIDE_DISTANCE, FEW = 72, 32
+WIDE_DISTANCE, FEW = 64, 32
 
 
 def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -261,7 +261,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return rows.join(best, ["node", "id"], "left_semi").dropDuplicates(["node", "id"]).select("row.*")
 
 
-def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for each row: the smallest id that is reached by links between texts whose sets of word shingles have Jaccard similarity `similarity` or more.
 
     Texts without words are one group; a null id stays null and counts only where no other is; repeated rows each get
@@ -271,7 +271,7 @@ def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: floa
     return spread_join(rows, groups, "node", "doc_id", heavy_keys(firsts, "node", "n")).select("doc_id", "component_id")
 
 
-def _groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def _groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, node) of each row, (node, component_id, best) and (node, first, n) of each distinct text, a node.
 
     At that similarity fingerprints differ in too many bits for segments that agree, so candidates meet by keys of least
