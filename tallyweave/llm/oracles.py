@@ -15,6 +15,38 @@ SUBSTRINGS = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coales
 SELECT w.doc_id, len(words)::BIGINT AS n_words, len(words) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
+SEARCH = r"""WITH d AS (SELECT row_number() OVER () AS doc, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS terms FROM documents),
+  q AS (SELECT item_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+  totals AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+  tf AS (SELECT doc, doc_id, n, term, count(*) AS tf FROM (SELECT doc, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+  w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, totals GROUP BY term),
+  scores AS (SELECT item_id, doc_id, doc, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term), totals GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scores WHERE score > 0)
+SELECT item_id, r::INTEGER AS rank, doc_id, score FROM ranked WHERE r <= 20"""
+
+
+#: The check sum of a conversation's id bit by bit; prefixes are whole lists of turns.
+TRIE = r"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS grp, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT) AS codes FROM t GROUP BY conv_id),
+  crc AS (SELECT conv_id, n, grp, xor(list_reduce(list_concat([4294967295::BIGINT], codes), lambda a, ch: list_reduce(list_concat([xor(a, ch)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 4 AS h FROM c),
+  lent AS (SELECT crc.*, least(h, coalesce(g.n, 0)) AS lent FROM crc LEFT JOIN (SELECT conv_id AS grp, n FROM c) g USING (grp)),
+  r AS (SELECT l.conv_id, p AS depth, role, text FROM lent l JOIN t ON t.conv_id = l.grp AND p <= lent UNION ALL SELECT l.conv_id, p - h + lent, role, text FROM lent l JOIN t ON t.conv_id = l.conv_id AND p > h),
+  m AS (SELECT conv_id, depth, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix, text, max(depth) OVER (PARTITION BY conv_id) = depth AS last FROM r
+    UNION ALL SELECT conv_id, 0, [], '', conv_id NOT IN (SELECT conv_id FROM r) FROM lent),
+  own AS (SELECT depth, prefix, min(conv_id) AS node, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS cost, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM m GROUP BY depth, prefix),
+  spots AS (SELECT conv_id, depth, node FROM m JOIN own USING (depth, prefix)),
+  tied AS (SELECT own.node, own.depth, n_convs, cost, ends_sha256, spots.node AS parent FROM own LEFT JOIN spots ON spots.conv_id = own.node AND spots.depth = own.depth - 1),
+  kids AS (SELECT parent, depth - 1 AS depth, count(*) AS n FROM tied WHERE parent IS NOT NULL GROUP BY ALL),
+  under AS (SELECT spots.node, spots.depth, sum((k.n IS NULL)::INT)::BIGINT AS n_leaves, sum(cost)::BIGINT AS saved FROM tied v LEFT JOIN kids k ON k.parent = v.node AND k.depth = v.depth JOIN spots ON spots.conv_id = v.node AND spots.depth <= v.depth GROUP BY ALL),
+  final AS (SELECT v.*, coalesce(k.n, 0)::BIGINT AS n_children, n_leaves, saved FROM tied v LEFT JOIN kids k ON k.parent = v.node AND k.depth = v.depth JOIN under u ON u.node = v.node AND u.depth = v.depth),
+  -- The tour goes down by smallest members: a node is entered after those that come before it in such an order of paths.
+  paths AS (SELECT v.node, v.depth, list(spots.node ORDER BY spots.depth) AS path FROM tied v JOIN spots ON spots.conv_id = v.node AND spots.depth <= v.depth GROUP BY ALL),
+  sizes AS (SELECT spots.node, spots.depth, count(*) AS n FROM tied v JOIN spots ON spots.conv_id = v.node AND spots.depth <= v.depth GROUP BY ALL),
+  pre AS (SELECT node, depth, row_number() OVER (ORDER BY path) - 1 AS i FROM paths)
+SELECT final.node AS conv_id, final.depth::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved AS saved_tokens, ends_sha256, (2 * i - final.depth)::BIGINT AS entered, (2 * i - final.depth + 2 * sizes.n - 1)::BIGINT AS left
+FROM final JOIN sizes USING (node, depth) JOIN pre USING (node, depth)"""
+
+
 def _spans(rule: secrets.Rule, rank: int) -> str:
     p = rule.pattern.replace("'", "''")
     sums = "list_sum(list_transform({}[1:{}], lambda x: length(x)))"

@@ -72,6 +72,24 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(documents(spark, sf_dir))
 
 
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm.search import reversed_search
+
+    return reversed_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_euler_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm.trie import prefix_trie
+
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm.neighbours import quality_votes
+
+    return quality_votes(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -79,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from tallyweave.llm import oracles
 
-    return {"op1_template_decontamination": oracles.template_decontamination(), "op2_diagonal_licenses": oracles.diagonal_licenses(), "op3_blob_ledger": oracles.blob_ledger(), "op6_debruijn_dedup": oracles.SUBSTRINGS}
+    return {"op1_template_decontamination": oracles.template_decontamination(), "op2_diagonal_licenses": oracles.diagonal_licenses(), "op3_blob_ledger": oracles.blob_ledger(), "op6_debruijn_dedup": oracles.SUBSTRINGS, "op11_reversed_search": oracles.SEARCH, "op12_euler_prefix_trie": oracles.TRIE}
