@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.functions.lineage import checkpointed
+from tallyweave.functions.lineage import checkpointed, shared_folder
 
-__all__ = ["ascii_lower", "checkpointed", "documents", "heavy_keys", "id_and_text", "id_key", "nested", "slices", "spread_join"]
+__all__ = ["ascii_lower", "checkpointed", "documents", "heavy_keys", "id_and_text", "id_key", "nested", "slices", "spread_join", "written"]
 
 #: The ASCII letters that the contracts lower-case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,6 +25,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the folder that the cluster shares: made once, where a checkpoint is made twice, and read by column."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and leaves every other character."""
     return F.translate(text, UPPER, LOWER)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.lineage import shared_folder
-from tallyweave.llm.common import id_and_text, slices
+from tallyweave.llm.common import id_and_text, slices, written
 
 TOP = 20
 #: Bytes of items' texts of a block. An index holds one block, and every block makes one pass over the texts.
@@ -72,9 +70,7 @@ def _matched(docs: DataFrame, index: dict[bytes, int]) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (terms, counts)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "n", "terms", "counts"])
 
-    folder = f"{shared_folder(docs.sparkSession)}/matched-{uuid.uuid4().hex}"
-    docs.mapInArrow(run, TABLE).write.parquet(folder)
-    return docs.sparkSession.read.schema(TABLE).parquet(folder)
+    return written(docs.mapInArrow(run, TABLE))
 
 
 class Heaps:

@@ -7,20 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import checkpointed, heavy_keys, spread_join
+from tallyweave.llm.common import heavy_keys, spread_join, written
 
 #: Ids go in groups of so many, whose first conversation lends up to SHARED - 1 turns to the others.
 GROUP, SHARED = 20, 4
 WORD = r"[^\x20\x09-\x0D]+"
-#: Nodes whose arcs are linked in one go within a task, and ids that are joined to one string at once.
+#: Arcs that are linked in one go within a task, and ids that are joined to one string at once.
 BLOCK, IDS = 1 << 16, 1 << 13
 #: An arc is (conversation, 2 * depth) where the tour enters a node, and (conversation, 2 * depth + 1) where it leaves it.
 SUMS = ("n", "leaves", "saved")
-PIECE = "struct<next_conv:bigint,next_arc:bigint,n:bigint,leaves:bigint,saved:bigint>"
-ARCS = ", ".join(f"{side}_{x} bigint" for side in ("enter", "exit") for x in ("conv", "arc", *SUMS)) + f", enter_piece {PIECE}, exit_piece {PIECE}"
 
 
 def _sorted(df: DataFrame, *keys: Column | str) -> DataFrame:
@@ -65,7 +64,7 @@ def _numbered(turns: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(at)], names=["conv_id", "digest", "words", "local"])
 
     rows = _sorted(turns, "conv_id", "turn", "digest").mapInArrow(run, "conv_id long, digest binary, words long, local long")
-    rows = checkpointed(rows.withColumn("part", F.spark_partition_id()))
+    rows = written(rows.withColumn("part", F.spark_partition_id()))
     rows = rows.join(_before(rows, "conv_id", n=F.max("local")), ["conv_id", "part"], "left")
     return rows.select("conv_id", "digest", "words", (F.col("local") + F.coalesce("n_before", F.lit(0))).alias("p"))
 
@@ -86,7 +85,7 @@ def _prefixes(rows: DataFrame) -> DataFrame:
 
     hashed = rows.select("conv_id", "depth", "words", "last", *[F.xxhash64(F.lit(i), "depth", "digest").alias(f"x{i}") for i in (1, 2)])
     out = _sorted(hashed, "conv_id", "depth").mapInArrow(run, "conv_id long, depth long, words long, last boolean, x1 long, x2 long, s1 long, s2 long")
-    out = checkpointed(out.withColumn("part", F.spark_partition_id()))
+    out = written(out.withColumn("part", F.spark_partition_id()))
     out = out.join(_before(out, "conv_id", **{s: F.max_by(s, "depth") for s in ("s1", "s2")}), ["conv_id", "part"], "left")
     for i in (1, 2):
         out = out.withColumn(f"s{i}", F.col(f"s{i}").bitwiseXOR(F.coalesce(f"s{i}_before", F.lit(0))))
@@ -98,12 +97,12 @@ def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv_id, length) of each conversation, and its rebuilt turns (conv_id, depth, digest, words, last)."""
     turns = _numbered(turns)
     own = F.crc32(F.col("conv_id").cast("string").cast("binary")) % SHARED
-    sizes = checkpointed(turns.groupBy("conv_id").agg(F.count("*").alias("n")))
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
     convs = sizes.select("conv_id", "n", own.alias("h"), (F.col("conv_id") - F.col("conv_id") % GROUP).alias("group"))
     convs = convs.join(sizes.select(F.col("conv_id").alias("group"), F.col("n").alias("n_group")), "group", "left").withColumn("lent", F.least("h", F.coalesce("n_group", F.lit(0))))
-    convs = checkpointed(convs.withColumn("length", F.col("lent") + F.greatest(F.col("n") - F.col("h"), F.lit(0))))
+    convs = written(convs.withColumn("length", F.col("lent") + F.greatest(F.col("n") - F.col("h"), F.lit(0))))
     # A very long conversation's turns are dealt out.
-    rest = spread_join(turns.where(F.col("p") > own), convs.select("conv_id", "h", "lent", "length"), "conv_id", "p", heavy_keys(sizes, "conv_id", "n"))
+    rest = spread_join(turns.where(F.col("p") > own), convs.select("conv_id", "h", "lent", "length"), "conv_id", "p", heavy_keys(convs, "conv_id", "n"))
     rest = rest.withColumn("depth", F.col("p") - F.col("h") + F.col("lent"))
     # Fewer than SHARED rows a group.
     heads = turns.where((F.col("p") < SHARED) & (F.col("conv_id") % GROUP == 0)).groupBy(F.col("conv_id").alias("group")).agg(F.collect_list(F.struct(F.col("p").alias("depth"), "digest", "words")).alias("heads"))
@@ -169,7 +168,7 @@ def _siblings(kids: DataFrame) -> DataFrame:
 
     schema = kids.select(*fields).schema.add("next", "long").add("first", "boolean")
     rows = _sorted(kids.select(*fields), *keys).mapInArrow(run, schema)
-    rows = checkpointed(rows.withColumn("part", F.spark_partition_id()))
+    rows = written(rows.withColumn("part", F.spark_partition_id()))
     # The last row of each partition goes to the next one that has rows: a row a partition.
     order = F.struct("parent", "depth", (-F.col("conv_id")).alias("down"))
     tails = rows.groupBy("part").agg(F.max(order).alias("tail")).selectExpr("part", "lag(tail) OVER (ORDER BY part) AS tail", "true AS first")
@@ -178,95 +177,96 @@ def _siblings(kids: DataFrame) -> DataFrame:
     return rows.select(*fields, F.coalesce("next", over).alias("next"))
 
 
-def link(conv: np.ndarray, depth: np.ndarray, parent: np.ndarray, next_: np.ndarray, child: np.ndarray, has: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Chains the arcs of one block of nodes, sorted by (conv, depth), where the arc that follows is in the block too.
-
-    Of each node's two arcs: the arc that heads its chain, the sums of the chain up to the arc, whether it is the head of a
-    chain, and, for heads, the arc behind the chain and its sums. `has`: bits 1, 2 and 4 for a child, a next sibling and a parent.
-    """
+def link(conv: np.ndarray, arc: np.ndarray, next_conv: np.ndarray, next_arc: np.ndarray, more: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains the arcs of one block where the arc behind is in the block too: the place of each arc's chain's first arc, the sums of the chain up to the arc, and, at the first arcs, the place of the chain's last."""
     m = len(conv)
-    ids = np.arange(m)
-    leaf = (has & 1) == 0
-    # The arc behind each arc, as (conversation, arc), and its place in the block, if it has one.
-    to = np.empty((2, m, 2), np.int64)
-    to[0] = np.stack([np.where(leaf, conv, child), np.where(leaf, 2 * depth + 1, 2 * depth + 2)], 1)
-    by = (has & 2) > 0
-    to[1] = np.stack([np.where(by, next_, parent), np.where(by, 2 * depth, 2 * depth - 1)], 1)
-    goes = np.stack([np.ones(m, bool), (has & 6) > 0])
-    # A conversation's nodes are those from some depth on, so a node's place follows from the place of the first.
-    left, right = np.searchsorted(conv, to[..., 0], "left"), np.searchsorted(conv, to[..., 0], "right")
-    at = left + to[..., 1] // 2 - depth[np.minimum(left, m - 1)]
-    inside = goes & (left < right) & (at >= left) & (at < right)
-    behind = np.where(inside, 2 * at + (to[..., 1] & 1), -1)
-    flat = np.empty(2 * m, np.int64)
-    flat[0::2], flat[1::2] = behind
-    before = np.full(2 * m, -1, np.int64)
-    before[flat[flat >= 0]] = np.flatnonzero(flat >= 0)
-    sums = np.zeros((2 * m, 3), np.int64)
-    sums[:, 0] = 1
-    sums[0::2, 1], sums[0::2, 2] = leaf, cost
-    # Pointer jumping towards the heads.
-    head, jump = np.arange(2 * m), before.copy()
+    known, code = np.unique(conv, return_inverse=True)
+    width = int(max(arc.max(), next_arc.max())) + 1
+    keys = code * width + arc
+    order = np.argsort(keys)
+    near = np.minimum(np.searchsorted(known, next_conv), len(known) - 1)
+    to = near * width + next_arc
+    at = order[np.minimum(np.searchsorted(keys, to, sorter=order), m - 1)]
+    behind = np.where(more & (known[near] == next_conv) & (keys[at] == to), at, -1)
+    inside = np.flatnonzero(behind >= 0)
+    jump = np.full(m, -1)
+    jump[behind[inside]] = inside
+    # Pointer jumping towards the first arcs.
+    head, sums = np.arange(m), sums.copy()
     rest = np.flatnonzero(jump >= 0)
     while len(rest):
         far = jump[rest]
-        sums[rest] = sums[rest] + sums[far]
+        sums[rest] += sums[far]
         head[rest] = head[far]
         jump[rest] = jump[far]
         rest = rest[jump[rest] >= 0]
-    tail = np.empty(2 * m, np.int64)
-    ends = np.flatnonzero(flat < 0)
-    tail[head[ends]] = ends
-    to = to.transpose(1, 0, 2).reshape(2 * m, 2)
-    return head, sums, before < 0, tail, to, goes.T.reshape(-1), ids
+    last = np.full(m, -1)
+    ends = np.flatnonzero(behind < 0)
+    last[head[ends]] = ends
+    return head, sums, last
 
 
-def _ranked(nodes: DataFrame) -> DataFrame:
-    """`nodes` (conv_id, depth, parent, next, child, cost, ...) with, for either arc, the sums over the tour from the arc on.
-
-    The arcs are first chained within blocks of nodes that are near in order, which leaves few chains of a trie; the list
-    of chains is ranked by pointer jumping, each round a join that halves what is left of the way.
-    """
-    fields = nodes.schema
+def _chained(arcs: DataFrame) -> DataFrame:
+    """The arcs, each with the first arc of its chain (head_conv, head_arc), the sums up to it, `own` sums, and, at the first arc, `chain`: what comes behind the chain, and its sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
-            col = {x: batch.column(x) for x in ("conv_id", "depth", "parent", "next", "child", "cost")}
-            has = sum(col[x].is_valid().to_numpy(zero_copy_only=False).astype(np.int64) << i for i, x in enumerate(("child", "next", "parent")))
-            conv, depth, parent, next_, child, cost = (col[x].fill_null(0).to_numpy(zero_copy_only=False) for x in ("conv_id", "depth", "parent", "next", "child", "cost"))
-            head, sums, is_head, tail, to, goes, ids = link(conv, depth, parent, next_, child, has, cost)
-            out = []
-            for side in (0, 1):
-                h = head[side::2]
-                out += [conv[h >> 1], 2 * depth[h >> 1] + (h & 1), *sums[side::2].T]
-            pieces = []
-            for side in (0, 1):
-                heads = is_head[side::2]
-                t = tail[np.where(heads, 2 * ids + side, head[0])]
-                more = ~goes[t]
-                parts = [pa.array(to[t, 0], mask=more), pa.array(to[t, 1], mask=more), *(pa.array(sums[t, i]) for i in range(3))]
-                pieces.append(pa.StructArray.from_arrays(parts, names=["next_conv", "next_arc", *SUMS], mask=pa.array(~heads)))
-            arrays = [*batch.columns, *(pa.array(np.ascontiguousarray(x)) for x in out), *pieces]
-            names = [*batch.schema.names, *(x.split()[0] for x in ARCS.split(", ") if "_piece" not in x), "enter_piece", "exit_piece"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    schema = fields
-    for x in nodes.sparkSession.createDataFrame([], ARCS).schema:
-        schema = schema.add(x)
-    rows = checkpointed(_sorted(nodes, "conv_id", "depth").mapInArrow(run, schema))
-    piece = lambda side, k: rows.where(f"{side}_piece IS NOT NULL").select("conv_id", (2 * F.col("depth") + k).alias("arc"), f"{side}_piece.*")
-    chains = checkpointed(piece("enter", 0).union(piece("exit", 1)))
-    while not chains.where("next_conv IS NOT NULL").isEmpty():
-        far = chains.select(F.col("conv_id").alias("next_conv"), F.col("arc").alias("next_arc"), F.struct("next_conv", "next_arc", *SUMS).alias("far"))
-        open_ = chains.where("next_conv IS NOT NULL").join(far, ["next_conv", "next_arc"])
+            conv, arc, next_conv, next_arc = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(4))
+            more = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            head, sums, last = link(conv, arc, next_conv, next_arc, more, np.stack([batch.column(i).to_numpy() for i in range(4, 7)], 1))
+            end = np.maximum(last, 0)
+            none = pa.array(~more[end])
+            chain = [pc.if_else(none, None, pa.array(x[end])) for x in (next_conv, next_arc)] + [pa.array(sums[end, i]) for i in range(3)]
+            chain = pa.StructArray.from_arrays(chain, names=["next_conv", "next_arc", *SUMS], mask=pa.array(last < 0))
+            own = pa.StructArray.from_arrays(batch.columns[4:7], names=list(SUMS))
+            upto = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(sums[:, i])) for i in range(3)], names=list(SUMS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(conv[head]), pa.array(arc[head]), upto, own, chain], names=["conv_id", "arc", "head_conv", "head_arc", "upto", "own", "chain"])
+
+    sums = "struct<n:bigint,leaves:bigint,saved:bigint>"
+    return arcs.mapInArrow(run, f"conv_id long, arc long, head_conv long, head_arc long, upto {sums}, own {sums}, chain struct<next_conv:bigint,next_arc:bigint,n:bigint,leaves:bigint,saved:bigint>")
+
+
+def _ranked(arcs: DataFrame) -> DataFrame:
+    """(conv_id, arc, n, leaves, saved): the sums over a list from each of its `arcs` (conv_id, arc, next_conv, next_arc, n, leaves, saved) on.
+
+    Arcs that follow each other within a block are chained, and the list of chains, far shorter for arcs in the trie's order, is
+    ranked in the same way, in blocks that reach further. Once chaining shortens a list no more by half, the rest is
+    ranked by pointer jumping: rounds of joins, each of which doubles how far an arc's sums reach.
+    """
+    rows = written(_chained(arcs))
+    chains = rows.where("chain IS NOT NULL").select("conv_id", "arc", "chain.*")
+    n, left = rows.count(), chains.count()
+    if chains.where("next_conv IS NOT NULL").isEmpty():
+        ranked = chains.select("conv_id", "arc", *SUMS)
+    elif 2 * left <= n:
+        ranked = _ranked(chains.coalesce(-(-left // BLOCK)))
+    else:
+        ranked = _jumped(chains)
+    far = ranked.select(F.col("conv_id").alias("head_conv"), F.col("arc").alias("head_arc"), F.struct(*SUMS).alias("far"))
+    # A few rows, counted, or else a join in which a chain has BLOCK rows at most.
+    rows = rows.join(F.broadcast(far) if left <= BLOCK else far, ["head_conv", "head_arc"])
+    return rows.select("conv_id", "arc", *[(F.col(f"far.{x}") - F.col(f"upto.{x}") + F.col(f"own.{x}")).alias(x) for x in SUMS])
+
+
+def _jumped(arcs: DataFrame) -> DataFrame:
+    """`_ranked` by pointer jumping alone."""
+    arcs = written(arcs)
+    while not arcs.where("next_conv IS NOT NULL").isEmpty():
+        far = arcs.select(F.col("conv_id").alias("next_conv"), F.col("arc").alias("next_arc"), F.struct("next_conv", "next_arc", *SUMS).alias("far"))
+        open_ = arcs.where("next_conv IS NOT NULL").join(far, ["next_conv", "next_arc"])
         open_ = open_.select("conv_id", "arc", "far.next_conv", "far.next_arc", *[(F.col(x) + F.col(f"far.{x}")).alias(x) for x in SUMS])
-        chains = checkpointed(chains.where("next_conv IS NULL").union(open_))
-    own = {"enter": {"n": F.lit(1), "leaves": F.col("child").isNull().cast("long"), "saved": F.col("cost")}, "exit": {"n": F.lit(1), "leaves": F.lit(0), "saved": F.lit(0)}}
-    for side in ("enter", "exit"):
-        found = chains.select(F.col("conv_id").alias(f"{side}_conv"), F.col("arc").alias(f"{side}_arc"), *[F.col(x).alias(f"all_{x}") for x in SUMS])
-        rows = rows.join(found, [f"{side}_conv", f"{side}_arc"])
-        rows = rows.withColumns({f"{side}_{x}": F.col(f"all_{x}") - F.col(f"{side}_{x}") + own[side][x] for x in SUMS}).drop(*[f"all_{x}" for x in SUMS])
-    return rows
+        arcs = written(arcs.where("next_conv IS NULL").select("conv_id", "arc", "next_conv", "next_arc", *SUMS).union(open_))
+    return arcs.select("conv_id", "arc", *SUMS)
+
+
+def _tour(nodes: DataFrame) -> DataFrame:
+    """The arcs of `nodes` (conv_id, depth, parent, next, child, cost) with the arc behind each, sorted by node."""
+    conv, depth, leaf = F.col("conv_id"), F.col("depth"), F.col("child").isNull()
+    arc = lambda at, conv_, at_, leaves, saved: F.struct(at.alias("arc"), conv_.alias("next_conv"), at_.alias("next_arc"), F.lit(1).cast("long").alias("n"), leaves.cast("long").alias("leaves"), saved.cast("long").alias("saved"))
+    enter = arc(2 * depth, F.when(leaf, conv).otherwise(F.col("child")), F.when(leaf, 2 * depth + 1).otherwise(2 * depth + 2), leaf, F.col("cost"))
+    behind = F.when(F.col("next").isNotNull(), 2 * depth).when(F.col("parent").isNotNull(), 2 * depth - 1)
+    leave = arc(2 * depth + 1, F.coalesce("next", "parent"), behind, F.lit(0), F.lit(0))
+    return _sorted(nodes, "conv_id", "depth").select("conv_id", F.explode(F.array(enter, leave)).alias("a")).select("conv_id", "a.*")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,13 +300,13 @@ def prefix_trie(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     role, text = (F.coalesce(df[c].cast("string"), F.lit("")) for c in (role_col, text_col))
     digest = F.unhex(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary"), 256))
     turns = df.select(df[conv_col].cast("long").alias("conv_id"), df[turn_col].alias("turn"), digest.alias("digest"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words")).where("conv_id IS NOT NULL")
-    convs, rebuilt = _rebuilt(turns)
+    convs, rebuilt = _rebuilt(written(turns))
     root = F.struct(F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"))
     members = _prefixes(rebuilt).union(convs.select("conv_id", root.alias("key"), F.lit(None).alias("up"), F.lit(0).cast("long").alias("words"), (F.col("length") == 0).alias("last")))
     nodes = members.groupBy("key").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("words").alias("words"), F.max("up").alias("up"))
-    nodes = checkpointed(nodes.withColumn("cost", (F.col("n_convs") - 1) * F.col("words")).drop("words"))
+    nodes = written(nodes.withColumn("cost", (F.col("n_convs") - 1) * F.col("words")).drop("words"))
     kids = nodes.where("up IS NOT NULL")
-    children = checkpointed(kids.groupBy(F.col("up").alias("key")).agg(F.count("*").alias("n_children"), F.min("conv_id").alias("child")))
+    children = kids.groupBy(F.col("up").alias("key")).agg(F.count("*").alias("n_children"), F.min("conv_id").alias("child"))
     whole = nodes.join(children, "key", "left").join(_ends(members.where("last")), "key", "left")
     whole = whole.select(F.col("key.depth").alias("depth"), "conv_id", "n_convs", "cost", "up", F.coalesce("n_children", F.lit(0)).alias("n_children"), "child", F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"))
     # The children of a node with very many are dealt out.
@@ -314,10 +314,13 @@ def prefix_trie(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     below = spread_join(whole.where("up IS NOT NULL"), parents, "up", "conv_id", heavy_keys(children.withColumnRenamed("key", "up"), "up", "n_children")).drop("up")
     below = _siblings(below)
     top = whole.where("up IS NULL").withColumn("parent", F.lit(None).cast("long")).withColumn("next", F.lit(None).cast("long"))
-    out = _ranked(below.unionByName(top.drop("up")))
+    nodes = written(below.unionByName(top.drop("up")))
+    arcs = _ranked(_tour(nodes))
+    by = lambda enter, leave: F.sum(F.when(F.col("arc") % 2 == 0, enter).otherwise(leave))
+    # Sums from the two arcs of a node on differ by its subtree; places are counted from the other end.
+    sums = arcs.groupBy("conv_id", F.floor(F.col("arc") / 2).alias("depth")).agg(*[by(F.col(x), -F.col(x)).alias(f"in_{x}") for x in SUMS[1:]], by(F.col("n"), F.lit(0)).alias("enter_n"), by(F.lit(0), F.col("n")).alias("leave_n"))
     total = F.lit(2 * nodes.count())
-    subtree = lambda x: F.col(f"enter_{x}") - F.col(f"exit_{x}")
-    return out.select(
-        "conv_id", "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", subtree("leaves").alias("n_leaves"), subtree("saved").alias("saved_tokens"), "ends_sha256",
-        (total - F.col("enter_n")).alias("entered"), (total - F.col("exit_n")).alias("left"),
+    return nodes.join(sums, ["conv_id", "depth"]).select(
+        "conv_id", "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", F.col("in_leaves").alias("n_leaves"), F.col("in_saved").alias("saved_tokens"), "ends_sha256",
+        (total - F.col("enter_n")).alias("entered"), (total - F.col("leave_n")).alias("left"),
     )
