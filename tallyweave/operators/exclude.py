@@ -57,11 +57,12 @@ def by_total(stats: DataFrame, keys: list[str] = ()) -> DataFrame:
     return stats.withColumn("place", (F.row_number().over(order) - 1).cast("bigint"))
 
 
-def mark(people: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+def mark(people: DataFrame, settings: DataFrame | None = None, learned: str | None = None) -> DataFrame:
     """Adds secondary and secondary_reason. `settings` is one row per batch or tenant (batch_id, titles, names, use_default); without it the default words count.
 
     A formal title is never set aside unless the person is named; then the first keyword of the main post is reported,
-    the tenant's before the default ones; then named people.
+    the tenant's before the default ones; then named people. `learned` is a column with the first learned keyword of the
+    main post; it counts as one of the tenant's, which are in order.
     """
     default = F.array(*[F.lit(x) for x in rules.EXCLUDED_TITLES])
     none = F.array().cast("array<string>")
@@ -71,7 +72,8 @@ def mark(people: DataFrame, settings: DataFrame | None = None) -> DataFrame:
         people = people.withColumns({"__t": none, "__n": none, "__u": F.lit(True)})
     head, title = title_head(F.col("title")), F.coalesce(F.col("title"), F.lit(""))
     named = F.array_contains(F.coalesce("__n", none), F.coalesce("name", F.lit("")))
-    hit = F.coalesce(first_hit(head, F.coalesce("__t", none)), F.when(F.coalesce("__u", F.lit(True)), first_hit(head, default)))
+    own = first_hit(head, F.coalesce("__t", none))
+    hit = F.coalesce(own if learned is None else F.least(own, learned), F.when(F.coalesce("__u", F.lit(True)), first_hit(head, default)))
     reason = F.when(is_formal(title) & ~named, F.lit(None)).when(hit.isNotNull(), F.concat(F.lit("職稱含「"), hit, F.lit("」"))).when(named, "個別指定")
     return people.withColumn("secondary_reason", reason).withColumn("secondary", F.col("secondary_reason").isNotNull()).drop("__t", "__n", "__u")
 
@@ -106,6 +108,61 @@ def learned_by_batch(observations: DataFrame, order: str = "batch_ord") -> DataF
     return learn(stats).where("verdict = 'suggest'").groupBy("title").agg(F.min(order).alias(order))
 
 
+def learned_spans(observations: DataFrame, order: str = "batch_ord") -> DataFrame:
+    """(title, since, until): the batches after which a title is suggested, from `since` up to but without `until`, where the register first has it (null: never).
+
+    `observations` has one row per title and batch (title, batch_ord, total, in_af). Counts only grow, so there is one span.
+    """
+    upto = W.partitionBy("title").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    stats = observations.select("title", order, F.sum("total").over(upto).alias("total"), F.sum("in_af").over(upto).alias("in_af"), F.count("*").over(upto).alias("files"))
+    since = learn(stats).where("verdict = 'suggest'").groupBy("title").agg(F.min(order).alias("since"))
+    until = observations.where("in_af > 0").groupBy("title").agg(F.min(order).alias("until"))
+    return since.join(until, "title", "left")
+
+
+def keywords_in(titles: DataFrame, words: DataFrame) -> DataFrame:
+    """(title, head, keyword) of `titles` (title) whose main post, `head`, holds a word of `words` (keyword), once for each.
+
+    A join on the pieces of the posts that are as long as some word, so no title meets every word.
+    """
+    lengths = words.agg(F.collect_set(F.length("keyword")).alias("lengths"))  # one row, of a few numbers
+    heads = titles.select("title", title_head(F.col("title")).alias("head")).distinct().join(F.broadcast(lengths))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length("head") - n + 1), lambda i: F.substring("head", i, n))
+    pieces = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n.between(1, F.length("head"))), at)))
+    return heads.select("title", "head", F.explode(pieces).alias("keyword")).join(words.select("keyword").distinct(), "keyword").select("title", "head", "keyword")
+
+
+def learned_for(batches: DataFrame, wanted: DataFrame, spans: DataFrame) -> DataFrame:
+    """(tenant, keyword, from_ord): from which of its batches on a tenant has a learned title, the first one within the title's span; it keeps it.
+
+    `batches` (tenant, batch_ord), `wanted` (tenant, keyword) the pairs to look up. The next batch at or after a span's
+    beginning is found by one sort of both, as of the beginning, and not by comparing spans with batches.
+    """
+    asked = wanted.distinct().join(spans.withColumnRenamed("title", "keyword"), "keyword")
+    rows = asked.select("tenant", F.col("since").alias("at"), F.lit(0).alias("kind"), "keyword", "until")
+    rows = rows.unionByName(batches.select("tenant", F.col("batch_ord").alias("at"), F.lit(1).alias("kind")).distinct(), allowMissingColumns=True)
+    ahead = W.partitionBy("tenant").orderBy("at", "kind").rowsBetween(0, W.unboundedFollowing)
+    found = rows.withColumn("from_ord", F.min(F.when(F.col("kind") == 1, F.col("at"))).over(ahead)).where("kind = 0")
+    return found.where("from_ord IS NOT NULL AND (until IS NULL OR from_ord < until)").select("tenant", "keyword", "from_ord")
+
+
+def mark_as_of(people: DataFrame, observations: DataFrame, batches: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """`mark` of each batch by what had been learned up to it: (…, secondary_reason, secondary).
+
+    `observations` (batch_ord, title, total, in_af) and `batches` (batch_id, tenant, batch_ord) are of all batches there
+    were; `settings` (tenant, titles, names, use_default) is what tenants had saved. A title that the observations up to a
+    tenant's batch suggest goes to that tenant's own, for this batch and all its later ones; other tenants, and batches before, aren't
+    touched. Batches that aren't in `batches` have nothing learned.
+    """
+    spans = learned_spans(observations)
+    found = keywords_in(people.where("title IS NOT NULL").select("title"), spans.select(F.col("title").alias("keyword")))
+    of = people.select("batch_id", "title").distinct().join(batches.select("batch_id", "tenant", "batch_ord"), "batch_id").join(found, "title")
+    since = learned_for(batches, of.select("tenant", "keyword"), spans)
+    first = of.join(since, ["tenant", "keyword"]).where("from_ord <= batch_ord").groupBy("batch_id", "title").agg(F.min("keyword").alias("__learned"))
+    own = None if settings is None else batches.select("batch_id", "tenant").join(settings, "tenant").drop("tenant")
+    return mark(people.join(first, ["batch_id", "title"], "left"), own, "__learned").drop("__learned")
+
+
 def suggested_titles(people: DataFrame) -> DataFrame:
     """(batch_id, titles) per batch, in order, whose main post has a default word."""
     found = people.where(has_any(title_head(F.col("title")), rules.EXCLUDED_TITLES))

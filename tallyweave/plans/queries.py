@@ -19,7 +19,7 @@ from tallyweave.operators import register as reg
 from tallyweave.operators import reorder as reo
 from tallyweave.operators import validate as val
 from tallyweave.sources import reports, scans, sheet, state
-from tallyweave.streaming import jobs
+from tallyweave.streaming import jobs, learning, queue
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -466,15 +466,38 @@ def settings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exc.remember(old, more).select("tenant", F.array_join("titles", ",").alias("titles"), F.array_join("names", ",").alias("names"), "changed")
 
 
-@query(f"""WITH {_SEEN}, stats AS (SELECT title, sum(total) AS total, sum(in_af) AS in_af, count(*) AS files FROM seen GROUP BY title),
-  learned AS (SELECT title FROM stats WHERE in_af = 0 AND total >= 3 AND files >= 2)
-  SELECT user_id, event_id, CASE WHEN event_type || (event_id % 7) IN (FROM learned) THEN '職稱含「' || event_type || (event_id % 7) || '」' ELSE '' END AS reason FROM events""")
+#: Batch by batch: what the tenant of a batch has learned by then, from the statistics up to each of its batches, and keeps.
+_LEARNED = f"""WITH {_SEEN}, o AS (SELECT batch_id::BIGINT AS ord, title, total, in_af FROM seen), b AS (SELECT DISTINCT user_id % 20 AS ord, user_id % 4 AS tenant FROM events),
+  stats AS (SELECT b.ord, tenant, title, sum(total) AS total, sum(in_af) AS in_af, count(*) AS files FROM b JOIN o ON o.ord <= b.ord GROUP BY ALL),
+  learned AS (SELECT tenant, title, min(ord) AS ord FROM stats WHERE in_af = 0 AND total >= 3 AND files >= 2 GROUP BY ALL)
+  SELECT user_id, event_id, CASE WHEN EXISTS (FROM learned l WHERE l.tenant = user_id % 4 AND l.ord <= user_id % 20 AND l.title = event_type || (event_id % 7)) THEN '職稱含「' || event_type || (event_id % 7) || '」' ELSE '' END AS reason FROM events"""
+
+
+def _taught(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as people of 20 batches in order, of four tenants."""
+    ord_ = F.col("user_id") % 20
+    return table(spark, sf_dir, "events").select(ord_.cast("string").alias("batch_id"), ord_.alias("batch_ord"), (F.col("user_id") % 4).cast("string").alias("tenant"), F.concat("event_type", (F.col("event_id") % 7).cast("string")).alias("title"), F.col("user_id").cast("string").alias("name"), "event_id", "user_id")
+
+
+@query(_LEARNED)
 def learned_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles learned from all batches are put to each tenant's own, and people marked by them."""
-    people = table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("string").alias("batch_id"), F.concat("event_type", (F.col("event_id") % 7).cast("string")).alias("title"), F.col("user_id").cast("string").alias("name"), "event_id", "user_id")
-    saved = people.select(F.col("batch_id").alias("tenant")).distinct().select("tenant", F.array().cast("array<string>").alias("titles"), F.array().cast("array<string>").alias("names"), F.lit(True).alias("use_default"))
-    settings = exc.with_learned(saved, exc.merge(_observations(spark, sf_dir))).withColumnRenamed("tenant", "batch_id")
-    return exc.mark(people, settings).select("user_id", "event_id", F.coalesce("secondary_reason", F.lit("")).alias("reason"))
+    """People marked by the titles that their tenant had learned up to their batch."""
+    people = _taught(spark, sf_dir)
+    seen = _observations(spark, sf_dir).withColumn("batch_ord", F.col("batch_id").cast("bigint"))
+    marked = exc.mark_as_of(people, seen, people.select("batch_id", "tenant", "batch_ord").distinct())
+    return marked.select("user_id", "event_id", F.coalesce("secondary_reason", F.lit("")).alias("reason"))
+
+
+@query(_LEARNED)
+def learning_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in a stream of five parts, each of four batches: observed, remembered by key, learned from, marked and kept."""
+    people, folder = _taught(spark, sf_dir), f"{shared_folder(spark)}/taught-{uuid.uuid4().hex}"
+    known = people.where("event_id % 7 > 2 AND user_id % 3 = 0 AND batch_ord >= 3").select("batch_id", "name").distinct()
+    for part in range(5):
+        people.where(F.floor(F.col("batch_ord") / 4) == part).write.parquet(f"{folder}/in/part={part}")
+        rows = spark.readStream.schema(people.schema).parquet(f"{folder}/in/part=*")
+        learning.learn_and_mark(rows, known, f"{folder}/state", f"{folder}/progress").awaitTermination()
+    return learning.marked(spark, f"{folder}/state").select("user_id", "event_id", F.coalesce("secondary_reason", F.lit("")).alias("reason"))
 
 
 @query(f"""WITH {_SEEN}, stats AS (SELECT title, sum(total)::BIGINT AS total FROM seen GROUP BY title)
@@ -713,6 +736,46 @@ def fifo_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.queue_heads(e, ["event_type"]).select("event_type", "event_id")
 
 
+#: A queue's commands one by one; its jobs are a list, and each step adds what the clock said before its command, and the command's answer.
+_QUEUE = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS queue, epoch_us(ts) // 1000 AS ts, event_id, event_type AS kind, 'j' || last_value(CASE WHEN event_type IN ('view', 'signup') THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events),
+  c AS (SELECT queue, ts, 2 * event_id AS seq, CASE kind WHEN 'view' THEN 'upload' WHEN 'signup' THEN 'upload' WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'result' ELSE 'status' END AS command, CASE WHEN kind <> 'click' THEN coalesce(last, 'none yet') END AS job FROM e
+    UNION ALL SELECT queue, ts, 2 * event_id + 1, 'start', last FROM e WHERE kind = 'view' UNION ALL SELECT DISTINCT queue, (SELECT max(ts) FROM e), NULL::BIGINT, 'end', NULL FROM e),
+  n AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY ts, seq NULLS LAST) AS k FROM c),
+  steps AS (SELECT queue, 0::BIGINT AS k, []::STRUCT(job VARCHAR, status VARCHAR, created BIGINT, late BOOLEAN)[] AS jobs, []::STRUCT(ts BIGINT, seq BIGINT, command VARCHAR, job_id VARCHAR, status VARCHAR, changed BOOLEAN)[] AS told FROM n WHERE k = 1
+    UNION ALL SELECT queue, k, CASE command
+        WHEN 'upload' THEN list_append(live, {'job': job, 'status': 'held', 'created': ts, 'late': false})
+        WHEN 'start' THEN list_transform(live, lambda j: CASE WHEN j.job = job AND j.status = 'held' THEN {'job': job, 'status': 'pending', 'created': ts, 'late': false} ELSE j END)
+        WHEN 'claim' THEN list_transform(live, lambda j: CASE WHEN j.job = head THEN {'job': j.job, 'status': 'processing', 'created': j.created, 'late': j.late} ELSE j END)
+        WHEN 'result' THEN list_transform(live, lambda j: CASE WHEN j.job = job THEN {'job': j.job, 'status': 'done', 'created': j.created, 'late': j.late} ELSE j END)
+        ELSE live END,
+      list_concat(alarms, CASE WHEN command = 'end' THEN [] ELSE [{'ts': ts, 'seq': seq, 'command': command, 'job_id': coalesce(job, head),
+        'status': CASE command WHEN 'upload' THEN 'held' WHEN 'claim' THEN CASE WHEN head IS NULL THEN 'none' ELSE 'processing' END ELSE CASE WHEN own IS NULL THEN 'unknown' WHEN command = 'start' AND own.status = 'held' THEN 'pending' WHEN command = 'result' THEN 'done' WHEN command = 'status' AND own.status IN ('pending', 'processing') AND ts - own.created > {late} THEN 'timeout' ELSE own.status END END,
+        'changed': command = 'upload' OR command = 'claim' AND head IS NOT NULL OR command = 'start' AND coalesce(own.status = 'held', false) OR command = 'result' AND own IS NOT NULL}] END)
+    FROM (SELECT *, list_filter(live, lambda j: j.status = 'pending')[1].job AS head, list_filter(live, lambda j: j.job = job)[1] AS own FROM (
+      SELECT n.*, list_filter(list_transform(jobs, lambda j: {'job': j.job, 'status': j.status, 'created': j.created, 'late': j.late OR j.status IN ('pending', 'processing') AND n.ts - j.created > {late}}), lambda j: n.ts - j.created <= {gone}) AS live,
+        list_concat(list_transform(list_filter(jobs, lambda j: j.status IN ('pending', 'processing') AND NOT j.late AND n.ts - j.created > {late}), lambda j: {'ts': j.created + {late} + 1, 'seq': NULL::BIGINT, 'command': 'timer', 'job_id': j.job, 'status': 'timeout', 'changed': false}),
+          list_transform(list_filter(jobs, lambda j: n.ts - j.created > {gone}), lambda j: {'ts': j.created + {gone} + 1, 'seq': NULL::BIGINT, 'command': 'timer', 'job_id': j.job, 'status': 'expired', 'changed': true})) AS alarms
+      FROM steps JOIN n ON n.queue = steps.queue AND n.k = steps.k + 1)))
+SELECT queue, told.* FROM (SELECT queue, unnest(told) AS told FROM steps)""".replace("{late}", "28800000").replace("{gone}", "172800000")
+
+
+@query(_QUEUE)
+def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A queue a user: uploads, starts, claims that get the next job, results and polls, and jobs that time out or expire by the clock alone."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    uploads = F.col("event_type").isin("view", "signup")
+    last = F.last(F.when(uploads, F.col("event_id")), ignorenulls=True).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    job = F.coalesce(F.concat(F.lit("j"), last.cast("string")), F.lit("none yet"))
+    command = F.when(uploads, "upload").when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "purchase", "result").otherwise("status")
+    told = lambda k, what: F.struct((2 * F.col("event_id") + k).alias("seq"), what.alias("command"))
+    both = F.when(F.col("event_type") == "view", F.array(told(0, command), told(1, F.lit("start")))).otherwise(F.array(told(0, command)))
+    rows = e.select(F.col("user_id").cast("string").alias("queue"), "ts", F.when(F.col("event_type") != "click", job).alias("job_id"), F.explode(both).alias("c")).select("queue", "c.seq", "ts", "c.command", "job_id")
+    folder = f"{shared_folder(spark)}/commands-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    with queue.several_states(spark):
+        return _streamed(spark, folder, lambda c: queue.queues(c, 2 * 86_400, 8 * 3_600, "0 seconds"), "append")
+
+
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 600 SECOND THEN 0 ELSE 1 END AS fresh FROM events),
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e) SELECT user_id, epoch_us(min(ts)) AS began, count(*) AS n_events FROM s GROUP BY user_id, session""")
 def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -754,7 +817,7 @@ def scanned_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streamed(spark: SparkSession, path: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """What a stream over a table's files has told once it has read them all, out of the folder it writes to."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}*")
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}*")  # a file or a folder of files
     keep = lambda df, i: df.write.mode("append" if mode == "append" else "overwrite").parquet(f"{folder}/out")
     make(rows).writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")

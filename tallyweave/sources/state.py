@@ -36,17 +36,21 @@ def diagnosis(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(given, base(spark))], "setting string, folder string").select("setting", "folder", ((F.col("setting") != "") & F.startswith("folder", "setting")).alias("on_volume"))
 
 
-def load(spark: SparkSession, name: str) -> DataFrame:
-    """A state table with its schema; an empty one where there is none yet."""
-    schema = SCHEMAS[name]
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table with its schema; an empty one where there is none yet."""
     try:
-        return spark.read.schema(schema).parquet(location(spark, name))
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
+def load(spark: SparkSession, name: str) -> DataFrame:
+    """A state table with its schema; an empty one where there is none yet."""
+    return read_if_there(spark, location(spark, name), SCHEMAS[name])
+
+
 def append(df: DataFrame, name: str) -> None:
     """Adds rows. Readers sum or take the latest, so that nothing is read and overwritten at once."""
     df.write.mode("append").parquet(location(df.sparkSession, name))

@@ -11,7 +11,7 @@ from tallyweave.functions import rules, text
 from tallyweave.operators import compare, consolidate, exclude, match, register, reorder, validate
 from tallyweave.plans import queries
 from tallyweave.sources import reports, sheet, state
-from tallyweave.streaming import jobs
+from tallyweave.streaming import jobs, learning, queue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
@@ -391,3 +391,132 @@ def test_scan_messages(spark):
     assert [(r.job_id, r.status, len(r.error or "")) for r in scans.messages(raw).orderBy("job_id").collect()] == [("j", "done", 0), ("k", "failed", 300)]
     assert [tuple(r) for r in scans.scan_summary(scans.people(raw)).collect()] == [("j", 2, 1)]
     assert len(spark.range(1).select(scans.job_id()).first()[0]) == 12
+
+
+def _told(spark, source, folder, **how):
+    """What the queue has told of the files there are by now."""
+    with queue.several_states(spark):
+        stream = queue.queues(spark.readStream.schema(queue.COMMANDS).option("maxFilesPerTrigger", 1).parquet(source), **how)
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.conf.get(queue.several_states.KEY, "").endswith("HDFSBackedStateStoreProvider") or spark.conf.get(queue.several_states.KEY, None) is None
+    return sorted(((r.queue, r.ts // 1000 - 1_000_000, r.command, r.job_id, r.status, r.changed) for r in spark.read.parquet(f"{folder}/out").collect()), key=str)
+
+
+def test_queue_claims_and_clock(spark, tmp_path):
+    """Claims name no job and are given once, over several batches and a restart; waiting jobs time out and lapse with nobody asking."""
+    source = str(tmp_path / "in")
+
+    def send(*rows):
+        frame = spark.createDataFrame([(q, i, float(s), c, j) for i, (q, s, c, j) in enumerate(rows)], "queue string, seq long, s double, command string, job_id string")
+        frame.select("queue", "seq", F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts"), "command", "job_id").coalesce(1).write.mode("append").parquet(source)
+
+    send(("a", 0, "upload", "1"), ("a", 1, "upload", "2"), ("a", 2, "start", "2"), ("a", 3, "start", "1"), ("a", 4, "claim", None), ("b", 4, "claim", None))
+    first = _told(spark, source, tmp_path / "x", late="0 seconds")
+    assert ("a", 4, "claim", "1", "processing", True) in first and ("b", 4, "claim", None, "none", False) in first and len(first) == 6
+    # In another run: the second claim gets the other job, the third none; the first job's result comes, the second's never.
+    send(("a", 10, "claim", None), ("a", 11, "claim", None), ("a", 12, "result", "1"), ("a", 13, "review", "1"), ("c", 14, "upload", "9"))
+    told = [x for x in _told(spark, source, tmp_path / "x", late="0 seconds") if x not in first]
+    assert [x[3:5] for x in told if x[2] == "claim"] == [("2", "processing"), (None, "none")] and not [x for x in told if x[2] == "timer"]
+    # Only another queue speaks, and time goes by: job 2 times out, and later all that are left lapse, each told once.
+    send(("b", 130, "claim", None))
+    timers = lambda: [x for x in _told(spark, source, tmp_path / "x", late="0 seconds") if x[2] == "timer"]
+    assert timers() == [("a", 122, "timer", "2", "timeout", False)]
+    send(("b", 2000, "claim", None))
+    lapsed = [("a", 122, "timer", "2", "timeout", False), ("a", 602, "timer", "2", "expired", True), ("a", 603, "timer", "1", "expired", True), ("c", 614, "timer", "9", "expired", True)]
+    assert timers() == sorted(lapsed, key=str)
+    send(("a", 2001, "status", "2"), ("a", 2002, "claim", None))
+    assert [x[4] for x in _told(spark, source, tmp_path / "x", late="0 seconds") if x[1] > 2000] == ["unknown", "none"]
+
+
+def test_queue_by_one_list():
+    """Random commands in random batches against a plain list of jobs."""
+    random.seed(4)
+    commands, t = [], 0
+    for i in range(600):
+        t += random.choice([0, 5_000, 40_000, 200_000])
+        kind = random.choice(["upload", "upload", "start", "start", "claim", "result", "error", "status", "submit"])
+        commands.append((t, i, kind, None if kind == "claim" else f"j{i}" if kind == "upload" else f"j{random.randint(max(0, i - 12), i)}"))
+    want, live = [], {}
+    for now, seq, kind, job in commands:
+        for name, (_, created, late) in list(live.items()):
+            if live[name][0] in ("pending", "processing") and not late and now - created > 120_000:
+                want.append((created + 120_001, None, "timer", name, "timeout", False))
+                live[name] = live[name][0], created, True
+            if now - created > 600_000:
+                want.append((created + 600_001, None, "timer", name, "expired", True))
+                del live[name]
+        if kind == "claim":
+            job = next((name for name, x in live.items() if x[0] == "pending"), None)
+            if job is None:
+                want.append((now, seq, kind, None, "none", False))
+                continue
+        status, created, late = live.get(job, (None, 0, False))
+        to, since, told, changed = jobs.step(status, created, kind, now, 600_000, 120_000)
+        if to is None:
+            live.pop(job, None)
+        else:
+            live[job] = to, since, late and since == created
+        want.append((now, seq, kind, job, told, changed))
+    got, state_ = [], {}
+    while commands:
+        n = random.randint(1, 40)
+        own = queue.Jobs(dict(state_), 600_000, 120_000)
+        for c in commands[:n]:
+            got += own.take(*c)
+        state_, commands = own.jobs, commands[n:]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({x[4] for x in got}) > 7
+
+
+PEOPLE = "batch_id string, tenant string, batch_ord long, title string, name string"
+
+
+def _taught():
+    """Helpers are seen in 1, 2 and 4, and known in 5; aides in 3 and 6, never enough."""
+    rows = [("01", "A", 1, "業務助理", "a"), ("01", "A", 1, "業務助理", "b"), ("02", "B", 2, "業務助理兼組長", "c"), ("02", "B", 2, "業務助理", "d"), ("02", "B", 2, None, "e")]
+    rows += [("03", "A", 3, "業務助理", "f"), ("03", "A", 3, "隊輔員", "g"), ("04", "C", 4, "業務助理", "h"), ("05", "D", 5, "業務助理", "known"), ("06", "D", 6, "業務助理", "i"), ("06", "D", 6, "隊輔員", "j"), ("07", "C", 7, "業務助理", "k"), ("07", "C", 7, "代理教師", "l")]
+    # The title is suggested after batches 2, 3 and 4, so B, A and C learn it there and keep it; D comes when it isn't any more.
+    return rows, {"c": "職稱含「業務助理」", "d": "職稱含「業務助理」", "f": "職稱含「業務助理」", "h": "職稱含「業務助理」", "k": "職稱含「業務助理」", "l": "職稱含「代理」"}
+
+
+def test_learning_as_of_a_batch(spark):
+    rows, want = _taught()
+    people = spark.createDataFrame(rows, PEOPLE)
+    batches = people.select("batch_id", "tenant", "batch_ord").distinct()
+    known = spark.createDataFrame([("05", "known")], "batch_id string, name string")
+    seen = exclude.observe(people, known).join(batches, "batch_id")
+    assert {(r.title, r.since, r.until) for r in exclude.learned_spans(seen).collect()} == {("業務助理", 2, 5)}
+    got = exclude.mark_as_of(people, seen, batches)
+    assert {r.name: r.secondary_reason for r in got.collect() if r.secondary} == want and got.count() == len(rows)
+    # A tenant's own words go by their order among the learned ones, and stay without any.
+    own = spark.createDataFrame([("A", ["助理", "隊輔員"], ["b"], False), ("C", ["教師"], [], False)], "tenant string, titles array<string>, names array<string>, use_default boolean")
+    got = {r.name: r.secondary_reason for r in exclude.mark_as_of(people, seen, batches, own).collect()}
+    assert (got["a"], got["f"], got["g"], got["h"], got["l"], got["d"]) == ("職稱含「助理」", "職稱含「助理」", "職稱含「隊輔員」", "職稱含「業務助理」", "職稱含「教師」", "職稱含「業務助理」")
+    assert exclude.mark_as_of(people.limit(0), seen, batches).count() == 0 and exclude.mark_as_of(people, seen.limit(0), batches).where("secondary").count() == 1
+
+
+def test_learning_stream_and_restart(spark, tmp_path, monkeypatch):
+    rows, want = _taught()
+    known = spark.createDataFrame([("05", "known")], "batch_id string, name string")
+    read = lambda: spark.readStream.schema(PEOPLE).parquet(str(tmp_path / "in"))
+    run = lambda: learning.learn_and_mark(read(), known, str(tmp_path / "state"), str(tmp_path / "progress")).awaitTermination(120)
+    reasons = lambda: {r.name: r.secondary_reason for r in learning.marked(spark, str(tmp_path / "state")).collect() if r.secondary}
+    send = lambda *which: spark.createDataFrame([r for r in rows if r[2] in which], PEOPLE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    send(1, 2)
+    run()
+    assert reasons() == {k: want[k] for k in "cd"}
+    # A part fails after its observations are written; the stream is started again and takes the part once more.
+    send(3, 4, 5)
+    keep = state.keep_result
+    monkeypatch.setattr(learning.state, "keep_result", lambda df, folder: keep(df, folder) if folder.endswith("seen") else 1 / 0)
+    with pytest.raises(Exception, match="ZeroDivision|division"):
+        run()
+    monkeypatch.setattr(learning.state, "keep_result", keep)
+    assert set(reasons()) == set("cd") and learning.remembered(spark, str(tmp_path / "state")).where("batch_id = '03'").count() == 3
+    run()
+    send(6, 7)
+    run()
+    assert reasons() == want and learning.marked(spark, str(tmp_path / "state")).count() == len(rows)
+    # The same parts over again leave the same rows.
+    before = sorted(map(str, learning.marked(spark, str(tmp_path / "state")).collect()))
+    learning.step(spark.createDataFrame([r for r in rows if r[2] in (6, 7)], PEOPLE), known, str(tmp_path / "state"))
+    assert sorted(map(str, learning.marked(spark, str(tmp_path / "state")).collect())) == before
