@@ -72,18 +72,23 @@ def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_i
     bench = windows(own, spans=True).withColumn("named", F.lit(1)).union(windows(own, names=False, spans=True).withColumn("named", F.lit(0)))
     bench = bench.select("item_id", "item_key", "named", F.struct(F.col("pos").alias("pos"), "first", "until").alias("item_at"), F.col("sum").alias("item_sum"), F.slice("words", F.col("pos") + 1, WINDOW).alias("theirs"))
     sizes = bench.groupBy("item_id", "item_key").agg(F.count_if(F.col("named") == 1).alias("n"), F.count_if(F.col("named") == 0).alias("n_plain"))
-    sizes = sizes.select("item_id", "item_key", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("n_plain")).alias("item_windows"))
-    bench = bench.drop("named").distinct().join(sizes, ["item_id", "item_key"])
+    of = sizes.select("item_id", "item_key", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("n_plain")).alias("item_windows"))
+    bench = bench.drop("named").distinct().join(of, ["item_id", "item_key"])
     ours = F.slice("words", F.col("pos") + 1, WINDOW).alias("ours")
     # A row of numbers, an array and its words.
     size = bench.agg(F.sum(F.octet_length(F.array_join("theirs", "")) + 8 * WINDOW + 64)).first()[0] or 0
-    if size <= broadcast_bytes:
-        hits = each.join(F.broadcast(bench), F.col("sum") == F.col("item_sum")).select("doc_id", "row_key", "item_id", "item_key", "item_windows", "pos", "item_at", ours, "theirs")
-    else:
-        # A window's row takes its own words along, not the text's; a window that many texts share goes to PARTS parts.
-        each = each.select("doc_id", "row_key", "pos", "sum", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(PARTS)).cast("int").alias("part"), ours)
-        parted = bench.withColumn("item_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        hits = each.join(parted, (F.col("sum") == F.col("item_sum")) & (F.col("part") == F.col("item_part"))).select("doc_id", "row_key", "item_id", "item_key", "item_windows", "pos", "item_at", "ours", "theirs")
+    hits = _hits(each, ours, bench, size <= broadcast_bytes)
+
+    # Items without a window that has names, being short or rich in numbers and names, are also looked for as written, in whole or in windows.
+    spoken = F.transform(words_of(F.col("text")), F.lower)
+    weak = own.join(sizes.where("n > 0"), ["item_id", "item_key"], "left_anti").select("item_id", F.xxhash64("item_key").alias("item_key"), spoken.alias("words")).where(F.size("words") > 0)
+    lengths = {r[0]: r[1] for r in weak.groupBy(F.least(F.size("words"), F.lit(WINDOW))).agg(F.sum(F.size("words"))).collect()}
+    if lengths:
+        none = F.array().cast("array<string>")
+        theirs = _verbatim(weak.withColumn("item_windows", F.size("words") - F.least(F.size("words"), F.lit(WINDOW)) + 1), list(lengths), F.least(F.size("words"), F.lit(WINDOW)))
+        theirs = theirs.select("item_id", "item_key", F.struct(F.col("pos").alias("pos"), F.col("pos").alias("first"), (F.col("pos") + F.col("n")).alias("until")).alias("item_at"), F.col("sum").alias("item_sum"), none.alias("theirs"), "item_windows")
+        texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row_key"), spoken.alias("words"))
+        hits = hits.union(_hits(_verbatim(texts, list(lengths)), none.alias("ours"), theirs, 96 * sum(lengths.values()) <= broadcast_bytes))
 
     pair = ["doc_id", "row_key", "item_id", "item_key", "item_windows", (F.col("pos") - F.col("item_at.pos")).alias("offset")]
     hits = hits.repartition("doc_id", "row_key", "item_id", "item_key").dropDuplicates(["doc_id", "row_key", "item_id", "item_key", "pos", "item_at"])
@@ -103,14 +108,37 @@ def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_i
     return aligned.where((F.col("consistent") >= CONSISTENT) & ((F.col("n_windows") >= LEAST * F.col("item_windows")) | (F.col("words") >= RUN_WORDS)))
 
 
+def _verbatim(texts: DataFrame, lengths: list[int], own: Column | None = None) -> DataFrame:
+    """One row for each window of `words` as they are, of every length (or of a row's `own` one): the other columns, `pos`, `n` and the window's hash `sum`."""
+    rows = texts.select("*", F.posexplode("words").alias("pos", "w0"))
+    at = [F.col("w0"), *[F.get("words", F.col("pos") + i) for i in range(1, max(lengths))]]
+    # A length's hash tells it apart from others'.
+    each = F.array(*[F.when(at[n - 1].isNotNull(), F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), *at[:n]).alias("sum"))) for n in lengths])
+    kept = F.filter(each, lambda x: x.isNotNull() if own is None else x.isNotNull() & (x["n"] == own))
+    rows = rows.select("*", F.explode(kept).alias("x"))
+    return rows.select(*[c for c in texts.columns if c != "words"], "pos", "x.*")
+
+
+def _hits(each: DataFrame, ours: Column, bench: DataFrame, few: bool) -> DataFrame:
+    """The windows of texts and items that have one hash; the items' are broadcast where they are few."""
+    columns = ["doc_id", "row_key", "item_id", "item_key", "item_windows", "pos", "item_at"]
+    if few:
+        return each.join(F.broadcast(bench), F.col("sum") == F.col("item_sum")).select(*columns, ours, "theirs")
+    # A window's row takes its own words along, not the text's; a window that many texts share goes to PARTS parts.
+    each = each.select("doc_id", "row_key", "pos", "sum", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(PARTS)).cast("int").alias("part"), ours)
+    parted = bench.withColumn("item_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return each.join(parted, (F.col("sum") == F.col("item_sum")) & (F.col("part") == F.col("item_part"))).select(*columns, "ours", "theirs")
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row (doc_id, item_id, n_windows, item_windows, longest_run, slots, consistent, start_word) for each item that a text holds, verbatim or with other numbers, names and units.
 
     Windows of canonical words are hash-joined with the items' windows. Matches on one alignment (the offset between text
     and item) belong together; each brings the words that stand at its place on both sides. Where the placeholders stand,
     a value of the item must always go with the same value of the text. A pair is returned if it has enough of the
-    item's windows, or windows over enough of its words on end, on one alignment, with consistent slots. Items shorter than a window are
-    matched by none. The items' windows are broadcast while their bytes, which are counted, are few, else shuffled. Null
+    item's windows, or windows over enough of its words on end, on one alignment, with consistent slots. An item that has
+    no window, being short or made of numbers and names, is looked for as written, but for case and punctuation: in whole up to eight words,
+    else by windows of eight; so its renamed copies aren't found. The items' windows are broadcast while their bytes, which are counted, are few, else shuffled. Null
     and empty texts match nothing; null ids stay null; repeated rows give one pair; empty tables give no rows.
     """
     leaks = _leaks(docs, items, id_col, text_col, item_id_col, item_text_col, broadcast_bytes)

@@ -80,10 +80,14 @@ def diagonal_licenses() -> str:
   docs AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
   w AS (SELECT doc_id, unnest(words) AS w0, unnest(range(len(words))) AS pos FROM docs),
   g AS (SELECT *, lead(w0) OVER o AS w1, lead(w0, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-  d AS (SELECT doc_id, template, pos - t_pos AS diagonal, count(*) AS votes, min(pos) AS start, max(pos) AS last FROM g JOIN t ON w0 = t0 AND w1 = t1 AND (t2 IS NULL OR w2 = t2) GROUP BY ALL),
+  h AS (SELECT doc_id, template, pos, t_pos, pos - t_pos AS diagonal FROM g JOIN t ON w0 = t0 AND w1 = t1 AND (t2 IS NULL OR w2 = t2)),
+  d AS (SELECT doc_id, template, diagonal, count(*) AS votes, min(pos) AS start, max(pos) AS last FROM h GROUP BY ALL),
   f AS (SELECT *, coalesce(is_base OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.NEAR}, true) AS fresh FROM d JOIN s USING (template)),
   p AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS part FROM f),
-  spans AS (SELECT doc_id, template, is_base, label, min(start) AS start, least(1.0::DOUBLE, sum(votes) / n_grams) AS share, max(last) - min(start) + {licenses.GRAM} <= longest AS short FROM p GROUP BY doc_id, template, is_base, label, n_grams, longest, part),
+  whole AS (SELECT doc_id, template, part, is_base, label, longest, n_grams, min(start) AS start, least(1.0::DOUBLE, sum(votes) / n_grams) AS share, max(last) - min(start) + {licenses.GRAM} <= longest AS short FROM p GROUP BY doc_id, template, is_base, label, n_grams, longest, part),
+  long AS (SELECT doc_id, template, part, pos, t_pos, label, longest, n_grams FROM h JOIN p USING (doc_id, template, diagonal) JOIN (SELECT doc_id, template, part FROM whole WHERE NOT is_base AND NOT short) USING (doc_id, template, part)),
+  stretches AS (SELECT a.doc_id, a.template, a.label, a.n_grams, a.pos, count(DISTINCT b.t_pos) AS votes FROM long a JOIN long b ON b.doc_id = a.doc_id AND b.template = a.template AND b.part = a.part AND b.pos BETWEEN a.pos AND a.pos + a.longest - {licenses.GRAM} GROUP BY ALL),
+  spans AS (SELECT doc_id, is_base, label, start, share, short FROM whole UNION ALL SELECT doc_id, false, label, 0, least(1.0::DOUBLE, votes / n_grams), true FROM stretches),
   ok AS (SELECT *, is_base AND share = 1 AS base_hit, (is_base AND share = 1) OR (NOT is_base AND share >= {licenses.LEAST} AND short) AS found FROM spans)
 SELECT doc_id, len(words)::BIGINT AS n_words, count(*) FILTER (base_hit) AS n_base, min(start) FILTER (base_hit) AS first_word, max(start) FILTER (base_hit) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base_hit), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found), '') AS labels, coalesce(max(share) FILTER (found), 0.0)::DOUBLE AS score
@@ -113,11 +117,17 @@ def template_decontamination() -> str:
   unnamed AS (SELECT * FROM ({windows("b", "item_id", False)}) WHERE {full}),
   theirs AS (SELECT item_id, pos AS item_pos, here AS item_first, until AS item_until, g, w AS item_w FROM named UNION SELECT item_id, pos, here, until, g, w FROM unnamed),
   sizes AS (SELECT item_id, coalesce(n, m) AS item_windows FROM (SELECT item_id, count(*) AS m FROM unnamed GROUP BY item_id) FULL JOIN (SELECT item_id, count(*) AS n FROM named GROUP BY item_id) USING (item_id)),
-  hits AS (SELECT DISTINCT doc_id, item_id, ours.pos, item_pos, item_first, item_until, ours.pos - item_pos AS off, w, item_w FROM ours JOIN theirs USING (g)),
-  runs AS (SELECT doc_id, item_id, off, max(n) AS longest_run, max(words) AS words FROM (SELECT doc_id, item_id, off, k, count(*) AS n, max(item_until) - min(item_first) AS words FROM (SELECT doc_id, item_id, off, item_first, item_until, item_pos - row_number() OVER (PARTITION BY doc_id, item_id, off ORDER BY item_pos) AS k FROM hits) GROUP BY ALL) GROUP BY ALL),
-  slots AS (SELECT doc_id, item_id, off, count(*) AS slots, count(DISTINCT a) AS va, count(DISTINCT b) AS vb FROM (SELECT DISTINCT doc_id, item_id, off, a, b FROM (SELECT doc_id, item_id, off, unnest(item_w) AS a, unnest(w) AS b FROM hits) WHERE starts_with({kind("a")}, '<')) GROUP BY ALL),
-  aligned AS (SELECT doc_id, item_id, off, count(*) AS n_windows, min(pos) AS start_word FROM hits GROUP BY ALL),
-  leaks AS (SELECT *, coalesce(slots, 0) AS n_slots, CASE WHEN slots IS NULL THEN 1.0::DOUBLE ELSE least(va, vb) / slots END AS consistent FROM aligned JOIN runs USING (doc_id, item_id, off) LEFT JOIN slots USING (doc_id, item_id, off) JOIN sizes USING (item_id))
+  weak AS (SELECT item_id, words, least(len(words), {decontam.WINDOW}) AS n FROM (SELECT item_id, list_transform({words}, lambda x: lower(x)) AS words FROM benchmark) WHERE len(words) > 0 AND item_id NOT IN (SELECT item_id FROM named)),
+  spoken AS (SELECT doc_id, list_transform({words}, lambda x: lower(x)) AS words FROM documents),
+  said AS (SELECT doc_id, n, pos, array_to_string(words[pos + 1:pos + n], ' ') AS g FROM (SELECT doc_id, n, words, unnest(range(len(words) - n + 1)) AS pos FROM spoken, (SELECT DISTINCT n FROM weak))),
+  asked AS (SELECT item_id, n, pos AS item_pos, array_to_string(words[pos + 1:pos + n], ' ') AS g FROM (SELECT item_id, n, words, unnest(range(len(words) - n + 1)) AS pos FROM weak)),
+  every AS (SELECT item_id, 0 AS way, item_windows FROM sizes UNION ALL SELECT item_id, 1, len(words) - n + 1 FROM weak),
+  hits AS (SELECT DISTINCT doc_id, item_id, 0 AS way, ours.pos, item_pos, item_first, item_until, ours.pos - item_pos AS off, w, item_w FROM ours JOIN theirs USING (g)
+    UNION ALL SELECT doc_id, item_id, 1, pos, item_pos, item_pos, item_pos + n, pos - item_pos, [], [] FROM said JOIN asked USING (n, g)),
+  runs AS (SELECT doc_id, item_id, way, off, max(n) AS longest_run, max(words) AS words FROM (SELECT doc_id, item_id, way, off, k, count(*) AS n, max(item_until) - min(item_first) AS words FROM (SELECT doc_id, item_id, way, off, item_first, item_until, item_pos - row_number() OVER (PARTITION BY doc_id, item_id, way, off ORDER BY item_pos) AS k FROM hits) GROUP BY ALL) GROUP BY ALL),
+  slots AS (SELECT doc_id, item_id, way, off, count(*) AS slots, count(DISTINCT a) AS va, count(DISTINCT b) AS vb FROM (SELECT DISTINCT doc_id, item_id, way, off, a, b FROM (SELECT doc_id, item_id, way, off, unnest(item_w) AS a, unnest(w) AS b FROM hits) WHERE starts_with({kind("a")}, '<')) GROUP BY ALL),
+  aligned AS (SELECT doc_id, item_id, way, off, count(*) AS n_windows, min(pos) AS start_word FROM hits GROUP BY ALL),
+  leaks AS (SELECT *, coalesce(slots, 0) AS n_slots, CASE WHEN slots IS NULL THEN 1.0::DOUBLE ELSE least(va, vb) / slots END AS consistent FROM aligned JOIN runs USING (doc_id, item_id, way, off) LEFT JOIN slots USING (doc_id, item_id, way, off) JOIN every USING (item_id, way))
 SELECT doc_id, item_id, n_windows, item_windows, longest_run, n_slots AS slots, consistent::DOUBLE AS consistent, start_word::BIGINT AS start_word
 FROM leaks WHERE consistent >= {decontam.CONSISTENT} AND (n_windows >= {decontam.LEAST} * item_windows OR words >= {decontam.RUN_WORDS})
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, longest_run DESC, start_word, consistent DESC, item_windows DESC, n_slots DESC) = 1"""

@@ -78,7 +78,7 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per input row: (doc_id, row_key, spans), spans of emails, ips, cards and phones, and of terms that disclose them.
 
     A protected entity is a value found (an email in lower case, the digits of a number). All counts are of rows: n(e) with
-    an entity e, n(e, t) with a term t within `CONTEXT` characters of e, n(t) with t anywhere, and N. The term's information
+    an entity e, n(e, t) with a term t within `CONTEXT` characters of e, n(t) with t as a term anywhere (parts of addresses are none), and N. The term's information
     on the entity, log(N n(e,t) / (n(e) n(t))), is compared with the entity's own, log(N / n(e)); from `DISCLOSURE` of it on,
     seen in `SUPPORT` different texts or more, every place of the term in a text that holds the entity becomes a span of
     kind "term". Copies count in all four alike. Counts are summed before they are shuffled, and no entity's or term's rows
@@ -99,7 +99,8 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     both = F.flatten(F.transform("about", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t.alias("term")))))
     pairs = seen.select("row_key", F.explode(F.array_distinct(both)).alias("p")).groupBy("p.entity", "p.term", "row_key").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
+    # The same matches as those near an entity, each lower-cased by itself: lower case can be longer, and part a word.
+    words = rows.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
     spread = words.groupBy("term").agg(F.count("*").alias("n_word"))
     # One row joins all: the number of rows.
     total = F.broadcast(found.agg(F.count("*").alias("n_all")))

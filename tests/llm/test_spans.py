@@ -174,7 +174,7 @@ def test_terms_by_brute_force(spark):
     holds, near, support, spread = defaultdict(int), defaultdict(int), defaultdict(set), defaultdict(int)
     for _, t in rows:
         t = t or ""
-        for w in {x for x in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if x}:
+        for w in {x[0].lower() for x in term.finditer(t)}:
             spread[w] += 1
         pairs = {(m[0].lower(), x[0].lower()) for m in mails.finditer(t) for x in term.finditer(t) if x.start() >= m.start() - 80 and x.end() <= m.end() + 80 and (x.end() <= m.start() or x.start() >= m.end())}
         for e in {m[0].lower() for m in mails.finditer(t)}:
