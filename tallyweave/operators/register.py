@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,35 @@ from tallyweave.functions.text import has_any, is_number_cell, money, strip
 FIELDS = ("pay", "prof", "mgr", "_tutor", "_special", "region", "gross", "net")
 
 
+def extracted(files: DataFrame, extract: Callable[[bytes], list[list[list[str | None]]]]) -> DataFrame:
+    """(batch_id, tables, error) of files (path, content): what `extract` makes of each file's bytes, a list of tables of rows of texts.
+
+    Any library goes in here, one that reads PDF files for instance; it runs where the files are. A file that it can't take
+    gives a row without tables that says why, and the others go on; a null content is such a file. `cells` takes what comes
+    out, `refused` what doesn't.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.path, batch.content, strict=True):
+                tables, error = None, None
+                try:
+                    tables = [[[None if x is None else str(x) for x in row] for row in t] for t in extract(bytes(content))]
+                except Exception as e:  # a file's fault, whatever the library calls it
+                    error = f"{type(e).__name__}: {e}"[:200]
+                out.append((path.rpartition("/")[2], tables, error))
+            yield pd.DataFrame(out, columns=["batch_id", "tables", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "batch_id string, tables array<array<array<string>>>, error string")
+
+
+def refused(documents: DataFrame) -> DataFrame:
+    """(batch_id, error) of the files that `extracted` couldn't take, or that have no table with a row."""
+    none = ~F.exists("tables", lambda t: (F.size(t) > 0) & (F.size(F.get(t, F.lit(0))) > 0))
+    return documents.where(F.col("error").isNotNull() | none).select("batch_id", F.coalesce("error", F.lit("no tables")).alias("error"))
+
+
 def cells(documents: DataFrame) -> DataFrame:
     """Cells of extracted tables (batch_id, tables ARRAY<ARRAY<ARRAY<STRING>>>); tables without a first row are left out and the rest renumbered."""
     kept = F.filter("tables", lambda t: (F.size(t) > 0) & (F.size(F.get(t, F.lit(0))) > 0))

@@ -19,6 +19,7 @@ from tallyweave.operators import register as reg
 from tallyweave.operators import reorder as reo
 from tallyweave.operators import validate as val
 from tallyweave.sources import reports, scans, sheet, state
+from tallyweave.sources import sheet_format as books
 from tallyweave.streaming import jobs, learning, queue
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -667,6 +668,31 @@ def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reg.parse(reg.cells(docs)).select("batch_id", "name", "pay", reg.layout_label(F.col("layout")).alias("shown"))
 
 
+@query("""WITH o AS (SELECT o_orderkey // 200 AS batch, *, round(o_totalprice * 100)::BIGINT AS cents FROM orders), f AS (SELECT DISTINCT batch FROM o)
+  SELECT batch || '.txt' AS batch_id, o_orderkey::BIGINT AS person, cents AS pay, '' AS error FROM o WHERE batch % 7 < 5
+  UNION ALL SELECT batch || '.txt', NULL, NULL, CASE WHEN batch % 7 = 5 THEN 'no tables' ELSE 'UnicodeDecodeError' END FROM f WHERE batch % 7 >= 5""")
+def extracted_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers out of files by an extractor of tables: a file for 200 order keys, of tabs and lines; some are empty, some no text, and say so."""
+    o = table(spark, sf_dir, "orders").withColumn("batch", F.floor(F.col("o_orderkey") / 200))
+    line = F.concat_ws("\t", F.concat(F.lit("人員"), F.col("o_orderkey").cast("string")), F.lit("教師"), cents("o_totalprice").cast("string"))
+    text_ = F.concat(F.lit("姓名\t職稱\t本俸\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n"))
+    content = F.when(F.col("batch") % 7 == 5, F.lit("").cast("binary")).when(F.col("batch") % 7 == 6, F.unhex(F.lit("FFFE00"))).otherwise(F.encode("text", "UTF-8"))
+    files = o.groupBy("batch").agg(text_.alias("text")).select(F.concat(F.lit("in/"), F.col("batch").cast("string"), F.lit(".txt")).alias("path"), content.alias("content"))
+    docs = reg.extracted(files, lambda data: [[line.split("\t") for line in t.splitlines()] for t in data.decode().split("\n\n")])
+    people = reg.parse(reg.cells(docs)).select("batch_id", F.substring("name", 3, 20).cast("bigint").alias("person"), "pay", F.lit("").alias("error"))
+    return people.union(reg.refused(docs).select("batch_id", F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), F.substring_index("error", ":", 1)))
+
+
+@query("""SELECT p_brand || '.xlsx' AS batch_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_ord, p_partkey::VARCHAR AS seq, p_name AS name, p_type || '<&' AS code FROM part""")
+def sheet_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks written by the data source, one a brand, and read by it, a partition each."""
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("batch_id"), F.col("p_partkey").alias("清冊序號"), F.col("p_name").alias("姓名"), F.concat("p_type", F.lit("<&")).alias("總金額.1"))
+    folder = f"{shared_folder(spark)}/sheets-{uuid.uuid4().hex}"
+    books.save_sheets(part, folder, ["清冊序號"])
+    rows = spark.read.format("sheet").load(folder)
+    return rows.select("batch_id", "row_ord", F.col("清冊序號").alias("seq"), F.col("姓名").alias("name"), F.col("`總金額.1`").alias("code"))
+
+
 @query("""SELECT p_partkey, p_size::VARCHAR AS seq, p_name AS name, trunc(p_retailprice)::BIGINT::VARCHAR AS gross, p_brand AS region, 'p' AS code FROM part""")
 def region_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wanted columns that are there, in their order, numeric ones as whole numbers."""

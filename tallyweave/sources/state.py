@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -47,8 +51,38 @@ def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def load(spark: SparkSession, name: str) -> DataFrame:
-    """A state table with its schema; an empty one where there is none yet."""
-    return read_if_there(spark, location(spark, name), SCHEMAS[name])
+    """A state table with its schema; an empty one where there is none yet. Files that can't be read are passed over, and told by `unreadable`."""
+    schema = SCHEMAS[name]
+    try:
+        return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(location(spark, name))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def unreadable(spark: SparkSession, name: str) -> DataFrame:
+    """(path, error) of the files of a state table that can't be read; state files are small, and each is opened in a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import parquet
+
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.path, batch.content, strict=True):
+                try:
+                    parquet.read_table(io.BytesIO(content))
+                except Exception as e:
+                    out.append((path, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(out, columns=["path", "error"])
+
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(location(spark, name))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, error string")
+    return files.select("path", "content").mapInPandas(run, "path string, error string")
 
 
 def append(df: DataFrame, name: str) -> None:
@@ -63,9 +97,12 @@ def upserted(old: DataFrame, updates: DataFrame, keys: list[str], order: str) ->
 
 
 def save(df: DataFrame, name: str) -> None:
-    """Writes a whole state table as its next version. Readers see the one before until the new one is whole, and a table may be read to make its own next version."""
+    """Writes a whole state table as its next version. The version's number is written when its rows are, in one file, so readers see the version before until the
+    new one is whole, and a table may be read to make its own next version. A version that a failure left without a number is written over. One writer at a time."""
     spark = df.sparkSession
-    df.write.parquet(f"{location(spark, name)}/version={_version(spark, name) + 1}")
+    number = _version(spark, name) + 1
+    df.write.mode("overwrite").parquet(f"{location(spark, name)}/version={number}")
+    spark.range(1).select(F.lit(number).alias("number")).coalesce(1).write.mode("append").parquet(_numbers(spark, name))
 
 
 def upsert(updates: DataFrame, name: str, keys: list[str], order: str) -> None:
@@ -73,14 +110,13 @@ def upsert(updates: DataFrame, name: str, keys: list[str], order: str) -> None:
     save(upserted(current(updates.sparkSession, name), updates, keys, order), name)
 
 
+def _numbers(spark: SparkSession, name: str) -> str:
+    return f"{location(spark, name)}-versions"
+
+
 def _version(spark: SparkSession, name: str) -> int:
-    """The newest version with rows (upserts never take the last one away); 0 for none."""
-    try:
-        return spark.read.schema("version int").parquet(location(spark, name)).agg(F.max("version")).first()[0] or 0
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0
+    """The newest version that is whole; 0 for none."""
+    return read_if_there(spark, _numbers(spark, name), "number int").agg(F.max("number")).first()[0] or 0
 
 
 def current(spark: SparkSession, name: str) -> DataFrame:

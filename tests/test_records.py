@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import rules, text
 from tallyweave.operators import compare, consolidate, exclude, match, register, reorder, validate
 from tallyweave.plans import queries
-from tallyweave.sources import reports, sheet, state
+from tallyweave.sources import reports, sheet, sheet_format, state
 from tallyweave.streaming import jobs, learning, queue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -520,3 +520,85 @@ def test_learning_stream_and_restart(spark, tmp_path, monkeypatch):
     before = sorted(map(str, learning.marked(spark, str(tmp_path / "state")).collect()))
     learning.step(spark.createDataFrame([r for r in rows if r[2] in (6, 7)], PEOPLE), known, str(tmp_path / "state"))
     assert sorted(map(str, learning.marked(spark, str(tmp_path / "state")).collect())) == before
+
+
+def test_sheet_format(spark, tmp_path):
+    spark.dataSource.register(sheet_format.SheetSource)
+    df = spark.createDataFrame([("b/1", 2, "二", 7), ("b/1", 1, "一", None), ("c", 1, "", 9)], "batch_id string, row_ord long, ` 姓名 ` string, n int")
+    folder = str(tmp_path / "out")
+    sheet_format.save_sheets(df, folder, ["row_ord"])
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["b%2F1.xlsx", "c.xlsx"]
+    rows = spark.read.format("sheet").load(folder)
+    assert rows.columns == ["batch_id", "row_ord", "姓名", "n"] and rows.rdd.getNumPartitions() == 2
+    assert sorted(map(tuple, rows.collect())) == [("b/1.xlsx", 0, "一", ""), ("b/1.xlsx", 1, "二", "7"), ("c.xlsx", 0, "", "9")]
+    # A given schema chooses columns, and one that a workbook lacks is ''; other files in the folder aren't read.
+    (tmp_path / "out" / "note.txt").write_text("x")
+    assert sorted(map(tuple, spark.read.format("sheet").schema("n string, `單位` string").load(folder).collect())) == [("", ""), ("7", ""), ("9", "")]
+    assert spark.read.format("sheet").option("sheet", "result").load(f"{folder}/c.xlsx").count() == 1
+    with pytest.raises(Exception, match="no sheet named"):
+        spark.read.format("sheet").option("sheet", "input").load(folder).count()
+    with pytest.raises(Exception, match="larger than 10 bytes"):
+        spark.read.format("sheet").option("maxBytes", 10).load(folder).count()
+    with pytest.raises(Exception, match="no such path"):
+        spark.read.format("sheet").load(f"{folder}/none").count()
+    # Overwriting takes the old workbooks away, appending leaves them.
+    sheet_format.save_sheets(df.where("batch_id = 'c'").withColumn("batch_id", F.lit("d")), folder, ["row_ord"])
+    sheet_format.save_sheets(df.where("batch_id = 'c'").withColumn("batch_id", F.lit("e")), folder, ["row_ord"], mode="overwrite")
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["e.xlsx", "note.txt"]
+
+
+def test_a_failed_task_leaves_no_sheet(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    df = spark.range(0, 40, 1, 4).select((F.col("id") / 10).cast("int").cast("string").alias("batch_id"), "id")
+    spark.dataSource.register(sheet_format.SheetSource)
+
+    def killed(frames):
+        for frame in frames:
+            if (frame.id >= 30).any():
+                raise RuntimeError("the task is lost")
+            yield frame
+
+    with pytest.raises(Exception, match="the task is lost"):
+        df.mapInPandas(killed, df.schema).write.format("sheet").mode("append").save(folder)
+    # A task that still ran may have left its own file beside the results, none among them.
+    assert not list((tmp_path / "out").glob("*.xlsx")) and spark.read.format("sheet").load(folder).count() == 0
+    # A second attempt's files count, the first one's don't; rows of a batch in two tasks fail as a whole.
+    writer = sheet_format.SheetWriter(df.schema, {"path": folder}, False)
+    row = [("x", 1), ("x", 2)]
+    writer.write(iter(row[:1]))
+    writer.commit([writer.write(iter(row))])
+    assert len(list(sheet.sheet_rows((tmp_path / "out" / "x.xlsx").read_bytes()))) == 3 and [x.name for x in (tmp_path / "out").glob("*.xlsx")] == ["x.xlsx"]
+    with pytest.raises(ValueError, match="several tasks"):
+        writer.commit([writer.write(iter(row)), writer.write(iter(row))])
+    assert len(list((tmp_path / "out").glob("*.xlsx"))) == 1
+
+
+def test_extractors(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("姓名\t本俸\n甲一\t100\n\n姓名\t本俸\n乙二\t2,000\n")
+    (tmp_path / "b.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "c.txt").write_text("\n")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    docs = register.extracted(files, lambda data: [[line.split("\t") for line in t.splitlines()] for t in data.decode().split("\n\n")])
+    assert {(r.batch_id, r.name, r.pay) for r in register.parse(register.cells(docs)).collect()} == {("a.txt", "甲一", 100), ("a.txt", "乙二", 2000)}
+    assert {(r.batch_id, r.error.split(":")[0]) for r in register.refused(docs).collect()} == {("b.txt", "UnicodeDecodeError"), ("c.txt", "no tables")}
+
+
+def test_unreadable_state(spark, tmp_path):
+    spark.conf.set("tallyweave.state", str(tmp_path))
+    try:
+        assert state.unreadable(spark, "events").count() == 0
+        state.append(spark.createDataFrame([("k", 1)], state.SCHEMAS["events"]), "events")
+        (tmp_path / "events" / "part-broken.parquet").write_bytes(b"not a table")
+        (tmp_path / "schools").mkdir()
+        (tmp_path / "schools" / "part-0.parquet").write_bytes(b"PAR1")
+        assert [tuple(r) for r in state.load(spark, "events").collect()] == [("k", 1)] and state.load(spark, "schools").count() == 0
+        assert [r.path.rpartition("/")[2] for r in state.unreadable(spark, "events").collect()] == ["part-broken.parquet"]
+        # A version counts only when its number is there.
+        row = lambda n: spark.createDataFrame([("t", n, 0, 1)], state.SCHEMAS["title_stats"])
+        state.save(row(1), "title_stats")
+        row(2).write.parquet(f"{tmp_path}/title_stats/version=2")
+        assert [r.total for r in state.current(spark, "title_stats").collect()] == [1]
+        state.save(row(3), "title_stats")
+        assert [r.total for r in state.current(spark, "title_stats").collect()] == [3]
+    finally:
+        spark.conf.unset("tallyweave.state")
