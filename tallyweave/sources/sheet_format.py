@@ -60,7 +60,9 @@ class SheetReader(DataSourceReader):
             raise ValueError(f"larger than {self.most} bytes: {', '.join(large)}")
         return [Workbook(x.path) for x in found]
 
-    def read(self, partition: Workbook) -> Iterator[tuple]:
+    def read(self, partition: Workbook | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark reads where there is no workbook
+            return
         rows = rows_of(opened(self.path)[0], partition.path, self.sheet)
         head = deduplicated(next(rows, []))
         name = unquote(partition.path.rpartition("/")[2])

@@ -576,9 +576,9 @@ def test_a_failed_task_leaves_no_sheet(spark, tmp_path):
 def test_extractors(spark, tmp_path):
     (tmp_path / "a.txt").write_text("姓名\t本俸\n甲一\t100\n\n姓名\t本俸\n乙二\t2,000\n")
     (tmp_path / "b.txt").write_bytes(b"\xff\xfe")
-    (tmp_path / "c.txt").write_text("\n")
+    (tmp_path / "c.txt").write_text("no table here")
     files = spark.read.format("binaryFile").load(str(tmp_path))
-    docs = register.extracted(files, lambda data: [[line.split("\t") for line in t.splitlines()] for t in data.decode().split("\n\n")])
+    docs = register.extracted(files, lambda data: [[line.split("\t") for line in t.splitlines()] for t in data.decode().split("\n\n") if "\t" in t])
     assert {(r.batch_id, r.name, r.pay) for r in register.parse(register.cells(docs)).collect()} == {("a.txt", "甲一", 100), ("a.txt", "乙二", 2000)}
     assert {(r.batch_id, r.error.split(":")[0]) for r in register.refused(docs).collect()} == {("b.txt", "UnicodeDecodeError"), ("c.txt", "no tables")}
 
