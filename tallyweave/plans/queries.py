@@ -52,11 +52,11 @@ _CODE = "CASE l_returnflag WHEN 'A' THEN 'C1009' WHEN 'R' THEN 'C1014' ELSE 'X'
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as pay rows: a batch per supplier nation's remainder, a person per order, rows in a total order."""
+    """lineitem as pay rows: a batch per 500 order keys, a person per order, rows in a total order."""
     rows = table(spark, sf_dir, "lineitem")
     order = (F.col("l_linenumber").cast("bigint") * 1_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("bigint"))
     return rows.select(
-        (F.col("l_orderkey") % 16).alias("batch_id"), order.alias("row_ord"), F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("person_id"),
+        F.floor(F.col("l_orderkey") / 500).alias("batch_id"), order.alias("row_ord"), F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("person_id"),
         F.concat(F.lit("n"), (F.col("l_partkey") % 50).cast("string")).alias("name"), F.when(F.col("l_suppkey") % 3 == 0, F.col("l_linestatus")).otherwise("").alias("dept"),
         F.when(F.col("l_quantity") > 10, "P1").otherwise("").alias("pay_code"), cents("l_extendedprice").cast("string").alias("pay_amt"),
         F.when(F.col("l_quantity") > 25, "S1").otherwise("").alias("prof_code"), cents("l_tax").cast("string").alias("prof_amt"),
@@ -64,7 +64,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LINES = f"""lines AS (SELECT l_orderkey % 16 AS batch_id, l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + l_quantity::BIGINT AS row_ord,
+_LINES = f"""lines AS (SELECT l_orderkey // 500 AS batch_id, l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + l_quantity::BIGINT AS row_ord,
   'P' || l_orderkey AS person_id, 'n' || (l_partkey % 50) AS name, CASE WHEN l_suppkey % 3 = 0 THEN l_linestatus ELSE '' END AS dept,
   l_quantity > 10 AS has_pay, round(l_extendedprice * 100)::BIGINT AS pay_amt, l_quantity > 25 AS has_prof, round(l_tax * 100)::BIGINT AS prof_amt,
   {_CODE} AS duty_code, l_suppkey AS duty_amt FROM lineitem)"""
@@ -117,16 +117,16 @@ def namesakes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _roster(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as rosters in reverse order of keys, one per customer's remainder; lines as the tables, some under a name of their own."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0")
-    own = orders.select((F.col("o_orderkey") % 16).alias("batch_id"), F.col("o_orderkey").alias("row_ord"), (-F.col("o_orderkey")).cast("string").alias("seq"), F.col("o_orderkey").cast("string").alias("name"))
+    """Orders as rosters in reverse order of keys, one per 500 of them; lines as the tables, some under a name of their own. Every seventh order has no number, none that is one, or a blank name."""
+    orders, left, kind = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 7 == 0, F.floor(F.col("o_orderkey") / 7) % 4
+    own = orders.select(F.floor(F.col("o_orderkey") / 500).alias("batch_id"), F.col("o_orderkey").alias("row_ord"), F.when(left & (kind == 0), F.lit(None)).when(left & (kind == 1), "7a").otherwise((-F.col("o_orderkey")).cast("string")).alias("seq"), F.when(left & (kind == 2), "　").when(left & (kind == 3), F.lit(None)).otherwise(F.col("o_orderkey").cast("string")).alias("name"))
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
-    rows = lines.select((F.col("l_orderkey") % 16).alias("batch_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_ord"), F.col("l_orderkey").cast("string").alias("name"), "n")
+    rows = lines.select(F.floor(F.col("l_orderkey") / 500).alias("batch_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_ord"), F.col("l_orderkey").cast("string").alias("name"), "n")
     return own, rows
 
 
-_ROSTER = """own AS (SELECT o_orderkey % 16 AS batch_id, -o_orderkey AS seq, o_orderkey::VARCHAR AS name FROM orders WHERE o_orderkey % 7 <> 0),
-  rows AS (SELECT l_orderkey % 16 AS batch_id, l_orderkey * 10 + l_linenumber AS row_ord, l_orderkey::VARCHAR AS name, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+_ROSTER = """own AS (SELECT o_orderkey // 500 AS batch_id, -o_orderkey AS seq, o_orderkey::VARCHAR AS name FROM orders WHERE o_orderkey % 7 <> 0),
+  rows AS (SELECT l_orderkey // 500 AS batch_id, l_orderkey * 10 + l_linenumber AS row_ord, l_orderkey::VARCHAR AS name, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 
 
 @query(f"""WITH {_ROSTER} SELECT own.batch_id, seq AS roster_seq, name, n, row_ord, pos FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY seq) AS pos FROM own) own JOIN rows USING (batch_id, name)""")
@@ -554,13 +554,13 @@ def _scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Sums by order as scanned rows, named after their order's customer; every fourth name is blank, every eighth of those has a valid id."""
     s = _sums(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     name = F.when(F.col("l_orderkey") % 4 == 0, "").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
-    rows = s.select((F.col("o_custkey") % 32).alias("batch_id"), F.col("l_orderkey").alias("row_ord"), name.alias("name"), F.lit("12 教師").alias("title"), F.concat(F.lit("id"), F.col("o_custkey").cast("string")).alias("person_id"), (F.col("l_orderkey") % 8 == 0).alias("id_valid"), *[F.col(c).cast("string").alias(c) for c in ("pay", "prof", "mgr", "tutor", "gross")], F.lit(None).cast("double").alias("confidence"))
+    rows = s.select(F.floor(F.col("o_custkey") / 100).alias("batch_id"), F.col("l_orderkey").alias("row_ord"), name.alias("name"), F.lit("12 教師").alias("title"), F.concat(F.lit("id"), F.col("o_custkey").cast("string")).alias("person_id"), (F.col("l_orderkey") % 8 == 0).alias("id_valid"), *[F.col(c).cast("string").alias(c) for c in ("pay", "prof", "mgr", "tutor", "gross")], F.lit(None).cast("double").alias("confidence"))
     c = table(spark, sf_dir, "customer")
-    af = c.select((F.col("c_custkey") % 32).alias("batch_id"), F.col("c_custkey").alias("row_ord"), F.concat(F.lit("ID"), F.col("c_custkey").cast("string")).alias("person_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"))
+    af = c.select(F.floor(F.col("c_custkey") / 100).alias("batch_id"), F.col("c_custkey").alias("row_ord"), F.concat(F.lit("ID"), F.col("c_custkey").cast("string")).alias("person_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"))
     return rows, af
 
 
-_SCANNED = """scanned AS (SELECT o_custkey % 32 AS batch_id, l_orderkey AS row_ord, 'c' || o_custkey AS name, l_orderkey % 4 <> 0 OR l_orderkey % 8 = 0 AS name_ok, l_orderkey % 3 = 1 AS sum_ok, l_orderkey % 3 = 0 AS none
+_SCANNED = """scanned AS (SELECT o_custkey // 100 AS batch_id, l_orderkey AS row_ord, 'c' || o_custkey AS name, l_orderkey % 4 <> 0 OR l_orderkey % 8 = 0 AS name_ok, l_orderkey % 3 = 1 AS sum_ok, l_orderkey % 3 = 0 AS none
   FROM (SELECT DISTINCT l_orderkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey)"""
 
 
@@ -602,7 +602,7 @@ def scanned_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SCANNED}, kept AS (SELECT batch_id, row_ord, name, name_ok AND sum_ok AS good FROM scanned WHERE (name_ok AND sum_ok) OR row_ord % 5 <> 0),
-  people AS (SELECT batch_id, name, min(row_ord) AS row_ord, count(*) AS n FROM kept GROUP BY ALL), known AS (SELECT DISTINCT c_custkey % 32 AS batch_id, 'c' || c_custkey AS name FROM customer)
+  people AS (SELECT batch_id, name, min(row_ord) AS row_ord, count(*) AS n FROM kept GROUP BY ALL), known AS (SELECT DISTINCT c_custkey // 100 AS batch_id, 'c' || c_custkey AS name FROM customer)
   SELECT batch_id, name, CASE WHEN k.name IS NULL THEN 'pdf_only' WHEN p.name IS NULL THEN 'af_only' ELSE 'pair' END AS status FROM (SELECT batch_id, name, true FROM known) k FULL JOIN people p USING (batch_id, name)""")
 def corrected_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that passed and the corrected ones, one a name, compared with the register."""
