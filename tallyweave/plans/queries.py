@@ -430,10 +430,10 @@ def title_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _observations(spark, sf_dir)
 
 
-@query("""SELECT p_type AS title, count(*) AS total, 0::BIGINT AS in_af, count(DISTINCT p_brand) AS files, 'suggest' AS verdict FROM part WHERE p_size > 10 GROUP BY p_type HAVING count(*) >= 3 AND count(DISTINCT p_brand) >= 2""")
+@query("""SELECT p_type AS title, count(*) AS total, 0::BIGINT AS in_af, count(DISTINCT p_brand) AS files, 'suggest' AS verdict FROM part GROUP BY p_type HAVING count(*) >= 3 AND count(DISTINCT p_brand) >= 2""")
 def learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    people = part.where("p_size > 10").select(F.col("p_brand").alias("batch_id"), F.col("p_type").alias("title"), F.col("p_name").alias("name"))
+    people = part.select(F.col("p_brand").alias("batch_id"), F.col("p_type").alias("title"), F.col("p_name").alias("name"))
     known = part.select(F.col("p_brand").alias("batch_id"), F.lit("x").alias("name"))
     return exc.learn(exc.merge(exc.observe(people, known)))
 
@@ -853,7 +853,7 @@ def _streamed(spark: SparkSession, path: str, make: Callable[[DataFrame], DataFr
 def title_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running title statistics of a stream in which every observation comes twice."""
     twice = lambda e: e.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))).select(F.col("event_id").cast("string").alias("batch_id"), F.col("event_type").alias("title"), F.col("user_id").alias("total"), (F.col("user_id") % 2 == 0).cast("bigint").alias("in_af"), F.col("ts").cast("timestamp").alias("ts"))
-    return _streamed(spark, f"{sf_dir}/events.parquet", lambda e: jobs.title_totals(twice(e)), "complete")
+    return _streamed(spark, f"{sf_dir}/events.parquet", lambda e: jobs.title_totals(twice(e), "ts"), "complete")
 
 
 @query("SELECT event_type || (event_id % 3) AS title, max(event_id)::BIGINT AS total, 0::BIGINT AS in_af, 2::BIGINT AS files FROM events GROUP BY ALL")
