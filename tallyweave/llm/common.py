@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.lineage import checkpointed, shared_folder
 
-__all__ = ["ascii_lower", "checkpointed", "documents", "heavy_keys", "id_and_text", "id_key", "nested", "slices", "spread_join", "written"]
+__all__ = ["ascii_lower", "checkpointed", "documents", "heavy_keys", "id_and_text", "id_key", "nested", "slices", "spread_join", "with_sizes", "written"]
 
 #: The ASCII letters that the contracts lower-case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys whose rows a join deals out further (their number is the bound of what is broadcast), the rows from which a key may
-#: be one of them, and the parts that such a key gets.
+#: be one of them, and the parts that such a key gets, as many as a long has bits.
 HEAVY, HEAVY_ROWS, PARTS = 1000, 300, 64
 
 
@@ -67,6 +67,19 @@ def nested(df: DataFrame, *extra: Column) -> DataFrame:
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *extra)
 
 
+def with_sizes(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """The rows that share their `keys` with others, with n, how many do.
+
+    A key's rows are dealt to PARTS parts by a hash of `by`, and its count tells which parts there are as the bits of one
+    number, so the count goes to each of them and to no others: a hot key's rows meet it in PARTS tasks, however many keys
+    are hot, and a rare key's count is repeated no more often than it has rows.
+    """
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    sizes = dealt.groupBy(*keys).agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, part)")).alias("parts")).where("n > 1")
+    every = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.getbit("parts", p) == 1)
+    return dealt.join(sizes.select(*keys, "n", F.explode(every).alias("part")), [*keys, "part"]).drop("part")
+
+
 def heavy_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
     """(heavy) the keys of (key, n) with the most rows, at most HEAVY; the others are not left out, they need no parts."""
     return counts.where(F.col(n) >= HEAVY_ROWS).orderBy(F.desc(n)).limit(HEAVY).select(F.col(key).alias("heavy"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import checkpointed, heavy_keys, id_and_text, id_key, nested, slices, spread_join
+from tallyweave.llm.common import checkpointed, heavy_keys, id_and_text, id_key, nested, slices, spread_join, with_sizes
 from tallyweave.llm.components import smallest_of_each
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
@@ -97,15 +97,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments
     differences stay within its share, distance * length / segments. The first segments of such a chain, those whose share
     is below one, may not differ at all: by them fingerprints are joined, once for each start, and the longer chains prune
     before all bits are compared. A bucket of one value is cut into blocks of about `block` rows and every pair of blocks is
-    a group of its own, so that no bucket lands in one task; a group yields a spanning forest of its links, not its pairs.
+    a group of its own, so that no bucket lands in one task, nor do its rows when they are dealt to their blocks; a group yields a spanning forest of its links, not its pairs.
     No partner is dropped.
     """
     masks = ring_masks(distance, segments)
     width, zero = BITS // segments, masks[0][0] if masks[0][1] == 0 else 0
     turned = lambda by: F.col("fp") if by == 0 else F.shiftrightunsigned("fp", by).bitwiseOR(F.shiftleft("fp", BITS - by))
     keys = fps.select("fp", F.posexplode(F.array(*[turned(width * i).bitwiseAND(F.lit(zero)) for i in range(segments)])).alias("i", "value"))
-    sizes = keys.groupBy("i", "value").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keys.join(sizes, ["i", "value"])
+    rows = with_sizes(keys, ["i", "value"], "fp")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -261,17 +260,18 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return rows.join(best, ["node", "id"], "left_semi").dropDuplicates(["node", "id"]).select("row.*")
 
 
-def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", distance: int | None = WIDE_DISTANCE) -> DataFrame:
     """(doc_id, component_id) for each row: the smallest id that is reached by links between texts whose sets of word shingles have Jaccard similarity `similarity` or more.
 
     Texts without words are one group; a null id stays null and counts only where no other is; repeated rows each get
-    their row; an empty table gives no rows. See `_groups` for the method.
+    their row; an empty table gives no rows. With a `distance` of None no pair that shares a key is pruned by its
+    fingerprints. See `_groups` for the method.
     """
-    rows, groups, firsts = _groups(df, shingle, similarity, block, id_col, text_col)
+    rows, groups, firsts = _groups(df, shingle, similarity, block, id_col, text_col, distance)
     return spread_join(rows, groups, "node", "doc_id", heavy_keys(firsts, "node", "n")).select("doc_id", "component_id")
 
 
-def _groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def _groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", distance: int | None = WIDE_DISTANCE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, node) of each row, (node, component_id, best) and (node, first, n) of each distinct text, a node.
 
     At that similarity fingerprints differ in too many bits for segments that agree, so candidates meet by keys of least
@@ -298,11 +298,11 @@ def _groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMI
     one = texts.select("doc_id", "node", "text").join(owners, (F.col("node") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("first")))
     sketched = checkpointed(one.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(sketches, "node long, print binary, keys array<long>, shingles array<int>"))
 
-    keyed = sketched.select("node", "print", (F.size("shingles") < FEW).alias("few"), F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    few = F.lit(True) if distance is None else F.size("shingles") < FEW
+    keyed = sketched.select("node", "print", few.alias("few"), F.explode("keys").alias("key"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    met = keyed.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = with_sizes(keyed, ["key"], "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "print", "few")
     order = ["key", "a", "b"]
     met = met.repartition(*order).sortWithinPartitions(*order, "node")
@@ -328,7 +328,7 @@ def _groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMI
         for a, b in zip(starts, starts[1:] if last else starts[1:-1], strict=False):
             if b - a > 1:
                 x, first = np.unique(nodes[a:b], return_index=True)
-                out += named([(int(x[i]), int(x[j])) for i, j in wide_links(prints[a:b][first], few[a:b][first])])
+                out += named([(int(x[i]), int(x[j])) for i, j in wide_links(prints[a:b][first], few[a:b][first], WIDE_DISTANCE if distance is None else distance)])
         return None if last else batch.slice(starts[-2])
 
     def named(links_: list[tuple[int, int]]) -> list[tuple[int, int, int]]:

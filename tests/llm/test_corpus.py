@@ -259,6 +259,16 @@ def test_hubs_are_dealt_out(spark):
     assert spread_join(rows, table, "k", "id", heavy, "left").count() == 3000 and PARTS > 1
 
 
+def test_counts_meet_hot_keys_in_parts(spark):
+    from tallyweave.llm.common import PARTS, with_sizes
+
+    rows = spark.range(6000).selectExpr("if(id < 4000, 7, if(id < 4002, 9, id)) AS k", "if(id % 2 = 0, 0, null) AS other", "id")
+    got = with_sizes(rows, ["k"], "id")
+    assert got.columns == ["k", "other", "id", "n"]
+    same([(r.k, r.id, r.n) for r in got.collect()], [(7, i, 4000) for i in range(4000)] + [(9, 4000, 2), (9, 4001, 2)])
+    assert with_sizes(rows.limit(0), ["k"], "id").count() == 0 and PARTS == 64
+
+
 def test_near_duplicates(docs, rows):
     sets = []
     for _, t in rows:
@@ -285,8 +295,8 @@ def test_near_duplicates_around_the_limit(spark):
     sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))) for t in texts]
     roots = linked(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block in (1024, 7):
-        got = simhash.near_duplicates(table, block=block).collect()
+    for settings in ({"block": 1024}, {"block": 7}, {"distance": None}):
+        got = simhash.near_duplicates(table, **settings).collect()
         same([tuple(r) for r in got], list(enumerate(roots)))
     assert 40 < len(set(roots)) < len(texts) - 40
 
