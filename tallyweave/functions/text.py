@@ -24,10 +24,16 @@ def blank_as_null(x: Column) -> Column:
 
 
 def money(x: Column) -> Column:
-    """An amount as a whole number: thousands commas dropped, cents cut off, 0 for what isn't a number. One _ may stand between digits."""
-    plain = F.translate(strip(F.translate(F.coalesce(x.cast("string"), F.lit("")), ",", "")), _FULLWIDTH, "0123456789")
+    """An amount as a whole number: thousands commas dropped, cents cut off, 0 for what isn't a number. One _ may stand between digits.
+
+    A short text from a sign or digit to a digit is tried as a whole number first: with 15 characters at most, the double
+    that any other text goes through has the same whole part.
+    """
+    text = F.coalesce(x.cast("string"), F.lit(""))
+    short = F.ascii(text).between(43, 57) & F.ascii(F.right(text, F.lit(1))).between(48, 57) & (F.octet_length(text) <= 15)
+    plain = F.translate(strip(F.translate(text, ",", "")), _FULLWIDTH, "0123456789")
     number = plain.rlike(r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$")
-    return F.coalesce(F.when(number, F.translate(plain, "_", "").try_cast("double").try_cast("bigint")), F.lit(0).cast("bigint"))
+    return F.coalesce(F.when(short, text.try_cast("bigint")), F.when(number, F.translate(plain, "_", "").try_cast("double").try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def whole_number(x: Column) -> Column:

@@ -168,6 +168,7 @@ def one(spark, expr, **values):
 
 def test_scalars(spark):
     money = {"1,234": 1234, "12.9": 12, "-3.7": -3, "nan": 0, "inf": 0, "1e3": 1000, "": 0, "abc": 0, " 5 ": 5, "１２": 12, "12d": 0, None: 0, "1_000": 1000, "1__0": 0, "_1": 0, "1_.5": 0, "1.2_5": 1, "\x1c7\x85": 7}
+    money |= {"-0.5": 0, ".5": 0, "1.9999999999999": 1, "9007199254740993": 9007199254740992, "1.99999999999999999999": 2, "999999999999999": 999999999999999, "1/2": 0, "+-1": 0, "0x10": 0, "-007": -7, "\x001": 0, "1.5.2": 0}
     rows = spark.createDataFrame([(k, v) for k, v in money.items()], "x string, want long").select(text.money(F.col("x")), "want").collect()
     assert all(a == b for a, b in rows)
     lit = lambda f, *a: one(spark, f(*[F.lit(x) for x in a]))
