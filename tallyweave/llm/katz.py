@@ -2,7 +2,8 @@
 
 Texts are dealt into batches of a bounded size by a hash of their rows. A batch asks for what it needs about its distinct
 words and word pairs in arrays, one per bucket of the count tables, and gets arrays in the same order back. So tokens
-are not shuffled one by one, and a frequent word or pair is one entry of a batch.
+are not shuffled one by one, and a frequent word or pair is one entry of a batch. Orders above two go the same way, one
+after the other: a batch that knows its tokens' shares at one order asks for what it needs of the next.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import id_and_text, slices
+from tallyweave.llm.common import id_and_text, slices, written
 
 #: Bytes of text in a batch, counts that are discounted, and the most parts into which one word's successors are dealt.
 BATCH, DISCOUNTED = 6 << 20, 5
@@ -26,6 +27,8 @@ WORDS = "bucket int, batch int, words binary, counts binary"
 REPLY = "batch int, kind int, bucket int, one binary, two binary"
 PAIRS = "bucket int, batch int, firsts binary, n_seconds binary, seconds binary, counts binary, second_counts binary"
 STATS = "bucket int, firsts binary, mass binary, lower binary"
+#: Above order two: an entry of a batch for the grams of a bucket (asked 0), or for the histories of a bucket (asked 1), whose hashes and counts are `firsts` and `counts`.
+GRAMS = "asked int, bucket int, batch int, firsts binary, n_seconds binary, seconds binary, counts binary, second_counts binary, wholes binary"
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -97,6 +100,30 @@ class Batch:
         return keys // n, keys % n, np.bincount(place[self.train], minlength=len(keys)), place
 
 
+    def contexts(self, order: int) -> np.ndarray:
+        """A hash of the order - 1 tokens before each token; before a text's start there are starts."""
+        begins, padding, out = np.r_[0, self.ends[:-1]], np.array([START]), self.words[self.history]
+        for _ in range(order - 2):
+            before = np.r_[padding, out[:-1]]
+            before[begins] = padding
+            out = mixed(before, self.words[self.history])
+            padding = mixed(padding, np.array([START]))
+        return out
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct histories, and of the distinct grams, in order, the history, the word, the training count and a token; each token's place among them."""
+        n = len(self.words)
+        contexts, of = np.unique(self.contexts(order), return_inverse=True)
+        keys, first, place = np.unique(of * n + self.tokens, return_index=True, return_inverse=True)
+        return contexts, keys // n, keys % n, np.bincount(place[self.train], minlength=len(keys)), first, place
+
+    def history_counts(self, found: np.ndarray, texts: int) -> np.ndarray:
+        """The training count of each token's history at an order, from the counts of the tokens' grams at the one below."""
+        out = np.r_[0, found[:-1]]
+        out[np.r_[0, self.ends[:-1]]] = texts
+        return out
+
+
 def word_buckets(words: np.ndarray, n: int) -> np.ndarray:
     return (mixed(words, np.uint64(1)) % np.uint64(n)).astype(np.int64)
 
@@ -234,9 +261,9 @@ def _pair_stats(rows: pa.Table) -> pa.Table:
     return stat_row(_merged_pairs(rows)[1])
 
 
-def _pair_replies(rows: pa.Table) -> pa.Table:
+def _pair_replies(rows: pa.Table, kind: int = 1) -> pa.Table:
     _, totals, _, place, sizes = _merged_pairs(rows)
-    return table(REPLY, [(b, 1, k, packed(x.astype(np.uint64)), b"") for b, k, x in zip(rows.column("batch").to_pylist(), rows.column("bucket").to_pylist(), np.split(totals[place], np.cumsum(sizes)[:-1]), strict=True)])
+    return table(REPLY, [(b, kind, k, packed(x.astype(np.uint64)), b"") for b, k, x in zip(rows.column("batch").to_pylist(), rows.column("bucket").to_pylist(), np.split(totals[place], np.cumsum(sizes)[:-1]), strict=True)])
 
 
 def _history_stats(rows: pa.Table, n_buckets: int) -> pa.Table:
@@ -250,7 +277,7 @@ def _history_stats(rows: pa.Table, n_buckets: int) -> pa.Table:
     return table(STATS, [(b, words[i].tobytes(), packed(mass[i]), packed(share[i])) for b, i in by_bucket(word_buckets(words, n_buckets))])
 
 
-def _history_replies(rows: pa.Table, stats: pa.Table) -> pa.Table:
+def _history_replies(rows: pa.Table, stats: pa.Table, kind: int = 2) -> pa.Table:
     """To each batch its words' backoff weights as histories; negative where no successor is discounted, so that one count is set apart."""
     if not rows.num_rows:
         return table(REPLY, [])
@@ -263,42 +290,112 @@ def _history_replies(rows: pa.Table, stats: pa.Table) -> pa.Table:
     weight = np.where((totals > 0) & (mass > 0), (1 - mass / np.where(bare, c + 1, c)) / (1 - share), 1.0)
     signed = np.where(bare, -weight, weight)[place]
     cuts = np.cumsum([len(p) for p in parts])[:-1]
-    return table(REPLY, [(b, 2, k, packed(x), b"") for b, k, x in zip(rows.column("batch").to_pylist(), rows.column("bucket").to_pylist(), np.split(signed, cuts), strict=True)])
+    return table(REPLY, [(b, kind, k, packed(x), b"") for b, k, x in zip(rows.column("batch").to_pylist(), rows.column("bucket").to_pylist(), np.split(signed, cuts), strict=True)])
 
 
-def _scores(rows: pa.Table, replies: pa.Table, n_buckets: int) -> pa.Table:
-    batch = Batch(rows)
+def _shares(batch: Batch, replies: pa.Table, n_buckets: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token its gram's training count, its history's count (with the one that is set apart) and its share, at an order for which the replies are there."""
     total, types, rest, n = _model(replies)
-    uni, d = Unigrams(total, n, rest), discounts(_model(replies, "pair_")[3])
+    uni, d = Unigrams(total, n, rest), discounts(_model(replies, prefix(2))[3])
     counts = _answers(batch, replies, n_buckets, 0, "one", "u8").astype(np.int64)
     signed = _answers(batch, replies, n_buckets, 2, "one", "f8")
+    asked = list(zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "one")), strict=True))
+
+    def answered(out: np.ndarray, kind: int, at: dict[int, np.ndarray], what: str) -> np.ndarray:
+        for k, bucket, data in asked:
+            if k == kind:
+                out[at[bucket]] = unpacked(data, what)
+        return out
+
     first, second, _, place = batch.pairs()
-    found = np.zeros(len(first), np.int64)
     at = dict(by_bucket(pair_buckets(batch.words[first], batch.words[second], counts[first], total, n_buckets)))
-    for k, bucket, data in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "one")), strict=True):
-        if k == 1:
-            found[at[bucket]] = unpacked(data, np.uint64)
+    found = answered(np.zeros(len(first), np.int64), 1, at, "u8")
     c = counts.astype(float)
     weight, whole = np.abs(signed), np.where(signed < 0, c + 1, c)
     lower = uni.p(counts)
     with np.errstate(divide="ignore", invalid="ignore"):
         p = np.where(found > 0, discounted(found, d) / whole[first], weight[first] * lower[second])
-        logs = np.log10(p)[place]
-        base = np.log10((c + 0.5) / (total + 0.5 * (types + 1)))[batch.tokens]
+    found, whole, p = found[place], whole[first][place], p[place]
+    texts = int(counts[np.searchsorted(batch.words, START)])
+    for k in range(3, order + 1):
+        contexts, of, second, _, first, place = batch.grams(k)
+        c = batch.history_counts(found, texts)[first]
+        at = dict(by_bucket(pair_buckets(contexts[of], batch.words[second], c, total, n_buckets)))
+        found = answered(np.zeros(len(of), np.int64), 2 * k - 3, at, "u8")
+        count = np.zeros(len(contexts), np.int64)
+        count[of] = c
+        seen = np.flatnonzero(count > 0)
+        at = {b: seen[i] for b, i in by_bucket(word_buckets(contexts[seen], n_buckets))}
+        signed = answered(np.ones(len(contexts)), 2 * k - 2, at, "f8")
+        whole = np.where(signed < 0, count + 1, count).astype(float)[of]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.where(found > 0, discounted(found, discounts(_model(replies, prefix(k))[3])) / whole, np.abs(signed)[of] * p[first])
+        found, whole, p = found[place], whole[place], p[place]
+    return found, whole, p
+
+
+def prefix(order: int) -> str:
+    """What the columns of an order's counts of counts begin with."""
+    return {1: "", 2: "pair_"}.get(order, f"gram{order}_")
+
+
+def _grams(rows: pa.Table, replies: pa.Table, n_buckets: int, order: int) -> pa.Table:
+    """What a batch asks at an order above two: its grams, with the counts one order below, and the histories that training texts have."""
+    batch, number = Batch(rows), rows.column("batch")[0].as_py()
+    found, whole, _ = _shares(batch, replies, n_buckets, order - 1)
+    numbers, counts = (_answers(batch, replies, n_buckets, 0, c, "u8") for c in ("two", "one"))
+    total, texts = _model(replies)[0], int(counts[np.searchsorted(batch.words, START)])
+    contexts, of, second, trained, first, _ = batch.grams(order)
+    c = batch.history_counts(found, texts)[first]
+    out = []
+    for b, i in by_bucket(pair_buckets(contexts[of], batch.words[second], c, total, n_buckets)):
+        firsts, at, n = np.unique(of[i], return_index=True, return_counts=True)
+        wholes = whole[first[i][at]]
+        out.append((0, b, number, contexts[firsts].tobytes(), packed(n.astype(np.uint32)), packed(numbers[second[i]]), packed(trained[i].astype(np.uint32)), packed(found[first[i]].astype(np.uint64)), packed(wholes.astype(np.uint64))))
+    mine = np.bincount(of, trained, len(contexts)).astype(np.uint32)
+    count = np.zeros(len(contexts), np.int64)
+    count[of] = c
+    seen = np.flatnonzero(count > 0)
+    for b, i in by_bucket(word_buckets(contexts[seen], n_buckets)):
+        out.append((1, b, number, contexts[seen[i]].tobytes(), b"", b"", packed(mine[seen[i]]), b"", b""))
+    return table(GRAMS, out)
+
+
+def _gram_history_stats(rows: pa.Table, n_buckets: int, order: int) -> pa.Table:
+    """As `_history_stats`: a seen gram's ending is seen too, so its share one order below is its discounted count there over its history's."""
+    firsts, totals, lower, place, _ = _merged_pairs(rows)
+    sizes = [unpacked(x, np.uint32) for x in rows.column("n_seconds").to_pylist()]
+    whole = np.zeros(len(firsts))
+    whole[place] = np.concatenate([np.repeat(unpacked(x, np.uint64), n) for x, n in zip(rows.column("wholes").to_pylist(), sizes, strict=True)])
+    d, below = (discounts(_model(rows, prefix(k))[3]) for k in (order, order - 1))
+    seen = totals > 0
+    words, place = np.unique(firsts[seen], return_inverse=True)
+    mass = np.bincount(place, discounted(totals[seen], d), len(words))
+    share = np.bincount(place, discounted(lower[seen], below) / whole[seen], len(words))
+    return table(STATS, [(b, words[i].tobytes(), packed(mass[i]), packed(share[i])) for b, i in by_bucket(word_buckets(words, n_buckets))])
+
+
+def _scores(rows: pa.Table, replies: pa.Table, n_buckets: int, order: int) -> pa.Table:
+    batch = Batch(rows)
+    total, types, _, _ = _model(replies)
+    counts = _answers(batch, replies, n_buckets, 0, "one", "u8").astype(np.int64)
+    logs = np.log10(_shares(batch, replies, n_buckets, order)[2])
+    base = np.log10((counts + 0.5) / (total + 0.5 * (types + 1)))[batch.tokens]
     starts = np.r_[0, batch.ends[:-1]]
     sums = [np.add.reduceat(x, starts) for x in ((counts > 0)[batch.tokens].astype(np.int64), base, logs)]
     return table(SCHEMA, list(zip(batch.ids, batch.held.tolist(), batch.sizes.tolist(), sums[0].tolist(), [total] * len(batch.ids), sums[1].tolist(), sums[2].tolist(), strict=True)))
 
 
-def katz_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH) -> DataFrame:
+def katz_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH, order: int = 2) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, log10 probabilities of the text.
 
-    Tokens are words, A-Z lower-cased, and one end. The model of order two learns from the rows that aren't held out
+    Tokens are words, A-Z lower-cased, and one end. The model, of order two or, with `order`, more, learns from the rows that aren't held out
     (`held_out`, a condition; by default those whose id's crc32 mod 5 isn't 1). A pair of count r has the share d(r) r / c of
     its history of count c, d the Good-Turing factor up to a count of five; another word has the history's weight times
     its share of the lower order, where the weight is what the seen pairs leave, over what the lower order gives to words
     not seen there, so that each history's shares add up to one. The lower order is discounted likewise, and its rest is
-    the share of the one unknown word. A history not seen in training has weight one. All counts are of all training
+    the share of the one unknown word. Above order two a gram backs off to the gram without its first token in the same way,
+    and before a text's start there are starts. A history not seen in training has weight one. All counts are of all training
     rows. Null and empty texts have the end alone; a null id counts as the empty text for the default fold and stays null;
     repeated rows are texts of their own; an empty table gives no rows.
     """
@@ -316,6 +413,8 @@ def katz_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([compress(x) for x in batch.column(3).to_pylist()], pa.binary())], names=["batch", "doc_id", "held", "text"])
 
     texts = texts.mapInArrow(shrink, "batch int, doc_id long, held boolean, text binary")
+    if order < 2:
+        raise ValueError("order is 2 or more")
     batches = lambda: texts.groupBy("batch")
     words = batches().applyInArrow(lambda t: _words(t, n), WORDS).repartition("bucket")
     sums = lambda prefix: [F.sum(c).alias(prefix + c) for c in ("tokens", "types", "rest", *STAT_COLUMNS)]
@@ -324,8 +423,27 @@ def katz_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     counted = words.groupBy("bucket").applyInArrow(lambda t: _word_replies(t, n), REPLY).join(F.broadcast(word_stats))
     pairs = batches().cogroup(counted.groupBy("batch")).applyInArrow(lambda t, r: _pairs(t, r, n), PAIRS).repartition("bucket")
     pair_stats = pairs.groupBy("bucket").applyInArrow(_pair_stats, STAT_SCHEMA).agg(*sums("pair_"))
-    found = pairs.groupBy("bucket").applyInArrow(_pair_replies, REPLY)
+    found = pairs.groupBy("bucket").applyInArrow(lambda t: _pair_replies(t), REPLY)
     history = pairs.join(F.broadcast(word_stats)).join(F.broadcast(pair_stats)).groupBy("bucket").applyInArrow(lambda t: _history_stats(t, n), STATS)
-    weights = words.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(_history_replies, REPLY)
-    replies = counted.select("batch", "kind", "bucket", "one", F.lit(b"").alias("two")).union(found).union(weights).join(F.broadcast(word_stats)).join(F.broadcast(pair_stats))
-    return batches().cogroup(replies.groupBy("batch")).applyInArrow(lambda t, r: _scores(t, r, n), SCHEMA)
+    weights = words.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(lambda t, s: _history_replies(t, s), REPLY)
+    if order == 2:
+        replies = counted.select("batch", "kind", "bucket", "one", F.lit(b"").alias("two")).union(found).union(weights).join(F.broadcast(word_stats)).join(F.broadcast(pair_stats))
+        return batches().cogroup(replies.groupBy("batch")).applyInArrow(lambda t, r: _scores(t, r, n, 2), SCHEMA)
+    # Each order's answers and counts of counts are tables, so that the next one doesn't make them anew; totals are one row.
+    known = written(counted.select("batch", "kind", "bucket", "one", "two").union(found).union(weights))
+    totals = written(word_stats.join(F.broadcast(pair_stats)))
+
+    def climbed(known: DataFrame, totals: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        asks = written(batches().cogroup(known.join(F.broadcast(totals)).groupBy("batch")).applyInArrow(lambda t, r: _grams(t, r, n, k), GRAMS))
+        grams = asks.where("asked = 0").drop("asked")
+        stats = grams.groupBy("bucket").applyInArrow(_pair_stats, STAT_SCHEMA).agg(*sums(prefix(k)))
+        totals = written(totals.join(F.broadcast(stats)))
+        found = grams.groupBy("bucket").applyInArrow(lambda t: _pair_replies(t, 2 * k - 3), REPLY)
+        history = grams.join(F.broadcast(totals)).groupBy("bucket").applyInArrow(lambda t: _gram_history_stats(t, n, k), STATS)
+        asked = asks.where("asked = 1").select("bucket", "batch", F.col("firsts").alias("words"), "counts")
+        weights = asked.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(lambda t, s: _history_replies(t, s, 2 * k - 2), REPLY)
+        return known.union(written(found.union(weights))), totals
+
+    for k in range(3, order + 1):
+        known, totals = climbed(known, totals, k)
+    return batches().cogroup(known.join(F.broadcast(totals)).groupBy("batch")).applyInArrow(lambda t, r: _scores(t, r, n, order), SCHEMA)

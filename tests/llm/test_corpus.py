@@ -435,6 +435,69 @@ def test_katz(spark, docs, rows):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-6, abs_tol=1e-4) and math.isclose(a[6], b[6], rel_tol=1e-6, abs_tol=1e-4)
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_katz_of_higher_order(docs, rows, order):
+    """Dicts of whole histories, and the recursion as it is written down."""
+    got = [(r.doc_id, r.held_out, r.n_tokens, round(r.base_score, 5), r.score) for r in katz.katz_scores(docs, batch_bytes=150_000, order=order).collect()]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    counts = [collections.Counter() for _ in range(order + 1)]
+    for i, t in rows:
+        if not held(i):
+            w = [*["START"] * (order - 1), *t.encode().lower().split(), "END"]
+            for k in range(1, order + 1):
+                counts[k].update(tuple(w[j - k + 1 : j + 1]) for j in range(order - 1, len(w)))
+    total = sum(counts[1].values())
+
+    def factors(items):
+        n = collections.Counter(items)
+        if not all(n[r] for r in range(1, 7)):
+            return {}
+        common = 6 * n[6] / n[1]
+        d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if common < 1 else 1.0 for r in range(1, 6)}
+        return {r: x for r, x in d.items() if 0 < x <= 1}
+
+    d = [factors(c.values()) for c in counts]
+    cut = lambda k, c: d[k].get(c, 1.0) * c
+    mass = sum(cut(1, c) for c in counts[1].values())
+    scale = 1.0 if mass < total - 1e-9 * total else total / (total + 1)
+    unknown = 1 - mass * scale / total
+    after = [collections.defaultdict(list) for _ in range(order + 1)]
+    for k in range(2, order + 1):
+        for g in counts[k]:
+            after[k][g[:-1]].append(g[-1])
+    memo = {}
+
+    def history(h):
+        """(what counts are divided by, weight) of a history seen in training."""
+        k = len(h) + 1
+        if h not in memo:
+            c, m = sum(counts[k][*h, w] for w in after[k][h]), sum(cut(k, counts[k][*h, w]) for w in after[k][h])
+            whole = c + 1 if m >= c - 1e-9 * c else c
+            memo[h] = whole, (1 - m / whole) / (1 - sum(share(h[1:], w) for w in after[k][h]))
+        return memo[h]
+
+    def share(h, w):
+        k = len(h) + 1
+        if k == 1:
+            return cut(1, counts[1][w,]) * scale / total if counts[1][w,] else unknown
+        if h not in after[k]:
+            return share(h[1:], w)
+        whole, weight = history(h)
+        return cut(k, counts[k][*h, w]) / whole if counts[k][*h, w] else weight * share(h[1:], w)
+
+    everything = [w for (w,) in counts[1]]
+    for h in sorted(after[order], key=str)[:5]:  # exactly normalised
+        assert math.isclose(sum(share(h, w) for w in everything) + share(h, "never seen"), 1.0, rel_tol=1e-9)
+    want = []
+    for i, t in rows:
+        w = [*["START"] * (order - 1), *t.encode().lower().split(), "END"]
+        base = sum(math.log10((counts[1][x,] + 0.5) / (total + 0.5 * (len(counts[1]) + 1))) for x in w[order - 1 :])
+        want.append((i, held(i), len(w) - order + 1, round(base, 5), sum(math.log10(share(tuple(w[j - order + 1 : j]), w[j])) for j in range(order - 1, len(w)))))
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=str), sorted(want, key=str), strict=True):
+        assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-6, abs_tol=1e-4) and math.isclose(a[4], b[4], rel_tol=1e-6, abs_tol=1e-4)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert quality.compression_bands(none).count() == 0
@@ -444,6 +507,7 @@ def test_empty_tables(spark):
     assert simhash.simhash_components(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
     assert katz.katz_scores(none).count() == 0
+    assert katz.katz_scores(none, order=3).count() == 0
     assert contamination(none, none.withColumnRenamed("doc_id", "item_id")).count() == 0
 
 
