@@ -80,12 +80,13 @@ def window_anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """One key for a row's id and text; rows that agree in both are one source."""
+    """One key for a row's id and text; rows that agree in both are one source. Where two other rows' keys agree, they share what is
+    asked and told of either, and the digests say what holds for which."""
     return F.xxhash64(doc_id, F.xxhash64(text), F.lit(7))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    """A whole partition of a few long columns, which the number of shuffle partitions keeps to a bounded size."""
+    """A whole partition of a few long columns: a task's share of the anchors or edges, all rows of one of them included."""
     held = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(held) if held else None
 
@@ -156,18 +157,23 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     order = F.coalesce("doc_id", F.lit(2**63 - 1))
     texts = id_and_text(df, id_col, text_col)
     texts = texts.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), F.lit(b"")).alias("sha"), F.col("text").cast("binary").alias("text"))
+    # Keys alone could agree by chance in a large table; with a part of the text's digest they tell rows apart.
+    texts = texts.withColumn("tag", F.xxhash64("sha"))
     firsts = texts.groupBy("sha").agg(F.min(order).alias("first"))
     # Ids and digests alone: which rows are the first of their text, by row.
-    roles = texts.select("key", "sha", order.alias("ord")).distinct().join(firsts, "sha").select(F.col("key").alias("role_key"), (F.col("ord") > F.col("first")).alias("copy")).hint("shuffle_hash")
+    roles = texts.select("key", "tag", "sha", order.alias("ord")).distinct().join(firsts, "sha").select(F.col("key").alias("role_key"), F.col("tag").alias("role_tag"), F.col("ord").alias("role_ord"), (F.col("ord") > F.col("first")).alias("copy")).hint("shuffle_hash")
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches, most_bytes=SLICE):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([compress(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "key", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([compress(x) for x in batch.column(2).to_pylist()], pa.binary()), batch.column(3)], names=["doc_id", "key", "text", "tag"])
 
-    # Every use below takes the same three columns, so that all share one shuffle of the texts.
-    rows = texts.select("doc_id", "key", "text").mapInArrow(shrink, "doc_id long, key long, text binary").join(roles, F.col("key") == F.col("role_key")).drop("role_key")
+    # Every use below takes the same columns and is joined on the key alone, so that all share one shuffle of the texts. What
+    # else tells rows apart is compared as bits, as further join keys would deal the rows anew.
+    zero = F.lit(0).cast("long")
+    itself = (F.col("key") == F.col("role_key")) & (F.col("tag").bitwiseXOR(F.col("role_tag")) == zero) & (order.bitwiseXOR(F.col("role_ord")) == zero)
+    rows = texts.select("doc_id", "key", "text", "tag").mapInArrow(shrink, "doc_id long, key long, text binary, tag long").join(roles, itself).drop("role_key", "role_tag", "role_ord", "tag")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=SLICE):
@@ -220,7 +226,7 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
                 total, kept = len(words), words
                 if copy and total >= window:
                     kept = []
-                elif spans:
+                elif spans and total >= window:
                     covered = np.zeros(total - window + 1, bool)
                     for s in spans:
                         if s["digest"] == span_digest(words, s["start"], s["n"]):
@@ -243,7 +249,7 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     found = own.join(shared, F.col("key") == F.col("its")).select("doc_id", "key", "text", "anchors").mapInArrow(edges, "edge long, ord long, key long, pos int, around int")
     spans = paths(covered_windows(found), window)
     wanted = spans.select("src_key", "src_start", "n").distinct().groupBy("src_key").agg(F.collect_list(F.struct("src_start", "n")).alias("spans")).hint("shuffle_hash")
-    digests = own.join(wanted, F.col("key") == F.col("src_key")).select("doc_id", "key", "text", "spans").mapInArrow(sources, "src_key long, src_start int, n int, digest binary").dropDuplicates(["src_key", "src_start", "n"])
+    digests = own.join(wanted, F.col("key") == F.col("src_key")).select("doc_id", "key", "text", "spans").mapInArrow(sources, "src_key long, src_start int, n int, digest binary").dropDuplicates(["src_key", "src_start", "n", "digest"])
     checked = spans.join(digests, ["src_key", "src_start", "n"]).groupBy("key").agg(F.collect_set(F.struct("start", "n", "digest")).alias("spans")).withColumnRenamed("key", "its").hint("shuffle_hash")
     final = rows.join(checked, F.col("key") == F.col("its"), "left").select("doc_id", "key", "text", "copy", "spans")
     return final.mapInArrow(result, SCHEMA + (", kept_text string" if with_text else ""))
