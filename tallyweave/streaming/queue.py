@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime, timedelta
+from itertools import batched
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tallyweave.functions import rules
@@ -14,9 +16,15 @@ from tallyweave.streaming.jobs import step
 
 COMMANDS = "queue string, seq long, ts timestamp, command string, job_id string"
 OUTPUT = "queue string, ts long, seq long, command string, job_id string, status string, changed boolean"
+_COLUMNS = [x.split()[0] for x in OUTPUT.split(", ")]
+#: A row of the state's operator holds up to `TOLD` answers of a queue, a column an array: rows one by one would take most of its time.
+PACKED, TOLD = ", ".join(x if x.startswith("queue ") else "{} array<{}>".format(*x.split()) for x in OUTPUT.split(", ")), 10_000
 #: The state store that Spark needs for state of several variables.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WAITING = ("pending", "processing")
+#: Milliseconds of a command without a time: before any alarm.
+NO_TIME = -(2**63)
+_EPOCH, _MILLISECOND = datetime(1970, 1, 1, tzinfo=UTC), timedelta(milliseconds=1)
 
 
 class Jobs:
@@ -102,35 +110,39 @@ class Queue(StatefulProcessor):
         self.state = handle.getMapState("jobs", "job_id string", "ord long, status string, created long, late boolean")
 
     def _open(self) -> Jobs:
-        return Jobs({key[0]: tuple(value) for key, value in self.state.iterator()}, self.ttl, self.timeout)
+        jobs = Jobs({key[0]: tuple(value) for key, value in self.state.iterator()}, self.ttl, self.timeout)
+        self.stored, self.timer = set(jobs.jobs), jobs.due()
+        return jobs
 
-    def _close(self, queue: str, jobs: Jobs, out: list[tuple]) -> Iterator[pd.DataFrame]:
+    def _close(self, jobs: Jobs) -> None:
+        """Each call of the store is a way to the JVM and back, so that a job that came and went in one batch makes none."""
         for job in jobs.touched:
             if job in jobs.jobs:
                 self.state.updateValue((job,), jobs.jobs[job])
-            else:
+            elif job in self.stored:
                 self.state.removeKey((job,))
         due = jobs.due()
-        for timer in list(self.handle.listTimers()):
-            if timer != due:
-                self.handle.deleteTimer(timer)
+        if self.timer is not None and self.timer != due:
+            self.handle.deleteTimer(self.timer)
         if due is not None:
             self.handle.registerTimer(due)
-        frame = pd.DataFrame([(queue, *x) for x in out], columns=[x.split()[0] for x in OUTPUT.split(", ")])
-        yield frame.astype({"ts": "int64", "seq": "Int64"})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        jobs, out = self._open(), []
-        commands = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        at = commands.ts.astype("datetime64[ms]").astype("int64")
-        for now, seq, command, job in zip(at.tolist(), commands.seq.tolist(), commands.command, commands.job_id, strict=True):
-            out += jobs.take(now, seq, command, None if pd.isna(job) else job)
-        yield from self._close(key[0], jobs, out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+
+    def _told(self, queue: str | None, out: Iterable[tuple]) -> Iterator[Row]:
+        for part in batched(out, TOLD):
+            yield Row(*_COLUMNS)(queue, *zip(*part, strict=True))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        jobs = self._open()
+        commands = sorted((x[-4:] for x in rows), key=lambda x: (x[0] is None, x[0] or _EPOCH, x[1] is None, x[1] or 0))
+        at = lambda ts: NO_TIME if ts is None else (ts - _EPOCH) // _MILLISECOND
+        yield from self._told(key[0], (told for ts, *command in commands for told in jobs.take(at(ts), *command)))
+        self._close(jobs)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         jobs = self._open()
-        out = list(jobs.alarms(timerValues.getCurrentWatermarkInMs()))
-        yield from self._close(key[0], jobs, out)
+        self.timer = None  # Spark takes the one that rang away
+        yield from self._told(key[0], jobs.alarms(timerValues.getCurrentWatermarkInMs()))
+        self._close(jobs)
 
     def close(self) -> None:
         pass
@@ -145,8 +157,9 @@ def queues(commands: DataFrame, ttl: float = rules.JOB_TTL, timeout: float = rul
     once all commands up to their time are in, `late` behind the latest. A queue's commands of one batch are taken by ts, then by
     seq; its state is the jobs of one time to live. Commands without a queue form one of their own.
     """
-    timed = commands.withWatermark("ts", late)
-    return timed.groupBy("queue").transformWithStateInPandas(Queue(ttl, timeout), OUTPUT, "append", "EventTime")
+    timed = commands.withWatermark("ts", late).select("queue", "ts", "seq", "command", "job_id")
+    told = timed.groupBy("queue").transformWithState(Queue(ttl, timeout), PACKED, "append", "EventTime")
+    return told.select("queue", F.inline(F.arrays_zip(*_COLUMNS[1:])))
 
 
 class several_states:

@@ -1,10 +1,12 @@
 """The record operators on hand-made registers, and the driver's SQL."""
 
 import random
+from datetime import UTC, datetime
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyweave.functions import rules, text
@@ -468,6 +470,57 @@ def test_queue_by_one_list():
     assert sorted(got, key=str) == sorted(want, key=str) and len({x[4] for x in got}) > 7
 
 
+def test_queue_calls_of_the_store():
+    """A job that comes and goes within one batch makes no call of the store, and many answers are few rows."""
+
+    class Store(dict):
+        def __init__(self):
+            self.calls, self.timers = [], set()
+
+        def iterator(self):
+            return iter([((k,), v) for k, v in self.items()])
+
+        def updateValue(self, key, value):
+            self.calls.append("put")
+            self[key[0]] = value
+
+        def removeKey(self, key):
+            self.calls.append("remove")
+            del self[key[0]]
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    own = queue.Queue(600, 120)
+    own.state = own.handle = store = Store()
+    row = Row("queue", "queue", "ts", "seq", "command", "job_id")
+    command = lambda s, seq, what, job: row("a", "a", datetime.fromtimestamp(s, UTC), seq, what, job)
+    many = [command(i, 2 * i + k, what, f"j{i}") for i in range(15_000) for k, what in enumerate(("upload", "submit"))]
+    told = list(own.handleInputRows(("a",), iter([*many, command(15_000, 30_000, "upload", "last")]), None))
+    assert [len(x.seq) for x in told] == [10_000, 10_000, 10_000, 1] and told[0].status[:2] == ("held", "removed") and told[3].ts == (15_000_000,)
+    assert store.calls == ["put"] and store == {"last": (15_000, "held", 15_000_000, False)} and store.timers == {15_600_001}
+    # In the next batch the stored job goes, with its timer.
+    assert [x.status for x in own.handleInputRows(("a",), iter([command(15_001, None, "submit", "last")]), None)] == [("removed",)]
+    assert store.calls == ["put", "remove"] and not store and not store.timers
+
+
+def test_queue_clock_in_another_time_zone(spark, tmp_path):
+    """Times are those of the clock, whatever the session's time zone; commands without a queue form one of their own."""
+    rows = [(None, 0, 0.0, "upload", "1"), (None, 1, 1.0, "start", "1"), ("b", 2, 100.0, "upload", "2")]
+    frame = spark.createDataFrame(rows, "queue string, seq long, s double, command string, job_id string")
+    frame.select("queue", "seq", F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts"), "command", "job_id").coalesce(1).write.parquet(str(tmp_path / "in"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Taipei")
+    try:
+        told = _told(spark, str(tmp_path / "in"), tmp_path / "x", late="0 seconds", timeout=60)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert told == sorted([(None, 0, "upload", "1", "held", True), (None, 1, "start", "1", "pending", True), ("b", 100, "upload", "2", "held", True), (None, 61, "timer", "1", "timeout", False)], key=str)
+
+
 PEOPLE = "batch_id string, tenant string, batch_ord long, title string, name string"
 
 
